@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, media, mixing, packing, warc
+from . import lines, media, mixing, near, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media.op1_media_columns,
     "op4_packing": packing.op4_packing,
     "op7_warc": warc.op7_warc,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_near_dedup": near.op9_near_dedup,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
 }
 SQL: dict[str, str] = {"op7_warc": warc.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op10_poisson_mixing": mixing.OP10_SQL}

@@ -24,17 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: One random-looking word per byte value.
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * _BASE)
-_POWERS = np.ones(1, dtype=U64)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_TABLES = {int(b): np.ones(1, dtype=U64) for b in (_BASE, _INVERSE)}
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE^0 .. BASE^(n-1) modulo 2^64; the table grows to the longest text of the worker's slices."""
-    global _POWERS
-    if len(_POWERS) < n:
-        table = np.full(max(n, 2 * len(_POWERS), _SLICE), _BASE, dtype=U64)
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64; the table grows to the longest slice that the worker meets."""
+    if len(_TABLES[int(base)]) < n:
+        table = np.full(max(n, 2 * len(_TABLES[int(base)]), _SLICE), base, dtype=U64)
         table[0] = 1
-        _POWERS = np.cumprod(table, dtype=U64)
-    return _POWERS[:n]
+        _TABLES[int(base)] = np.cumprod(table, dtype=U64)
+    return _TABLES[int(base)][:n]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +60,13 @@ def slices(offsets: np.ndarray, limit: int = _SLICE) -> Iterator[tuple[int, int]
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """H[i]: hash of the first i bytes; range_hash() takes differences."""
     out = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(BYTE_CODE[raw] * powers(len(raw)), out=out[1:])
+    np.cumsum(BYTE_CODE[raw] * powers(_BASE, len(raw)), out=out[1:])
     return out
 
 
 def range_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of bytes [start, stop), equal wherever the bytes are equal; all ranges share len(prefix)."""
-    shift = powers(len(prefix))
-    return mix((prefix[stop] - prefix[start]) * shift[len(prefix) - 1 - start])
+    """Hash of bytes [start, stop): the same wherever the bytes are the same."""
+    return mix((prefix[stop] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
