@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, media, mixing, near, packing, warc
+from . import lines, media, mixing, near, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_quality": quality.op2_quality,
     "op4_packing": packing.op4_packing,
     "op7_warc": warc.op7_warc,
     "op8_line_dedup": lines.op8_line_dedup,
