@@ -19,8 +19,6 @@ each; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import json
-import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -31,90 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import Encoder
+
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 BLOCK = 2048
 #: Tokens of a step group.
 STEP_TOKENS = 16 * WINDOW
-#: Cached words of a Python worker at most; then it starts afresh.
-CACHED = 500_000
 VOCABULARY = "word_bpe_49k.json"
-#: The pre-tokeniser's pattern as in the tokenizer's file (a fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-class Encoder:
-    """The tokenizer's ids of whole texts as little-endian 16-bit words, by way of a bounded cache of words.
-
-    White space never is part of a token and every word ends its merges, so a text's ids are its words'
-    ids in a row. New words go through the tokenizer's own model many at a time. Control characters that
-    Python alone takes for white space send the text through the whole tokenizer.
-    """
-
-    def __init__(self, vocabulary: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        path = public_tokenizers.path(vocabulary)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        with open(path) as f:
-            plan = json.load(f)
-        plan |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.model = Tokenizer.from_str(json.dumps(plan))
-        names = self.model.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
-        self.find = regex.compile(PIECES).findall
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        moved = [b for b in range(256) if b not in set(kept)]
-        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
-        self.odd = regex.compile("[\x1c-\x1f]").search
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        parts = [self.find((w if w.isascii() else unicodedata.normalize("NFC", w)).lower()) for w in words]
-        new = list(set().union(*parts) - self.pieces.keys())
-        if new:
-            line = " ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in new])
-            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u2")
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist(), strict=True):
-                self.pieces[p] = raw[at:end]
-                at = end
-        get = self.pieces.__getitem__
-        for w, p in zip(words, parts, strict=True):
-            self.cache[w] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        get, out, again = self.cache.get, [], []
-        for i, text in enumerate(texts):
-            if self.odd(text):
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes())
-                continue
-            words = text.split()
-            ids = list(map(get, words))
-            if None in ids:
-                again.append((i, words))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if again:
-            self._learn({w for _, words in again for w in words if w not in self.cache})
-            need = self.cache.__getitem__
-            for i, words in again:
-                out[i] = b"".join(map(need, words))
-        return out
 
 
 def route(length: int) -> int:
@@ -207,7 +130,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encode, packer, sequences, steps = Encoder(vocabulary), Packer(), 0, 0
+        encoder, packer, sequences, steps = Encoder(vocabulary), Packer(), 0, 0
 
         def rows(windows: list[list[tuple]]) -> pa.RecordBatch:
             nonlocal sequences, steps
@@ -226,10 +149,10 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                whole = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    ids = np.append(np.frombuffer(raw, dtype="<u2"), np.uint16(END_ID))
+                flat, counts = encoder.ids(part.column(1))
+                stops, whole = np.cumsum(counts).tolist(), []
+                for doc_id, a, b in zip(part.column(0).to_pylist(), [0, *stops], stops, strict=False):
+                    ids = np.append(flat[a:b], np.uint16(END_ID))
                     doc, cut = (doc_id, len(ids)), len(ids) - len(ids) % WINDOW
                     whole += [[(doc, at, ids[at : at + WINDOW])] for at in range(0, cut, WINDOW)]
                     if cut < len(ids):
