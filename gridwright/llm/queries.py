@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, media, mixing, near, packing, quality, warc
+from . import ann, lines, media, mixing, near, packing, quality, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media.op1_media_columns,
     "op2_quality": quality.op2_quality,
     "op4_packing": packing.op4_packing,
+    "op5_ann_search": ann.op5_ann_search,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_warc": warc.op7_warc,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_near_dedup": near.op9_near_dedup,
