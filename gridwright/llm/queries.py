@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lines, media, mixing, near, packing, quality, suffix, warc
+from . import ann, lines, media, mixing, near, packing, quality, secrets, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media.op1_media_columns,
     "op2_quality": quality.op2_quality,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_packing": packing.op4_packing,
     "op5_ann_search": ann.op5_ann_search,
     "op6_suffix_dedup": suffix.op6_suffix_dedup,
