@@ -9,9 +9,13 @@ Two documents agree in a coordinate with the probability of their weighted Jacca
 
 BANDS x ROWS coordinates form bands: at similarity 0.8 a pair misses all bands once in 38,000. Each
 bucket tests its members against its least member (exact similarity on all shingles). Links make
-components. Only where a bucket still has members of several components, its other pairs across
-components are tested too, but for those that the triangle inequality of Jaccard distances rules out.
-So no pair that shares a bucket is lost, and copies never are expanded into all pairs.
+components. Only where a bucket still has members of several components, more has to be looked at. In a
+bucket of up to SMALL members its other pairs across components are tested too, but for those that the
+triangle inequality of Jaccard distances rules out. Larger ones (a wide group whose members are alike
+to various degrees) are merged into groups by their common members; there all texts outside the
+group's largest component are compared with all of its texts, BLOCK by BLOCK, in matrix products of which
+only the links that join components leave the task. So no pair that shares a bucket is lost, and copies
+never are expanded into all pairs.
 
 Texts are named by 64-bit hashes; n different texts expect n^2 / 2^65 pairs to share one.
 
@@ -41,6 +45,9 @@ BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 #: Darts looked at: enough that 19 of 20 documents fill all coordinates at once.
 DARTS = K * (np.log(K) + 3)
+SMALL, BLOCK = 8, 512
+#: Elements that a matrix product takes at once.
+COLUMNS = 8192
 _SEED = mix(np.arange(11, 15, dtype=U64))
 _STEP = U64(0x632BE59BD9B4E019)
 
@@ -183,14 +190,17 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "j"])
 
 
+def _texts(need: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
+    """uid, text: the row of each text with its least id (and rows that repeat that)."""
+    texts = docs.select(order_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(need.join(names, "uid"), ["id", "uid"]).select("uid", "text")
+
+
 def _tested(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     """a, b, j: exact weighted Jaccard similarity of each pair of texts, all shingles counted."""
     pairs = stored(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct().join(names, "uid")
-    texts = docs.select(order_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # one row of each text: that of its least id, of which there may be repeated rows
-    found = texts.join(need, ["id", "uid"]).select("uid", "text")
-    elements = stored(_elements(found).groupBy("uid").agg(F.first("elements").alias("elements")), "elements")
+    need = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    elements = stored(_elements(_texts(need, docs, names)).groupBy("uid").agg(F.first("elements").alias("elements")), "elements")
     left = pairs.join(elements.withColumnRenamed("uid", "a").withColumnRenamed("elements", "x"), "a")
     both = left.join(elements.withColumnRenamed("uid", "b").withColumnRenamed("elements", "y"), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, j double"), "tested")
@@ -206,25 +216,97 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     tested = _tested(members.where("uid <> lead").select(F.col("uid").alias("a"), F.col("lead").alias("b")).distinct(), docs, names)
     links = tested.where(F.col("j") >= similarity).select("a", "b")
     labels = stored(components(links), "labels")
-    more = _across(members, tested, labels, similarity)
-    if more.head(1):
-        again = _tested(more, docs, names)
-        labels = stored(components(links.union(again.where(F.col("j") >= similarity).select("a", "b"))), "labels")
+    named, open_keys = _open(members, labels)
+    if open_keys.head(1):
+        more = _across(named, open_keys.where(F.col("n") <= SMALL), tested, similarity)
+        again = _tested(more, docs, names).where(F.col("j") >= similarity).select("a", "b") if more.head(1) else links.limit(0)
+        wide = named.join(open_keys.where(F.col("n") > SMALL), "key", "left_semi")
+        blocks = _in_blocks(wide, docs, names, similarity) if wide.head(1) else links.limit(0)
+        labels = stored(components(links.union(again).union(blocks)), "labels")
     named = names.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "id", F.coalesce("label", "uid").alias("label"))
     firsts = named.groupBy("label").agg(F.min(F.struct("id", "uid")).alias("least"))
     return rows, stored(named.join(firsts, "label").select("uid", F.col("least.id").alias("class_id"), F.col("least.uid").alias("first_uid")), "classes")
 
 
-def _across(members: DataFrame, tested: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Untested pairs of buckets that hold several components, unless their distances from the lead differ too much."""
-    named = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m and n > 2").select("key")
+def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, uid, lead, label; key, n) of all buckets, and of those with several components and more than two members."""
+    named = stored(members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named")
+    counts = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n"))
+    return named, stored(counts.where("l <> m and n > 2").select("key", "n"), "open")
+
+
+def _across(named: DataFrame, keys: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """Untested pairs across components in small buckets, unless their distances from the lead differ too much."""
     j = tested.select(F.col("a").alias("uid"), F.col("b").alias("lead"), "j")
-    left = named.where("uid <> lead").join(open_keys, "key", "left_semi").join(j, ["uid", "lead"]).select("key", "uid", "label", "j")
-    right = left.select("key", F.col("uid").alias("uid2"), F.col("label").alias("label2"), F.col("j").alias("j2"))
-    close = F.abs(F.col("j") - F.col("j2")) <= 1 - similarity + 1e-9
-    pairs = left.join(right, "key").where((F.col("uid") > F.col("uid2")) & (F.col("label") != F.col("label2")) & close).select(F.col("uid").alias("a"), F.col("uid2").alias("b")).distinct()
-    return stored(pairs.join(tested, ["a", "b"], "left_anti"), "across")
+    left = named.where("uid <> lead").join(keys, "key", "left_semi").join(j, ["uid", "lead"]).select("key", "uid", "label", "j")
+    rows = left.groupBy("key").agg(F.collect_list(F.struct("uid", "label", "j")).alias("all"))
+    pairs = rows.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    close = F.abs(F.col("x.j") - F.col("y.j")) <= 1 - similarity + 1e-9
+    across = pairs.where((F.col("x.uid") > F.col("y.uid")) & (F.col("x.label") != F.col("y.label")) & close).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    return stored(across.join(tested, ["a", "b"], "left_anti"), "across")
+
+
+def _in_blocks(wide: DataFrame, docs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """Links that join components of the groups that wide buckets form. wide: key, uid, lead, label."""
+    groups = stored(components(wide.where("uid <> lead").select(F.col("uid").alias("a"), F.col("lead").alias("b")).distinct()), "groups")
+    texts = groups.withColumnRenamed("node", "uid").withColumnRenamed("label", "g").join(wide.select("uid", "label").distinct(), "uid")
+    parts = texts.groupBy("g", "label").agg(F.count("*").alias("n"))
+    shape = parts.groupBy("g").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"))
+    shape = shape.select("g", F.col("top.label").alias("major"), F.ceil(F.col("m") / BLOCK).alias("nd"), F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.n")) / BLOCK)).cast("long").alias("nq"))
+    rows = texts.join(_elements(_texts(texts.select("uid"), docs, names)), "uid").dropDuplicates(["uid"]).join(shape, "g")
+    rows = stored(rows, "wide")
+    mine = lambda n: F.pmod(F.xxhash64("uid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = rows.where("label <> major").select("g", mine("nq").alias("q"), every("nd").alias("d"), "uid", "label", "elements")
+    asked = rows.select("g", every("nq").alias("q"), mine("nd").alias("d"), "uid", "label", "elements")
+    found = asking.groupBy("g", "q", "d").cogroup(asked.groupBy("g", "q", "d")).applyInArrow(_block(similarity), "a long, b long")
+    return stored(found, "blocks")
+
+
+def _block(similarity: float):
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(x.as_py(), U64) for x in t.column("elements")]
+        size = np.array([len(x) for x in parts])
+        return np.concatenate(parts), np.repeat(np.arange(len(parts)), size), size
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.Table.from_batches([], kind)
+        (x, x_row, x_size), (y, y_row, y_size) = sets(left), sets(right)
+        vocabulary = np.intersect1d(x, y)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for lo in range(0, len(vocabulary), COLUMNS):
+            some = vocabulary[lo : lo + COLUMNS]
+            dense = []
+            for e, row, n in ((x, x_row, len(left)), (y, y_row, len(right))):
+                at = np.minimum(np.searchsorted(some, e), len(some) - 1)
+                hit = some[at] == e
+                m = np.zeros((n, len(some)), dtype=np.float32)
+                m[row[hit], at[hit]] = 1
+                dense.append(m)
+            both += dense[0] @ dense[1].T
+        both = both.astype(np.float64)
+        like = both / np.maximum(x_size[:, None] + y_size[None, :] - both, 1) >= similarity
+        a, b = left.column("uid").to_numpy(), right.column("uid").to_numpy()
+        la, lb = left.column("label").to_numpy(), right.column("label").to_numpy()
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(like & (la[:, None] != lb[None, :])), strict=True):
+            p, q = root(int(la[i])), root(int(lb[j]))
+            if p != q:
+                parent[p] = q
+                out.append((int(a[i]), int(b[j])))
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], schema=kind)
+
+    return run
 
 
 def deduped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -84,3 +84,21 @@ def test_edges_of_input(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 7, 8]
     empty = docs.limit(0)
     assert near.deduped(empty).count() == 0
+
+
+def test_wide_groups_lose_no_link(spark, monkeypatch):
+    """Texts that drift away from one another, in buckets too large to test pair by pair."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 12)), replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, named = near.classes(docs)
+    got = {r.id: r.class_id for r in found.join(named, "uid").collect()}
+    assert got == brute(rows)
+    assert 1 < len(set(got.values())) < 120
