@@ -5,6 +5,226 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import tables
+from .operators import focal, geometry, local, stats
+from .plans.focal import tile_with_halo, untile
+from .sources import cells as src
+from .sources.cells import CELLS_SQL, KEY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+DIGITS = 6
+
+
+def register(name: str, over: str, sql: str | None, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """over: 'cells' or 'luma'. sql follows the fixture's own text; doubles are rounded on both sides."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = src.from_lineitem(spark, sf_dir)
+        out = fn(cells if over == "cells" else src.with_luma(cells))
+        return out.select(*(F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = f"{CELLS_SQL}{sql}" if sql.lstrip().startswith(",") else f"{CELLS_SQL}\n{sql}"
+
+
+def _rgb(template: str) -> str:
+    return ", ".join(template.replace("$c", c) for c in "rgb")
+
+
+# --- layout -------------------------------------------------------------------------------------
+register("crop", "cells", "SELECT * FROM cells WHERE y BETWEEN 8 AND 39 AND x BETWEEN 16 AND 47", lambda c: src.crop(c, 8, 40, 16, 48))
+register("select_channels", "cells", "SELECT image_id, y, x, r, 0 AS g, b, a FROM cells", lambda c: src.select_channels(c, True, False, True))
+register("normalize_format", "cells", f"SELECT image_id, y, x, {_rgb('round($c / (CASE WHEN image_id % 2 = 0 THEN 255.0::DOUBLE ELSE 1023 END), 6) AS $c')}, round(a / (CASE WHEN image_id % 2 = 0 THEN 255.0::DOUBLE ELSE 1023 END), 6) AS a FROM cells",
+         lambda c: src.normalize_format(c, F.when(F.col("image_id") % 2 == 0, "8u").otherwise("10u")))
+register("unpack_10u", "cells", "SELECT image_id, y, x, r * 4194304 + g * 4096 + b * 4 AS p, r, g, b FROM cells",
+         lambda c: src.unpack_10u(c.select(*KEY, (F.col("r") * 4194304 + F.col("g") * 4096 + F.col("b") * 4).alias("p"))))
+register("stored_format", "cells", f"SELECT image_id, y, x, {_rgb('CAST(floor(least(greatest(($c - 20) / 220.0::DOUBLE, 0), 1) * 32767 + 0.5) AS INT) AS $c')}, 32767 AS a FROM cells",
+         lambda c: src.stored_format(c.select(*KEY, *(((F.col(k) - 20) / 220.0).alias(k) for k in "rgb"), F.lit(1.0).alias("a")), "16u"))
+register("tile_round_trip", "luma", "SELECT * FROM lumas", lambda p: untile(tile_with_halo(p, 16, 2, "clamp"), 16).select(*KEY, "v"))
+register("tile_sizes", "luma", """
+SELECT image_id, ty, tx, CAST(400 AS INT) AS n, CAST(sum(v) AS BIGINT) AS total FROM (
+  SELECT l.image_id, t.v AS ty, u.v AS tx, l.v FROM lumas l, range(4) t(v), range(4) u(v), range(-2, 18) dy(o), range(-2, 18) dx(o)
+  WHERE l.y = least(greatest(t.v * 16 + dy.o, 0), 63) AND l.x = least(greatest(u.v * 16 + dx.o, 0), 63)) GROUP BY ALL""",
+         lambda p: tile_with_halo(p, 16, 2, "clamp").select("image_id", "ty", "tx", F.size("cells").alias("n"), F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["v"]).alias("total")))
+register("apply_params", "cells", "SELECT image_id, y, x, r, g, b, a, CASE WHEN image_id % 3 = 0 THEN CAST(image_id AS DOUBLE) ELSE 1.5 END AS gain FROM cells",
+         lambda c: src.apply_params(c, c.where("image_id % 3 = 0").select("image_id", F.lit("gain").alias("name"), F.col("image_id").cast("double").alias("value")).distinct(), {"gain": 1.5}))
+
+# --- local --------------------------------------------------------------------------------------
+_Y = "0.2126 * r + 0.7152 * g + 0.0722 * b"
+register("rgb_to_yuv", "cells", f"SELECT image_id, y, x, round({_Y}, 6) AS yy, round(-0.11457 * r - 0.38543 * g + 0.5 * b, 6) AS u, round(0.5 * r - 0.45415 * g - 0.04585 * b, 6) AS v, a FROM (SELECT * REPLACE (r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b) FROM cells)",
+         lambda c: local.rgb_to_yuv(c))
+register("yuv_to_rgb", "cells", "SELECT image_id, y, x, round(r::DOUBLE + 1.5748021 * b, 3) AS r, round(r::DOUBLE - 0.18732698 * g - 0.468124 * b, 3) AS g, round(r::DOUBLE + 1.85559927 * g, 3) AS b, a FROM cells",
+         lambda c: local.yuv_to_rgb(c.select(*KEY, F.col("r").alias("yy"), F.col("g").alias("u"), F.col("b").alias("v"), "a")).select(*KEY, *(F.round(k, 3).alias(k) for k in "rgb"), "a"))
+_LIN = "CASE WHEN $c / 255.0::DOUBLE > 0.04045 THEN pow(($c / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE $c / 255.0::DOUBLE / 12.92 END AS $c"
+_LAB = f""", lin AS (SELECT image_id, y, x, {_rgb(_LIN)}, a FROM cells),
+xyz AS (SELECT *, (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) * 100 / 95.047 AS p, (0.2126729 * r + 0.7151522 * g + 0.072175 * b) AS q, (0.0193339 * r + 0.119192 * g + 0.9503041 * b) * 100 / 108.883 AS s FROM lin),
+f AS (SELECT *, {', '.join(f'CASE WHEN {k} > 0.008856451679035631 THEN cbrt({k}) ELSE {k} * 7.787037037037037 + 16.0 / 116 END AS f{k}' for k in 'pqs')} FROM xyz)"""
+register("rgb_to_lab", "cells", f"{_LAB} SELECT image_id, y, x, round(116 * fq - 16, 6) AS l, round(500 * (fp - fq), 6) AS la, round(200 * (fq - fs), 6) AS lb, a FROM f", lambda c: local.rgb_to_lab(c))
+register("lab_round_trip", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c: local.lab_to_rgb(local.rgb_to_lab(c)).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
+register("adjust_rgb", "cells", f"SELECT image_id, y, x, least(greatest(r + 30, 0), 255) AS r, least(greatest(g - 40, 0), 255) AS g, least(greatest(b + 10, 0), 255) AS b, a FROM cells", lambda c: local.adjust_rgb(c, 30, -40, 10))
+register("adjust_lab", "cells", None, lambda c: local.adjust_lab(c, 5.0, -3.0, 2.0))
+_HUE = """, q AS (SELECT image_id, y, x, a, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM cells),
+e AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, greatest(r, g, b) - least(r, g, b) AS d FROM q),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN CASE WHEN g >= b THEN 60 * (g - b) / d ELSE 360 + 60 * (g - b) / d END WHEN hi = g THEN 120 + 60 * (b - r) / d ELSE 240 + 60 * (r - g) / d END AS h FROM e)"""
+for _space, _s, _l in (
+    ("hsl", "CASE WHEN d = 0 THEN 0 ELSE d / (1 - abs(hi + lo - 1)) END", "(hi + lo) / 2"),
+    ("hsv", "CASE WHEN hi = 0 THEN 0 ELSE d / hi END", "hi"),
+    ("hsi", "CASE WHEN r + g + b = 0 THEN 0 ELSE 1 - 3 * lo / (r + g + b) END", "(r + g + b) / 3"),
+    ("hsp", "CASE WHEN hi = 0 THEN 0 ELSE d / hi END", "sqrt(0.299 * r * r + 0.587 * g * g + 0.114 * b * b)"),
+):
+    register(f"to_{_space}", "cells", f"{_HUE} SELECT image_id, y, x, round(h, 6) AS h, round({_s}, 6) AS s, round({_l}, 6) AS l, a FROM h", lambda c, s=_space: local.to_hue_space(c, s))
+for _space in ("hsl", "hsv"):
+    register(f"{_space}_round_trip", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c, s=_space: local.from_hue_space(local.to_hue_space(c, s), s).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
+    register(f"adjust_{_space}", "cells", None, lambda c, s=_space: local.adjust_hue(c, s, 200.0, 0.1, -0.05))
+register("adjust_cmyk", "cells", f""", k AS (SELECT *, 1 - greatest(r, g, b) / 255.0::DOUBLE AS k FROM cells),
+i AS (SELECT *, {', '.join(f'CASE WHEN k = 1 THEN 0 ELSE (1 - k - {c} / 255.0::DOUBLE) / (1 - k) END AS i{c}' for c in 'rgb')} FROM k)
+SELECT image_id, y, x, {', '.join(f'round(255 * (1 - least(greatest(i{c} + {d}, 0), 1)) * (1 - least(greatest(k - 0.05, 0), 1)), 6) AS {c}' for c, d in zip('rgb', ('0.1', '-0.2', '0.0'), strict=True))}, a FROM i""",
+         lambda c: local.adjust_cmyk(c, 0.1, -0.2, 0.0, -0.05))
+register("to_gray", "cells", "SELECT image_id, y, x, v, 255 AS a FROM lumas", lambda c: local.to_gray(c))
+register("to_gray_gamma", "cells", "SELECT image_id, y, x, round(255 * pow(0.2126 * pow(r / 255.0::DOUBLE, 2.2) + 0.7152 * pow(g / 255.0::DOUBLE, 2.2) + 0.0722 * pow(b / 255.0::DOUBLE, 2.2), 1 / 2.2::DOUBLE), 6) AS v, a FROM cells", lambda c: local.to_gray(c, "gamma"))
+register("sepia", "cells", "SELECT image_id, y, x, CAST(floor(least(0.393::DOUBLE * r + 0.769::DOUBLE * g + 0.189::DOUBLE * b, 255)) AS INT) AS r, CAST(floor(least(0.349::DOUBLE * r + 0.686::DOUBLE * g + 0.168::DOUBLE * b, 255)) AS INT) AS g, CAST(floor(least(0.272::DOUBLE * r + 0.534::DOUBLE * g + 0.131::DOUBLE * b, 255)) AS INT) AS b, a FROM cells",
+         lambda c: local.apply_matrix3(c, tables.SEPIA))
+register("monotone", "cells", f""", y AS (SELECT image_id, y, x, a, {_Y} AS l, -0.11457 * 200 - 0.38543 * 120 + 0.5 * 40 AS u, 0.5 * 200 - 0.45415 * 120 - 0.04585 * 40 AS v FROM (SELECT * REPLACE (r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b) FROM cells))
+SELECT image_id, y, x, round(least(greatest(l + 1.5748021 * v, 0), 255), 6) AS r, round(least(greatest(l - 0.18732698 * u - 0.468124 * v, 0), 255), 6) AS g, round(least(greatest(l + 1.85559927 * u, 0), 255), 6) AS b, a FROM y""",
+         lambda c: local.monotone(c, (200, 120, 40)))
+_BOX = "abs(r - 120) < 60 AND abs(g - 100) < 60 AND abs(b - 90) < 60"
+register("substitute_color", "cells", f"SELECT image_id, y, x, {', '.join(f'CASE WHEN {_BOX} THEN least(greatest({s} - {c}, 0), 255) ELSE {c} END AS {c}' for c, s in zip('rgb', (320, 150, 100), strict=True))}, a FROM cells",
+         lambda c: local.substitute_color(c, (120, 100, 90), (200, 50, 10), 60))
+register("substitute_mask", "cells", f"SELECT image_id, y, x, {_rgb(f'CASE WHEN {_BOX} THEN 255 ELSE 0 END AS $c')}, a FROM cells", lambda c: local.substitute_color(c, (120, 100, 90), (200, 50, 10), 60, True))
+register("gamma", "cells", f"SELECT image_id, y, x, {_rgb('round(least(255 * pow($c / 255.0::DOUBLE, 0.8), 255), 6) AS $c')}, a FROM cells", lambda c: local.gamma(c, 0.8))
+register("srgb_to_linear", "cells", f"{_LAB} SELECT image_id, y, x, {_rgb('round($c, 6) AS $c')}, a FROM lin", lambda c: local.to_linear(c))
+register("linear_to_srgb", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c: local.to_srgb(local.to_linear(c)).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
+for _kind, _f in (("bright", "cbrt(t * t)"), ("dark", "t * t"), ("sigmoid", "1 / (1 + exp(-10 * (t - 0.5)))")):
+    register(f"tone_{_kind}", "cells", f", t AS (SELECT c.*, l.v / 255.0::DOUBLE AS t FROM cells c JOIN lumas l USING (image_id, y, x)) SELECT image_id, y, x, {_rgb(f'round(least(greatest($c + 255 * ({_f} - t), 0), 255), 6) AS $c')}, a FROM t",
+             lambda c, k=_kind: local.tone(c, k))
+register("negate_luma", "luma", "SELECT image_id, y, x, 255 - v AS v FROM lumas", lambda p: local.negate_luma(p))
+register("residual_map", "luma", """, n AS (SELECT l.image_id, l.y, l.x, any_value(l.v) AS v, max(m.v) AS f FROM lumas l JOIN lumas m ON l.image_id = m.image_id AND l.y = m.y AND abs(l.x - m.x) <= 1 GROUP BY l.image_id, l.y, l.x)
+SELECT image_id, y, x, least(greatest(128 + 8 * (v - f), 0), 255) AS v FROM n""", lambda p: local.residual_map(p, focal.dilate(p, "horizontal", 3)))
+_NOISE = "((((image_id * 7919 + y * 104729 + x * 1299709 + {k} * 15485863 + {s}) * 1103515245 + 12345) % 2147483648) >> 8) % 256"
+register("augment_noise", "cells", f"SELECT image_id, y, x, {', '.join(f'CAST((80 * {c} + 20 * ({_NOISE.format(k=i, s=3)})) // 100 AS INT) AS {c}' for i, c in enumerate('rgb'))}, a FROM cells", lambda c: local.augment_noise(c, 20, 3))
+register("bitonal", "cells", "SELECT image_id, y, x, CASE WHEN v > 90 THEN 255 ELSE 0 END AS v FROM lumas", lambda c: local.bitonal(c, 90))
+
+# --- geometry -----------------------------------------------------------------------------------
+register("flip_both", "cells", "SELECT image_id, 63 - y AS y, 63 - x AS x, r, g, b, a FROM cells", lambda c: geometry.flip(c, True, True))
+register("flip_horizontal", "cells", "SELECT image_id, y, 63 - x AS x, r, g, b, a FROM cells", lambda c: geometry.flip(c, True, False))
+register("mirror", "cells", "SELECT t.image_id, t.y, t.x, s.r, s.g, s.b, s.a FROM cells t JOIN cells s ON s.image_id = t.image_id AND s.y = least(t.y, 63 - t.y) AND s.x = least(t.x, 63 - t.x)", lambda c: geometry.mirror(c, True, True))
+register("block_shuffle", "cells", """, b AS (SELECT DISTINCT image_id, y // 16 * 4 + x // 16 AS k FROM cells),
+m AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ((k * 40503 + image_id * 9973 + 11) * 1103515245 + 12345) % 2147483648, k) - 1 AS t FROM b)
+SELECT c.image_id, t // 4 * 16 + y % 16 AS y, t % 4 * 16 + x % 16 AS x, r, g, c.b, a FROM cells c JOIN m ON m.image_id = c.image_id AND m.k = y // 16 * 4 + x // 16""", lambda c: geometry.block_shuffle(c, 4, 11))
+_BY, _BX = "(CASE WHEN y < 44 THEN y // 11 ELSE 4 + (y - 44) // 10 END)", "(CASE WHEN x < 10 THEN 0 ELSE 1 + (x - 10) // 9 END)"
+register("resample_blocks", "cells", f"SELECT image_id, {_BY} AS y, {_BX} AS x, {_rgb('round(avg($c), 6) AS $c')} FROM cells GROUP BY 1, {_BY}, {_BX}", lambda c: geometry.resample_blocks(c, 6, 7))
+register("pixelate", "cells", f"SELECT image_id, y, x, {_rgb(f'round(avg($c) OVER (PARTITION BY image_id, {_BY}, {_BX}), 6) AS $c')}, a FROM cells", lambda c: geometry.pixelate(c, 6, 7))
+register("augment_displace", "cells", f"""SELECT t.image_id, t.y, t.x, s.r, s.g, s.b, s.a FROM (
+  SELECT *, least(greatest(y + ({_NOISE.format(k=1, s=5)}) % 7 - 3, 0), 63) AS sy, least(greatest(x + ({_NOISE.format(k=2, s=5)}) % 7 - 3, 0), 63) AS sx FROM cells) t
+  JOIN cells s ON s.image_id = t.image_id AND s.y = t.sy AND s.x = t.sx""", lambda c: geometry.augment_displace(c, 3, 5))
+
+# --- global -------------------------------------------------------------------------------------
+register("histogram", "cells", "SELECT image_id, channel, CAST(bin AS INT) AS bin, count(*) AS n FROM (UNPIVOT (SELECT image_id, r, g, b FROM cells) ON r, g, b INTO NAME channel VALUE bin) GROUP BY ALL", lambda c: stats.histogram(c))
+_DENSE = """, d AS (SELECT image_id, CAST(bin.v AS INT) AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM lumas) i CROSS JOIN (SELECT range AS v FROM range(256)) bin
+  LEFT JOIN (SELECT image_id, v, count(*) AS n FROM lumas GROUP BY ALL) h USING (image_id, v))"""
+register("binarize_hist", "cells", f"{_DENSE} SELECT image_id, bin, CAST(n > 1 AS BIGINT) AS n FROM d", lambda c: stats.binarize_hist(stats.luma_histogram(c)))
+register("cumulative_hist", "cells", f"{_DENSE} SELECT p.image_id, p.bin, any_value(p.n) AS n, CAST(sum(q.n) AS BIGINT) AS c FROM d p JOIN d q ON p.image_id = q.image_id AND q.bin <= p.bin GROUP BY p.image_id, p.bin", lambda c: stats.cumulative_hist(stats.dense(stats.luma_histogram(c))))
+_LUT = _DENSE + """, k AS (SELECT p.image_id, p.bin, count(*) FILTER (q.n > 1) AS c FROM d p JOIN d q ON p.image_id = q.image_id AND q.bin <= p.bin GROUP BY p.image_id, p.bin),
+lut AS (SELECT image_id, bin AS v_in, CAST(CASE WHEN t = 0 THEN bin ELSE floor(c * 255.0::DOUBLE / t + 0.5) END AS INT) AS v_out FROM k JOIN (SELECT image_id, max(c) AS t FROM k GROUP BY 1) USING (image_id))"""
+register("build_lut", "cells", f"{_LUT} SELECT * FROM lut", lambda c: stats.build_lut(stats.cumulative_hist(stats.binarize_hist(stats.luma_histogram(c)))))
+register("equalize_linear", "cells", f"{_LUT} SELECT image_id, y, x, v, v_out FROM lumas JOIN lut USING (image_id) WHERE v = v_in", lambda c: stats.equalize_linear(c))
+register("equalize_profile", "cells", f"{_LUT} SELECT image_id, round(avg(v), 6) AS mean_before, round(avg(v_out), 6) AS mean_after, min(v_out) AS low_after, max(v_out) AS high_after, count(*) AS n FROM lumas JOIN lut USING (image_id) WHERE v = v_in GROUP BY image_id",
+         lambda c: stats.equalize_linear(c).groupBy("image_id").agg(F.avg("v").alias("mean_before"), F.avg("v_out").alias("mean_after"), F.min("v_out").alias("low_after"), F.max("v_out").alias("high_after"), F.count("*").alias("n")))
+register("equalize_clipped", "cells", _DENSE + """, k AS (SELECT p.image_id, p.bin, any_value(p.n) AS n, sum(q.n) AS c FROM d p JOIN d q ON p.image_id = q.image_id AND q.bin <= p.bin GROUP BY p.image_id, p.bin),
+o AS (SELECT image_id, bin, CAST(n > 0 AND c BETWEEN 200 AND 3800 AS INT) AS o FROM k),
+s AS (SELECT p.image_id, p.bin, sum(q.o) AS c FROM o p JOIN o q ON p.image_id = q.image_id AND q.bin <= p.bin GROUP BY p.image_id, p.bin)
+SELECT l.image_id, y, x, v, CAST(floor(c * 255.0::DOUBLE / t) AS INT) AS v_out FROM lumas l JOIN s ON s.image_id = l.image_id AND s.bin = v JOIN (SELECT image_id, max(c) AS t FROM s GROUP BY 1) m ON m.image_id = l.image_id""",
+         lambda c: stats.equalize_clipped(c, 200, 3800))
+_OTSU = _DENSE + """, w AS (SELECT p.image_id, p.bin, sum(q.n) AS wb, sum(q.n * q.bin) AS sb FROM d p JOIN d q ON p.image_id = q.image_id AND q.bin <= p.bin WHERE p.n > 0 GROUP BY p.image_id, p.bin),
+z AS (SELECT w.*, 4096 - wb AS wf, (SELECT sum(n * bin) FROM d WHERE d.image_id = w.image_id) AS total FROM w),
+b AS (SELECT image_id, bin, CASE WHEN wf = 0 THEN 0 ELSE round(wb::DOUBLE * wf * pow(sb / wb::DOUBLE - (total - sb) / wf::DOUBLE, 2), 3) END AS v FROM z),
+o AS (SELECT image_id, arg_max(bin, v * 1e6 - bin) AS threshold FROM b GROUP BY image_id)"""
+register("otsu_threshold", "cells", f"{_OTSU} SELECT * FROM o", lambda c: stats.otsu_threshold(stats.luma_histogram(c)))
+register("otsu_binarize", "cells", f"{_OTSU} SELECT image_id, y, x, CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM lumas JOIN o USING (image_id)", lambda c: stats.otsu_binarize(c))
+register("gray_world", "cells", f"SELECT image_id, y, x, {_rgb('round(least($c * 127.5 / avg($c) OVER (PARTITION BY image_id), 255), 6) AS $c')}, a FROM cells", lambda c: stats.gray_world(c))
+register("gray_pixels", "cells", f"""{_LAB}, g AS (SELECT *, greatest(r, g, b) < 0.98 AND least(r, g, b) >= 1e-4 AND pow((r - g) / sqrt(2), 2) + pow((r + g - 2 * b) / sqrt(6), 2) < pow(0.3 * greatest((r + g + b) / sqrt(3), 1e-6), 2) AS gray FROM lin)
+SELECT image_id, count(*) FILTER (gray) AS n, {_rgb('round(coalesce(sum($c) FILTER (gray), 0), 6) AS sum_$c')} FROM g GROUP BY image_id""", lambda c: stats.gray_pixel_estimate(c))
+register("adaptation_matrix", "cells", None, lambda c: stats.adaptation_matrix(stats.gray_pixel_estimate(c)))
+register("max_normalize", "luma", "SELECT image_id, y, x, round(v / (max(v) OVER (PARTITION BY image_id))::DOUBLE, 6) AS v FROM lumas", lambda p: stats.max_normalize(p))
+register("min_block_std", "luma", "SELECT image_id, round(min(s), 6) AS noise_floor FROM (SELECT image_id, stddev_samp(v) AS s FROM lumas GROUP BY image_id, y // 8, x // 8) WHERE round(s, 9) > 0 GROUP BY 1", lambda p: stats.min_block_std(p))
+register("hist_extrema", "cells", _DENSE + """, i AS (SELECT image_id, bin, n, bin - row_number() OVER (PARTITION BY image_id, n ORDER BY bin) AS k FROM d),
+r AS (SELECT image_id, n, min(bin) AS lo, max(bin) AS hi FROM i GROUP BY image_id, n, k),
+e AS (SELECT r.*, p.n AS before, q.n AS after FROM r LEFT JOIN r p ON p.image_id = r.image_id AND p.hi = r.lo - 1 LEFT JOIN r q ON q.image_id = r.image_id AND q.lo = r.hi + 1)
+SELECT image_id, CASE WHEN coalesce(before, n + 1) > n AND coalesce(after, n + 1) > n THEN 'min' ELSE 'max' END AS kind, (lo + hi) // 2 AS bin FROM e
+WHERE (coalesce(before, n + 1) > n AND coalesce(after, n + 1) > n) OR (coalesce(before, n - 1) < n AND coalesce(after, n - 1) < n)""",
+         lambda c: stats.hist_extrema(stats.dense(stats.luma_histogram(c))))
+register("image_profile", "cells", """, p AS (SELECT image_id, channel, CAST(bin AS INT) AS bin FROM (UNPIVOT (SELECT c.image_id, r, g, b, v AS luma FROM cells c JOIN lumas USING (image_id, y, x)) ON r, g, b, luma INTO NAME channel VALUE bin))
+SELECT coalesce(image_id, -1) AS image_id, coalesce(channel, 'all') AS channel, min(bin) AS low, max(bin) AS high, round(avg(bin), 6) AS mean, round(stddev_pop(bin), 6) AS std, round(avg(CAST(bin >= 250 AS INT)), 6) AS clipped, round(avg(CAST(bin = 0 AS INT)), 6) AS black, count(*) AS n
+FROM p GROUP BY GROUPING SETS ((image_id, channel), (image_id), ())""", lambda c: stats.image_profile(c))
+register("entropy", "cells", f"{_DENSE} SELECT image_id, round(-sum(n / 4096.0 * log2(n / 4096.0)), 6) AS bits FROM d WHERE n > 0 GROUP BY image_id", lambda c: stats.entropy(stats.luma_histogram(c)))
+
+
+# --- focal --------------------------------------------------------------------------------------
+def _near(r: int, edge: str, table: str = "lumas", extra: str = "") -> str:
+    """, near AS (a row for each cell and neighbour), by pulling: the neighbour is looked up for each cell."""
+    inside = "s.y = least(greatest(t.y + dy.o, 0), 63) AND s.x = least(greatest(t.x + dx.o, 0), 63)" if edge == "clamp" else "s.y = t.y + dy.o AND s.x = t.x + dx.o"
+    return f", near AS (SELECT t.image_id, t.y, t.x, dy.o AS dy, dx.o AS dx, {'s.v, t.v AS own' if table == 'lumas' else 's.r, s.g, s.b'}{extra} FROM {table} t CROSS JOIN range({-r}, {r + 1}) dy(o) CROSS JOIN range({-r}, {r + 1}) dx(o) JOIN {table} s ON s.image_id = t.image_id AND {inside})"
+
+
+def _kernel_sql(name: str) -> str:
+    weights, _ = tables.kernel(name)
+    return "(VALUES " + ", ".join(f"({-dy}, {-dx}, {w})" for dy, dx, w in weights) + ") k(dy, dx, w)"
+
+
+for _name in tables.KERNELS:
+    _norm, _r = tables.KERNELS[_name][1], len(tables.KERNELS[_name][0]) // 2
+    register(f"convolve_{_name}", "cells", f"""SELECT t.image_id, t.y, t.x, {_rgb(f'CAST(least(greatest(coalesce(sum(s.$c * k.w), 0), 0) // {_norm}, 255) AS INT) AS $c')}, any_value(t.a) AS a
+FROM cells t CROSS JOIN {_kernel_sql(_name)} LEFT JOIN cells s ON s.image_id = t.image_id AND s.y = t.y + k.dy AND s.x = t.x + k.dx GROUP BY t.image_id, t.y, t.x""", lambda c, n=_name: focal.convolve(c, n))
+register("box_mean", "luma", f"{_near(3, 'clamp')} SELECT image_id, y, x, CAST(sum(v) // 49 AS INT) AS v FROM near GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY image_id, y, x"), lambda p: focal.box_mean(p, 3))
+register("geometric_mean", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, round(pow(10, avg(log10(v + 1))) - 1, 6) AS v FROM near GROUP BY image_id, y, x", lambda p: focal.geometric_mean(p, 1))
+for _size in (3, 5):
+    register(f"median_{_size}", "luma", f"{_near(_size // 2, 'clamp')} SELECT image_id, y, x, CAST(quantile_disc(v, 0.5) AS INT) AS v FROM near GROUP BY image_id, y, x", lambda p, s=_size: focal.median(p, s))
+register("adaptive_median", "luma", None, lambda p: focal.adaptive_median(p, 3))
+register("fuzzy_smooth", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, round(sum(exp(-pow(v - own, 2) / 1800.0::DOUBLE) * v) / sum(exp(-pow(v - own, 2) / 1800.0::DOUBLE)), 6) AS v FROM near WHERE dy <> 0 OR dx <> 0 GROUP BY image_id, y, x", lambda p: focal.fuzzy_smooth(p, 3, 30.0))
+register("fuzzy_median_std", "luma", f"""{_near(1, 'clamp')}, s AS (SELECT image_id, y, x, any_value(own) AS own, round(stddev_samp(v), 9) AS s, quantile_disc(v, 0.5) AS m FROM near GROUP BY image_id, y, x),
+f AS (SELECT image_id, min(q) AS q FROM (SELECT image_id, round(stddev_samp(v), 9) AS q FROM lumas GROUP BY image_id, y // 8, x // 8) WHERE q > 0 GROUP BY 1)
+SELECT image_id, y, x, CAST(CASE WHEN s > 1.5::DOUBLE * q AND s <= 6 * q THEN m ELSE own END AS INT) AS v FROM s LEFT JOIN f USING (image_id)""", lambda p: focal.fuzzy_median_std(p))
+register("bilateral", "luma", f"{_near(2, 'shrink')}, w AS (SELECT *, exp(-(dy * dy + dx * dx) / 18.0::DOUBLE) * exp(-pow(v - own, 2) / 3200.0::DOUBLE) AS w FROM near) SELECT image_id, y, x, round(sum(w * v) / sum(w), 6) AS v FROM w GROUP BY image_id, y, x", lambda p: focal.bilateral(p, 2, 40.0))
+register("anisotropic_diffusion", "luma", """, d AS (SELECT l.image_id, l.y, l.x, any_value(l.v) AS v, sum((n.v - l.v) / (1 + pow((n.v - l.v) / 20.0::DOUBLE, 2))) AS f FROM lumas l JOIN lumas n ON n.image_id = l.image_id AND abs(n.y - l.y) + abs(n.x - l.x) = 1 GROUP BY l.image_id, l.y, l.x)
+SELECT image_id, y, x, round(least(greatest(v + 0.2::DOUBLE * f, 0), 255), 6) AS v FROM d""", lambda p: focal.anisotropic_diffusion(p, 20.0, 0.2, 1))
+for _shape, _size in (("square", 5), ("vertical", 3), ("horizontal", 7), ("cross", 5), ("frame", 5), ("ring", 5), ("disk", 7), ("diamond", 5)):
+    _at = ", ".join(f"({dy}, {dx})" for dy, dx in tables.mask(_shape, _size))
+    for _what, _fn in (("erode", "min"), ("dilate", "max")):
+        register(f"{_what}_{_shape}", "luma", f"{_near(_size // 2, 'clamp')} SELECT image_id, y, x, {_fn}(v) AS v FROM near WHERE (dy, dx) IN ({_at}) GROUP BY image_id, y, x", lambda p, w=_what, s=_shape, n=_size: getattr(focal, w)(p, s, n))
+register("morph_gradient", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, max(v) - min(v) AS v FROM near WHERE abs(dy) + abs(dx) <= 1 GROUP BY image_id, y, x", lambda p: focal.morph_gradient(p, "diamond", 3))
+for _name, _one, _two in (("open", "min", "max"), ("close", "max", "min")):
+    register(f"morph_{_name}", "luma", f"""{_near(1, 'clamp')}, e AS MATERIALIZED (SELECT image_id, y, x, {_one}(v) AS v FROM near GROUP BY image_id, y, x)
+SELECT t.image_id, t.y, t.x, {_two}(s.v) AS v FROM e t JOIN e s ON s.image_id = t.image_id AND s.y BETWEEN t.y - 1 AND t.y + 1 AND s.x BETWEEN t.x - 1 AND t.x + 1 GROUP BY t.image_id, t.y, t.x""", lambda p, f=f"morph_{_name}": getattr(focal, f)(p, "square", 3))
+_GRAD = """, g AS MATERIALIZED (SELECT t.image_id, t.y, t.x, (e.v - w.v) / (e.x - w.x)::DOUBLE AS gx, (s.v - n.v) / (s.y - n.y)::DOUBLE AS gy FROM {t} t
+  JOIN {t} e ON e.image_id = t.image_id AND e.y = t.y AND e.x = least(t.x + 1, 63) JOIN {t} w ON w.image_id = t.image_id AND w.y = t.y AND w.x = greatest(t.x - 1, 0)
+  JOIN {t} s ON s.image_id = t.image_id AND s.x = t.x AND s.y = least(t.y + 1, 63) JOIN {t} n ON n.image_id = t.image_id AND n.x = t.x AND n.y = greatest(t.y - 1, 0))"""
+register("gradient", "luma", _GRAD.format(t="lumas") + " SELECT image_id, y, x, round(gx, 6) AS gx, round(gy, 6) AS gy, round(sqrt(gx * gx + gy * gy), 6) AS magnitude FROM g", lambda p: focal.gradient(p))
+register("sobel", "luma", f"{_near(1, 'shrink')}, z AS (SELECT image_id, y, x, any_value(own) AS own, count(*) AS n, sum(v * dx * (2 - abs(dy))) AS gx, sum(v * dy * (2 - abs(dx))) AS gy FROM near GROUP BY image_id, y, x) SELECT image_id, y, x, CAST(CASE WHEN n = 9 THEN abs(gx) + abs(gy) ELSE own END AS INT) AS v FROM z", lambda p: focal.sobel(p))
+register("edge_sketch", "luma", _GRAD.format(t="lumas") + " SELECT image_id, y, x, round(255 - least(2 * sqrt(gx * gx + gy * gy), 255), 6) AS v FROM g", lambda p: focal.edge_sketch(p, 2.0))
+register("charcoal", "luma", None, lambda p: focal.charcoal(p, 30.0))
+register("mode_filter", "cells", """, m AS (SELECT t.image_id, t.y, t.x, u.ch, u.v, count(*) AS n FROM cells t JOIN (UNPIVOT (SELECT image_id, y, x, r, g, b FROM cells) ON r, g, b INTO NAME ch VALUE v) u
+  ON u.image_id = t.image_id AND u.y BETWEEN t.y AND t.y + 2 AND u.x BETWEEN t.x AND t.x + 2 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x, ch ORDER BY n DESC, v DESC) AS i FROM m)
+SELECT image_id, y, x, max(v) FILTER (ch = 'r') AS r, max(v) FILTER (ch = 'g') AS g, max(v) FILTER (ch = 'b') AS b FROM k WHERE i = 1 GROUP BY image_id, y, x""", lambda c: focal.mode_filter(c, 3))
+_GW = f"exp(-(dy * dy + dx * dx) / 2.0::DOUBLE) / pow({'+'.join(f'exp(-{i * i} / 2.0::DOUBLE)' for i in range(-2, 3))}, 2)"
+register("gaussian_blur", "luma", f"{_near(2, 'clamp')} SELECT image_id, y, x, round(sum(v * {_GW}), 6) AS v FROM near GROUP BY image_id, y, x", lambda p: focal.gaussian_blur(p, 1.0, 2))
+register("structure_tensor", "luma", _GRAD.format(t="lumas") + f""", n AS (SELECT t.image_id, t.y, t.x, sum(s.gx * s.gx * {_GW}) AS a, sum(s.gy * s.gy * {_GW}) AS b, sum(s.gx * s.gy * {_GW}) AS c
+  FROM g t CROSS JOIN range(-2, 3) dyy(dy) CROSS JOIN range(-2, 3) dxx(dx) JOIN g s ON s.image_id = t.image_id AND s.y = least(greatest(t.y + dy, 0), 63) AND s.x = least(greatest(t.x + dx, 0), 63) GROUP BY t.image_id, t.y, t.x)
+SELECT image_id, y, x, round((a + b + sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l1, round((a + b - sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l2 FROM n""",
+         lambda p: focal.structure_tensor(p).select(*KEY, F.round("l1", 4).alias("l1"), F.round("l2", 4).alias("l2")))
+register("pyramid_level", "luma", ", m AS (SELECT image_id, y // 2 AS py, x // 2 AS px, avg(v) AS m FROM lumas GROUP BY ALL) SELECT image_id, y, x, round(v - m, 6) AS v FROM lumas l JOIN m USING (image_id) WHERE py = y // 2 AND px = x // 2", lambda p: focal.pyramid(p, 1)[0])
+register("pyramid_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.reconstruct(focal.pyramid(p, 3)).select(*KEY, F.round("v").cast("int").alias("v")))
+register("error_diffusion", "luma", """, RECURSIVE_PLACEHOLDER""", lambda p: focal.error_diffusion(p))
+SQL["error_diffusion"] = CELLS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, f AS (
+  SELECT image_id, y, x, CASE WHEN v >= 128 THEN 255 ELSE 0 END AS v, (v - CASE WHEN v >= 128 THEN 255 ELSE 0 END) * 7 / 16.0::DOUBLE AS e FROM lumas WHERE x = 0
+  UNION ALL
+  SELECT l.image_id, l.y, l.x, CASE WHEN l.v + e >= 128 THEN 255 ELSE 0 END, (l.v + e - CASE WHEN l.v + e >= 128 THEN 255 ELSE 0 END) * 7 / 16.0::DOUBLE FROM f JOIN lumas l ON l.image_id = f.image_id AND l.y = f.y AND l.x = f.x + 1)
+SELECT image_id, y, x, v FROM f"""
+register("dct_blocks", "luma", """, b AS (SELECT k.v AS k, i.v AS i, CASE WHEN k.v = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos(pi() * (2 * i.v + 1) * k.v / 16) AS w FROM range(8) k(v), range(8) i(v))
+SELECT image_id, y // 8 * 8 + p.k AS y, x // 8 * 8 + q.k AS x, round(sum(v * p.w * q.w), 4) AS v FROM lumas JOIN b p ON p.i = y % 8 JOIN b q ON q.i = x % 8 GROUP BY image_id, y // 8 * 8 + p.k, x // 8 * 8 + q.k""",
+         lambda p: focal.dct_blocks(p, 8).select(*KEY, F.round("v", 4).alias("v")))
+register("dct_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.dct_blocks(focal.dct_blocks(p, 8), 8, inverse=True).select(*KEY, F.round("v").cast("int").alias("v")))
