@@ -1,0 +1,93 @@
+"""Models on held-out rows, the pipeline's contract, and edge cases."""
+
+import numpy as np
+import pyarrow as pa
+
+import corpus_pipeline
+from gridwright.llm import quality, secrets
+
+
+def test_quality_on_held_out_rows(spark, sf01):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf01}/labels.parquet").collect()}
+    rows = quality.op2_quality(spark, sf01).collect()
+    assert len(rows) == spark.read.parquet(f"{sf01}/documents.parquet").count()
+    right = [r.predicted == labels[r.doc_id] for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean(right) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+def test_quality_of_edges(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "word " * 30_000, 1), (None, "a b", 1), (3, "word " * 30_000, 1)], "doc_id long, text string, score int")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.scored(docs, quality.fit(docs, none)).collect()
+    assert len(got) == 5 and {r.score for r in got} == {0.5}
+    odd = spark.createDataFrame([(1, None), (2, 1), (2, 0), (9, 1), (None, 1), (3, 0)], "doc_id long, quality int")
+    kept = quality.kept_only(docs, odd)
+    assert kept.columns == docs.columns
+    assert quality.kept_only(docs.limit(0), odd).count() == 0
+
+
+def test_pairs_model_what_tables_alone_cannot():
+    rng = np.random.default_rng(0)
+    x = np.zeros((4000, len(quality.FEATURES)))
+    x[:, :2] = rng.normal(size=(4000, 2))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.Additive(x[:3000], y[:3000])
+    assert (((model(x[3000:]) > 0.5) == y[3000:]).mean()) > 0.85
+
+
+def test_features_depend_on_the_text_alone():
+    texts = ["THE CAT!! SAT!!", "a | b | c", None, "plain words. here", "x" * 3_000_000]
+    both = quality.features(pa.array(texts, pa.string()))
+    each = np.concatenate([quality.features(pa.array([t], pa.string())) for t in texts])
+    assert np.allclose(both, each)
+
+
+def test_forest_on_unseen_findings():
+    pairs = secrets.Pairs({})
+    train, test = secrets.made_findings(3000, seed=1), secrets.made_findings(1500, seed=2)
+    x, y = (np.array([secrets.features(*r[:4], pairs) for r in rows]) for rows in (train, test))
+    trees = [secrets._grow(x, np.array([r[4] for r in train], dtype=float), i) for i in range(24)]
+    scores, want = secrets.Forest(trees, pairs)(y), np.array([r[4] for r in test])
+    assert ((scores >= 0.5) == want).mean() > 0.97
+
+
+def test_secrets_are_found_and_masked(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [
+        (1, f'über token = "{key}" end', "src0"), (2, "card 9807915762804490 number", "src1"), (3, f"commit {key} fixes it", "src1"), (4, None, None), (5, "", "src2"),
+        (6, "w " * 60_000 + f'api_key: "{key}"', "src2"), (6, "w " * 60_000 + f'api_key: "{key}"', "src2"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 0) for r in rows], "doc_id long, text string, source string, n_chars long, new int")
+    model = secrets.fit(docs)
+    found = secrets.scan(docs, model).where("is_secret").collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.stop]) for r in found) == [(1, key), (6, key), (6, key)]
+    assert all(key not in str(r) for r in found)
+    out = secrets.redacted(docs, model)
+    assert out.dtypes == docs.dtypes and out.count() == len(rows)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == 'über token = "[SECRET]" end' and got[1].n_chars == len(got[1].text)
+    assert got[2].text == rows[1][1] and got[3].text == rows[2][1] and got[4].text is None
+    assert secrets.scan(docs.limit(0), model).count() == 0 and secrets.redacted(docs.limit(0), model).count() == 0
+
+
+def test_worth_reading_misses_no_candidate():
+    texts = ["a" * 15 + "1", "x" * 14 + "1", "pwd=abcdef", "token: abcdef", "eyJhbGciOiJ.eyJzdWIiOiIx.abcd12", "é" * 20, "", "tail", "1" * 16]
+    flags = secrets._worth_reading(pa.array(texts))
+    for t, f in zip(texts, flags, strict=True):
+        assert f or not secrets.candidates(t)
+
+
+def test_pipeline_keeps_contracts(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf001)
+        assert sorted(out.dtypes) == sorted(docs.dtypes), name
+        if name == "near_dedup":
+            assert out.count() == out.select("doc_id").distinct().count() <= before
+        docs = out
+    pieces = corpus_pipeline.run(spark, sf001)
+    rows = pieces.collect()
+    assert rows and sum(r.length for r in rows) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in rows}.values())
