@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tables
-from .operators import focal, geometry, local, stats
+from .operators import focal, geometry, graph, local, nearest, stats, zonal
 from .plans.focal import tile_with_halo, untile
 from .sources import cells as src
 from .sources.cells import CELLS_SQL, KEY
+from .streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -228,3 +229,97 @@ register("dct_blocks", "luma", """, b AS (SELECT k.v AS k, i.v AS i, CASE WHEN k
 SELECT image_id, y // 8 * 8 + p.k AS y, x // 8 * 8 + q.k AS x, round(sum(v * p.w * q.w), 4) AS v FROM lumas JOIN b p ON p.i = y % 8 JOIN b q ON q.i = x % 8 GROUP BY image_id, y // 8 * 8 + p.k, x // 8 * 8 + q.k""",
          lambda p: focal.dct_blocks(p, 8).select(*KEY, F.round("v", 4).alias("v")))
 register("dct_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.dct_blocks(focal.dct_blocks(p, 8), 8, inverse=True).select(*KEY, F.round("v").cast("int").alias("v")))
+
+# --- zones --------------------------------------------------------------------------------------
+def _every(cells: DataFrame, n: int = 97, seed: int = 9) -> DataFrame:
+    return zonal.hashed_seeds(cells, n, seed)
+
+
+_LABELS = ", labels AS MATERIALIZED (SELECT image_id, y, x, v // 64 AS label, v FROM lumas)"
+
+
+def _labels(planes: DataFrame) -> DataFrame:
+    return planes.select(*KEY, F.floor(F.col("v") / 64).alias("label"))
+
+
+_SEEDS = f", seeds AS MATERIALIZED (SELECT image_id, y * 4096 + x AS seed_id, y, x FROM cells WHERE ((({_NOISE.format(k=0, s=9)})) * 256 + ({_NOISE.format(k=1, s=9)})) % 97 = 0)"
+register("grid_seeds", "cells", "SELECT image_id, (y - 8) // 16 * 4 + (x - 8) // 16 AS label, y, x, r, g, b FROM cells WHERE y % 16 = 8 AND x % 16 = 8", lambda c: zonal.grid_seeds(c, 16))
+register("perturb_seeds", "cells", _GRAD.format(t="lumas") + """, n AS (SELECT s.image_id, (s.y - 8) // 16 * 4 + (s.x - 8) // 16 AS label, g.y, g.x, row_number() OVER (PARTITION BY s.image_id, s.y, s.x ORDER BY round(sqrt(gx * gx + gy * gy), 9), g.y, g.x) AS i
+  FROM cells s JOIN g ON g.image_id = s.image_id AND g.y BETWEEN s.y - 1 AND s.y + 1 AND g.x BETWEEN s.x - 1 AND s.x + 1 WHERE s.y % 16 = 8 AND s.x % 16 = 8)
+SELECT n.image_id, label, n.y, n.x, r, g, b FROM n JOIN cells c ON c.image_id = n.image_id AND c.y = n.y AND c.x = n.x WHERE i = 1""", lambda c: zonal.perturb_seeds(zonal.grid_seeds(c, 16), c))
+register("superpixels", "cells", None, lambda c: zonal.superpixels(c, 16, 4))
+register("enforce_connectivity", "cells", None, lambda c: zonal.enforce_connectivity(_labels(src.with_luma(c)), 12))
+register("zone_recolor", "cells", f"{_LABELS} SELECT image_id, y, x, label, {_rgb('round(avg($c) OVER (PARTITION BY image_id, label), 6) AS $c')} FROM cells JOIN labels USING (image_id, y, x)", lambda c: zonal.zone_recolor(c, _labels(src.with_luma(c))))
+register("zone_borders", "luma", f"{_LABELS} SELECT t.image_id, t.y, t.x, CAST(bool_or(s.label <> t.label) AS INT) AS border FROM labels t JOIN labels s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x IN (t.x, t.x + 1)) OR (s.x = t.x AND s.y = t.y + 1)) GROUP BY t.image_id, t.y, t.x", lambda p: zonal.zone_borders(_labels(p)))
+register("neighbour_zones", "luma", f"{_LABELS} SELECT t.image_id, least(t.label, s.label) AS a, greatest(t.label, s.label) AS b, count(*) AS n FROM labels t JOIN labels s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x = t.x + 1) OR (s.x = t.x AND s.y = t.y + 1)) WHERE s.label <> t.label GROUP BY ALL", lambda p: zonal.neighbour_zones(_labels(p)))
+register("label_windows", "luma", f"{_LABELS} SELECT image_id, label, count(*) AS n, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM labels GROUP BY ALL", lambda p: zonal.label_windows(_labels(p)))
+_PALETTE = "(VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(tables.CGA16)) + ") p(idx, pr, pg, pb)"
+register("nearest_palette", "cells", f""", n AS (SELECT c.image_id, c.y, c.x, idx, pr, pg, pb, row_number() OVER (PARTITION BY image_id, y, x ORDER BY 30 * pow(r - pr, 2) + 59 * pow(g - pg, 2) + 11 * pow(b - pb, 2), idx) AS i FROM cells c CROSS JOIN {_PALETTE})
+SELECT image_id, y, x, idx, pr AS r, pg AS g, pb AS b FROM n WHERE i = 1""", lambda c: zonal.nearest_palette(c, tables.palette(c.sparkSession, "cga16")))
+register("two_color_mix", "cells", None, lambda c: zonal.two_color_mix(c, tables.palette(c.sparkSession, "cga16")))
+register("quadtree", "luma", """, n AS (SELECT image_id, d.v AS depth, CAST(y // (64 >> d.v) AS BIGINT) AS qy, CAST(x // (64 >> d.v) AS BIGINT) AS qx, CAST(sum(lumas.v) AS BIGINT) AS mass FROM lumas CROSS JOIN (SELECT CAST(range AS INT) AS v FROM range(5)) d GROUP BY ALL),
+t AS (SELECT n.*, NOT (mass > 4000 AND depth < 4) AS is_leaf FROM n)
+SELECT * FROM t WHERE depth = 0 OR NOT EXISTS (SELECT 1 FROM t p WHERE p.image_id = t.image_id AND p.is_leaf AND p.depth < t.depth AND p.qy = t.qy >> (t.depth - p.depth) AND p.qx = t.qx >> (t.depth - p.depth))""",
+         lambda p: zonal.quadtree(p.withColumnRenamed("v", "m"), 4000))
+register("stratified_seeds", "luma", None, lambda p: zonal.stratified_seeds(zonal.quadtree(p.withColumnRenamed("v", "m"), 4000), 200, 3))
+register("voronoi_assign", "cells", f"{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, seed_id, pow(c.y - s.y, 2) + pow(c.x - s.x, 2) AS d2 FROM cells c JOIN seeds s ON s.image_id = c.image_id) SELECT image_id, y, x, arg_min(seed_id, d2 * 1e9 + seed_id) AS seed_id, CAST(min(d2) AS BIGINT) AS d2 FROM n GROUP BY image_id, y, x",
+         lambda c: zonal.voronoi_assign(c, _every(c)))
+register("lloyd_relax", "luma", f"""{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, any_value(c.v) AS m, arg_min(seed_id, (pow(c.y - s.y, 2) + pow(c.x - s.x, 2)) * 1e9 + seed_id) AS seed_id FROM lumas c JOIN seeds s ON s.image_id = c.image_id GROUP BY c.image_id, c.y, c.x),
+w AS (SELECT image_id, seed_id, sum(m) AS m, sum(y * m) AS sy, sum(x * m) AS sx FROM n GROUP BY ALL)
+SELECT s.image_id, s.seed_id, CAST(CASE WHEN m > 0 THEN sy // m ELSE y END AS BIGINT) AS y, CAST(CASE WHEN m > 0 THEN sx // m ELSE x END AS BIGINT) AS x FROM seeds s LEFT JOIN w USING (image_id, seed_id)""",
+         lambda p: zonal.lloyd_relax(p.withColumnRenamed("v", "m"), _every(p)))
+register("connected_components", "luma", None, lambda p: zonal.connected_components(_labels(p)))
+SQL["connected_components"] = CELLS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f"""{_LABELS},
+reach AS (SELECT image_id, y, x, label, y * 2147483648 + x AS part FROM labels
+  UNION SELECT s.image_id, s.y, s.x, s.label, least(r.part, s.y * 2147483648 + s.x) FROM reach r JOIN labels s ON s.image_id = r.image_id AND s.label = r.label AND abs(s.y - r.y) + abs(s.x - r.x) = 1 WHERE r.part < s.y * 2147483648 + s.x)
+SELECT image_id, y, x, label, min(part) AS part FROM reach GROUP BY ALL"""
+
+# --- graphs and patches -------------------------------------------------------------------------
+_EDGES = ", edges AS MATERIALIZED (SELECT t.image_id, t.y * 4096 + t.x AS src, s.y * 4096 + s.x AS dst FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x = t.x + 1) OR (s.x = t.x AND s.y = t.y + 1)) WHERE abs(s.v - t.v) <= 40), both_ways AS MATERIALIZED (SELECT image_id, src, dst FROM edges UNION ALL SELECT image_id, dst, src FROM edges)"
+
+
+def _nodes(planes: DataFrame) -> DataFrame:
+    return planes.select("image_id", (F.col("y") * 4096 + F.col("x")).alias("node"), "v")
+
+
+register("grid_edges", "luma", f"{_EDGES} SELECT * FROM edges", lambda p: graph.grid_edges(p, 40))
+for _what, _fn, _pick in (("erode", "min", "least"), ("dilate", "max", "greatest")):
+    register(f"graph_{_what}", "luma", f"{_EDGES}, v AS (SELECT image_id, y * 4096 + x AS node, v FROM lumas) SELECT v.image_id, v.node, {_pick}(any_value(v.v), coalesce({_fn}(w.v), any_value(v.v))) AS v FROM v LEFT JOIN both_ways e ON e.image_id = v.image_id AND e.src = v.node LEFT JOIN v w ON w.image_id = e.image_id AND w.node = e.dst GROUP BY v.image_id, v.node",
+             lambda p, f=f"graph_{_what}": getattr(graph, f)(_nodes(p), graph.grid_edges(p, 40)))
+register("graph_asf", "luma", None, lambda p: graph.graph_asf(_nodes(p), graph.grid_edges(p, 40), 1))
+register("cocircular_edges", "luma", None, lambda p: graph.cocircular_edges(focal.structure_tensor(p), 2, 30.0, 30.0))
+register("extract_patches", "luma", f""", n AS (SELECT t.image_id, t.y AS py, t.x AS px, s.v, s.y, s.x FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y % 4 = 0 AND t.x % 4 = 0)
+SELECT image_id, py, px, string_agg(v, ',' ORDER BY y, x) AS vec FROM n GROUP BY ALL HAVING count(*) = 16""".replace("GROUP BY ALL HAVING", "GROUP BY image_id, py, px HAVING"), lambda p: graph.extract_patches(p, 4, 4).select("image_id", "py", "px", F.array_join("vec", ",").alias("vec")))
+register("block_match", "luma", """, p AS MATERIALIZED (SELECT t.image_id, t.y AS py, t.x AS px, s.y - t.y AS dy, s.x - t.x AS dx, s.v FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y <= 60 AND t.x <= 60),
+d AS (SELECT a.image_id, a.py, a.px, b.py AS my, b.px AS mx, CAST(sum((a.v - b.v) * (a.v - b.v)) AS DOUBLE) AS d FROM p a JOIN p b ON b.image_id = a.image_id AND b.dy = a.dy AND b.dx = a.dx AND abs(b.py - a.py) <= 2 AND abs(b.px - a.px) <= 2 WHERE a.py % 16 = 0 AND a.px % 16 = 0 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, py, px ORDER BY (my <> py OR mx <> px), d, my, mx) AS INT) AS rank FROM d),
+t AS (SELECT *, max(d) FILTER (rank <= 8) OVER (PARTITION BY image_id, py, px) AS top FROM r WHERE rank <= 12)
+SELECT image_id, py, px, my, mx, d, rank FROM t WHERE d <= top""", lambda p: graph.block_match(graph.extract_patches(p, 4), 2, 12, rank=8, step=16))
+register("aggregate_patches", "luma", "SELECT image_id, y, x, CAST(v AS DOUBLE) AS v FROM lumas", lambda p: graph.aggregate_patches(graph.extract_patches(p, 4, 2), 4))
+
+# --- nearest ------------------------------------------------------------------------------------
+register("interp_lut", "luma", """, k AS (SELECT image_id, x, v FROM lumas WHERE y = 0 AND x % 7 = 3), q AS (SELECT image_id, x FROM lumas WHERE y = 0),
+b AS (SELECT q.*, (SELECT max(x) FROM k WHERE k.image_id = q.image_id AND k.x <= q.x) AS l, (SELECT min(x) FROM k WHERE k.image_id = q.image_id AND k.x >= q.x) AS r FROM q),
+c AS (SELECT image_id, x, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b)
+SELECT c.image_id, c.x, round(CASE WHEN l = r THEN m.v ELSE m.v + (n.v - m.v) * (c.x - l) / (r - l)::DOUBLE END, 6) AS v FROM c JOIN k m ON m.image_id = c.image_id AND m.x = l JOIN k n ON n.image_id = c.image_id AND n.x = r""",
+         lambda p: nearest.interp_lut(p.where("y = 0").select("image_id", "x"), p.where("y = 0 and x % 7 = 3").select("image_id", "x", "v"), ["image_id"]))
+register("nearest_cct", "cells", None, lambda c: nearest.nearest_cct(nearest.image_uv(c), nearest.kelvin_chromaticity(c.sparkSession)))
+register("white_balance", "cells", None, lambda c: nearest.white_balance(c, 4))
+
+# --- frames in time -----------------------------------------------------------------------------
+_FRAMES = "WITH f AS (SELECT ts, user_id % 8 AS stream_id, event_type AS channel, CAST(least(floor(value / 2), 255) AS INT) AS value FROM events)\n"
+
+
+def _register_frames(name: str, sql: str | None, fn: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: fn(frames.frame_events(spark, f"{sf_dir}/events.parquet"))
+    if sql:
+        SQL[name] = _FRAMES + sql
+
+
+_register_frames("frames_local", "SELECT ts, stream_id, channel, CASE WHEN value > 90 THEN 255 ELSE 0 END AS value FROM f", lambda f: frames.stream_local(f))
+_register_frames("frames_histogram", "SELECT date_trunc('hour', ts) AS start, channel, value AS bin, count(*) AS n FROM f GROUP BY ALL", lambda f: frames.stream_histogram(f))
+_register_frames("frames_stats", "SELECT date_trunc('hour', ts) AS start, stream_id, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM f GROUP BY ALL", lambda f: frames.stream_frame_stats(f))
+_register_frames("frames_sessions", """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY stream_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS stop, stream_id, count(*) AS n FROM s GROUP BY stream_id, k""", lambda f: frames.stream_sessions(f))
+_register_frames("frames_deflicker", None, lambda f: frames.deflicker_batch(frames.stream_frame_stats(f)))
