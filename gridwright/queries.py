@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tables
-from .operators import focal, geometry, graph, local, nearest, stats, zonal
+from .operators import denoise, focal, geometry, graph, local, nearest, segment, stats, zonal
 from .plans.focal import tile_with_halo, untile
 from .sources import cells as src
 from .sources.cells import CELLS_SQL, KEY
@@ -323,3 +323,12 @@ _register_frames("frames_sessions", """, g AS (SELECT *, CASE WHEN ts - lag(ts)
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS stop, stream_id, count(*) AS n FROM s GROUP BY stream_id, k""", lambda f: frames.stream_sessions(f))
 _register_frames("frames_deflicker", None, lambda f: frames.deflicker_batch(frames.stream_frame_stats(f)))
+
+# --- models on patches and small tables ---------------------------------------------------------
+register("noise_profile", "luma", None, lambda p: denoise.noise_profile(p))
+register("noise_covariance", "luma", None, lambda p: denoise.noise_covariance(denoise.noise_profile(p)))
+register("nl_bayes_denoise", "luma", None, lambda p: denoise.nl_bayes_denoise(p, step=4, radius=4, k=32))
+register("hist_segment", "cells", None, lambda c: segment.hist_segment(stats.dense(stats.luma_histogram(c))))
+register("posterize", "cells", None, lambda c: segment.posterize(c))
+register("spectrum_2d", "luma", None, lambda p: segment.spectrum_2d(p))
+register("pca_illuminant", "cells", None, lambda c: segment.pca_illuminant(c))

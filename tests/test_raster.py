@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import tables
-from gridwright.operators import focal, geometry, graph, local, nearest, stats, zonal
+from gridwright.operators import denoise, focal, geometry, graph, local, nearest, segment, stats, zonal
 from gridwright.plans.focal import focal_udf, pushed, tiled
 from gridwright.sources import cells as src
 from gridwright.sources.cells import KEY
@@ -216,3 +216,27 @@ def test_color_round_trips(spark):
     assert np.allclose(grid(local.lab_to_rgb(local.rgb_to_lab(c)), "g"), NOISE, atol=0.05)
     assert np.allclose(grid(local.to_srgb(local.to_linear(c)), "b"), NOISE, atol=0.05)
     assert np.allclose(grid(local.adjust_cmyk(c, 0, 0, 0, 0), "r"), NOISE)
+
+
+def test_denoising_reduces_noise(spark):
+    rng = np.random.default_rng(6)
+    clean = np.add.outer(np.arange(32) * 3, np.arange(32) * 2) + 20
+    noisy = np.clip(np.round(clean + rng.normal(0, 8, clean.shape)), 0, 255)
+    profile = denoise.noise_profile(plane(spark, noisy), share=0.2)
+    std = np.mean([r["std"] for r in profile.where("k > 0").collect()])
+    assert 3 < std < 16
+    out = grid(denoise.nl_bayes_denoise(plane(spark, noisy), step=2, radius=4, k=40))
+    assert np.abs(out - clean).mean() < 0.75 * np.abs(noisy - clean).mean()
+
+
+def test_models_on_small_tables(spark):
+    two = np.concatenate([np.random.default_rng(1).normal(60, 8, 400), np.random.default_rng(2).normal(190, 8, 400)]).clip(0, 255).astype(int).reshape(20, 40)
+    parts = segment.hist_segment(stats.dense(stats.luma_histogram(color(spark, two)))).orderBy("segment").collect()
+    assert parts[0].lo == 0 and parts[-1].hi == 255 and any(80 < p.hi < 170 for p in parts[:-1]) and len(parts) <= 4
+    assert grid(segment.posterize(color(spark, two)), "r").shape == two.shape
+    waves = np.tile((128 + 100 * np.cos(2 * np.pi * 4 * np.arange(16) / 16)).round(), (16, 1))
+    power = {r.ring: r.power for r in segment.spectrum_2d(plane(spark, waves)).collect()}
+    assert max((p, k) for k, p in power.items() if k > 0)[1] == 4
+    cast = plane(spark, np.random.default_rng(3).integers(60, 200, (12, 12))).select(*KEY, F.col("v").alias("r"), (F.col("v") * 0.9).cast("int").alias("g"), (F.col("v") * 0.7).cast("int").alias("b"), F.lit(255).alias("a"))
+    e = segment.pca_illuminant(cast).first()
+    assert e.ok and e.er > e.eg > e.eb
