@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.focal import tile_with_halo
+from ..plans.iterate import saved
 from ..sources.cells import KEY
 from .focal import dct_basis
 from .graph import aggregate_patches, block_match, extract_patches
@@ -20,36 +22,64 @@ CELLS_A_BIN, MOST_BINS = 42_000, 64
 PLACE = ["image_id", "py", "px"]
 
 
-def patch_dct(patches: DataFrame) -> DataFrame:
-    """patches with f (16 frequencies of a 4 x 4 patch, row by row) and mean: two passes of four-term sums."""
-    d = dct_basis(4)
-    rows = [sum((d[k][i] * F.get("vec", F.lit(4 * i + j)) for i in range(1, 4)), d[k][0] * F.get("vec", F.lit(j))) for k in range(4) for j in range(4)]
-    step = patches.select(*patches.columns, F.array(*rows).alias("half"))
-    both = [sum((d[m][j] * F.get("half", F.lit(4 * k + j)) for j in range(1, 4)), d[m][0] * F.get("half", F.lit(4 * k))) for k in range(4) for m in range(4)]
-    return step.select(*patches.columns, F.array(*both).alias("f"), (both[0] / 4).alias("mean"))
+def sparse_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differences weighted by the larger coefficient, the four largest differences left out; over the last axis."""
+    d = np.abs(a - b)
+    least = np.argpartition(d, 11, axis=-1)[..., :12]
+    return np.take_along_axis(d * np.maximum(np.abs(a), np.abs(b)), least, axis=-1).sum(-1)
 
 
-def sparse_distance(a: str, b: str):
-    """Differences weighted by the larger coefficient, the four largest differences left out."""
-    parts = F.zip_with(a, b, lambda x, y: F.struct(F.abs(x - y).alias("d"), (F.abs(x - y) * F.greatest(F.abs(x), F.abs(y))).alias("p")))
-    return F.aggregate(F.slice(F.array_sort(parts), 1, 12), F.lit(0.0), lambda acc, s: acc + s["p"])
+def self_similar(planes: DataFrame, near: int = 4, far: int = 13, size: int = 32) -> DataFrame:
+    """image_id, py, px, f, mean, d: 4 x 4 blocks, their frequencies, and the least distance to a block near..far away on both axes.
 
+    A radius of 16 is for haloed tiles: a tile's blocks and all they are compared with lie in one array.
+    Flat corners mark artificial blocks, which are left out.
+    """
+    d = np.array(dct_basis(4))
 
-def noise_profile(planes: DataFrame, share: float = 0.005, near: int = 4, far: int = 13) -> DataFrame:
-    """image_id, bin, level, k, std: noise of 16 frequencies at each intensity, from the most self-similar blocks.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for image, ty, tx, cells in zip(part["image_id"], part["ty"], part["tx"], part["cells"], strict=True):
+                yx = np.array([(c["y"], c["x"]) for c in cells])
+                y0, x0 = yx.min(0)
+                grid = np.zeros(yx.max(0) - (y0, x0) + 1)
+                grid[yx[:, 0] - y0, yx[:, 1] - x0] = [c["v"] for c in cells]
+                if min(grid.shape) < 4:
+                    continue
+                view = np.lib.stride_tricks.sliding_window_view(grid, (4, 4))
+                f = np.einsum("ki,yxij,mj->yxkm", d, view, d).reshape(*view.shape[:2], 16)
+                v = view.reshape(*view.shape[:2], 16)
+                good = ~((np.abs(v[..., 0] - v[..., 1]) < 0.001) & (np.abs(v[..., 1] - v[..., 4]) < 0.001) & (np.abs(v[..., 4] - v[..., 5]) < 0.001))
+                h, w = good.shape
+                ys, xs = np.arange(h) + y0, np.arange(w) + x0
+                oy, ox = np.flatnonzero(ys // size == ty), np.flatnonzero(xs // size == tx)
+                if not len(oy) or not len(ox):
+                    continue
+                top, left = oy[0], ox[0]
+                own = f[top : top + len(oy), left : left + len(ox)]
+                best = np.full(own.shape[:2], np.inf)
+                for dy in range(near, far + 1):
+                    for dx in range(near, far + 1):
+                        other = f[top + dy : top + dy + len(oy), left + dx : left + dx + len(ox)]
+                        n, m = other.shape[:2]
+                        if n and m:
+                            found = np.where(good[top + dy : top + dy + n, left + dx : left + dx + m], sparse_distance(own[:n, :m], other), np.inf)
+                            best[:n, :m] = np.minimum(best[:n, :m], found)
+                keep = good[top : top + len(oy), left : left + len(ox)] & np.isfinite(best)
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({"image_id": image, "py": ys[oy][i], "px": xs[ox][j], "f": list(own[i, j]), "mean": own[i, j, 0] / 4, "d": best[i, j].round(6)})
+
+    return tile_with_halo(planes, size, far + 3, "shrink").mapInPandas(run, "image_id long, py long, px long, f array<double>, mean double, d double")
 
-    A block's self-similarity is its least sparse distance to blocks near..far away on both axes. Flat
-    corners mark artificial blocks, which are left out.
-    """
-    flat = (F.abs(F.get("vec", F.lit(0)) - F.get("vec", F.lit(1))) < 0.001) & (F.abs(F.get("vec", F.lit(1)) - F.get("vec", F.lit(4))) < 0.001) & (F.abs(F.get("vec", F.lit(4)) - F.get("vec", F.lit(5))) < 0.001)
-    blocks = patch_dct(extract_patches(planes, 4)).where(~flat).select(*PLACE, "f", "mean")
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(near, far + 1) for dx in range(near, far + 1)])
-    asks = blocks.select(*PLACE, F.col("f").alias("g"), F.explode(offsets).alias("o")).select("image_id", F.col("py").alias("ry"), F.col("px").alias("rx"), "g", (F.col("py") + F.col("o.dy")).alias("py"), (F.col("px") + F.col("o.dx")).alias("px"))
-    alike = asks.join(blocks.select(*PLACE, "f"), PLACE).groupBy("image_id", F.col("ry").alias("py"), F.col("rx").alias("px")).agg(F.min(F.round(sparse_distance("f", "g"), 6)).alias("d"))
+
+def noise_profile(planes: DataFrame, share: float = 0.005, near: int = 4, far: int = 13) -> DataFrame:
+    """image_id, bin, level, k, std: noise of 16 frequencies at each intensity, from the most self-similar blocks."""
+    blocks = self_similar(planes, near, far)
     size = planes.groupBy("image_id").agg(F.least(F.greatest(F.floor(F.count("*") / CELLS_A_BIN), F.lit(1)), F.lit(MOST_BINS)).alias("bins"))
+    blocks = saved(blocks)
     span = blocks.groupBy("image_id").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     at = F.least(F.floor((F.col("mean") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)) * F.col("bins")), F.col("bins") - 1)
-    placed = blocks.join(alike, PLACE).join(size, "image_id").join(span, "image_id").select(*PLACE, "f", "mean", "d", at.alias("bin"))
+    placed = blocks.join(size, "image_id").join(span, "image_id").select(*PLACE, "f", "mean", "d", at.alias("bin"))
     counts = placed.groupBy("image_id", "bin").agg(F.least(F.greatest(F.floor(F.count("*") * share), F.lit(1)), F.lit(4000)).alias("keep"))
     rank = F.row_number().over(W.partitionBy("image_id", "bin").orderBy("d", "py", "px"))
     best = placed.withColumn("rank", rank).join(counts, ["image_id", "bin"]).where(F.col("rank") <= F.col("keep"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,12 +56,43 @@ def white_balance(cells: DataFrame, rounds: int = 16, threshold: float = 0.3, il
     return done
 
 
-def kelvin_chromaticity(spark, low: int = 2000, high: int = 12000, step: int = 50) -> DataFrame:
-    """cct, u, v: the Planckian locus in CIE 1960 coordinates by a rational approximation (1000 to 15000 K)."""
-    t = F.col("cct").cast("double")
-    u = (0.860117757 + 1.54118254e-4 * t + 1.28641212e-7 * t * t) / (1 + 8.42420235e-4 * t + 7.08145163e-7 * t * t)
-    v = (0.317398726 + 4.22806245e-5 * t + 4.20481691e-8 * t * t) / (1 - 2.89741816e-5 * t + 1.61456053e-7 * t * t)
-    return spark.range(low, high + 1, step).select(F.col("id").alias("cct"), u.alias("u"), v.alias("v"))
+#: Lobes (height, centre, left width, right width) of a published fit of the CIE 1931 curves (fixed values).
+CURVES = {
+    "x": [(1.056, 599.8, 37.9, 31.0), (0.362, 442.0, 16.0, 26.7), (-0.065, 501.1, 20.4, 26.2)],
+    "y": [(0.821, 568.8, 46.9, 40.5), (0.286, 530.9, 16.3, 31.1)],
+    "z": [(1.217, 437.0, 11.8, 36.0), (0.681, 459.0, 26.0, 13.8)],
+}
+#: Second radiation constant in nanometre kelvins.
+C2 = 1.4388e7
+
+
+def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: int = 5) -> DataFrame:
+    """cct, X, Y, Z (Y = 100), u, v: black-body spectra from 380 to 750 nm times the observer's curves, summed by Spark."""
+    wave = F.explode(F.sequence(F.lit(380), F.lit(750), F.lit(nm)))
+    rows = spark.range(low, high + 1, step).select(F.col("id").alias("cct"), wave.alias("w")).withColumn("w", F.col("w").cast("double"))
+    power = F.pow("w", F.lit(-5.0)) * 1e15 / (F.exp(C2 / (F.col("w") * F.col("cct"))) - 1)
+    lobe = lambda h, m, s1, s2: h * F.exp(-0.5 * F.pow((F.col("w") - m) / F.when(F.col("w") < m, s1).otherwise(s2), 2))
+    sums = rows.groupBy("cct").agg(*(F.sum(power * sum((lobe(*p) for p in lobes[1:]), lobe(*lobes[0]))).alias(k) for k, lobes in CURVES.items()))
+    total = F.col("x") + 15 * F.col("y") + 3 * F.col("z")
+    return sums.select("cct", *((F.col(c) * 100 / F.col("y")).alias(c.upper()) for c in "xyz"), (4 * F.col("x") / total).alias("u"), (6 * F.col("y") / total).alias("v"))
+
+
+def planckian_uv(points: DataFrame, lut: DataFrame) -> DataFrame:
+    """points: image_id, cct, duv. The chromaticity at that distance from the locus, along its normal."""
+    w = W.orderBy("cct")
+    tangent = lut.select("cct", F.col("u").alias("lu"), F.col("v").alias("lv"), (F.coalesce(F.lead("u").over(w), "u") - F.coalesce(F.lag("u").over(w), "u")).alias("du"), (F.coalesce(F.lead("v").over(w), "v") - F.coalesce(F.lag("v").over(w), "v")).alias("dv"))
+    size = F.sqrt(F.col("du") * F.col("du") + F.col("dv") * F.col("dv"))
+    # the locus runs to smaller u as it gets hotter: its upper side is the normal (-dv, du) turned to larger v
+    sign = F.when(F.col("du") <= 0, -1.0).otherwise(1.0)
+    return points.join(tangent, "cct").select("image_id", "cct", "duv", (F.col("lu") - sign * F.col("duv") * F.col("dv") / size).alias("u"), (F.col("lv") + sign * F.col("duv") * F.col("du") / size).alias("v"))
+
+
+def shift_temperature(cells: DataFrame, targets: DataFrame, lut: DataFrame, cat: str = "bradford") -> DataFrame:
+    """Each image's mean colour is taken to the locus at its target. targets: image_id, cct. Linear r, g, b come back."""
+    lin = cells.select(*KEY, *(srgb_to_linear(F.col(c) / 255.0).alias(c) for c in "rgb"))
+    sums = lin.groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "rgb"))
+    wanted = sums.join(targets, "image_id").join(lut.select("cct", F.col("X").alias("wx"), F.col("Y").alias("wy"), F.col("Z").alias("wz")), "cct")
+    return stats.apply_row_matrix(lin, stats.adaptation_matrix(wanted, cat=cat, target=("wx", "wy", "wz")))
 
 
 def nearest_cct(points: DataFrame, locus: DataFrame) -> DataFrame:

@@ -124,14 +124,17 @@ def _inverse(m: list[float]) -> list[float]:
     return np.linalg.inv(np.array(m).reshape(3, 3)).reshape(-1).tolist()
 
 
-def adaptation_matrix(estimate: DataFrame, illuminant: str = "d65", cat: str = "cat02") -> DataFrame:
-    """image_id, m0..m8: corrects linear sRGB by diagonal gains in cone space; identity without gray cells."""
+def adaptation_matrix(estimate: DataFrame, illuminant: str = "d65", cat: str = "cat02", target: tuple[str, str, str] | None = None) -> DataFrame:
+    """image_id, m0..m8: corrects linear sRGB by diagonal gains in cone space; identity without gray cells.
+
+    target: columns of estimate with the wanted white as X, Y, Z at Y = 100, instead of an illuminant.
+    """
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     xyz = _linear(tables.SRGB_TO_XYZ, [F.col(f"sum_{c}") / n for c in "rgb"])
     a = tables.ADAPTATION[cat]
-    step = estimate.select("image_id", "n", *(v.alias(k) for v, k in zip(xyz, "XYZ", strict=True)))
+    step = estimate.select("image_id", "n", *(target or ()), *(v.alias(k) for v, k in zip(xyz, "XYZ", strict=True)))
     scaled = [F.col(k) * 100.0 / F.col("Y") for k in "XYZ"]
-    have, want = _linear(a, scaled), _linear(a, [F.lit(v) for v in tables.ILLUMINANTS[illuminant]])
+    have, want = _linear(a, scaled), _linear(a, [F.col(c) for c in target] if target else [F.lit(v) for v in tables.ILLUMINANTS[illuminant]])
     gains = [w / h for w, h in zip(want, have, strict=True)]
     lit = lambda m: [F.lit(float(v)) for v in m]
     left = _matmul(tables.XYZ_TO_SRGB, _inverse(a))

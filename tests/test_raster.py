@@ -240,3 +240,18 @@ def test_models_on_small_tables(spark):
     cast = plane(spark, np.random.default_rng(3).integers(60, 200, (12, 12))).select(*KEY, F.col("v").alias("r"), (F.col("v") * 0.9).cast("int").alias("g"), (F.col("v") * 0.7).cast("int").alias("b"), F.lit(255).alias("a"))
     e = segment.pca_illuminant(cast).first()
     assert e.ok and e.er > e.eg > e.eb
+
+
+def test_colour_temperatures(spark):
+    lut = nearest.cct_lut(spark, 2000, 10000, 50)
+    at = {r.cct: r for r in lut.collect()}
+    # published places on the locus
+    assert abs(at[2850].u - 0.2560) < 0.002 and abs(at[2850].v - 0.3495) < 0.002
+    assert abs(at[6500].u - 0.1979) < 0.003 and abs(at[6500].v - 0.3104) < 0.004
+    points = spark.createDataFrame([(1, 3000, 0.004), (2, 5000, -0.006), (3, 8000, 0.0)], "image_id long, cct long, duv double")
+    back = {r.image_id: r for r in nearest.nearest_cct(nearest.planckian_uv(points, lut).select("image_id", "u", "v"), lut).collect()}
+    for i, cct, duv in ((1, 3000, 0.004), (2, 5000, -0.006), (3, 8000, 0.0)):
+        assert abs(back[i].cct - cct) < 40 and abs(back[i].duv - duv) < 2e-4
+    warm = nearest.shift_temperature(color(spark, NOISE), spark.createDataFrame([(0, 3000)], "image_id long, cct long"), lut)
+    m = warm.agg(F.avg("r"), F.avg("b")).first()
+    assert m[0] > 1.5 * m[1]
