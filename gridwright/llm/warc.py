@@ -12,6 +12,7 @@ itself); an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -157,8 +158,8 @@ def warc_record(stored_payload: bool = True) -> Column:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Plain WARC files: every record ends with two line breaks, which is the writer's separator."""
-    records.select(warc_record().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """WARC files, compressed as a whole: every record ends with two line breaks, which is the writer's separator."""
+    records.select(warc_record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, error string"
@@ -172,7 +173,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for data in batch.column(0):
-                rows = list(_records(data.as_py()))
+                rows = list(_records(gzip.decompress(data.as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
