@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tables
-from .operators import denoise, focal, geometry, graph, local, nearest, segment, stats, zonal
+from .operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, stats, zonal
 from .plans.focal import tile_with_halo, untile
 from .sources import cells as src
 from .sources.cells import CELLS_SQL, KEY
@@ -334,3 +334,8 @@ register("hist_segment", "cells", None, lambda c: segment.hist_segment(stats.den
 register("posterize", "cells", None, lambda c: segment.posterize(c))
 register("spectrum_2d", "luma", None, lambda p: segment.spectrum_2d(p))
 register("pca_illuminant", "cells", None, lambda c: segment.pca_illuminant(c))
+for _space, _pastel in (("hsluv", False), ("hpluv", True)):
+    register(f"to_{_space}", "cells", None, lambda c, p=_pastel: perceptual.to_hsluv(c, p))
+    register(f"{_space}_round_trip", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c, p=_pastel: perceptual.from_hsluv(perceptual.to_hsluv(c, p), p).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
+    register(f"adjust_{_space}", "cells", None, lambda c, p=_pastel: perceptual.adjust_hsluv(c, 30.0, -10.0, 5.0, p))
+register("channel_summary", "cells", "SELECT image_id, count(r) AS n, CAST(sum(r) AS BIGINT) AS total, min(r) AS low, max(r) AS high, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std FROM cells GROUP BY image_id", lambda c: c.groupBy("image_id").agg(perceptual.channel_summary("r").alias("s")).select("image_id", "s.*"))

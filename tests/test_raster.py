@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import tables
-from gridwright.operators import denoise, focal, geometry, graph, local, nearest, segment, stats, zonal
+from gridwright.operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, stats, zonal
 from gridwright.plans.focal import focal_udf, pushed, tiled
 from gridwright.sources import cells as src
 from gridwright.sources.cells import KEY
@@ -255,3 +255,9 @@ def test_colour_temperatures(spark):
     warm = nearest.shift_temperature(color(spark, NOISE), spark.createDataFrame([(0, 3000)], "image_id long, cct long"), lut)
     m = warm.agg(F.avg("r"), F.avg("b")).first()
     assert m[0] > 1.5 * m[1]
+
+
+def test_hsluv_of_known_colours(spark):
+    c = spark.createDataFrame([(0, 0, 0, 255, 0, 0, 255), (0, 0, 1, 255, 255, 255, 255), (0, 0, 2, 0, 0, 0, 255), (0, 0, 3, 0, 0, 255, 255)], "image_id long, y long, x long, r int, g int, b int, a int")
+    got = {r.x: (round(r.h, 2), round(r.s, 2), round(r.l, 2)) for r in perceptual.to_hsluv(c).collect()}
+    assert got[0] == (12.18, 100.0, 53.24) and got[1][1:] == (0.0, 100.0) and got[2][1:] == (0.0, 0.0) and got[3] == (265.87, 100.0, 32.3)
