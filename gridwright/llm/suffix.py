@@ -15,7 +15,10 @@ can matter, and where equal ones meet:
    and rank of the rest, and merged. Then adjacent LENGTH-byte prefixes are compared.
 4. Cuts. A context seen twice repeats as a whole. Spans go back to every occurrence and are joined to texts.
 
-An anchor whose distinct contexts exceed CHUNK bytes (a passage in very many documents) does not meet
+   Before that, contexts go that share with no other of their anchor the SIDE bytes on the left of it or those on
+   the right: a repeated window has one of them.
+
+An anchor whose distinct contexts exceed HEAVY bytes (a passage in very many documents) does not meet
 in one task: its windows are hashed and counted as rows instead, with map-side aggregation.
 
 Cases: null counts as empty; texts under LENGTH bytes stay whole; repeated rows are documents of their
@@ -36,21 +39,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .text import U64, prefix_hash, range_hash, slices, utf8
+from .text import U64, mix, prefix_hash, range_hash, slices, utf8
 
 LENGTH = 200
 GRAM = 64
 SPAN = LENGTH - GRAM + 1
-#: Bytes of contexts whose suffixes are ordered together.
-CHUNK = 1 << 21
+#: Bytes of contexts whose suffixes are ordered together, and of one anchor's contexts at most.
+CHUNK, HEAVY = 1 << 19, 1 << 21
+#: Of the bytes of a window beside its anchor, at least half lie on one side.
+SIDE = (LENGTH - GRAM) // 2
 _NONE = (1 << 63) - 1
 KEY = ("id", "body")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id, body, text: rows that agree in doc_id and text share a name and have equal results."""
+    """id, body, text: rows that agree in doc_id and text share a name and have equal results. The 32 bits of body only tell texts of one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.hash(text).alias("body"), text.alias("text"))
 
 
 def _windows_least(h: np.ndarray) -> np.ndarray:
@@ -66,10 +71,10 @@ def _windows_least(h: np.ndarray) -> np.ndarray:
     return (least & U64((1 << 24) - 1)).astype(np.int64)
 
 
-def anchor_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, first window, last window) of each anchor; windows count within their text."""
+def anchor_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first window, last window, anchor) of each anchor; places count within their text."""
     if len(raw) < LENGTH:
-        return (np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 2)
+        return (np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
     if len(raw) >= 1 << 24:
         raise ValueError("slice too long")
     prefix = prefix_hash(raw)
@@ -83,7 +88,8 @@ def anchor_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p))[: len(first)] - 1
-    return row[first], h[anchor[first]], p[first] - offsets[row[first]], p[last] - offsets[row[first]]
+    base = offsets[row[first]]
+    return row[first], h[anchor[first]], p[first] - base, p[last] - base, anchor[first] - base
 
 
 def _long_slices(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -99,7 +105,7 @@ def _long_slices(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, in
             yield lo, hi, skip, raw[start + skip : start + stop], np.array([0, stop - skip])
 
 
-#: first window and number of windows in one long
+#: first window, bytes from there to the anchor, number of windows in one long: 10 bits each for the last two
 _PLACE = 1 << 20
 
 
@@ -111,53 +117,53 @@ def anchors(docs: DataFrame) -> DataFrame:
             ids, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, offsets = utf8(batch.column(2))
             for lo, _, skip, part, own in _long_slices(raw, offsets):
-                row, h, first, last = anchor_rows(part, own)
-                place = (first + skip) * _PLACE + last - first + 1
+                row, h, first, last, anchor = anchor_rows(part, own)
+                place = (first + skip) * _PLACE + (anchor - first) * 1024 + last - first + 1
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo + row]), pa.array(bodies[lo + row]), pa.array(place)], ["hash", "id", "body", "place"])
 
-    return keyed(docs).mapInArrow(run, "hash long, id long, body long, place long")
+    return keyed(docs).mapInArrow(run, "hash long, id long, body int, place long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """id, body, z: compressed texts, so that a shuffle of them is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        squeeze = zstandard.ZstdCompressor(level=5, write_content_size=True)
         for b in batches:
             texts = b.column(2).cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t.as_py()) for t in texts], pa.binary())], ["id", "body", "z"])
 
-    return keyed(docs).mapInArrow(run, "id long, body long, z binary")
+    return keyed(docs).mapInArrow(run, "id long, body int, z binary")
 
 
-CONTEXT = "hash long, c1 long, c2 long, id long, body long, first long, context binary"
+CONTEXT = "hash long, c long, id long, body int, first long, anchor int, size int, context binary"
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """CONTEXT rows of all repeated anchors; the bytes are there at least once for each name (c1, c2)."""
+    """CONTEXT rows of all repeated anchors; the bytes are there at least once for each name (hash, c): 128 bits together."""
     rows = anchors(docs)
     again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     places = rows.join(again, "hash").groupBy(*KEY).agg(F.collect_set(F.struct("hash", "place")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         expand = zstandard.ZstdDecompressor()
         for b in batches:
             for at in range(len(b)):
                 text, found = expand.decompress(b.column(2)[at].as_py()), b.column(3)[at].values
                 h, place = found.field(0).to_numpy(), found.field(1).to_numpy()
-                first, count = place // _PLACE, place % _PLACE
+                first, lead, count = place // _PLACE, place % _PLACE // 1024, place % 1024
                 cut = [text[a : a + n + LENGTH - 1] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                names = [xxhash.xxh3_128_digest(c) for c in cut]
+                names = [xxhash.xxh3_64_intdigest(c) for c in cut]
                 if len(seen) > 200_000:
                     seen.clear()
                 bodies = []
-                for n, c in zip(names, cut, strict=True):
+                for n, c in zip(zip(h.tolist(), names, strict=True), cut, strict=True):
                     bodies.append(None if n in seen else c)
                     seen.add(n)
-                both = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
-                same = lambda i: np.full(len(h), b.column(i)[at].as_py(), dtype=np.int64)  # noqa: E731,B023
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(same(0)), pa.array(same(1)), pa.array(first), pa.array(bodies, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
+                same = lambda i, k: np.full(len(h), b.column(i)[at].as_py(), dtype=k)  # noqa: E731,B023
+                columns = [h, np.array(names, dtype=U64).view(np.int64), same(0, np.int64), same(1, np.int32), first, lead.astype(np.int32), (count + LENGTH - 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
 
     return packed(docs).join(places, [*KEY]).select(*KEY, "z", "places").mapInArrow(_gathered(run), CONTEXT)
 
@@ -185,7 +191,7 @@ def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key = columns[0].astype(np.int64)
         for c, b in zip(columns[1:], bits[1:], strict=True):
             key = (key << b) | c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[order][1:] != key[order][:-1]
     else:
@@ -200,63 +206,44 @@ def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranks(s: np.ndarray, need: int) -> np.ndarray:
-    """Rank from 1 of every suffix of s (symbols from 1) by its first `need` symbols; those that agree in them lie together in any order."""
+    """Rank from 1 of every suffix of s (symbols from 1) by its first `need` symbols; those that agree in them lie side by side in any order."""
     n = len(s)
-    at = lambda i: np.where(i < n, s[np.minimum(i, n - 1)], 0)
+    wide = np.concatenate([s, np.zeros(8, dtype=np.int64)])
     if need <= 3 or n < 4:
         i = np.arange(n)
-        return _order([at(i + j) for j in range(max(need, min(n, 3)))])[1]
+        return _order([wide[i + j] for j in range(3)])[1]
     # sort sampled triples, recurse on their names
     one, two = np.arange(1, n + 2, 3), np.arange(2, n + 2, 3)
     sample = np.concatenate([one, two])
-    _, names = _order([at(sample), at(sample + 1), at(sample + 2)])
+    _, names = _order([wide[sample], wide[sample + 1], wide[sample + 2]])
     if names.max() < len(names):
         joined = np.concatenate([names[: len(one)], [0], names[len(one) :]]) + 1
         deep = ranks(joined, -(-need // 3))
         names = np.concatenate([deep[: len(one)], deep[len(one) + 1 :]])
     rank = np.zeros(n + 5, dtype=np.int64)
     rank[sample] = names
-    wide = np.concatenate([s, np.zeros(5, dtype=s.dtype)])
     # the remaining suffixes by first symbol and rank of the rest
     rest = np.arange(0, n, 3)
-    rest_order, rest_name = _order([wide[rest], rank[rest + 1]])
-    rest = rest[rest_order]
+    rest = rest[np.argsort((wide[rest] << int(rank.max()).bit_length()) | rank[rest + 1])]
     sample = sample[sample < n]
-    sample = sample[np.argsort(rank[sample], kind="stable")]
+    sample = sample[np.argsort(rank[sample])]
     # merge: for each remaining suffix, how many of the sample are less
-    low, high = np.zeros(len(rest), dtype=np.int64), np.full(len(rest), len(sample), dtype=np.int64)
-    while (open_ := low < high).any():
-        mid = (low + high) // 2
-        i = sample[np.minimum(mid, len(sample) - 1)]
-        by_one = i % 3 == 1
-        a = np.where(by_one, 0, wide[i + 1]), np.where(by_one, rank[i + 1], rank[i + 2])
-        b = np.where(by_one, 0, wide[rest + 1]), np.where(by_one, rank[rest + 1], rank[rest + 2])
-        first = wide[i] == wide[rest]
-        second = first & (a[0] == b[0])
-        less = (wide[i] < wide[rest]) | (first & (a[0] < b[0])) | (second & (a[1] < b[1]))
-        low = np.where(open_ & less, mid + 1, low)
-        high = np.where(open_ & ~less, mid, high)
+    # against those at 1 modulo 3 by a symbol and a rank, against those at 2 by two symbols and a rank
+    width, symbols = int(rank.max()).bit_length(), int(wide.max()).bit_length()
+    one = lambda i: (wide[i] << width) | rank[i + 1]
+    two = lambda i: (((wide[i] << symbols) | wide[i + 1]) << width) | rank[i + 2]
+    by_one = sample % 3 == 1
+    low = np.searchsorted(one(sample[by_one]), one(rest)) + np.searchsorted(two(sample[~by_one]), two(rest))
     # suffixes that agree in `need` symbols may compare by different depths: keep the order of the rest
     low = np.maximum.accumulate(low) if len(low) else low
-    # places in the merged order, then one rank for suffixes that can't be told apart
-    out = np.empty(n, dtype=np.int64)
     merged = np.empty(n, dtype=np.int64)
     rest_place = low + np.arange(len(rest))
     merged[rest_place] = rest
-    taken = np.zeros(n, dtype=bool)
-    taken[rest_place] = True
-    merged[~taken] = sample
-    new = np.ones(n, dtype=bool)
-    x, y = merged[:-1], merged[1:]
-    kind_x, kind_y = x % 3, y % 3
-    both_sample, both_rest = (kind_x > 0) & (kind_y > 0), (kind_x == 0) & (kind_y == 0)
-    mixed = ~both_sample & ~both_rest
-    by_one = np.where(kind_x == 0, kind_y, kind_x) == 1
-    tail = np.where(by_one, rank[x + 1] == rank[y + 1], (wide[x + 1] == wide[y + 1]) & (rank[x + 2] == rank[y + 2]))
-    same_name = np.empty(n, dtype=np.int64)
-    same_name[rest] = rest_name[rest_order]
-    new[1:] = ~((both_sample & (rank[x] == rank[y])) | (both_rest & (same_name[x] == same_name[y])) | (mixed & (wide[x] == wide[y]) & tail))
-    out[merged] = np.cumsum(new)
+    free = np.ones(n, dtype=bool)
+    free[rest_place] = False
+    merged[free] = sample
+    out = np.empty(n, dtype=np.int64)
+    out[merged] = np.arange(1, n + 1)
     return out
 
 
@@ -290,18 +277,18 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, breaks)], starts[np.append(breaks - 1, len(starts) - 1)] + LENGTH
 
 
-SPANS = "c1 long, c2 long, spans array<struct<a:long,b:long>>"
+SPANS = "hash long, c long, spans array<struct<a:long,b:long>>"
 
 
-def _spans(c1: np.ndarray, c2: np.ndarray, data: bytes, offsets: np.ndarray) -> pa.RecordBatch:
+def _spans(hashes: np.ndarray, names: np.ndarray, data: bytes, offsets: np.ndarray) -> pa.RecordBatch:
     starts = repeated(np.frombuffer(data, dtype=np.uint8), offsets)
     own = np.searchsorted(offsets, starts, side="right") - 1
     out = []
     for i, lo, hi in zip(*_groups(own), strict=True):
         a, b = runs(starts[lo:hi] - offsets[i])
-        out.append((int(c1[i]), int(c2[i]), [{"a": int(x), "b": int(y)} for x, y in zip(a, b, strict=True)]))
+        out.append((int(hashes[i]), int(names[i]), [{"a": int(x), "b": int(y)} for x, y in zip(a, b, strict=True)]))
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), kind))], ["c1", "c2", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), kind))], ["hash", "c", "spans"])
 
 
 def _groups(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,23 +299,39 @@ def _groups(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own[lo], lo, np.append(cut, len(own))
 
 
+def _shared(anchors_of: np.ndarray, data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Contexts that share the bytes on one side of the anchor with another context of the same anchor."""
+    prefix, out = prefix_hash(data), np.zeros(len(at), dtype=bool)
+    place = offsets[:-1] + at
+    for start, stop in ((place - SIDE, place + GRAM), (place, place + GRAM + SIDE)):
+        some = np.flatnonzero((start >= offsets[:-1]) & (stop <= offsets[1:]))
+        _, where, n = np.unique(range_hash(prefix, start[some], stop[some]) ^ mix(anchors_of[some].view(U64)), return_inverse=True, return_counts=True)
+        out[some[n[where] > 1]] = True
+    # two windows of one context have one anchor at two distances, so they never are equal
+    return out
+
+
 def _order_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows hash, c1, c2, context sorted by hash and name: whole anchor groups up to CHUNK bytes at a time."""
+    """Rows hash, c, context, anchor sorted by hash and name: whole anchor groups up to CHUNK bytes at a time."""
     held: list[tuple] = []
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
+        data = b"".join(r[2] for r in held)
         offsets = np.concatenate([[0], np.cumsum([len(r[2]) for r in held])])
-        return _spans(np.array([r[0] for r in held]), np.array([r[1] for r in held]), b"".join(r[2] for r in held), offsets)
+        keep = np.flatnonzero(_shared(np.array([r[0] for r in held]), np.frombuffer(data, dtype=np.uint8), offsets, np.array([r[3] for r in held], dtype=np.int64)))
+        kept = [held[i] for i in keep]
+        offsets = np.concatenate([[0], np.cumsum([len(r[2]) for r in kept])]).astype(np.int64)
+        return _spans(np.array([r[0] for r in kept]), np.array([r[1] for r in kept]), b"".join(r[2] for r in kept), offsets)
 
     for batch in batches:
-        for h, c1, c2, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and h == last and (c1, c2) == held[-1][:2]:
+        for h, name, body, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (h, name) == held[-1][:2]:
                 continue
             if held and h != last and size + len(body) > CHUNK:
                 yield flush()
                 held, size = [], 0
-            held.append((c1, c2, body))
+            held.append((h, name, body, at))
             size, last = size + len(body), h
     if held:
         yield flush()
@@ -337,41 +340,41 @@ def _order_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each window of a context: its hash and place."""
     for batch in batches:
-        for h, c1, c2, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for h, name, body, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = np.frombuffer(body, dtype=np.uint8)
             at = np.arange(len(raw) - LENGTH + 1)
             w = range_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64)
             full = lambda v: pa.array(np.full(len(at), v, dtype=np.int64))  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([full(h), full(c1), full(c2), pa.array(w), pa.array(at)], ["hash", "c1", "c2", "w", "at"])
+            yield pa.RecordBatch.from_arrays([full(h), full(name), pa.array(w), pa.array(at)], ["hash", "c", "w", "at"])
 
 
-def repeated_spans(found: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(found: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     """id, body, spans: what is repeated, for every occurrence of a context. found: CONTEXT rows."""
-    distinct = found.where("context is not null").select("hash", "c1", "c2", "context")
-    heavy = distinct.groupBy("hash").agg(F.sum(F.length("context")).alias("n")).where(F.col("n") > chunk).select("hash", F.lit(True).alias("heavy"))
-    marked = distinct.join(heavy, "hash", "left")
-    light = marked.where("heavy is null").drop("heavy").repartition("hash").sortWithinPartitions("hash", "c1", "c2").mapInArrow(_order_suffixes, SPANS)
-    some = marked.where("heavy").drop("heavy").dropDuplicates(["hash", "c1", "c2"])
-    windows = some.mapInArrow(_gathered(_window_rows), "hash long, c1 long, c2 long, w long, at long")
+    name = ["hash", "c"]
+    distinct = found.where("context is not null").select(*name, "context", "anchor")
+    # a table of its own: where it is small, Spark broadcasts it and the contexts are shuffled once
+    heavy = stored(found.where("context is not null").groupBy("hash").agg(F.sum("size").alias("n")).where(F.col("n") > heavy_size).select("hash"), "heavy")
+    light = distinct.join(heavy, "hash", "left_anti").repartition("hash").sortWithinPartitions(*name).mapInArrow(_order_suffixes, SPANS)
+    some = distinct.join(heavy, "hash", "left_semi").dropDuplicates(name)
+    windows = some.mapInArrow(_gathered(_window_rows), "hash long, c long, w long, at long")
     twice = windows.groupBy("hash", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = windows.join(twice, ["hash", "w"]).groupBy("c1", "c2").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b"))).alias("spans"))
-    places = found.select("c1", "c2", *KEY, "first")
-    whole = places.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2", F.lit(True).alias("whole"))
-    parts = light.unionByName(starts).groupBy("c1", "c2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    cover = parts.join(whole, ["c1", "c2"], "full")
-    sizes = distinct.groupBy("c1", "c2").agg(F.max(F.length("context")).cast("long").alias("size"))
-    cover = cover.join(sizes, ["c1", "c2"]).select("c1", "c2", F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))).otherwise(F.col("spans")).alias("spans"))
-    moved = places.join(cover, ["c1", "c2"]).select(*KEY, F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
+    starts = windows.join(twice, ["hash", "w"]).groupBy(*name).agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b"))).alias("spans"))
+    places = found.select(*name, *KEY, "first")
+    whole = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("size").cast("long").alias("size")).where("n > 1").select(*name, "size")
+    parts = light.unionByName(starts).groupBy(*name).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
+    cover = parts.join(whole, name, "full").select(*name, F.when(F.col("size").isNotNull(), every).otherwise(F.col("spans")).alias("spans"))
+    moved = places.join(cover, name).select(*KEY, F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
     return moved.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:long,b:long>>"
 
 
-def dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def dedup(docs: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     """RESULT for each document; `removed` has the byte ranges that go."""
     found = stored(contexts(docs), "contexts")
-    spans = stored(repeated_spans(found, chunk), "spans")
+    spans = stored(repeated_spans(found, heavy_size), "spans")
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,15 +46,15 @@ def test_the_table_matches_brute_force(spark, sf001):
     assert rows_of(suffix.op6_suffix_dedup(spark, sf001)) == brute(docs)
 
 
-@pytest.mark.parametrize("chunk", [suffix.CHUNK, 1500])
-def test_edges_of_input(spark, chunk):
+@pytest.mark.parametrize("heavy", [suffix.HEAVY, 1500])
+def test_edges_of_input(spark, heavy):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
     hot, tail = word(400), word(199)
     rows = [(1, None), (2, ""), (3, "a" * 1000), (4, "ab" * 300), (5, hot), (5, hot), (None, word(50) + hot), (6, hot[:150] + word(90)), (7, tail), (8, tail), (9, word(300) + hot[100:305] + word(250))]
     rows += [(100 + i, word(int(rng.integers(0, 90))) + hot + word(60)) for i in range(30)]
     frame = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, id int, body string")
-    assert rows_of(suffix.dedup(frame, chunk)) == brute(rows)
+    assert rows_of(suffix.dedup(frame, heavy)) == brute(rows)
     assert suffix.dedup(frame.limit(0)).count() == 0
 
 
