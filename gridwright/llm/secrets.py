@@ -257,13 +257,12 @@ def _worth_reading(column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column), dtype=bool)
     for lo, hi in slices(offsets):
         part, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        stops = np.concatenate([[-1], np.flatnonzero(~_KEYS[part]), [len(part)]])
-        long_run = stops[:-1][np.diff(stops) > 16] + 1
+        # runs end at other characters and at the bounds of texts, which lie back to back
+        other = np.flatnonzero(~_KEYS[part])
+        starts, stops = np.sort(np.concatenate([other + 1, own[:-1]]), kind="stable"), np.sort(np.concatenate([other, own[1:]]), kind="stable")
         signs = np.flatnonzero((part == ord("=")) | (part == ord(":")) | (part == ord(".")) & (np.append(part[1:], 0) > 32))
-        for at in (long_run, signs):
-            # a run may begin in one text and end in the next: both are read
-            for shift in (0, 16):
-                out[lo + np.minimum(np.searchsorted(own, np.minimum(at + shift, len(part) - 1), side="right") - 1, hi - lo - 1)] = True
+        for at in (starts[stops - starts >= 16], signs):
+            out[lo + np.searchsorted(own, at, side="right") - 1] = True
     return out
 
 
