@@ -53,9 +53,9 @@ KEY = ("id", "body")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id, body, text: rows that agree in doc_id and text share a name and have equal results. The 32 bits of body only tell texts of one doc_id apart."""
+    """id, body, text: rows that agree in doc_id and text share a name and have equal results. Of n texts of one doc_id (or of none) n^2/2^65 pairs are expected to share one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.hash(text).alias("body"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
 
 
 def _windows_least(h: np.ndarray) -> np.ndarray:
@@ -121,7 +121,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 place = (first + skip) * _PLACE + (anchor - first) * 1024 + last - first + 1
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo + row]), pa.array(bodies[lo + row]), pa.array(place)], ["hash", "id", "body", "place"])
 
-    return keyed(docs).mapInArrow(run, "hash long, id long, body int, place long")
+    return keyed(docs).mapInArrow(run, "hash long, id long, body long, place long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -133,10 +133,10 @@ def packed(docs: DataFrame) -> DataFrame:
             texts = b.column(2).cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t.as_py()) for t in texts], pa.binary())], ["id", "body", "z"])
 
-    return keyed(docs).mapInArrow(run, "id long, body int, z binary")
+    return keyed(docs).mapInArrow(run, "id long, body long, z binary")
 
 
-CONTEXT = "hash long, c long, id long, body int, first long, anchor int, size int, context binary"
+CONTEXT = "hash long, c long, id long, body long, first long, anchor int, size int, context binary"
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                     bodies.append(None if n in seen else c)
                     seen.add(n)
                 same = lambda i, k: np.full(len(h), b.column(i)[at].as_py(), dtype=k)  # noqa: E731,B023
-                columns = [h, np.array(names, dtype=U64).view(np.int64), same(0, np.int64), same(1, np.int32), first, lead.astype(np.int32), (count + LENGTH - 1).astype(np.int32)]
+                columns = [h, np.array(names, dtype=U64).view(np.int64), same(0, np.int64), same(1, np.int64), first, lead.astype(np.int32), (count + LENGTH - 1).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
 
     return packed(docs).join(places, [*KEY]).select(*KEY, "z", "places").mapInArrow(_gathered(run), CONTEXT)

@@ -1,12 +1,14 @@
 """Suffix order and repeated substrings against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridwright.llm import suffix
 
@@ -58,6 +60,16 @@ def test_edges_of_input(spark, heavy):
     assert suffix.dedup(frame.limit(0)).count() == 0
 
 
+def test_texts_that_agree_in_32_bits_are_told_apart(spark):
+    r = random.Random(3)
+    shared, alone = ("".join(r.choices("abcdefgh ", k=300)) for _ in range(2))
+    for doc_id in (None, 7):
+        some = [(doc_id, f"{shared}3534"), (doc_id, f"{alone}285418"), (1, shared)]
+        frame = spark.createDataFrame(some, "doc_id long, text string")
+        assert frame.select(F.hash("text")).distinct().count() == 2
+        assert rows_of(suffix.dedup(frame)) == brute(some)
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     raw = np.frombuffer(np.random.default_rng(1).bytes(9_000_000), dtype=np.uint8)
     parts = list(suffix._long_slices(raw, np.array([0, len(raw)])))
