@@ -90,6 +90,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup over all documents, where every non-empty line is a unit: short ones, and those of scripts without blanks."""
+    return dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1)
+
+
 OP8_SQL = r"""
 WITH u AS (
   SELECT doc_id, i AS pos, l AS raw, trim(regexp_replace(lower(l), '\s+', ' ', 'g')) AS norm
@@ -102,3 +107,14 @@ SELECT doc_id, CAST(count(*) AS INT) AS n_units, CAST(count(*) FILTER (gone) AS
        coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept_text
 FROM r GROUP BY doc_id
 """
+OP8_ALL_SQL = r"""
+WITH u AS (
+  SELECT doc_id, i AS pos, l AS raw, trim(regexp_replace(lower(l), '\s+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+p AS (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(raw) - 1 AS start FROM u),
+r AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM p)
+SELECT doc_id, CAST(count(*) AS INT) AS n_units, CAST(count(*) FILTER (gone) AS INT) AS n_removed,
+       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(raw) AS BIGINT), ',' ORDER BY pos) FILTER (gone), '') AS removed_offsets,
+       coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept_text
+FROM r GROUP BY doc_id
+"""

@@ -55,6 +55,14 @@ def test_warc_round_trip_of_edges(spark, tmp_path):
     assert warc.typed(warc.from_arc(warc.to_arc(pages.limit(0)))).count() == 0
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark, tmp_path):
+    wide = "".join(chr(0x4E00 + i) for i in range(500))
+    rows = [(1, f"menu\n{wide}\nown"), (2, f"Menu \n\nother\n{wide}"), (3, "\n\nmenu")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in queries.QUERIES["op8_line_dedup_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "\nother"), 3: (1, "\n")}
+
+
 def test_line_dedup_of_edges(spark):
     a, b, short = "One two three four five", "one  two THREE four five ", "too short"
     rows = [(2, f"{b}\n{short}\nsix seven eight nine ten"), (1, f"{a}\n{short}"), (3, f"{a}\n{a}"), (4, None), (5, ""), (None, a), (6, f"x\n{a}"), (6, f"x\n{a}")]
