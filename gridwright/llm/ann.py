@@ -133,19 +133,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return [np.lexsort((ids, -row))[:k] for row in scores]
 
 
-FOUND = "qcid long, cids array<long>, scores array<double>"
-KIND = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+FOUND = "qcid long, cids array<long>, scores array<double>, firsts array<long>"
+KIND = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
 def _scan(q_names: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best classes of one block for each query."""
-    cids, scores = [], []
+    cids, scores, firsts = [], [], []
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256] @ x.T
         for row, c in zip(s, _best(s, ids, k), strict=True):
             cids.append(names[c])
             scores.append(row[c])
-    return pa.RecordBatch.from_arrays([pa.array(q_names, KIND[0]), pa.array(cids, KIND[1]), pa.array(scores, KIND[2])], ["qcid", "cids", "scores"])
+            firsts.append(ids[c])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((q_names, cids, scores, firsts), KIND, strict=True)], NAMES)
 
 
 def classes_of(rows: DataFrame, top: int) -> DataFrame:
@@ -197,8 +199,8 @@ def calibrated(leaves: DataFrame, queries: DataFrame, tree: Tree, top: int) -> t
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """qcid, best: the k best (score, cid) over the blocks, as an array, largest first."""
-    zipped = found.select("qcid", F.transform(F.arrays_zip("scores", "cids"), lambda x: F.struct((-x["scores"]).alias("minus"), x["cids"].alias("cid"))).alias("pairs"))
+    """qcid, best: the k best (score, first, cid) over the blocks, as an array: largest score first, ties to the smaller first id."""
+    zipped = found.select("qcid", F.transform(F.arrays_zip("scores", "firsts", "cids"), lambda x: F.struct((-x["scores"]).alias("minus"), x["firsts"].alias("first"), x["cids"].alias("cid"))).alias("pairs"))
     return zipped.groupBy("qcid").agg(F.flatten(F.collect_list("pairs")).alias("pairs")).select("qcid", F.slice(F.array_sort("pairs"), 1, k).alias("best"))
 
 
@@ -237,7 +239,7 @@ def search(rows: DataFrame, is_query, top: int = TOP) -> DataFrame:
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.Table.from_batches([], pa.schema(list(zip(["qcid", "cids", "scores"], KIND, strict=True))))
+            return pa.Table.from_batches([], pa.schema(list(zip(NAMES, KIND, strict=True))))
         return pa.Table.from_batches([_scan(right.column("cid").to_numpy(), _matrix(right.column("v")), left.column("cid").to_numpy(), _matrix(left.column("v")), left.column("first").to_numpy(), top + 1)])
 
     keys = ["leaf", "part", "qpart"]

@@ -50,6 +50,16 @@ def test_copies_and_norms(spark, monkeypatch, leaf):
     assert np.mean(hits) >= 0.9
 
 
+def test_ties_of_different_vectors_go_to_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 20)
+    monkeypatch.setattr(ann, "TARGET", 1.0)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((400, 1)), rng.integers(0, 2, size=(400, 9))], axis=1).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(ann.search(frame, lambda i: i % 20 == 0).collect())
+    assert got == brute(list(range(400)), x, range(0, 400, 20), 20)
+
+
 def test_edges_of_input(spark):
     nan, one = float("nan"), [1.0, 0.0]
     rows = [(0, one), (0, one), (20, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, one), (8, [1.0]), (None, one), (40, [])]
