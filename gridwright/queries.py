@@ -247,7 +247,7 @@ register("grid_seeds", "cells", "SELECT image_id, (y - 8) // 16 * 4 + (x - 8) //
 register("perturb_seeds", "cells", _GRAD.format(t="lumas") + """, n AS (SELECT s.image_id, (s.y - 8) // 16 * 4 + (s.x - 8) // 16 AS label, g.y, g.x, row_number() OVER (PARTITION BY s.image_id, s.y, s.x ORDER BY round(sqrt(gx * gx + gy * gy), 9), g.y, g.x) AS i
   FROM cells s JOIN g ON g.image_id = s.image_id AND g.y BETWEEN s.y - 1 AND s.y + 1 AND g.x BETWEEN s.x - 1 AND s.x + 1 WHERE s.y % 16 = 8 AND s.x % 16 = 8)
 SELECT n.image_id, label, n.y, n.x, r, g, b FROM n JOIN cells c ON c.image_id = n.image_id AND c.y = n.y AND c.x = n.x WHERE i = 1""", lambda c: zonal.perturb_seeds(zonal.grid_seeds(c, 16), c))
-register("superpixels", "cells", None, lambda c: zonal.superpixels(c, 16, 4))
+register("superpixels", "cells", None, lambda c: zonal.superpixels(c, 16))
 register("enforce_connectivity", "cells", None, lambda c: zonal.enforce_connectivity(_labels(src.with_luma(c)), 12))
 register("zone_recolor", "cells", f"{_LABELS} SELECT image_id, y, x, label, {_rgb('round(avg($c) OVER (PARTITION BY image_id, label), 6) AS $c')} FROM cells JOIN labels USING (image_id, y, x)", lambda c: zonal.zone_recolor(c, _labels(src.with_luma(c))))
 register("zone_borders", "luma", f"{_LABELS} SELECT t.image_id, t.y, t.x, CAST(bool_or(s.label <> t.label) AS INT) AS border FROM labels t JOIN labels s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x IN (t.x, t.x + 1)) OR (s.x = t.x AND s.y = t.y + 1)) GROUP BY t.image_id, t.y, t.x", lambda p: zonal.zone_borders(_labels(p)))
@@ -295,6 +295,8 @@ d AS (SELECT a.image_id, a.py, a.px, b.py AS my, b.px AS mx, CAST(sum((a.v - b.v
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, py, px ORDER BY (my <> py OR mx <> px), d, my, mx) AS INT) AS rank FROM d),
 t AS (SELECT *, max(d) FILTER (rank <= 8) OVER (PARTITION BY image_id, py, px) AS top FROM r WHERE rank <= 12)
 SELECT image_id, py, px, my, mx, d, rank FROM t WHERE d <= top""", lambda p: graph.block_match(graph.extract_patches(p, 4), 2, 12, rank=8, step=16))
+#: every patch, all 17 x 17 places up to the 32nd distance; block_match keeps what its SQL has
+register("block_match_full", "luma", None, lambda p: graph.block_match(graph.extract_patches(p, 4), 8, 512))
 register("aggregate_patches", "luma", "SELECT image_id, y, x, CAST(v AS DOUBLE) AS v FROM lumas", lambda p: graph.aggregate_patches(graph.extract_patches(p, 4, 2), 4))
 
 # --- nearest ------------------------------------------------------------------------------------
@@ -303,10 +305,15 @@ b AS (SELECT q.*, (SELECT max(x) FROM k WHERE k.image_id = q.image_id AND k.x <=
 c AS (SELECT image_id, x, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b)
 SELECT c.image_id, c.x, round(CASE WHEN l = r THEN m.v ELSE m.v + (n.v - m.v) * (c.x - l) / (r - l)::DOUBLE END, 6) AS v FROM c JOIN k m ON m.image_id = c.image_id AND m.x = l JOIN k n ON n.image_id = c.image_id AND n.x = r""",
          lambda p: nearest.interp_lut(p.where("y = 0").select("image_id", "x"), p.where("y = 0 and x % 7 = 3").select("image_id", "x", "v"), ["image_id"]))
+register("interp_lut_rows", "luma", """, k AS (SELECT image_id, y, x, v FROM lumas WHERE x % 7 = 3),
+b AS (SELECT q.image_id, q.y, q.x, (SELECT max(x) FROM k WHERE k.image_id = q.image_id AND k.y = q.y AND k.x <= q.x) AS l, (SELECT min(x) FROM k WHERE k.image_id = q.image_id AND k.y = q.y AND k.x >= q.x) AS r FROM lumas q),
+c AS (SELECT image_id, y, x, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b)
+SELECT c.image_id, c.y, c.x, round(CASE WHEN l = r THEN m.v ELSE m.v + (n.v - m.v) * (c.x - l) / (r - l)::DOUBLE END, 6) AS v FROM c JOIN k m ON m.image_id = c.image_id AND m.y = c.y AND m.x = l JOIN k n ON n.image_id = c.image_id AND n.y = c.y AND n.x = r""",
+         lambda p: nearest.interp_lut(p.select("image_id", "y", "x"), p.where("x % 7 = 3").select("image_id", "y", "x", "v"), ["image_id", "y"]))
 register("nearest_cct", "cells", None, lambda c: nearest.nearest_cct(nearest.image_uv(c), nearest.cct_lut(c.sparkSession, 2000, 12000, 50)))
 register("planckian_uv", "cells", None, lambda c: nearest.planckian_uv(c.select("image_id").distinct().select("image_id", (4000 + F.pmod("image_id", F.lit(40)) * 100).alias("cct"), F.lit(0.003).alias("duv")), nearest.cct_lut(c.sparkSession, 2000, 12000, 50)))
 register("shift_temperature", "cells", None, lambda c: nearest.shift_temperature(c, c.select("image_id").distinct().select("image_id", F.lit(5000).cast("long").alias("cct")), nearest.cct_lut(c.sparkSession, 4950, 5050, 50)))
-register("white_balance", "cells", None, lambda c: nearest.white_balance(c, 4))
+register("white_balance", "cells", None, lambda c: nearest.white_balance(c))
 
 # --- frames in time -----------------------------------------------------------------------------
 _FRAMES = "WITH f AS (SELECT ts, user_id % 8 AS stream_id, event_type AS channel, CAST(least(floor(value / 2), 255) AS INT) AS value FROM events)\n"
@@ -329,7 +336,7 @@ _register_frames("frames_deflicker", None, lambda f: frames.deflicker_batch(fram
 # --- models on patches and small tables ---------------------------------------------------------
 register("noise_profile", "luma", None, lambda p: denoise.noise_profile(p))
 register("noise_covariance", "luma", None, lambda p: denoise.noise_covariance(denoise.noise_profile(p)))
-register("nl_bayes_denoise", "luma", None, lambda p: denoise.nl_bayes_denoise(p, step=4, radius=4, k=32))
+register("nl_bayes_denoise", "luma", None, lambda p: denoise.nl_bayes_denoise(p, step=2, radius=8, k=512))
 register("hist_segment", "cells", None, lambda c: segment.hist_segment(stats.dense(stats.luma_histogram(c))))
 register("posterize", "cells", None, lambda c: segment.posterize(c))
 register("spectrum_2d", "luma", None, lambda p: segment.spectrum_2d(p))

@@ -1,5 +1,6 @@
 """Golden images, properties and sources."""
 
+import inspect
 import random
 import struct
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridwright import queries
 from gridwright.functions import tables
 from gridwright.operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, stats, zonal
 from gridwright.plans.focal import focal_udf, pushed, tiled
@@ -261,3 +263,36 @@ def test_hsluv_of_known_colours(spark):
     c = spark.createDataFrame([(0, 0, 0, 255, 0, 0, 255), (0, 0, 1, 255, 255, 255, 255), (0, 0, 2, 0, 0, 0, 255), (0, 0, 3, 0, 0, 255, 255)], "image_id long, y long, x long, r int, g int, b int, a int")
     got = {r.x: (round(r.h, 2), round(r.s, 2), round(r.l, 2)) for r in perceptual.to_hsluv(c).collect()}
     assert got[0] == (12.18, 100.0, 53.24) and got[1][1:] == (0.0, 100.0) and got[2][1:] == (0.0, 0.0) and got[3] == (265.87, 100.0, 32.3)
+
+
+def test_block_match_full_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(queries.src, "from_lineitem", lambda *_: color(spark, NOISE))
+    monkeypatch.setattr(queries.src, "with_luma", lambda c: c.select(*KEY, F.col("r").alias("v")))
+    got = {}
+    for r in queries.QUERIES["block_match_full"](spark, "").collect():
+        got.setdefault((r.py, r.px), []).append((r["rank"], r.my, r.mx, r.d))
+    places = [(y, x) for y in range(NOISE.shape[0] - 3) for x in range(NOISE.shape[1] - 3)]
+    assert got.keys() == set(places)
+    at = {(y, x): NOISE[y : y + 4, x : x + 4] for y, x in places}
+    for py, px in places:
+        d = sorted(((my, mx) != (py, px), float(((at[py, px] - at[my, mx]) ** 2).sum()), my, mx) for my, mx in places if abs(my - py) <= 8 and abs(mx - px) <= 8)
+        limit = max(x[1] for x in d[:32])
+        assert sorted(got[py, px]) == [(i + 1, my, mx, v) for i, (_, v, my, mx) in enumerate(d) if v <= limit]
+
+
+def test_queries_ask_for_the_whole_job(spark, monkeypatch):
+    asked = {}
+    for module, name in ((queries.zonal, "superpixels"), (queries.nearest, "white_balance"), (queries.denoise, "nl_bayes_denoise")):
+        real = inspect.signature(getattr(module, name))
+
+        def note(*args, real=real, name=name, **named):
+            bound = real.bind(*args, **named)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+            return args[0]
+
+        monkeypatch.setattr(module, name, note)
+        monkeypatch.setattr(queries.src, "from_lineitem", lambda *_: color(spark, NOISE))
+        queries.QUERIES[name](spark, "")
+    assert asked["superpixels"]["rounds"] == 10 and asked["white_balance"]["rounds"] == 16
+    assert [asked["nl_bayes_denoise"][k] for k in ("step", "radius", "k")] == [2, 8, 512]
