@@ -66,9 +66,9 @@ CURVES = {
 C2 = 1.4388e7
 
 
-def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: int = 5) -> DataFrame:
+def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: float = 5) -> DataFrame:
     """cct, X, Y, Z (Y = 100), u, v: black-body spectra from 380 to 750 nm times the observer's curves, summed by Spark."""
-    wave = F.explode(F.sequence(F.lit(380), F.lit(750), F.lit(nm)))
+    wave = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(370 / nm))), lambda i: 380 + i * F.lit(float(nm))))
     rows = spark.range(low, high + 1, step).select(F.col("id").alias("cct"), wave.alias("w")).withColumn("w", F.col("w").cast("double"))
     power = F.pow("w", F.lit(-5.0)) * 1e15 / (F.exp(C2 / (F.col("w") * F.col("cct"))) - 1)
     lobe = lambda h, m, s1, s2: h * F.exp(-0.5 * F.pow((F.col("w") - m) / F.when(F.col("w") < m, s1).otherwise(s2), 2))
@@ -98,7 +98,7 @@ def shift_temperature(cells: DataFrame, targets: DataFrame, lut: DataFrame, cat:
 def nearest_cct(points: DataFrame, locus: DataFrame) -> DataFrame:
     """points: image_id, u, v. cct and duv of the nearest place on the locus, between rows by projection on its segments."""
     w = W.orderBy("cct")
-    # the locus is a small table of a few thousand rows at most
+    # the locus has at most 24,001 rows; every point meets every segment
     segments = locus.select("cct", "u", "v", F.lead("cct").over(w).alias("cct2"), F.lead("u").over(w).alias("u2"), F.lead("v").over(w).alias("v2")).where("cct2 is not null")
     du, dv = F.col("u2") - F.col("lu"), F.col("v2") - F.col("lv")
     pairs = points.select("image_id", "u", "v").join(F.broadcast(segments.withColumnsRenamed({"u": "lu", "v": "lv"})))

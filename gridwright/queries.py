@@ -310,9 +310,9 @@ b AS (SELECT q.image_id, q.y, q.x, (SELECT max(x) FROM k WHERE k.image_id = q.im
 c AS (SELECT image_id, y, x, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b)
 SELECT c.image_id, c.y, c.x, round(CASE WHEN l = r THEN m.v ELSE m.v + (n.v - m.v) * (c.x - l) / (r - l)::DOUBLE END, 6) AS v FROM c JOIN k m ON m.image_id = c.image_id AND m.y = c.y AND m.x = l JOIN k n ON n.image_id = c.image_id AND n.y = c.y AND n.x = r""",
          lambda p: nearest.interp_lut(p.select("image_id", "y", "x"), p.where("x % 7 = 3").select("image_id", "y", "x", "v"), ["image_id", "y"]))
-register("nearest_cct", "cells", None, lambda c: nearest.nearest_cct(nearest.image_uv(c), nearest.cct_lut(c.sparkSession, 2000, 12000, 50)))
-register("planckian_uv", "cells", None, lambda c: nearest.planckian_uv(c.select("image_id").distinct().select("image_id", (4000 + F.pmod("image_id", F.lit(40)) * 100).alias("cct"), F.lit(0.003).alias("duv")), nearest.cct_lut(c.sparkSession, 2000, 12000, 50)))
-register("shift_temperature", "cells", None, lambda c: nearest.shift_temperature(c, c.select("image_id").distinct().select("image_id", F.lit(5000).cast("long").alias("cct")), nearest.cct_lut(c.sparkSession, 4950, 5050, 50)))
+register("nearest_cct", "cells", None, lambda c: nearest.nearest_cct(nearest.image_uv(c), nearest.cct_lut(c.sparkSession, nm=0.5)))
+register("planckian_uv", "cells", None, lambda c: nearest.planckian_uv(c.select("image_id").distinct().select("image_id", (4000 + F.pmod("image_id", F.lit(40)) * 100).alias("cct"), F.lit(0.003).alias("duv")), nearest.cct_lut(c.sparkSession, nm=0.5)))
+register("shift_temperature", "cells", None, lambda c: nearest.shift_temperature(c, c.select("image_id").distinct().select("image_id", F.lit(5000).cast("long").alias("cct")), nearest.cct_lut(c.sparkSession, nm=0.5)))
 register("white_balance", "cells", None, lambda c: nearest.white_balance(c))
 
 # --- frames in time -----------------------------------------------------------------------------

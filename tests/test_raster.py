@@ -296,3 +296,19 @@ def test_queries_ask_for_the_whole_job(spark, monkeypatch):
         queries.QUERIES[name](spark, "")
     assert asked["superpixels"]["rounds"] == 10 and asked["white_balance"]["rounds"] == 16
     assert [asked["nl_bayes_denoise"][k] for k in ("step", "radius", "k")] == [2, 8, 512]
+
+
+def test_queries_look_up_the_full_locus(spark, monkeypatch):
+    seen = []
+    real = nearest.cct_lut
+    monkeypatch.setattr(queries.src, "from_lineitem", lambda *_: color(spark, NOISE))
+    monkeypatch.setattr(nearest, "cct_lut", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    for name in ("nearest_cct", "planckian_uv", "shift_temperature"):
+        queries.QUERIES[name](spark, "")
+    assert len(seen) == 3
+    for lut in seen:
+        assert lut.select("cct").agg(F.min("cct"), F.max("cct"), F.count("*")).first()[:] == (1000, 25000, 24001)
+    fine, coarse = ({r.cct: r for r in real(spark, 1500, 1501, 1, nm).collect()} for nm in (0.5, 5))
+    assert abs(fine[1500].u - coarse[1500].u) < 1e-3 and fine[1500].u != coarse[1500].u
+    hot = nearest.nearest_cct(spark.createDataFrame([(1, fine[1500].u, fine[1500].v)], "image_id long, u double, v double"), seen[0]).first()
+    assert abs(hot.cct - 1500) < 0.5 and abs(hot.duv) < 1e-6
