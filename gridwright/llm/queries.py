@@ -18,7 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": warc.op7_warc,
     "op8_line_dedup": lines.op8_line_dedup,
     "op8_line_dedup_all": lines.op8_line_dedup_all,
+    "op8_line_dedup_floor": lines.op8_line_dedup_floor,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
 }
-SQL: dict[str, str] = {"op7_warc": warc.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_all": lines.OP8_ALL_SQL, "op10_poisson_mixing": mixing.OP10_SQL}
+SQL: dict[str, str] = {"op7_warc": warc.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_all": lines.OP8_ALL_SQL, "op8_line_dedup_floor": lines.OP8_FLOOR_SQL, "op10_poisson_mixing": mixing.OP10_SQL}

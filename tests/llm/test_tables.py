@@ -1,6 +1,8 @@
 """Archives, line dedup and mixing: SQL oracles and small edge cases."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
 import duckdb
@@ -80,6 +82,68 @@ def test_line_dedup_of_edges(spark):
     assert lines.dedup_units(docs.limit(0)).count() == 0
 
 
+def plain_passages(rows, words):
+    """Passage dedup by regular expressions and dictionaries: (doc_id, n_units, n_removed, kept_text)."""
+    ends = re.compile(r"^[ \t\r\n]+|[.!?][ \t\r\n]+|[。！？][ \t\r\n]*|[ \t\r]*\n[ \t\r\n]*")
+    clean = lambda t: re.sub(r"[ \t\r\n]+", " ", t.lower()).strip(" ")
+    found, parts = {}, {}
+    for key in {r for r in rows if r[1] is not None}:
+        cuts = [0, *(m.end() for m in ends.finditer(key[1])), len(key[1])]
+        parts[key] = [key[1][a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        units = [i for i, u in enumerate(parts[key]) if clean(u)]
+        size = [max(len(clean(parts[key][i]).split(" ")), len(clean(parts[key][i])) // lines.WIDE) for i in units]
+        for i in range(len(units)):
+            j = next((j for j in range(i, len(units)) if sum(size[i : j + 1]) >= words), None)
+            if j is not None:
+                found.setdefault(clean("".join(parts[key][units[i] : units[j] + 1])), []).append((key[0] is None, key[0] or 0, key[1], i, [*units[i : j + 1]], key))
+    gone, kept = set(), set()
+    for same in found.values():
+        same.sort(key=lambda x: (x[0], x[1], hash_of[x[2]], x[3]))
+        times = sum(rows.count(x[5]) for x in same)
+        for n, x in enumerate(same):
+            (kept if n == 0 else gone).update((x[5], k) for k in x[4] if times > 1)
+    gone -= kept
+    out = []
+    for key in rows:
+        if key[1] is None:
+            out.append((key[0], 0, 0, None))
+            continue
+        left = [u for k, u in enumerate(parts[key]) if (key, k) not in gone]
+        out.append((key[0], sum(bool(clean(u)) for u in parts[key]), len(parts[key]) - len(left), "".join(left)))
+    return Counter(out)
+
+
+hash_of: dict = {}
+
+
+def test_passage_dedup_matches_plain_python(spark):
+    r = random.Random(4)
+    stock = ["Ein  Satz hier. ", "Zwei drei VIER!\n", "一二三四五六七八九十一二三四五六七八。", "Nur ein Wort?\t", "a\n", "kein Ende ", " . ", "\n\n", "ÄÖ é. "]
+    rows = [(None if i % 9 == 0 else i // 2, "".join(r.choices(stock, k=r.choice([1, 3, 8, 30])))) for i in range(60)]
+    rows += [(1, None), (2, ""), (3, " \n "), (5, "x"), (7, rows[7][1]), (7, rows[7][1]), (None, rows[9][1])]
+    docs = spark.createDataFrame([(*x, 1, "r", True) for x in rows], "doc_id long, text string, pos int, row string, `first.one` boolean")
+    hash_of.update({x.text: x.h for x in docs.selectExpr("text", "xxhash64(text) AS h").collect()})
+    for words in (4, 9):
+        got = lines.dedup_passages(docs, words).collect()
+        assert Counter((x.doc_id, x.n_units, x.n_removed, x.kept_text) for x in got) == plain_passages(rows, words)
+        for x in got:
+            text = {(a, b): b for a, b in rows}
+            spans = [tuple(map(int, s.split(":"))) for s in x.removed_offsets.split(",") if s]
+            cut = lambda t, spans=spans: "".join(t[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(t)], strict=True))
+            assert x.kept_text is None or any(k[0] == x.doc_id and t is not None and cut(t) == x.kept_text for k, t in text.items())
+    assert lines.dedup_passages(docs.limit(0)).count() == 0
+
+
+def test_hot_passages_are_joined_apart(spark, monkeypatch):
+    text = "One two three four. Five six seven eight."
+    docs = spark.createDataFrame([(i, f"{i} own words are here. {text}") for i in range(40)], "doc_id long, text string")
+    cold = Counter(map(str, lines.dedup_passages(docs, 5).collect()))
+    monkeypatch.setattr(lines, "HOT", 1)
+    monkeypatch.setattr(lines, "HOT_SHARE", 1000)
+    assert Counter(map(str, lines.dedup_passages(docs, 5).collect())) == cold
+    assert sum(x.n_removed for x in lines.dedup_passages(docs, 5).collect()) == 78
+
+
 def test_mixing_meets_target_weights(spark):
     rows = [(i, "x" * 100, "big" if i % 10 else "small") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
