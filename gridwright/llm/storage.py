@@ -5,13 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_struct(df: DataFrame, names: list[str] | None = None) -> Column:
+    """df's columns (or those named) as one struct, so that no name clashes."""
+    return F.struct(*(F.col(quoted(c)) for c in (df.columns if names is None else names)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a fresh folder only where none is set (tests on one machine)."""
+    """The cluster's spark.checkpoint.dir; a fresh folder only where none is set on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gridwright-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -1,13 +1,19 @@
-"""Legacy archive conversion: ARC records in, WARC records out.
+"""Legacy archive conversion: ARC files in, WARC files out.
 
 An ARC file is a version block and then records: a header line whose fields depend on the version
 (1: five fields, 2: ten), the declared number of bytes, a newline. ``parse_arc`` reads those lines and
 lengths, ``warc_record`` gives a record the identifier, timestamp, type and digest that WARC asks for.
-Archives lie in the shared folder as ordinary part files that Spark writes and reads.
+Both kinds of archives are files in the shared folder of many records and at most FILE_BYTES or one record;
+tasks make their bytes, Spark's writer and reader move them. Every WARC record is a gzip member of its own, so
+that readers can seek to it. Payloads are bytes throughout: no encoding is assumed.
+
+Which records are revisits is settled on (digest, identifiers) alone; payloads are dealt by record, never by
+digest, so copies of one page do not meet in one task.
 
 Cases: null html counts as empty, a null url becomes ``unknown:``; a page_id of null stays null; of
 equal payloads all rows with the smallest page_id are responses (a repeated row is no revisit of
-itself); an empty table gives an empty table; other columns are ignored.
+itself); a record that can't be read, or whose bytes are missing, is a row with an ``error`` that says how much
+of its file was left unread; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,29 +22,32 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .skew import spread
+from .storage import new_path, stored
 
 SMALLEST_REVISIT = 100
-#: Records in one archive file at most; with usual pages, some tens of MB.
-RECORDS_PER_FILE = 2000
+#: Bytes of an archive file from which on the next record opens another.
+FILE_BYTES = 8 << 20
 VERSIONS = {
     "1": ("url", "ip", "date", "type", "length"),
     "2": ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"),
 }
-END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: A gzip member of no bytes: what may stand between and behind members.
+NO_BYTES = gzip.compress(b"", mtime=0)
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file by header line and declared length; ``body`` is null where bytes are missing."""
+    """The records of an ARC file by header line and declared length, with ``at``, the place of the header line."""
     first = data.find(b"\n")
-    head = data[:first].decode("latin-1").split(" ")
+    head = data[: max(first, 0)].decode("latin-1").split(" ")
     if first < 0 or not head[0].startswith("filedesc:") or not head[-1].isdigit():
         raise ValueError("no version block")
     block = data[first + 1 : first + 1 + int(head[-1])]
@@ -55,24 +64,34 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         # a URL may hold spaces: the other fields are counted from the right
         values = line.rsplit(" ", len(fields) - 1)
         if len(values) != len(fields) or not values[-1].strip().isdigit() or stop < 0:
-            yield {"url": line, "error": "bad header line", "body": None}
+            yield {"at": at, "url": line, "body": None, "error": f"bad header line, {len(data) - at} bytes unread"}
             return
-        row = dict(zip(fields, values, strict=True)) | {"error": None}
+        row = dict(zip(fields, values, strict=True)) | {"at": at, "error": None}
         size = int(row["length"])
         body = data[stop + 1 : stop + 1 + size]
-        yield row | ({"body": body} if len(body) == size else {"body": None, "error": "truncated record"})
+        yield row | ({"body": body} if len(body) == size else {"body": None, "error": f"truncated record, {len(body)} of {size} bytes there"})
         at = stop + 1 + size + 1
 
 
-def arc_file(records: list[tuple[str, str, str, str, bytes]], version: str = "1") -> bytes:
-    """An ARC file of (url, ip, date, type, body) records; version 2 also has status and checksum."""
+def arc_head(version: str = "1") -> bytes:
+    """The version block that begins an ARC file."""
     names = " ".join({"1": ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"), "2": ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")}[version])
     block = f"{version} 0 gridwright\n{names}\n\n".encode()
-    out = [f"filedesc://part.arc 0.0.0.0 20000101000000 text/plain {'200 - - 0 part.arc ' if version == '2' else ''}{len(block)}\n".encode(), block, b"\n"]
-    for url, ip, date, kind, body in records:
-        middle = f"200 {hashlib.md5(body).hexdigest()} - {sum(map(len, out))} part.arc " if version == "2" else ""
-        out += [f"{url} {ip} {date} {kind} {middle}{len(body)}\n".encode(), body, b"\n"]
-    return b"".join(out)
+    return f"filedesc://part.arc 0.0.0.0 20000101000000 text/plain {'200 - - 0 part.arc ' if version == '2' else ''}{len(block)}\n".encode() + block + b"\n"
+
+
+def arc_record(record: tuple[str, str, str, str, bytes], at: int, version: str = "1") -> bytes:
+    """A (url, ip, date, type, body) record at this place of its file; version 2 also has status and checksum."""
+    url, ip, date, kind, body = record
+    middle = f"200 {hashlib.md5(body).hexdigest()} - {at} part.arc " if version == "2" else ""
+    return b"".join((f"{url} {ip} {date} {kind} {middle}{len(body)}\n".encode(), body, b"\n"))
+
+
+def arc_file(records: list[tuple[str, str, str, str, bytes]], version: str = "1") -> bytes:
+    out = bytearray(arc_head(version))
+    for r in records:
+        out += arc_record(r, len(out), version)
+    return bytes(out)
 
 
 def split_http(body: bytes) -> tuple[bytes, bytes]:
@@ -90,121 +109,189 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_arc(pages: DataFrame, version: str = "1") -> DataFrame:
-    """page_id, arc: each page as an ARC file of one record whose HTTP head carries the page's id."""
+def _batch(rows: list[tuple], ddl: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ddl.split(", ")])
+
+
+def _written(files: DataFrame, path: str, end: bytes) -> None:
+    """Each value of the binary column `file` as a file of its own; the writer puts `end` behind it."""
+    lines = files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1"))
+    lines.option("maxRecordsPerFile", 1).text(path)
+
+
+def write_arc(pages: DataFrame, path: str, version: Column | None = None, date: Column | None = None, size: int = FILE_BYTES) -> None:
+    """ARC files of pages (page_id, url, html). Every task has an open file of each version; a record's HTTP head carries the page's id.
+
+    version: "1" (the default) or "2" for each row; date: fourteen digits, by default the first second of 2020.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_files: dict[str, bytearray] = {}
+        done = lambda data: pa.RecordBatch.from_arrays([pa.array([bytes(data[:-1])], pa.binary())], ["file"])
         for batch in batches:
-            out = []
-            for key, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for key, url, html, v, when in zip(*batch.columns, strict=True):
                 named = b"" if key.as_py() is None else f"X-Page-Id: {key.as_py()}\r\n".encode()
                 url = re.sub(r"[\r\n]", "", url.as_py() or "unknown:")
-                out.append(arc_file([(url, "0.0.0.0", "20200101000000", "text/html", b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + named + b"\r\n" + (html.as_py() or "").encode())], version))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["page_id", "arc"])
+                body = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n" + named + b"\r\n" + (html.as_py() or b"")
+                data = open_files.setdefault(v.as_py(), bytearray(arc_head(v.as_py())))
+                data += arc_record((url, "0.0.0.0", when.as_py(), "text/html", body), len(data), v.as_py())
+                if len(data) >= size:
+                    yield done(open_files.pop(v.as_py()))
+        for data in open_files.values():
+            yield done(data)
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, arc binary")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"), (F.lit("1") if version is None else version), (F.lit("20200101000000") if date is None else date))
+    # a record ends with a line break, which the writer puts behind the last one
+    _written(rows.mapInArrow(run, "file binary"), path, b"\n")
 
 
-RECORD = "page_id long, record_id string, warc_date string, uri string, http string, payload string, payload_bytes long, payload_digest string, error string"
+RECORD = "record_id string, page_id long, warc_date string, uri string, http binary, payload binary, payload_bytes long, payload_digest string, error string"
+_RECORD = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string()]
 
 
-def from_arc(arcs: DataFrame, column: str = "arc") -> DataFrame:
-    """The records of ARC files with what WARC needs: identifier, timestamp, digest, head and payload."""
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all ARC files below path with what WARC needs: identifier, timestamp, digest, head and payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
-            rows = []
-            for data in batch.column(0):
-                try:
-                    found = list(parse_arc(data.as_py() or b""))
-                except ValueError as e:
-                    found = [{"url": None, "body": None, "error": str(e)}]
-                for r in found:
+            for file, data in zip(*batch.columns, strict=True):
+                rows, size = [], 0
+                name = file.as_py()
+                for r in _parsed(data.as_py() or b""):
                     head, payload = split_http(r["body"] or b"")
                     key = re.search(rb"(?im)^x-page-id: (-?\d+)\r$", head)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key[1].decode() if key else ''} {r.get('date')} {r['url']} {digest}")
-                    rows.append((int(key[1]) if key else None, f"<urn:uuid:{name}>", _iso(r.get("date", "")), r["url"], head.decode("latin-1"), payload.decode("utf-8", "replace"), len(payload), digest, r["error"]))
-            kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [()] * 9, kinds, strict=True)], names)
+                    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r['at']}")
+                    rows.append((f"<urn:uuid:{identity}>", int(key[1]) if key else None, _iso(r.get("date", "")), r["url"], head, payload, len(payload), hashlib.sha256(payload).hexdigest(), r["error"]))
+                    size += len(payload)
+                    if size > 1 << 22:
+                        yield _batch(rows, RECORD, _RECORD)
+                        rows, size = [], 0
+                yield _batch(rows, RECORD, _RECORD)
 
-    return arcs.select(column).mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD)
 
 
-def typed(records: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
-    """record_type and refers_to: of equal payloads of `smallest` bytes or more, the first page_id is the response."""
-    good = records.where("error is null")
-    groups = good.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = good.join(groups, "payload_digest", "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return out.select("*", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")).drop("first_id")
+def _parsed(data: bytes) -> Iterator[dict]:
+    try:
+        yield from parse_arc(data)
+    except ValueError as e:
+        yield {"at": 0, "url": None, "body": None, "error": f"{e}, {len(data)} bytes unread"}
 
 
-def warc_record(stored_payload: bool = True) -> Column:
-    """The text of a record but its closing blank lines. A revisit keeps its payload only if asked to."""
-    revisit = F.col("record_type") == "revisit"
-    body = F.concat(F.col("http"), F.when(~revisit | F.lit(stored_payload), F.col("payload")).otherwise(""))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
-    return F.concat(
-        F.lit("WARC/1.0\r\n"),
-        line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("warc_date")), line("WARC-Target-URI", F.col("uri")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("X-Refers-To-Page", F.col("refers_to")))).otherwise(""),
-        F.coalesce(line("X-Page-Id", F.col("page_id")), F.lit("")),
-        F.lit("Content-Type: application/http;msgtype=response\r\n"), line("Content-Length", F.octet_length(body)),
-        F.lit("\r\n"), body,
-    )
+def revisits(records: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
+    """record_id, first: of equal payloads of `smallest` bytes or more, those after the first page_id, and what they repeat."""
+    good = records.where(F.col("error").isNull() & (F.col("payload_bytes") >= smallest)).select("payload_digest", "page_id", "record_id", "uri", "warc_date")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "warc_date")).alias("first")
+    groups = stored(good.groupBy("payload_digest").agg(least, F.count("*").alias("n")).where("n > 1"), "digests")
+    met = spread(good.select("payload_digest", "page_id", "record_id"), groups, ["payload_digest"], ["record_id"])
+    return met.where(F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("record_id", "first")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """WARC files, compressed as a whole: every record ends with two line breaks, which is the writer's separator."""
-    records.select(warc_record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def warc_record(kind: str, record_id: str, date: str, body: bytes, fields: list[tuple[str, str]], content: str) -> bytes:
+    """A record as a gzip member of its own."""
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", date), *fields, ("Content-Type", content), ("Content-Length", str(len(body)))]
+    text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
+    return gzip.compress(text.encode() + body + b"\r\n\r\n", 4, mtime=0)
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, error string"
+def _info(first_id: str) -> bytes:
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, first_id)}>"
+    return warc_record("warcinfo", name, "2020-01-01T00:00:00Z", b"software: gridwright\r\nformat: WARC File Format 1.0\r\n", [], "application/warc-fields")
+
+
+def write_warc(records: DataFrame, found: DataFrame, path: str, size: int = FILE_BYTES) -> None:
+    """WARC files of the records without errors; found: revisits(). A revisit keeps its payload, so that nothing is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = bytearray()
+        for batch in batches:
+            for i in range(len(batch)):
+                name, page, date, uri, http, payload, digest, first = (c[i].as_py() for c in batch.columns)
+                fields = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                if first:
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", first["warc_date"]), ("X-Refers-To-Page", str(first["page_id"]))]
+                if page is not None:
+                    fields.append(("X-Page-Id", str(page)))
+                data = data or bytearray(_info(name))
+                data += warc_record("revisit" if first else "response", name, date, http + payload, fields, "application/http;msgtype=response")
+                if len(data) >= size:
+                    yield pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], ["file"])
+                    data = bytearray()
+        if data:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], ["file"])
+
+    good = records.where("error IS NULL").select("record_id", "page_id", "warc_date", "uri", "http", "payload", "payload_digest")
+    _written(good.join(found, "record_id", "left").mapInArrow(run, "file binary"), path, NO_BYTES)
+
+
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, error string"
+_READ = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of the gzip members of a file, one by one."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        expand, parts = zlib.decompressobj(31), []
+        while not expand.eof:
+            if at >= len(view):
+                raise zlib.error("truncated member")
+            step = view[at : at + (1 << 16)]
+            parts.append(expand.decompress(step))
+            at += len(step) - len(expand.unused_data)
+        yield b"".join(parts)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below path, payload measured and digested from the bytes read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in READ.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for data in batch.column(0):
-                rows = list(_records(gzip.decompress(data.as_py())))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names)
+                rows = []
+                try:
+                    rows += (row for m in members(data.as_py()) if m and (row := _described(m)))
+                except zlib.error as e:
+                    rows.append((*[None] * 7, f"broken member: {e}"))
+                yield _batch(rows, READ, _READ)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
-def _records(data: bytes) -> Iterator[tuple]:
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        head = data[at:stop].decode("utf-8").split("\r\n") if stop >= 0 else [""]
-        fields = dict(x.split(": ", 1) for x in head[1:] if ": " in x)
-        size = int(fields.get("Content-Length", -1))
-        body = data[stop + 4 : stop + 4 + size]
-        if not head[0].startswith("WARC/") or size < 0 or len(body) != size:
-            yield (None, None, None, None, None, None, "broken record")
-            return
-        payload = split_http(body)[1]
-        digest = hashlib.sha256(payload).hexdigest()
-        wrong = None if fields.get("WARC-Payload-Digest") == f"sha256:{digest}" else "digest differs"
-        key, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
-        yield (key and int(key), len(payload), digest, fields.get("WARC-Type"), refers and int(refers), fields.get("WARC-Record-ID"), wrong)
-        at = stop + 4 + size + 4
+def _described(record: bytes) -> tuple | None:
+    """READ of one record; none for the record about the file."""
+    stop = record.find(b"\r\n\r\n")
+    head = record[: max(stop, 0)].decode("utf-8", "replace").split("\r\n")
+    fields = dict(x.split(": ", 1) for x in head[1:] if ": " in x)
+    size = fields.get("Content-Length", "")
+    body = record[stop + 4 : -4]
+    if not head[0].startswith("WARC/") or not size.isdigit() or len(body) != int(size) or record[-4:] != b"\r\n\r\n":
+        return (*[None] * 7, "broken record")
+    if fields.get("WARC-Type") == "warcinfo":
+        return None
+    payload = split_http(body)[1]
+    digest = hashlib.sha256(payload).hexdigest()
+    wrong = None if fields.get("WARC-Payload-Digest") == f"sha256:{digest}" else "digest differs"
+    key, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
+    return (key and int(key), len(payload), digest, fields.get("WARC-Type"), refers and int(refers), fields.get("WARC-Record-ID"), fields.get("WARC-Refers-To"), wrong)
+
+
+def convert(spark: SparkSession, arcs: str, warcs: str, size: int = FILE_BYTES) -> DataFrame:
+    """All ARC files below the folder arcs become WARC files in the folder warcs; what is there is read back, with a row for each error."""
+    records = stored(read_arc(spark, arcs), "records")
+    write_warc(records, revisits(records), warcs, size)
+    none = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in READ.split(", ")}
+    errors = records.where("error IS NOT NULL").select(*(F.col(c) if c in ("page_id", "record_id", "error") else v.alias(c) for c, v in none.items()))
+    return read_warc(spark, warcs).unionByName(errors)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages as ARC, converted, written as WARC to the shared folder, read back."""
+    """pages as ARC files of both versions, converted to WARC files in the shared folder, read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    records = typed(from_arc(to_arc(pages)))
-    path = new_path(spark, "warc")
-    write_warc(records, path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    arcs, warcs = new_path(spark, "arc"), new_path(spark, "warc")
+    write_arc(pages, arcs, F.when(F.col("page_id") % 2 == 0, "2").otherwise("1"))
+    return convert(spark, arcs, warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = """
