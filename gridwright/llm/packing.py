@@ -5,7 +5,8 @@ of the smallest window that holds it (256, 512, 1024 or 2048). Tiers are packed
 down: a window opens with the longest remainder of its tier, gaps are filled best fit from the same and
 shorter tiers, and what gap then is left takes the head of one more remainder. So windows are exactly
 full. What is left at the end of a partition is cut at powers of two, which need no padding either.
-Windows are dealt to step groups of equal token count, the costliest (sum of squared piece lengths) first.
+Windows wait until GROUPS step groups of exactly STEP_TOKENS can be made of them, and are dealt to these so that
+costs (sums of squared piece lengths) are level; only the last group of a partition may hold less.
 
 Packing streams over the partitions of its input in blocks of BLOCK remainders: nothing is shuffled, and
 memory is bounded whatever the number of equal keys. Ids of sequences hold the partition's number, so a
@@ -35,8 +36,8 @@ WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 BLOCK = 2048
-#: Tokens of a step group.
-STEP_TOKENS = 16 * WINDOW
+#: Tokens of a step group, and how many groups are levelled at once.
+STEP_TOKENS, GROUPS = 16 * WINDOW, 8
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -104,19 +105,21 @@ class Packer:
             left -= w
 
 
-def step_groups(costs: list[int], lengths: list[int]) -> list[int]:
-    """A group for each window: token counts stay within STEP_TOKENS, costs are levelled, costliest first."""
-    n = max(1, -(-sum(lengths) // STEP_TOKENS))
-    heap, out = [(0, g, 0) for g in range(n)], [0] * len(costs)
-    for i in sorted(range(len(costs)), key=lambda i: -costs[i]):
-        held = []
-        while heap and heap[0][2] + lengths[i] > STEP_TOKENS:
-            held.append(heapq.heappop(heap))
-        cost, g, tokens = heapq.heappop(heap) if heap else (0, n, 0)
-        n += g == n
+def step_groups(costs: list[int], lengths: list[int], last: bool = False) -> list[int]:
+    """A group for each window, -1: it waits for a later one. Groups have exactly STEP_TOKENS; with last, one more takes the rest.
+
+    Lengths are powers of two and come longest first, so a group with room always has room for the next window. It
+    goes to the group of least cost, costliest windows of a length first.
+    """
+    n = sum(lengths) // STEP_TOKENS
+    heap, out = [(0, g, 0) for g in range(n)], [n if last else -1] * len(costs)
+    for i in sorted(range(len(costs)), key=lambda i: (-lengths[i], -costs[i])):
+        if not heap:
+            break
+        cost, g, tokens = heapq.heappop(heap)
         out[i] = g
-        for x in (*held, (cost + costs[i], g, tokens + lengths[i])):
-            heapq.heappush(heap, x)
+        if tokens + lengths[i] < STEP_TOKENS:
+            heapq.heappush(heap, (cost + costs[i], g, tokens + lengths[i]))
     return out
 
 
@@ -131,20 +134,27 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         encoder, packer, sequences, steps = Encoder(vocabulary), Packer(), 0, 0
+        waiting: list[list[tuple]] = []
 
-        def rows(windows: list[list[tuple]]) -> pa.RecordBatch:
+        def rows(windows: list[list[tuple]], last: bool = False) -> Iterator[pa.RecordBatch]:
             nonlocal sequences, steps
-            lengths = [sum(len(p[2]) for p in w) for w in windows]
-            groups = step_groups([sum(len(p[2]) ** 2 for p in w) for w in windows], lengths)
-            out = []
-            for w, size, g in zip(windows, lengths, groups, strict=True):
+            waiting.extend(windows)
+            lengths = [sum(len(p[2]) for p in w) for w in waiting]
+            if sum(lengths) < GROUPS * STEP_TOKENS and not last or not waiting:
+                return
+            groups, out, left = step_groups([sum(len(p[2]) ** 2 for p in w) for w in waiting], lengths, last), [], []
+            for w, size, g in zip(waiting, lengths, groups, strict=True):
+                if g < 0:
+                    left.append(w)
+                    continue
                 offset = 0
                 for (doc_id, tokens), start, ids in w:
                     out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, base + sequences, offset, size, base + steps + g))
                     offset += len(ids)
                 sequences += 1
-            steps += max(groups, default=-1) + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            waiting[:] = left
+            steps += max(groups) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             for lo in range(0, len(batch), 256):
@@ -160,9 +170,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 if len(packer) >= BLOCK:
                     whole += packer.windows(last=False)
                 if whole:
-                    yield rows(whole)
-        if len(packer):
-            yield rows(list(packer.windows(last=True)))
+                    yield from rows(whole)
+        yield from rows(list(packer.windows(last=True)), last=True)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
