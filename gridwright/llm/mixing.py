@@ -12,18 +12,22 @@ inside a struct, so that names never clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .storage import stored
+from .storage import as_struct, stored
 
 SEED = 17
 TEMPERATURE = 0.7
-#: Rows of the rate table up to which it is broadcast; beyond, a salted join.
-BROADCAST_ROWS = 20_000
+#: Bytes of the rate table up to which it is broadcast; beyond, a salted join.
+BROADCAST_BYTES = 8 << 20
 SALTS = 64
+#: Factorials up to here come from a table.
+SMALL = 32
 
 
 def source_key(source: Column) -> Column:
@@ -50,13 +54,21 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 
 def cutoffs(rate: DataFrame) -> DataFrame:
-    """source_key, rate, cdf: P(n <= k) for k = 0, 1, ... until it is 1 in double precision."""
-    k = F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")))
+    """source_key, rate, low, cdf: P(n <= k) for k = low, low + 1, ... until it is 1 in double precision.
+
+    All below low together is less likely than 10^-30, so even a rate of millions needs some ten thousand steps.
+    """
+    spread = 12 * F.sqrt("rate") + 40
+    low, high = F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("long"), F.ceil(F.col("rate") + spread).cast("long")
     run = W.partitionBy("source_key").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    steps = rate.select("source_key", "rate", k.alias("k")).withColumn("log_fact", F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(run))
-    mass = F.when(F.col("rate") > 0, F.exp(-F.col("rate") + F.col("k") * F.log("rate") - F.col("log_fact"))).otherwise((F.col("k") == 0).cast("double"))
-    below = steps.withColumn("cdf", F.sum(mass).over(run)).groupBy("source_key", "rate").agg(F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("steps"))
-    return below.select("source_key", "rate", F.transform("steps", lambda s: s["cdf"]).alias("cdf"))
+    steps = rate.select("source_key", "rate", low.alias("low"), F.explode(F.sequence(low, high)).alias("k"))
+    k, mean = F.col("k").cast("double"), F.col("rate")
+    # small factorials by table, large ones by Stirling's series around the mean, which loses no digits
+    few = F.exp(-mean + k * F.log(mean) - F.array(*(F.lit(math.lgamma(i + 1)) for i in range(SMALL)))[F.least("k", F.lit(SMALL - 1)).cast("int")])
+    many = F.exp(k - mean - k * F.log(k / mean) - (1 / (12 * k) - 1 / (360 * k**3) + 1 / (1260 * k**5))) / F.sqrt(2 * math.pi * k)
+    mass = F.when(mean <= 0, (k == 0).cast("double")).when(k < SMALL, few).otherwise(many)
+    below = steps.withColumn("cdf", F.sum(mass).over(run)).groupBy("source_key", "rate", "low").agg(F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("steps"))
+    return below.select("source_key", "rate", "low", F.transform("steps", lambda s: s["cdf"]).alias("cdf"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -64,15 +76,15 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), text)
     table = stored(cutoffs(rates(docs.select(source_key(F.col("source")).alias("source_key"), F.length(text).alias("size")), weights, temperature)), "rates")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("source_key"), F.md5(name).alias("digest"))
-    if table.count() <= BROADCAST_ROWS:
+    rows = docs.select(as_struct(docs).alias("row"), source_key(F.col("source")).alias("source_key"), F.md5(name).alias("digest"))
+    if (table.agg(F.sum(F.size("cdf") * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(table), "source_key")
     else:
         salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
         many = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", salt).join(many, ["source_key", "salt"])
     u = (F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    counted = joined.select("row", "digest", F.size(F.filter("cdf", lambda c: c < u)).alias("n_copies")).where("n_copies > 0")
+    counted = joined.select("row", "digest", (F.col("low") + F.size(F.filter("cdf", lambda c: c < u))).cast("int").alias("n_copies")).where("n_copies > 0")
     copies = counted.select("row", "digest", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     keyed = copies.select("row", "copy", "n_copies", _hex_long(F.concat("digest", F.lit("|"), F.col("copy").cast("string")), 15).alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
