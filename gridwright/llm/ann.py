@@ -10,13 +10,14 @@ until their recall reaches TARGET. Scores are exact, in double precision, on the
 
 Leaves over BLOCK classes are split, and so are the queries of a leaf over QUERIES.
 
-Cases: null, empty and zero vectors and those with null or non-finite components take no part; nor do
-vectors whose length is not the most frequent one; a null vec_id takes no part; rows that agree in
-vec_id and vector count once; fewer candidates than TOP give all; an empty table gives an empty table.
+Cases: null, empty and zero vectors and those with null or non-finite components take no part; vectors are
+compared with those of their own length, each length having a tree of its own; a null vec_id takes no part;
+rows that agree in vec_id and vector count once; fewer candidates than TOP give all; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ from .storage import stored
 TOP = 20
 QUERY_EVERY = 20
 LEAF, BRANCHES, MAX_LEAVES = 1000, 8, 4096
-SAMPLE = 65_536
+#: Vectors of the sample, and their components in all.
+SAMPLE, SAMPLE_VALUES = 65_536, 1 << 23
 CALIBRATION, TARGET = 200, 0.95
 BLOCK, QUERIES = 8192, 8192
 
@@ -42,8 +44,7 @@ def usable(rows: DataFrame) -> DataFrame:
     good = rows.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("v", lambda x: x != 0)
     )
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("v") == (common["d"] if common else 0)).select("id", "v", F.xxhash64("v").alias("cid"))
+    return good.select("id", "v", F.xxhash64("v").alias("cid"))
 
 
 class Tree:
@@ -160,7 +161,8 @@ def classes_of(rows: DataFrame, top: int) -> DataFrame:
 def fitted(classes: DataFrame) -> Tree:
     """The tree on the SAMPLE classes of least hash."""
     n, norm2 = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    rows = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
+    length = (classes.select(F.size("v")).first() or [1])[0]
+    rows = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(max(1, min(SAMPLE, SAMPLE_VALUES // length))).toArrow()
     return Tree(_matrix(rows.column("v")), min(MAX_LEAVES, max(1, -(-n // LEAF))), norm2 or 0.0)
 
 
@@ -207,6 +209,13 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 def search(rows: DataFrame, is_query, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where is_query(id) holds. rows: vec_id, embedding."""
     good = stored(usable(rows), "vectors")
+    lengths = sorted(r[0] for r in good.select(F.size("v")).distinct().collect())
+    if len(lengths) < 2:
+        return _search(good, is_query, top)
+    return functools.reduce(DataFrame.union, [_search(good.where(F.size("v") == n), is_query, top) for n in lengths])
+
+
+def _search(good: DataFrame, is_query, top: int) -> DataFrame:
     classes = stored(classes_of(good, top), "classes")
     tree = fitted(classes)
     leaves = stored(in_leaves(classes, tree), "leaves")
