@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import as_struct, quoted
 from .text import slices, utf8
 
 THRESHOLD = 0.5
@@ -51,6 +52,8 @@ request reset response result return root row run sample save schema script sear
 status string style sub table tag target temp test text that the this time title token total true type update url use user util value version view
 void web with word world write your
 """.split()
+#: The longest word of four letters or more at each place, whatever lies before it.
+_WORDS = re.compile("(?=(" + "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)) + "))")
 _KIND = np.full(256, 3, dtype=np.int64)
 for _span, _k in ((string.digits, 0), (string.ascii_lowercase, 1), (string.ascii_uppercase, 2)):
     _KIND[[ord(c) for c in _span]] = _k
@@ -98,7 +101,7 @@ class Pairs:
 
 
 def pair_counts(docs: DataFrame) -> dict[int, int]:
-    """Counts of lower-case byte pairs over all whole texts; at most 65,536 rows come to the driver."""
+    """Counts of byte pairs inside all whole texts; at most 65,536 rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, dtype=np.int64)
@@ -106,7 +109,11 @@ def pair_counts(docs: DataFrame) -> dict[int, int]:
             raw, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets):
                 part = raw[offsets[lo] : offsets[hi]].astype(np.int64)
-                total += np.bincount(part[:-1] * 256 + part[1:], minlength=65536)
+                pairs = part[:-1] * 256 + part[1:]
+                inside = np.ones(len(pairs), dtype=bool)
+                border = offsets[lo + 1 : hi] - offsets[lo]
+                inside[border[(border > 0) & (border < len(part))] - 1] = False
+                total += np.bincount(pairs[inside], minlength=65536)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "n"])
 
@@ -120,13 +127,9 @@ def features(value: str, left: str, right: str, path: str, pairs: Pairs) -> list
     n = len(kind)
     share = np.bincount(kind, minlength=4) / n
     _, counts = np.unique(np.frombuffer(raw, dtype=np.uint8), return_counts=True)
-    low = value.lower()
-    covered = np.zeros(len(low), dtype=bool)
-    for w in DICTIONARY:
-        at = low.find(w) if len(w) > 3 else -1
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            at = low.find(w, at + 1)
+    covered = np.zeros(n, dtype=bool)
+    for m in _WORDS.finditer(value.lower()):
+        covered[m.start() : m.end(1)] = True
     same = max(len(m.group()) for m in re.finditer(r"(.)\1*", value, re.S))
     letters = max((len(m) for m in re.findall(r"[A-Za-z]+", value)), default=0)
     p = counts / n
@@ -306,13 +309,13 @@ def redacted(docs: DataFrame, model: Forest, path: str | None = "source", thresh
             yield pa.RecordBatch.from_arrays([batch.column(0), new], ["row", "new"])
 
     where = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    both = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), where.alias("path"))
+    both = docs.select(as_struct(docs).alias("row"), F.col("text").cast("string").alias("text"), where.alias("path"))
     done = both.mapInArrow(run, both.select("row").schema.add("new", "string"))
     text = F.coalesce("new", F.col("row.text"))
     out = {"text": text.cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return done.select(*(out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return done.select(*(out.get(c, F.col("row." + quoted(c))).alias(c) for c in docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
