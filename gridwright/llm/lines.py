@@ -2,7 +2,7 @@
 
 Rank is (doc_id, position); a null doc_id comes last. Digests are grouped with map-side aggregation, so a
 unit that a third of the documents hold costs one row for each task. Occurrences meet the repeated digests
-in a join; of digests so frequent that one task would suffer, few can exist, and those are broadcast.
+in a join that deals the occurrences of a hot digest to many tasks.
 
 dedup_units() takes each line or paragraph for itself. dedup_passages() looks inside lines too: its units are
 lines and the sentences in them, and what is hashed is a window, the shortest run of consecutive units from
@@ -27,14 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import spread
 from .storage import stored
 from .text import slices, utf8
 
 MIN_WORDS = 5
 #: Words of a passage. A unit counts its words, or one for WIDE characters where that is more (scripts without blanks).
 PASSAGE, WIDE = 30, 8
-#: A digest is hot from so many occurrences on, or from 1/HOT_SHARE of all: so at most HOT_SHARE digests are hot.
-HOT, HOT_SHARE = 10_000, 10_000
 #: Separators of units, as regular expressions.
 UNITS = {"line": "\n", "paragraph": "\n[ \t\r\n]*\n"}
 
@@ -172,11 +171,7 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     """row, pos, units, first of all windows that occur more than once; first: it is the earliest one."""
     place = F.struct("no_id", "id", "body", "pos")
     again = stored(found.groupBy("digest").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1"), "repeats")
-    limit = max(HOT, found.count() // HOT_SHARE)
-    hot, cold = (again.where(x).drop("n") for x in (F.col("n") > limit, F.col("n") <= limit))
-    # the bound on hot digests makes this a broadcast of at most HOT_SHARE rows
-    met = found.join(F.broadcast(hot), "digest").unionByName(found.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest"))
-    return met.select(F.struct("no_id", "id", "body").alias("row"), "pos", "units", (place == F.col("least")).alias("first"))
+    return spread(found, again, ["digest"], ["id", "body", "pos"]).select(F.struct("no_id", "id", "body").alias("row"), "pos", "units", (place == F.col("least")).alias("first"))
 
 
 def dedup_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import as_struct, quoted, stored
 
 FRAME = 64
 FRAMES_PER_CHUNK = 64
@@ -201,14 +201,14 @@ def _described(media: bytes | None) -> dict:
 def index_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df's columns but the container, and what its boxes say, as the struct ``media_index``."""
     kept = [c for c in df.columns if c != media]
-    schema = T.StructType([T.StructField("kept", df.select(*kept).schema), T.StructField("media_index", T.StructType.fromDDL(INDEX))])
+    schema = T.StructType([T.StructField("kept", df.select(*map(quoted, kept)).schema), T.StructField("media_index", T.StructType.fromDDL(INDEX))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.array([_described(m.as_py()) for m in batch.column(1)], ARROW)
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["kept", "media_index"])
 
-    out = df.select(F.struct(*kept).alias("kept"), F.col(media)).mapInArrow(run, schema)
+    out = df.select(as_struct(df, kept).alias("kept"), F.col(quoted(media))).mapInArrow(run, schema)
     return out.select("kept.*", "media_index")
 
 
@@ -223,5 +223,5 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's payload in a container, stored as a table of media columns, read back and indexed."""
     media = stored(mux_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     found = index_media(media)
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "n_keyframes"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "n_keyframes", "keyframes"]
     return found.select("doc_id", "n_bytes", *(F.col(f"media_index.{x}").alias(x) for x in names))

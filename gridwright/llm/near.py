@@ -1,7 +1,7 @@
 """Near-duplicate documents by DartMinHash over weighted five-word shingles.
 
 A document is the multiset of its shingles of five words (lower case, split at white space; under five
-words: all of them), a shingle weighing as often as it occurs. Each unit of weight of an element is a
+words: all of them), a shingle weighing as often as it occurs: weights are whole numbers. Each unit of weight of an element is a
 column on which darts arrive as a Poisson process of hashed exponential gaps. A document of weight W
 looks at the darts up to rank t / W, about t in all whatever its length; each dart falls into one of K
 coordinates and the earliest one there is the coordinate's value. If a coordinate stays empty, t doubles.
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .components import components
-from .storage import stored
+from .skew import spread
+from .storage import as_struct, stored
 from .text import U64, mix, prefix_hash, range_hash, slices, utf8, words
 
 SHINGLE = 5
@@ -223,9 +224,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         wide = named.join(open_keys.where(F.col("n") > SMALL), "key", "left_semi")
         blocks = _in_blocks(wide, docs, names, similarity) if wide.head(1) else links.limit(0)
         labels = stored(components(links.union(again).union(blocks)), "labels")
-    named = names.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "id", F.coalesce("label", "uid").alias("label"))
-    firsts = named.groupBy("label").agg(F.min(F.struct("id", "uid")).alias("least"))
-    return rows, stored(named.join(firsts, "label").select("uid", F.col("least.id").alias("class_id"), F.col("least.uid").alias("first_uid")), "classes")
+    named = stored(names.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "id", F.coalesce("label", "uid").alias("label")), "labelled")
+    firsts = stored(named.groupBy("label").agg(F.min(F.struct("id", "uid")).alias("least"), F.count("*").alias("n")), "firsts")
+    return rows, stored(spread(named, firsts, ["label"], ["uid"]).select("uid", F.col("least.id").alias("class_id"), F.col("least.uid").alias("first_uid")), "classes")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +314,7 @@ def deduped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs' own columns, of each class the document with the least doc_id alone."""
     _, found = classes(docs, similarity)
     firsts = found.where("uid = first_uid").select("uid", F.col("class_id").alias("id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), order_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("uid"))
+    rows = docs.select(as_struct(docs).alias("row"), order_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("uid"))
     kept = rows.join(firsts, ["uid", "id"])
     # rows that agree in doc_id and text are one document
     one = F.row_number().over(W.partitionBy("uid", "id").orderBy("id"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import as_struct
 from .text import U64, mix, prefix_hash, range_hash, slices, utf8, words
 
 THRESHOLD = 0.7
@@ -209,7 +210,7 @@ def scored(docs: DataFrame, model: Additive) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model(features(batch.column(1))), pa.float64())], ["row", "score"])
 
-    both = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    both = docs.select(as_struct(docs).alias("row"), F.col("text").cast("string").alias("text"))
     return both.mapInArrow(run, both.select("row").schema.add("score", "double"))
 
 

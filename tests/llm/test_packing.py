@@ -78,12 +78,24 @@ def test_edges_of_input(spark, whole):
 
 
 def test_step_groups_hold_a_budget_and_level_costs():
-    lengths = [2048] * 40 + [1024] * 16
+    lengths = [2048] * 36 + [1024] * 16
     costs = [n * n for n in lengths]
-    groups = packing.step_groups(costs, lengths)
+    groups = packing.step_groups(costs, lengths, last=True)
     tokens, cost = defaultdict(int), defaultdict(int)
     for g, n, c in zip(groups, lengths, costs, strict=True):
         tokens[g] += n
         cost[g] += c
-    assert max(tokens.values()) <= packing.STEP_TOKENS
-    assert max(cost.values()) - min(cost.values()) <= 3 * 2048**2
+    assert sorted(tokens.values())[1:] == [packing.STEP_TOKENS] * 2 and len(tokens) == 3
+    full = [cost[g] for g in tokens if tokens[g] == packing.STEP_TOKENS]
+    assert max(full) - min(full) <= 2048**2
+    waits = packing.step_groups(costs, lengths)
+    assert [g < 0 for g in waits] == [g == 2 for g in groups]
+
+
+def test_step_groups_are_full_but_for_the_last_of_a_partition(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").repartition(2, "doc_id")
+    tokens = defaultdict(int)
+    for r in packing.pack(docs).collect():
+        tokens[r.step_group] += r.length
+    short = [g for g, n in tokens.items() if n != packing.STEP_TOKENS]
+    assert len(tokens) > 12 and len({g >> 40 for g in short}) == len(short) <= 2 and max(tokens.values()) == packing.STEP_TOKENS

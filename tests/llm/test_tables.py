@@ -1,14 +1,17 @@
 """Archives, line dedup and mixing: SQL oracles and small edge cases."""
 
+import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from gridwright.llm import lines, mixing, queries, warc
+from gridwright.llm import lines, media, mixing, near, quality, queries, secrets, skew, warc
 
 
 def rows_of(frame_rows, columns):
@@ -34,7 +37,7 @@ def test_arc_records_are_read_by_declared_length(version):
     data = warc.arc_file(records, version)
     found = list(warc.parse_arc(data))
     assert [(r["url"], r["ip"], r["date"], r["type"], r["body"]) for r in found] == records
-    assert list(warc.parse_arc(data[:-20]))[-1]["error"]
+    assert list(warc.parse_arc(data[:-1] + b"\nodd line\nmore\n"))[-1]["error"] == "bad header line, 14 bytes unread"
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"nothing"))
     with pytest.raises(ValueError):
@@ -45,16 +48,34 @@ def test_arc_records_are_read_by_declared_length(version):
 def test_warc_round_trip_of_edges(spark, tmp_path):
     big = "ä\r\n\r\nWARC/1.0\r\n" * 30
     rows = [(3, "u", big), (1, None, big), (1, None, big), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (None, "u", "none"), (8, "u\n2", ""), (None, "u", big)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, http int")
-    records = warc.typed(warc.from_arc(warc.to_arc(pages, "2")))
-    warc.write_warc(records, str(tmp_path / "w"))
-    out = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, http int").repartition(2)
+    warc.write_arc(pages, str(tmp_path / "a"), F.when(F.col("page_id") > 4, "2").otherwise("1"), size=3000)
+    out = warc.convert(spark, str(tmp_path / "a"), str(tmp_path / "w"), size=300).collect()
+    names = {r.record_id: r for r in out}
+    assert len(names) == len(rows) and all(names[r.refers_to_record].page_id == r.refers_to for r in out if r.record_type == "revisit")
     assert len(out) == len(rows) and not any(r.error for r in out)
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = Counter((i, len((t or "").encode()), digest(t), "revisit" if t == big and i != 1 else "response", 1 if t == big and i != 1 else None) for i, _, t in rows)
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
-    warc.write_warc(warc.typed(warc.from_arc(warc.to_arc(pages.limit(0)))), str(tmp_path / "e"))
-    assert warc.typed(warc.from_arc(warc.to_arc(pages.limit(0)))).count() == 0
+    # members stand alone, one to a record
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 2 and sum(m.startswith(b"WARC/1.0\r\nWARC-Type: re") for f in files for m in warc.members(f)) == len(rows)
+    assert all(gzip.decompress(f) == b"".join(warc.members(f)) for f in files)
+    warc.write_arc(pages.limit(0), str(tmp_path / "ea"))
+    assert warc.convert(spark, str(tmp_path / "ea"), str(tmp_path / "ew")).count() == 0
+
+
+def test_archives_keep_bytes_and_report_errors(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    raw = bytes(range(256)) * 3
+    good = warc.arc_file([("http://a/", "0.0.0.0", "19990101000000", "image/png", raw), ("http://b/", "0.0.0.0", "19990101000001", "image/png", b"HTTP/1.0 200 OK\r\n\r\n" + raw)], "2")
+    (tmp_path / "a" / "1.arc").write_bytes(good)
+    (tmp_path / "a" / "2.arc").write_bytes(good[:-300])
+    (tmp_path / "a" / "3.arc").write_bytes(b"no archive")
+    out = warc.convert(spark, str(tmp_path / "a"), str(tmp_path / "w")).collect()
+    digest = hashlib.sha256(raw).hexdigest()
+    assert [r.payload_digest for r in out if not r.error] == [digest] * 3
+    assert sorted(r.error for r in out if r.error) == ["no version block, 10 bytes unread", f"truncated record, {len(raw) + 19 - 299} of {len(raw) + 19} bytes there"]
 
 
 def test_line_dedup_of_short_and_unspaced_lines(spark, tmp_path):
@@ -138,8 +159,8 @@ def test_hot_passages_are_joined_apart(spark, monkeypatch):
     text = "One two three four. Five six seven eight."
     docs = spark.createDataFrame([(i, f"{i} own words are here. {text}") for i in range(40)], "doc_id long, text string")
     cold = Counter(map(str, lines.dedup_passages(docs, 5).collect()))
-    monkeypatch.setattr(lines, "HOT", 1)
-    monkeypatch.setattr(lines, "HOT_SHARE", 1000)
+    monkeypatch.setattr(skew, "HOT", 1)
+    monkeypatch.setattr(skew, "HOT_SHARE", 1000)
     assert Counter(map(str, lines.dedup_passages(docs, 5).collect())) == cold
     assert sum(x.n_removed for x in lines.dedup_passages(docs, 5).collect()) == 78
 
@@ -149,12 +170,35 @@ def test_mixing_meets_target_weights(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     counts = Counter(r.source for r in mixing.mixed(docs, weights={"big": 1.0, "small": 1.0}).collect())
     assert abs(counts["big"] - 2000) < 180 and abs(counts["small"] - 2000) < 180
+    rare = docs.where("doc_id < 40").withColumn("source", F.when(F.col("doc_id") == 0, "tiny").otherwise("big"))
+    copies = mixing.mixed(rare, weights={"tiny": 1.0, "big": 1e-4}).groupBy("source").count().collect()
+    assert [r["source"] for r in copies] == ["tiny"] and len(copies) == 1 and 10 < copies[0]["count"] < 75
     again = mixing.replicate(docs, weights={"big": 1.0, "small": 1.0}).groupBy("row.doc_id").count().collect()
     assert max(r["count"] for r in again if r.doc_id % 10 == 0) > 5
     only = mixing.mixed(docs, weights={"small": 1.0})
     assert {r.source for r in only.collect()} == {"small"}
 
 
+def test_column_names_of_any_kind(spark):
+    wide = spark.createDataFrame([(1, "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\"", "s", 1, 2)], "doc_id long, text string, source string, `a.b` int, `c``.d` int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (quality.kept_only(wide, labels, 0.0), near.deduped(wide), mixing.mixed(wide), secrets.redacted(wide, secrets.Forest([], secrets.Pairs({})))):
+        assert out.columns == wide.columns and out.count() == 1 and out.first()[3:] == (1, 2)
+    kept = media.index_media(media.mux_texts(wide).withColumnRenamed("n_bytes", "n.bytes"))
+    assert kept.columns == ["doc_id", "n.bytes", "media_index"] and kept.first()[2]["keyframes"]
+
+
+def test_rates_of_millions_need_few_steps(spark):
+    given = spark.createDataFrame([("a", 3e6), ("b", 200.0), ("c", 0.0), ("d", 2.5)], "source_key string, rate double")
+    got = {r.source_key: (r.low, r.cdf) for r in mixing.cutoffs(given).collect()}
+    assert len(got["a"][1]) < 50_000 and got["a"][0] > 2.9e6 and got["c"] == (0, [1.0] * 41)
+    for key, rate in (("a", 3e6), ("b", 200.0), ("d", 2.5)):
+        low, cdf = got[key]
+        assert abs(cdf[-1] - 1) < 1e-9 and abs(low + sum(1 - c for c in cdf) - rate) < 1e-4 * rate**0.5
+    exact = [sum(math.exp(-2.5 + i * math.log(2.5) - math.lgamma(i + 1)) for i in range(k + 1)) for k in range(40)]
+    assert max(abs(a - b) for a, b in zip(got["d"][1], exact, strict=False)) < 1e-12
+
+
 def test_mixing_of_edges(spark, monkeypatch):
     rows = [(1, None, "a"), (2, "", "a"), (None, "text " * 50, None), (3, "text " * 50, "b"), (3, "text " * 50, "b"), (4, "z" * 100_000, "c")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, cdf double")
@@ -162,5 +206,5 @@ def test_mixing_of_edges(spark, monkeypatch):
     assert one.columns == docs.columns
     assert mixing.mixed(docs.limit(0)).count() == 0
     first = sorted(map(str, one.collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     assert sorted(map(str, mixing.mixed(docs).collect())) == first
