@@ -74,6 +74,14 @@ ILLUMINANTS: dict[str, tuple[float, float, float]] = {
     "f5": (90.872, 100.0, 98.723),
     "cool_white": (100.365, 100.0, 67.868),
 }
+#: The same for the standard observer of ten degrees.
+ILLUMINANTS_10: dict[str, tuple[float, float, float]] = {
+    "d65": (94.811, 100.0, 107.304),
+    "c": (97.285, 100.0, 116.145),
+    "d55": (95.799, 100.0, 90.926),
+    "d75": (94.416, 100.0, 120.641),
+    "f2": (103.28, 100.0, 69.026),
+}
 ADAPTATION: dict[str, list[float]] = {
     "cat02": [0.7328, 0.4296, -0.1624, -0.7036, 1.6975, 0.0061, 0.003, 0.0136, 0.9834],
     "von_kries": [0.40024, 0.7076, -0.08081, -0.2263, 1.16532, 0.0457, 0.0, 0.0, 0.91822],
@@ -84,7 +92,34 @@ ADAPTATION: dict[str, list[float]] = {
 SEPIA = [0.393, 0.769, 0.189, 0.349, 0.686, 0.168, 0.272, 0.534, 0.131]
 #: The 16 colours of the classic digital palette: levels 0, 170 and 85 more when bright, brown for dark yellow.
 CGA16 = [(170 * (i >> 2 & 1) + 85 * (i >> 3), (85 if i == 6 else 170 * (i >> 1 & 1)) + 85 * (i >> 3), 170 * (i & 1) + 85 * (i >> 3)) for i in range(16)]
-PALETTES: dict[str, list[tuple[int, int, int]]] = {"cga16": CGA16}
+#: The 64 colours of two bits a channel: the low bit of a colour's number gives 170, the high one 85 more.
+EGA64 = [tuple(170 * (i >> k & 1) + 85 * (i >> (k + 3) & 1) for k in (2, 1, 0)) for i in range(64)]
+
+
+def _vga256() -> list[tuple[int, int, int]]:
+    """The 256 colours that the 6-bit palette starts with: 16 classic ones, 16 greys, 24 hues at three saturations and three values, 8 blacks."""
+    up = lambda v: round(v * 255 / 63)
+    greys = [0, 5, 8, 11, 14, 17, 20, 24, 28, 32, 36, 40, 45, 50, 56, 63]
+    out = [*CGA16, *((up(v),) * 3 for v in greys)]
+    for high in (63, 28, 16):
+        for low in ((0, 31, 45), (0, 14, 20), (0, 8, 11))[(63, 28, 16).index(high)]:
+            ramp = [low + (2 * (high - low) * i + 3) // 8 for i in range(5)]  # quarters, halves rounded down
+            for hue in range(24):
+                # from blue over red and green back to blue: in each sixth one channel rises or falls
+                sixth, i = divmod(hue, 4)
+                r, g, b = ((ramp[i], low, high), (high, low, ramp[4 - i]), (high, ramp[i], low), (ramp[4 - i], high, low), (low, high, ramp[i]), (low, ramp[4 - i], high))[sixth]
+                out.append((up(r), up(g), up(b)))
+    return [*out, *[(0, 0, 0)] * 8]
+
+
+PALETTES: dict[str, list[tuple[int, int, int]]] = {"cga16": CGA16, "ega64": EGA64, "vga256": _vga256()}
+
+
+def white_point(illuminant: str, observer: int = 2) -> tuple[float, float, float]:
+    """X, Y, Z of an illuminant for the observer of 2 or 10 degrees."""
+    if observer not in (2, 10):
+        raise ValueError("observers are 2 and 10")
+    return (ILLUMINANTS if observer == 2 else ILLUMINANTS_10)[illuminant]
 
 
 def mask(shape: str, size: int) -> list[tuple[int, int]]:

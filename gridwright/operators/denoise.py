@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.focal import tile_with_halo
+from ..plans.focal import tile_arrays, tile_with_halo
 from ..plans.iterate import saved
 from ..sources.cells import KEY
 from .focal import dct_basis
-from .graph import aggregate_patches, block_match, extract_patches
+from .graph import patch_block, patch_distances, patch_tiles, ranked_matches
+from .nearest import interp_lut
 
 #: From a median absolute deviation to a standard deviation, as this estimator is calibrated (fixed value).
 MAD_TO_STD = 1.791106
@@ -37,13 +38,12 @@ def self_similar(planes: DataFrame, near: int = 4, far: int = 13, size: int = 32
     """
     d = np.array(dct_basis(4))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for image, ty, tx, cells in zip(part["image_id"], part["ty"], part["tx"], part["cells"], strict=True):
-                yx = np.array([(c["y"], c["x"]) for c in cells])
-                y0, x0 = yx.min(0)
-                grid = np.zeros(yx.max(0) - (y0, x0) + 1)
-                grid[yx[:, 0] - y0, yx[:, 1] - x0] = [c["v"] for c in cells]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, ty, tx, gy, gx, values in tile_arrays(batch, ["v"]):
+                y0, x0 = gy.min(), gx.min()
+                grid = np.zeros((gy.max() - y0 + 1, gx.max() - x0 + 1))
+                grid[gy - y0, gx - x0] = values[:, 0]
                 if min(grid.shape) < 4:
                     continue
                 view = np.lib.stride_tricks.sliding_window_view(grid, (4, 4))
@@ -67,9 +67,10 @@ def self_similar(planes: DataFrame, near: int = 4, far: int = 13, size: int = 32
                             best[:n, :m] = np.minimum(best[:n, :m], found)
                 keep = good[top : top + len(oy), left : left + len(ox)] & np.isfinite(best)
                 i, j = np.nonzero(keep)
-                yield pd.DataFrame({"image_id": image, "py": ys[oy][i], "px": xs[ox][j], "f": list(own[i, j]), "mean": own[i, j, 0] / 4, "d": best[i, j].round(6)})
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * 16, pa.int32()), pa.array(own[i, j].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), image)), pa.array(ys[oy][i]), pa.array(xs[ox][j]), lists, pa.array(own[i, j, 0] / 4), pa.array(best[i, j].round(6))], ["image_id", "py", "px", "f", "mean", "d"])
 
-    return tile_with_halo(planes, size, far + 3, "shrink").mapInPandas(run, "image_id long, py long, px long, f array<double>, mean double, d double")
+    return tile_with_halo(planes.select(*KEY, "v"), size, far + 3, "shrink").mapInArrow(run, "image_id long, py long, px long, f array<double>, mean double, d double")
 
 
 def noise_profile(planes: DataFrame, share: float = 0.005, near: int = 4, far: int = 13) -> DataFrame:
@@ -100,46 +101,138 @@ def noise_covariance(profile: DataFrame) -> DataFrame:
     return sent.groupBy("image_id", "bin", "i", "j").agg(F.sum(F.col("var") * F.col("di") * F.col("dj")).alias("cov"))
 
 
-def _shrink(strength: float):
+def noise_levels(profile: DataFrame, top: int = 255) -> DataFrame:
+    """image_id, k, level (0..top), std: the profile at every whole intensity, between the known ones by a line."""
+    asked = profile.select("image_id", "k").distinct().select("image_id", "k", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("x")).withColumn("x", F.col("x").cast("double"))
+    found = interp_lut(asked, profile.select("image_id", "k", F.col("level").alias("x"), F.col("std").alias("v")), ["image_id", "k"])
+    return found.select("image_id", "k", F.col("x").cast("int").alias("level"), F.col("v").alias("std"))
+
+
+#: Squared distances up to which patches count as alike in the two passes, before the noise multiplier.
+ALIKE = (48.0, 144.0)
+LEAST_GROUP = 16
+
+
+def _basis() -> np.ndarray:
     d = np.array(dct_basis(4))
-    basis = np.array([[d[k // 4, i // 4] * d[k % 4, i % 4] for i in range(16)] for k in range(16)])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for image, places, vectors, levels, stds in zip(part["image_id"], part["places"], part["vecs"], part["levels"], part["stds"], strict=True):
-                x = np.array([np.asarray(v, dtype=float) for v in vectors])
-                mean = x.mean(0)
-                at = int(np.argmin(np.abs(np.asarray(levels) - mean.mean())))
-                noise = basis.T @ np.diag(np.asarray(stds[at], dtype=float) ** 2 * strength) @ basis
-                if len(x) > 16:
-                    c = np.cov(x.T)
-                    clean = c - noise
-                    # negative energy is no signal
-                    w, v = np.linalg.eigh((clean + clean.T) / 2)
-                    gain = (v * np.maximum(w, 0)) @ v.T @ np.linalg.pinv((v * np.maximum(w, 0)) @ v.T + noise + 1e-9 * np.eye(16))
-                    x = mean + (x - mean) @ gain.T
-                else:
-                    x = np.broadcast_to(mean, x.shape)
-                out += [(image, p["my"], p["mx"], v.tolist()) for p, v in zip(places, x, strict=True)]
-            yield pd.DataFrame(out, columns=["image_id", "py", "px", "vec"])
-
-    return run
-
-
-def bayes_shrink(patches: DataFrame, matches: DataFrame, profile: DataFrame, strength: float = 1.0) -> DataFrame:
-    """image_id, py, px, vec: every member of every group of similar patches, shrunk to the group's mean by (C - N) C^-1."""
-    levels = profile.groupBy("image_id", "bin").agg(F.first("level").alias("level"), F.transform(F.sort_array(F.collect_list(F.struct("k", "std"))), lambda s: s["std"]).alias("std"))
-    table = levels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("bin", "level", "std"))).alias("t")).select("image_id", F.transform("t", lambda s: s["level"]).alias("levels"), F.transform("t", lambda s: s["std"]).alias("stds"))
-    members = matches.join(patches.select("image_id", F.col("py").alias("my"), F.col("px").alias("mx"), "vec"), ["image_id", "my", "mx"])
-    groups = members.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("rank", "my", "mx", "vec"))).alias("m"))
-    ready = groups.join(table, "image_id").select("image_id", F.transform("m", lambda s: F.struct(s["my"].alias("my"), s["mx"].alias("mx"))).alias("places"), F.transform("m", lambda s: s["vec"]).alias("vecs"), "levels", "stds")
-    return ready.mapInPandas(_shrink(strength), "image_id long, py long, px long, vec array<double>")
-
-
-def nl_bayes_denoise(planes: DataFrame, step: int = 2, radius: int = 6, k: int = 48, strength: float = 1.0) -> DataFrame:
-    """image_id, y, x, v: noise profile, block matching, shrinkage, and the mean of all estimates of a cell."""
-    patches = extract_patches(planes, 4)
-    found = bayes_shrink(patches, block_match(patches, radius, k, step=step), noise_profile(planes), strength)
-    estimate = aggregate_patches(found, 4)
-    return planes.select(*KEY, F.col("v").alias("noisy")).join(estimate, KEY, "left").select(*KEY, F.coalesce("v", F.col("noisy").cast("double")).alias("v"))
+    return np.array([[d[k // 4, i // 4] * d[k % 4, i % 4] for i in range(16)] for k in range(16)])
+
+
+def shrunk(noisy: np.ndarray, basic: np.ndarray | None, there: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Groups of patches moved to their means by (C - N) C^-1; with a first estimate, by its covariance B (B + N)^-1.
+
+    noisy, basic: group, channel, member, 16; there: which members a group has; noise: group, channel, 16, 16.
+    """
+    mask, n = there[:, None, :, None], there.sum(1)[:, None, None, None]
+    mean = (noisy * mask).sum(2, keepdims=True) / n
+    rest = (noisy - mean) * mask
+    of = rest if basic is None else (basic - mean) * mask
+    signal = of.swapaxes(2, 3) @ of / (n - 1)
+    if basic is None:
+        w, v = np.linalg.eigh(signal - noise)
+        # negative energy is no signal
+        signal = (v * np.maximum(w, 0)[..., None, :]) @ v.swapaxes(2, 3)
+    gain = np.linalg.solve(signal + noise + 1e-3 * np.eye(noise.shape[-1]), signal)
+    return mean + rest @ gain
+
+
+def bayes_shrink(planes: DataFrame, columns: tuple[str, ...], table: DataFrame, mult: float = 1.0, step: int = 2, radius: int = 8, k: int = 512, pilot: tuple[str, ...] = (), size: int = 16) -> DataFrame:
+    """One pass over groups of similar 4 x 4 patches: image_id, y, x and the mean of all estimates of a cell for each column.
+
+    pilot: columns of a first estimate, in which patches are matched and whose covariance then shrinks the noisy ones (the second
+    step). table: image_id and for each column levels and stds. A tile matches and shrinks its own patches, and sends sums and
+    counts for all cells that they touch; cells in no group keep their value.
+    """
+    halo, wide, n = radius + 3, 2 * radius + 1, len(columns)
+    basis, tau = _basis(), ALIKE[bool(pilot)] * mult
+    names = ["image_id", "y", "x", *(f"s_{c}" for c in columns), "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = [[np.array(batch.column(4 + i)[row].as_py(), dtype=float) for i in range(2 * n)] for row in range(len(batch))]
+            for known, (image, ty, tx, y, x, v) in zip(tables, tile_arrays(batch, [*columns, *pilot]), strict=True):
+                block = patch_block(ty, tx, y, x, v, size, halo)
+                d = patch_distances(block[..., [*range(n, 2 * n), 2 * n]] if pilot else block, size, radius, 4)
+                gy, gx = np.meshgrid(np.arange(size), np.arange(size), indexing="ij")
+                refs = np.isfinite(d[..., wide * wide // 2]) & ((gy + ty * size) % step == 0) & ((gx + tx * size) % step == 0)
+                order, many = ranked_matches(d[refs], k, tau, 32)
+                patches = np.lib.stride_tricks.sliding_window_view(block[..., :-1], (4, 4), axis=(0, 1))
+                total, weight = np.zeros((*block.shape[:2], n)), np.zeros(block.shape[:2])
+                enough = many >= LEAST_GROUP
+                py, px, picks = gy[refs][enough] + halo, gx[refs][enough] + halo, order[enough][:, : many.max(initial=0)]
+                if enough.any():
+                    there = np.arange(picks.shape[1]) < many[enough][:, None]
+                    my, mx = py[:, None] + picks // wide - radius, px[:, None] + picks % wide - radius
+                    my, mx = np.where(there, my, py[:, None]), np.where(there, mx, px[:, None])
+                    rows = np.moveaxis(patches[my, mx].reshape(*my.shape, -1, 16), 2, 1)
+                    level = (rows[:, :n] * there[:, None, :, None]).sum((2, 3)) / (16 * there.sum(1)[:, None])
+                    std = np.stack([np.stack([np.interp(level[:, c], known[c], known[n + c][:, f]) for f in range(16)], axis=1) for c in range(n)], axis=1)
+                    noise = basis.T @ ((std**2 * mult)[..., None] * basis)
+                    made = shrunk(rows[:, :n], rows[:, n:] if pilot else None, there, noise)
+                    # all estimates of a cell, by its place in the block
+                    place = ((my[..., None] + np.arange(16) // 4) * block.shape[1] + mx[..., None] + np.arange(16) % 4)[there].ravel()
+                    weight = np.bincount(place, minlength=weight.size).reshape(weight.shape).astype(float)
+                    for c in range(n):
+                        total[..., c] = np.bincount(place, made[:, c][there].ravel(), minlength=weight.size).reshape(weight.shape)
+                at = np.nonzero(weight)
+                parts = [np.full(len(at[0]), image), at[0] + ty * size - halo, at[1] + tx * size - halo, *(total[at][:, c] for c in range(n)), weight[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names)
+
+    tiles = patch_tiles(planes, (*columns, *pilot), radius, 4, size).join(table, "image_id")
+    tiles = tiles.select("image_id", "ty", "tx", "cells", *(f"levels_{c}" for c in columns), *(f"stds_{c}" for c in columns))
+    sums = tiles.mapInArrow(run, "image_id long, y long, x long, " + ", ".join(f"s_{c} double" for c in columns) + ", w double")
+    means = sums.groupBy(*KEY).agg(*((F.sum(f"s_{c}") / F.sum("w")).alias(f"m_{c}") for c in columns))
+    return planes.select(*KEY, *columns).join(means, KEY, "left").select(*KEY, *(F.coalesce(f"m_{c}", F.col(c).cast("double")).alias(c) for c in columns))
+
+
+def noise_table(planes: DataFrame, columns: tuple[str, ...], strength: float = 1.0, share: float = 0.005) -> DataFrame:
+    """image_id, and for each column levels_c and stds_c: its noise profile as arrays."""
+    out = None
+    for c in columns:
+        profile = noise_profile(planes.select(*KEY, F.col(c).alias("v")), share)
+        rows = profile.groupBy("image_id", "bin").agg(F.first("level").alias("level"), F.transform(F.sort_array(F.collect_list(F.struct("k", "std"))), lambda s: s["std"] * strength**0.5).alias("std"))
+        bins = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("level", "std"))).alias("t"))
+        one = bins.select("image_id", F.transform("t", lambda s: s["level"]).alias(f"levels_{c}"), F.transform("t", lambda s: s["std"]).alias(f"stds_{c}"))
+        out = one if out is None else out.join(one, "image_id")
+    return out
+
+
+def _halved(planes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return planes.groupBy("image_id", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(*(F.avg(c).alias(c) for c in columns))
+
+
+def nl_bayes_denoise(planes: DataFrame, columns: tuple[str, ...] = ("v",), step: int = 2, radius: int = 8, k: int = 512, strength: float = 1.0, scales: int = 3, share: float = 0.005) -> DataFrame:
+    """image_id, y, x and columns, denoised from coarse to fine.
+
+    The image is halved scales - 1 times. From the smallest on, each scale is denoised in two passes (a first estimate, then the
+    second step with that as its pilot) and takes the place of the means that the next finer one was measured from; a mean of four
+    cells has a quarter of the noise. An image without a noise profile (under four cells a side) comes back as it is.
+    """
+    levels = [saved(planes.select(*KEY, *(F.col(c).cast("double").alias(c) for c in columns)))]
+    table = saved(noise_table(levels[0], columns, strength, share))
+    for _ in range(scales - 1):
+        levels.append(saved(_halved(levels[-1], columns)))
+    done = None
+    for scale in reversed(range(scales)):
+        now = levels[scale]
+        if done is not None:
+            # cells keep their difference from the mean, which now is the denoised one
+            parents = [levels[scale + 1].select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), *(F.col(c).alias(f"old_{c}") for c in columns)), done.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), *(F.col(c).alias(f"new_{c}") for c in columns))]
+            place = ["image_id", "py", "px"]
+            now = now.withColumns({"py": F.floor(F.col("y") / 2), "px": F.floor(F.col("x") / 2)}).join(parents[0].join(parents[1], place), place).select(*KEY, *((F.col(c) - F.col(f"old_{c}") + F.col(f"new_{c}")).alias(c) for c in columns))
+            now = saved(now)
+        first = bayes_shrink(now, columns, table, 0.25**scale, step, radius, k)
+        pilot = tuple(f"p_{c}" for c in columns)
+        both = now.join(first.select(*KEY, *(F.col(c).alias(p) for c, p in zip(columns, pilot, strict=True))), KEY)
+        done = saved(bayes_shrink(saved(both), columns, table, 0.25**scale, step, radius, k, pilot))
+    return done
+
+
+def denoise_rgb(cells: DataFrame, **options) -> DataFrame:
+    """r, g, b denoised along an orthonormal brightness axis and two colour axes."""
+    s3, s2, s6 = 3**0.5, 2**0.5, 6**0.5
+    r, g, b = (F.col(c).cast("double") for c in "rgb")
+    axes = cells.select(*KEY, ((r + g + b) / s3).alias("p"), ((r - b) / s2).alias("q"), ((r - 2 * g + b) / s6).alias("t"))
+    out = nl_bayes_denoise(axes, ("p", "q", "t"), **options)
+    p, q, t = F.col("p") / s3, F.col("q") / s2, F.col("t") / s6
+    return out.select(*KEY, (p + q + t).alias("r"), (p - 2 * t).alias("g"), (p - q + t).alias("b"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..plans.focal import columns_of, pushed, rows_of, shape
+from ..plans.focal import around, columns_of, pushed, rows_of, shape, tiled
+from ..plans.iterate import saved
 from ..sources.cells import KEY, clamp, luma
 from .local import negate_luma
 from .stats import min_block_std, otsu_threshold
@@ -53,9 +57,10 @@ def geometric_mean(planes: DataFrame, r: int) -> DataFrame:
 
 
 def median(planes: DataFrame, size: int) -> DataFrame:
-    """The middle of size x size values, border cells repeated."""
-    near = pushed(planes.select(*KEY, "v"), square(size // 2), "clamp")
-    return near.groupBy(*KEY).agg(F.sort_array(F.collect_list("v"))[size * size // 2].alias("v"))
+    """The middle of size x size values, border cells repeated; on tiles."""
+    middle = size * size // 2
+    found = tiled(planes, lambda b: np.partition(around(b[..., 0], size // 2), middle, axis=-1)[..., [middle]], size // 2, ["v"])
+    return found.select(*KEY, F.col("v").cast(planes.schema["v"].dataType).alias("v"))
 
 
 def _frame_extreme(planes: DataFrame, r: int, fn) -> DataFrame:
@@ -63,42 +68,57 @@ def _frame_extreme(planes: DataFrame, r: int, fn) -> DataFrame:
     return step.select(*KEY, fn("v").over(columns_of().rowsBetween(-r, r)).alias("v"))
 
 
-def adaptive_median(planes: DataFrame, rmax: int = 4, tol: int = 0) -> DataFrame:
+def adaptive_median(planes: DataFrame, rmax: int = 8, tol: int = 0, iters: int = 1) -> DataFrame:
     """Cells that are an extreme of their 3 x 3 neighbourhood get the middle distinct value of the smallest window whose median is inside its range.
 
-    Windows shrink at the border. Suspects are found by separable windows; only they look further.
+    Windows shrink at the border. One shuffle to haloed tiles for each iteration; only suspects look beyond 3 x 3.
     """
-    low, high = _frame_extreme(planes, 1, F.min).withColumnRenamed("v", "lo"), _frame_extreme(planes, 1, F.max).withColumnRenamed("v", "hi")
-    marked = planes.select(*KEY, "v").join(low, KEY).join(high, KEY)
-    suspects = marked.where((F.col("v") <= F.col("lo") + tol) | (F.col("v") >= F.col("hi") - tol)).select(*KEY)
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(max(abs(dy), abs(dx))).alias("d")) for dy, dx in square(rmax)])
-    asks = suspects.select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(offsets).alias("o"))
-    asks = asks.select("image_id", "cy", "cx", (F.col("cy") + F.col("o.dy")).alias("y"), (F.col("cx") + F.col("o.dx")).alias("x"), "o.d")
-    near = asks.join(planes.select(*KEY, "v"), KEY).groupBy("image_id", "cy", "cx", "d", "v").agg(F.count("*").alias("n"))
-    cell = near.groupBy("image_id", "cy", "cx").agg(F.sort_array(F.collect_list(F.struct("d", "v", "n"))).alias("all"))
-    radii = cell.select("image_id", "cy", "cx", F.explode(F.sequence(F.lit(1), F.lit(rmax))).alias("rad"), "all")
-    flat = radii.select("image_id", "cy", "cx", "rad", F.explode(F.filter("all", lambda s: s["d"] <= F.col("rad"))).alias("s"))
-    counts = flat.groupBy("image_id", "cy", "cx", "rad", F.col("s.v").alias("v")).agg(F.sum("s.n").alias("n"))
-    window = counts.groupBy("image_id", "cy", "cx", "rad").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("vs"), F.sum("n").alias("m"))
-    seen = F.aggregate("vs", F.struct(F.lit(0).cast("long").alias("c"), F.lit(-1).alias("at")), lambda acc, s: F.struct((acc["c"] + s["n"]).alias("c"), F.when((acc["at"] < 0) & (acc["c"] + s["n"] > F.floor(F.col("m") / 2)), s["v"]).otherwise(acc["at"]).alias("at")))
-    measured = window.select("image_id", "cy", "cx", "rad", "vs", seen["at"].alias("med"))
-    inside = (F.col("med") > F.col("vs")[0]["v"]) & (F.col("med") < F.element_at("vs", -1)["v"])
-    best = measured.where(inside).groupBy("image_id", "cy", "cx").agg(F.min_by("vs", "rad").alias("vs"))
-    k = F.size("vs")
-    left, right = F.col("vs")[F.floor(k / 2).cast("int") - 1], F.col("vs")[F.floor(k / 2).cast("int")]
-    middle = F.when((k % 2 == 0) & (left["n"] > right["n"]), left["v"]).otherwise(right["v"])
-    fixed = best.select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"), middle.alias("new"))
-    return planes.join(fixed, KEY, "left").select(*KEY, F.coalesce("new", "v").alias("v"))
+    now = planes.select(*KEY, "v")
+    for i in range(iters):
+        now = tiled(now if i == 0 else saved(now), lambda b: _adapted(b, rmax, tol), rmax, ["v"], "shrink").select(*KEY, F.col("v").cast(planes.schema["v"].dataType).alias("v"))
+    return now
+
+
+def _adapted(block: np.ndarray, rmax: int, tol: int) -> np.ndarray:
+    v = np.where(block[..., 1] > 0, block[..., 0], np.inf)
+    h, w = v.shape[0] - 2 * rmax, v.shape[1] - 2 * rmax
+    own = v[rmax : rmax + h, rmax : rmax + w]
+    near = lambda r: v[rmax - r : rmax + h + r, rmax - r : rmax + w + r]
+    ring = around(near(1), 1)
+    low, high = ring.min(-1), np.where(np.isfinite(ring), ring, -np.inf).max(-1)
+    out = own.copy()
+    todo = np.argwhere(np.isfinite(own) & ((own <= low + tol) | (own >= high - tol)))
+    for r in range(1, rmax + 1):
+        if not len(todo):
+            break
+        s = np.sort(np.lib.stride_tricks.sliding_window_view(near(r), (2 * r + 1, 2 * r + 1))[todo[:, 0], todo[:, 1]].reshape(len(todo), -1), axis=1)
+        rows, m = np.arange(len(s)), np.isfinite(s).sum(1)
+        med = s[rows, m // 2]
+        ready = (med > s[:, 0]) & (med < s[rows, m - 1])
+        if ready.any():
+            t, at = s[ready], todo[ready]
+            rank = np.concatenate([np.zeros((len(t), 1), int), np.cumsum(t[:, 1:] != t[:, :-1], axis=1)], axis=1)
+            rank[~np.isfinite(t)] = t.shape[1]
+            k = np.where(rank < t.shape[1], rank, -1).max(1) + 1
+            right, left = rank == (k // 2)[:, None], rank == (k // 2 - 1)[:, None]
+            pick = np.where((k % 2 == 0) & (left.sum(1) > right.sum(1)), left.argmax(1), right.argmax(1))
+            out[at[:, 0], at[:, 1]] = t[np.arange(len(t)), pick]
+        todo = todo[~ready]
+    return out[..., None]
 
 
 def fuzzy_smooth(planes: DataFrame, size: int, sigma: float) -> DataFrame:
-    """Neighbours weighted by likeness, the centre left out, borders repeated."""
-    offsets = [o for o in square(size // 2) if o != (0, 0)]
-    near = pushed(planes.select(*KEY, "v"), offsets, "clamp").withColumnRenamed("v", "nv").join(planes.select(*KEY, "v"), KEY)
-    d = F.col("nv") - F.col("v")
-    w = F.exp(-(d * d) / (2.0 * sigma * sigma))
-    sums = near.groupBy(*KEY).agg(F.sum(w * F.col("nv")).alias("s"), F.sum(w).alias("t"), F.first("v").alias("v"))
-    return sums.select(*KEY, F.when(F.col("t") < 1e-300, F.col("v").cast("double")).otherwise(F.col("s") / F.col("t")).alias("v"))
+    """Neighbours weighted by likeness, the centre left out, borders repeated; on tiles."""
+    r = size // 2
+
+    def run(block: np.ndarray) -> np.ndarray:
+        near = np.delete(around(block[..., 0], r), size * size // 2, axis=-1)
+        own = block[r : block.shape[0] - r, r : block.shape[1] - r, 0]
+        w = np.exp(-((near - own[..., None]) ** 2) / (2.0 * sigma * sigma))
+        total = w.sum(-1)
+        return np.where(total < 1e-300, own, (w * near).sum(-1) / np.maximum(total, 1e-300))[..., None]
+
+    return tiled(planes, run, r, ["v"])
 
 
 def fuzzy_median_std(planes: DataFrame) -> DataFrame:
@@ -110,12 +130,17 @@ def fuzzy_median_std(planes: DataFrame) -> DataFrame:
 
 
 def bilateral(planes: DataFrame, radius: int, sigma: float, columns: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Weights of distance in value (sigma) and place (sigma 3), windows shrunk at borders."""
-    near = pushed(planes.select(*KEY, *columns), [(dy, dx, math.exp(-(dy * dy + dx * dx) / 18.0)) for dy, dx in square(radius)], "shrink", ("ws",))
-    near = near.select(*KEY, "ws", *(F.col(c).alias(f"n_{c}") for c in columns)).join(planes.select(*KEY, *columns), KEY)
-    d2 = sum((F.pow(F.col(f"n_{c}") - F.col(c), 2) for c in columns[1:]), F.pow(F.col(f"n_{columns[0]}") - F.col(columns[0]), 2))
-    w = F.col("ws") * F.exp(-d2 / (2.0 * sigma * sigma))
-    return near.groupBy(*KEY).agg(*((F.sum(w * F.col(f"n_{c}")) / F.sum(w)).alias(c) for c in columns))
+    """Weights of distance in value over all columns (sigma) and place (sigma 3), windows shrunk at borders; on tiles."""
+    place = np.array([math.exp(-(dy * dy + dx * dx) / 18.0) for dy, dx in square(radius)])
+
+    def run(block: np.ndarray) -> np.ndarray:
+        near = np.stack([around(block[..., i], radius) for i in range(len(columns))])
+        own = block[radius : block.shape[0] - radius, radius : block.shape[1] - radius, : len(columns)]
+        d2 = ((near - np.moveaxis(own, -1, 0)[..., None]) ** 2).sum(0)
+        w = place * np.exp(-d2 / (2.0 * sigma * sigma)) * around(block[..., -1], radius)
+        return np.moveaxis((w * near).sum(-1) / np.maximum(w.sum(-1), 1e-300), 0, -1)
+
+    return tiled(planes, run, radius, list(columns), "shrink")
 
 
 def _neighbours(v: str = "v") -> dict[str, Column]:
@@ -134,7 +159,7 @@ def anisotropic_diffusion(planes: DataFrame, k: float, dt: float, steps: int, ev
         flow = sum((F.col(n) - F.col("v")) / (1 + F.pow((F.col(n) - F.col("v")) / k, 2)) for n in ("up", "left", "right", "down"))
         now = step.select(*KEY, clamp(F.col("v") + dt * flow, 255.0).alias("v"))
         if (i + 1) % every == 0 and i + 1 < steps:
-            now = now.checkpoint()
+            now = saved(now)
     return now
 
 
@@ -268,17 +293,26 @@ def reconstruct(levels: list[DataFrame]) -> DataFrame:
 
 
 def error_diffusion(planes: DataFrame, threshold: int = 128) -> DataFrame:
-    """Halftone of each row on its own: 7/16 of a cell's error goes to the right. A fold over the row, rows in parallel."""
-    row = planes.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("row"))
-    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        want = c["v"] + acc["e"]
-        got = F.when(want >= threshold, 255).otherwise(0)
-        return F.struct(((want - got) * 7 / 16).alias("e"), F.concat(acc["out"], F.array(got)).alias("out"))
-
-    folded = row.select("image_id", "y", F.transform("row", lambda c: c["x"]).alias("xs"), F.aggregate("row", start, step)["out"].alias("vs"))
-    return folded.select("image_id", "y", F.explode(F.arrays_zip("xs", "vs")).alias("p")).select("image_id", "y", F.col("p.xs").alias("x"), F.col("p.vs").alias("v"))
+    """Halftone of each row on its own: 7/16 of a cell's error goes to the right. Rows in parallel, a column of many rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, size = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            if not len(cells):
+                continue
+            row, nth = np.repeat(np.arange(len(size)), size), np.arange(len(cells)) - np.repeat(np.cumsum(size) - size, size)
+            v = np.zeros((len(size), size.max()))
+            v[row, nth] = cells.field(1).to_numpy(zero_copy_only=False)
+            error, got = np.zeros(len(size)), np.zeros(v.shape, dtype=np.int32)
+            for i in range(v.shape[1]):
+                want = v[:, i] + error
+                got[:, i] = np.where(want >= threshold, 255, 0)
+                error = (want - got[:, i]) * 7 / 16
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), cells.field(0), pa.array(got[row, nth])], [*KEY, "v"])
+
+    rows = planes.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("row"))
+    return rows.mapInArrow(run, "image_id long, y long, x long, v int")
 
 
 def dct_basis(n: int) -> list[list[float]]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.focal import pushed
+from ..plans.focal import pushed, tile_arrays, tile_with_halo
 from ..plans.iterate import saved
 from ..sources.cells import KEY
 
@@ -30,9 +32,9 @@ def cocircular_edges(tensor: DataFrame, radius: int, cone: float, circ: float) -
 
 
 def grid_edges(planes: DataFrame, tol: int) -> DataFrame:
-    """image_id, src, dst of right and lower neighbours whose values differ by at most tol; nodes are y * 4096 + x."""
+    """image_id, src, dst of right and lower neighbours whose values differ by at most tol; nodes are y * 2^31 + x."""
     near = pushed(planes.select(*KEY, "v"), [(0, 1), (1, 0)], "shrink").withColumnRenamed("v", "nv").join(planes.select(*KEY, "v"), KEY)
-    node = lambda y, x: y * 4096 + x
+    node = lambda y, x: y * F.lit(1 << 31) + x
     return near.where(F.abs(F.col("nv") - F.col("v")) <= tol).select("image_id", node(F.col("y"), F.col("x")).alias("src"), node(F.col("y") + F.col("dy"), F.col("x") + F.col("dx")).alias("dst"))
 
 
@@ -84,22 +86,74 @@ def extract_patches(planes: DataFrame, p: int = 4, stride: int = 1) -> DataFrame
     return whole.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), F.transform("all", lambda s: s["v"]).alias("vec"))
 
 
-def block_match(patches: DataFrame, radius: int, k: int, tau: float = 0.0, rank: int = 32, step: int = 1) -> DataFrame:
-    """image_id, py, px, my, mx, d, rank: patches within +-radius, itself first, up to max(tau, the rank-th distance), at most k.
+def patch_distances(block: np.ndarray, size: int, radius: int, p: int) -> np.ndarray:
+    """(size, size, (2 radius + 1)^2) squared distances of each patch of a tile to those around it, infinite where one leaves the image.
 
-    Reference patches send their vectors along the offset table to the candidates' places: an equi-join.
+    block: size + 2 * (radius + p - 1) cells a side, the last channel 1 inside the image.
     """
-    refs = patches if step == 1 else patches.where((F.pmod("py", F.lit(step)) == 0) & (F.pmod("px", F.lit(step)) == 0))
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])
-    asks = refs.select("image_id", "py", "px", F.col("vec").alias("ref"), F.explode(offsets).alias("o")).select("image_id", "py", "px", "ref", (F.col("py") + F.col("o.dy")).alias("my"), (F.col("px") + F.col("o.dx")).alias("mx"))
-    there = patches.select("image_id", F.col("py").alias("my"), F.col("px").alias("mx"), "vec")
-    d = F.aggregate(F.zip_with("ref", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("double"), lambda acc, v: acc + v)
-    found = asks.join(there, ["image_id", "my", "mx"]).select("image_id", "py", "px", "my", "mx", d.alias("d"))
-    self_first = F.when((F.col("my") == F.col("py")) & (F.col("mx") == F.col("px")), 0).otherwise(1)
-    w = W.partitionBy("image_id", "py", "px").orderBy(self_first, "d", "my", "mx")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    limit = F.max(F.when(F.col("rank") <= rank, F.col("d"))).over(W.partitionBy("image_id", "py", "px"))
-    return ranked.withColumn("limit", F.greatest(limit, F.lit(float(tau)))).where(F.col("d") <= F.col("limit")).select("image_id", "py", "px", "my", "mx", "d", "rank")
+    halo, wide = radius + p - 1, size + p - 1
+
+    def boxes(a: np.ndarray) -> np.ndarray:
+        rows = sum(a[i : i + size] for i in range(p))
+        return sum(rows[:, i : i + size] for i in range(p))
+
+    own, out = block[halo : halo + wide, halo : halo + wide], np.empty((size, size, (2 * radius + 1) ** 2))
+    inside = boxes(own[..., -1]) == p * p
+    for i in range((2 * radius + 1) ** 2):
+        y, x = halo + i // (2 * radius + 1) - radius, halo + i % (2 * radius + 1) - radius
+        other = block[y : y + wide, x : x + wide]
+        both = inside & (boxes(other[..., -1]) == p * p)
+        out[..., i] = np.where(both, boxes(((own[..., :-1] - other[..., :-1]) ** 2).sum(-1)), np.inf)
+    return out
+
+
+def ranked_matches(d: np.ndarray, k: int, tau: float, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, n) for rows of distances: the patch itself first, up to max(tau, the rank-th distance), at most k."""
+    own = d.shape[1] // 2
+    key = d.copy()
+    key[:, own] = np.where(np.isfinite(d[:, own]), -1, np.inf)
+    order = np.argsort(key, axis=1, kind="stable")
+    s = np.take_along_axis(d, order, axis=1)
+    there = np.isfinite(s)
+    limit = np.where(there[:, :rank], s[:, :rank], 0).max(1)
+    keep = there & (s <= np.maximum(limit, tau)[:, None])
+    return order, np.minimum(keep.sum(1), k)
+
+
+def patch_tiles(planes: DataFrame, columns: tuple[str, ...], radius: int, p: int, size: int) -> DataFrame:
+    """Tiles with all that their patches are compared with."""
+    return tile_with_halo(planes.select(*KEY, *columns), size, radius + p - 1, "zero")
+
+
+def patch_block(ty: int, tx: int, y: np.ndarray, x: np.ndarray, v: np.ndarray, size: int, halo: int) -> np.ndarray:
+    block = np.zeros((size + 2 * halo, size + 2 * halo, v.shape[1] + 1))
+    block[y - ty * size + halo, x - tx * size + halo] = np.concatenate([v, np.ones((len(v), 1))], axis=1)
+    return block
+
+
+def block_match(planes: DataFrame, radius: int = 8, k: int = 512, tau: float = 0.0, rank: int = 32, step: int = 1, p: int = 4, columns: tuple[str, ...] = ("v",), size: int = 32) -> DataFrame:
+    """image_id, py, px, my, mx, d, rank: p x p patches within +-radius, itself first, up to max(tau, the rank-th distance), at most k.
+
+    One shuffle to haloed tiles: a tile's patches and all they are compared with lie in one array. Ties go by place.
+    """
+    halo, wide = radius + p - 1, 2 * radius + 1
+    names = ["image_id", "py", "px", "my", "mx", "d", "rank"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, ty, tx, y, x, v in tile_arrays(batch, list(columns)):
+                d = patch_distances(patch_block(ty, tx, y, x, v, size, halo), size, radius, p)
+                gy, gx = np.meshgrid(np.arange(size) + ty * size, np.arange(size) + tx * size, indexing="ij")
+                refs = np.isfinite(d[..., wide * wide // 2]) & (gy % step == 0) & (gx % step == 0)
+                order, n = ranked_matches(d[refs], k, tau, rank)
+                at = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pick = order[at, nth]
+                py, px = gy[refs][at], gx[refs][at]
+                parts = [np.full(len(at), image), py, px, py + pick // wide - radius, px + pick % wide - radius, d[refs][at, pick], (nth + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts], names)
+
+    return patch_tiles(planes, columns, radius, p, size).mapInArrow(run, "image_id long, py long, px long, my long, mx long, d double, rank int")
 
 
 def aggregate_patches(patches: DataFrame, p: int = 4) -> DataFrame:

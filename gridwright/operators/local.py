@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -42,21 +44,21 @@ def _lab_f(t: Column) -> Column:
     return F.when(t > 0.008856451679035631, F.cbrt(t)).otherwise(t * 7.787037037037037 + 16.0 / 116.0)
 
 
-def rgb_to_lab(cells: DataFrame, illuminant: str = "d65", white: float = 255.0) -> DataFrame:
+def rgb_to_lab(cells: DataFrame, illuminant: str = "d65", white: float = 255.0, observer: int = 2) -> DataFrame:
     """L, la, lb of channels in 0..white (sRGB primaries)."""
     lin = [srgb_to_linear(F.col(c) / white) for c in RGB]
     xyz = _linear(tables.SRGB_TO_XYZ, lin)
-    f = [_lab_f(c * 100.0 / w) for c, w in zip(xyz, tables.ILLUMINANTS[illuminant], strict=True)]
+    f = [_lab_f(c * 100.0 / w) for c, w in zip(xyz, tables.white_point(illuminant, observer), strict=True)]
     step = cells.select(*KEY, "a", *(c.alias(f"f{i}") for i, c in enumerate(f)))
     return step.select(*KEY, (116 * F.col("f1") - 16).alias("l"), (500 * (F.col("f0") - F.col("f1"))).alias("la"), (200 * (F.col("f1") - F.col("f2"))).alias("lb"), "a")
 
 
-def lab_to_rgb(lab: DataFrame, illuminant: str = "d65", white: float = 255.0) -> DataFrame:
+def lab_to_rgb(lab: DataFrame, illuminant: str = "d65", white: float = 255.0, observer: int = 2) -> DataFrame:
     """Channels in 0..white, clamped, not rounded."""
     fy = (F.col("l") + 16) / 116.0
     f = [fy + F.col("la") / 500.0, fy, fy - F.col("lb") / 200.0]
     back = lambda t: F.when(t > 6.0 / 29.0, t * t * t).otherwise((t - 16.0 / 116.0) / 7.787037037037037)
-    xyz = [back(t) * w / 100.0 for t, w in zip(f, tables.ILLUMINANTS[illuminant], strict=True)]
+    xyz = [back(t) * w / 100.0 for t, w in zip(f, tables.white_point(illuminant, observer), strict=True)]
     lin = _linear(tables.XYZ_TO_SRGB, xyz)
     step = lab.select(*KEY, "a", *(clamp(c, 1.0).alias(n) for c, n in zip(lin, RGB, strict=True)))
     return step.select(*KEY, *((linear_to_srgb(F.col(c)) * white).alias(c) for c in RGB), "a")
@@ -89,21 +91,29 @@ def to_hue_space(cells: DataFrame, space: str, white: float = 255.0) -> DataFram
 
 
 def from_hue_space(hsl: DataFrame, space: str, white: float = 255.0) -> DataFrame:
-    """r, g, b in 0..white of HSL or HSV."""
+    """r, g, b in 0..white of HSL, HSV, HSI or HSP; not clamped."""
     h, s, level = F.col("h") / 60.0, F.col("s"), F.col("l")
-    chroma = (1 - F.abs(2 * level - 1)) * s if space == "hsl" else level * s
-    base = level - chroma / 2 if space == "hsl" else level - chroma
-    second = chroma * (1 - F.abs(F.pmod(h, F.lit(2.0)) - 1))
-    sector = F.floor(h)
-    pick = lambda full, half: F.when(sector.isin(*full), chroma).when(sector.isin(*half), second).otherwise(0.0)
-    rgb = (pick((0, 5, 6), (1, 4)), pick((1, 2), (0, 3)), pick((3, 4), (2, 5)))
+    middle = 1 - F.abs(F.pmod(h, F.lit(2.0)) - 1)
+    sector = F.pmod(F.floor(h), F.lit(6))
+    if space == "hsp":
+        # lightness is a weighted length, so the weights of the largest, middle and least channel come by sector
+        weights = dict(zip(RGB, (0.299, 0.587, 0.114), strict=True))
+        part = 1 - s + s * middle
+        length = [weights[hi] + weights[mid] * part * part + weights[lo] * (1 - s) * (1 - s) for hi, mid, lo in ("rgb", "grb", "gbr", "bgr", "brg", "rbg")]
+        largest = level / F.sqrt(reduce(lambda c, i: c.when(sector == i, length[i]), range(1, 6), F.when(sector == 0, length[0])))
+        chroma, base = largest * s, largest * (1 - s)
+    else:
+        chroma = {"hsl": (1 - F.abs(2 * level - 1)) * s, "hsv": level * s, "hsi": 3 * level * s / (1 + middle)}[space]
+        base = {"hsl": level - chroma / 2, "hsv": level - chroma, "hsi": level * (1 - s)}[space]
+    pick = lambda full, half: F.when(sector.isin(*full), chroma).when(sector.isin(*half), chroma * middle).otherwise(0.0)
+    rgb = (pick((0, 5), (1, 4)), pick((1, 2), (0, 3)), pick((3, 4), (2, 5)))
     return hsl.select(*KEY, *(((c + base) * white).alias(n) for c, n in zip(rgb, RGB, strict=True)), "a")
 
 
 def adjust_hue(cells: DataFrame, space: str, dh: float, ds: float, dl: float) -> DataFrame:
-    """HSL or HSV moved: hue wraps, the others are clamped to 0..1."""
+    """HSL, HSV, HSI or HSP moved: hue wraps, the others are clamped to 0..1, channels to 0..255 (not every intensity has every saturation)."""
     moved = to_hue_space(cells, space).select(*KEY, F.pmod(F.col("h") + dh, F.lit(360.0)).alias("h"), clamp(F.col("s") + ds, 1.0).alias("s"), clamp(F.col("l") + dl, 1.0).alias("l"), "a")
-    return from_hue_space(moved, space)
+    return from_hue_space(moved, space).select(*KEY, *(clamp(F.col(c), 255.0).alias(c) for c in RGB), "a")
 
 
 def adjust_cmyk(cells: DataFrame, dc: float, dm: float, dy: float, dk: float, white: float = 255.0) -> DataFrame:
@@ -193,3 +203,44 @@ def augment_noise(cells: DataFrame, level: int, seed: int, mono: bool = False) -
 
 def bitonal(cells: DataFrame, threshold: int, white: int = 255) -> DataFrame:
     return cells.select(*KEY, F.when(luma() > threshold, white).otherwise(0).alias("v"))
+
+
+def gamut_limits(spark: SparkSession, hues: int = 360) -> DataFrame:
+    """iy, ih, limit: the largest whole chroma that sRGB shows at luminance iy / 100 and hue ih degrees; 100 x hues rows by rule."""
+    y, h = np.meshgrid((np.arange(100) + 0.5) / 100, np.radians(np.arange(hues)), indexing="ij")
+    fy = np.where(y > 0.008856451679035631, np.cbrt(y), y * 7.787037037037037 + 16 / 116)
+    limit = np.zeros(y.shape, dtype=int)
+    back = lambda t: np.where(t > 6 / 29, t**3, (t - 16 / 116) / 7.787037037037037)
+    for c in range(1, 201):
+        xyz = np.stack([back(fy + c * np.cos(h) / 500) * tables.ILLUMINANTS["d65"][0] / 100, y, back(fy - c * np.sin(h) / 200) * tables.ILLUMINANTS["d65"][2] / 100])
+        rgb = np.einsum("ij,jyh->iyh", np.array(tables.XYZ_TO_SRGB).reshape(3, 3), xyz)
+        limit[((rgb >= -0.001) & (rgb <= 1.001)).all(0)] = c
+    rows = pd.DataFrame({"iy": np.repeat(np.arange(100), hues), "ih": np.tile(np.arange(hues), 100), "limit": limit.ravel()})
+    return spark.createDataFrame(rows, "iy long, ih long, limit int")
+
+
+def limited_hue_boost(cells: DataFrame, alpha: float = 10.0, lightness: float = 1.2) -> DataFrame:
+    """Chroma grows by up to four times around red hues where it is high for its image; what sRGB can't show is cut back to what it can.
+
+    Pass 1: the largest chroma of each image. Pass 2: the gain, a power on lightness, and for cells out of gamut the least
+    limit of the four table entries around their luminance and hue.
+    """
+    lab = rgb_to_lab(cells)
+    chroma = lambda a, b: F.sqrt(a * a + b * b)
+    most = lab.groupBy("image_id").agg(F.max(chroma(F.col("la"), F.col("lb"))).alias("most"))
+    share = F.when(F.col("most") > 0, chroma(F.col("la"), F.col("lb")) / F.col("most")).otherwise(0.0)
+    hue = F.degrees(F.atan2("lb", "la"))
+    gain = 1 + 3 * clamp((share - 0.2) / 0.6, 1.0) * F.exp(-alpha * F.pow(hue / 180.0, 2))
+    boosted = lab.join(most, "image_id").select(*KEY, "a", (100 * F.pow(F.greatest("l", F.lit(0.0)) / 100.0, 1 / lightness)).alias("l"), (gain * F.col("la")).alias("la"), (gain * F.col("lb")).alias("lb"))
+    fy = (F.col("l") + 16) / 116.0
+    back = lambda t: F.when(t > 6.0 / 29.0, t * t * t).otherwise((t - 16.0 / 116.0) / 7.787037037037037)
+    xyz = [back(t) * w / 100.0 for t, w in zip((fy + F.col("la") / 500.0, fy, fy - F.col("lb") / 200.0), tables.ILLUMINANTS["d65"], strict=True)]
+    rgb = _linear(tables.XYZ_TO_SRGB, xyz)
+    shown = reduce(lambda p, q: p & q, ((c >= -0.001) & (c <= 1.001) for c in rgb))
+    step = boosted.select(*KEY, "a", "l", "la", "lb", shown.alias("shown"), F.least(F.floor(100 * xyz[1]), F.lit(98)).alias("iy"), F.floor(F.pmod(F.degrees(F.atan2("lb", "la")), F.lit(360.0))).alias("ih"))
+    limits = gamut_limits(cells.sparkSession)
+    corners = [limits.select((F.col("iy") - dy).alias("iy"), F.pmod(F.col("ih") - dh, F.lit(360)).alias("ih"), "limit") for dy in (0, 1) for dh in (0, 1)]
+    around = reduce(DataFrame.unionByName, corners).groupBy("iy", "ih").agg(F.min("limit").alias("limit"))
+    met = step.join(around, ["iy", "ih"], "left")
+    scale = F.when(F.col("shown") | F.col("limit").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("limit") / F.greatest(chroma(F.col("la"), F.col("lb")), F.lit(1e-9))))
+    return lab_to_rgb(met.select(*KEY, "a", "l", (scale * F.col("la")).alias("la"), (scale * F.col("lb")).alias("lb")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables
+from ..plans.iterate import saved
 from ..sources.cells import KEY
 from . import stats
 from .local import _linear, srgb_to_linear
@@ -28,13 +29,11 @@ def interp_lut(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
 def white_balance(cells: DataFrame, rounds: int = 16, threshold: float = 0.3, illuminant: str = "d65", cat: str = "cat02", stop: float = 1e-8) -> DataFrame:
     """Estimate, correct, repeat. image_id, m0..m8 (the product of all corrections), rounds.
 
-    Only images whose chromaticity still moves stay in the loop; cells are read with the product so far
-    and never rewritten. State is one row for each image.
+    Only images whose chromaticity still moves stay in the loop; linear cells are stored once, read with the product so
+    far and never rewritten. State is one row for each image.
     """
-    from ..plans.iterate import saved
-
     names = [f"m{i}" for i in range(9)]
-    lin = cells.select(*KEY, *(srgb_to_linear(F.col(c) / 255.0).alias(c) for c in "rgb"))
+    lin = saved(cells.select(*KEY, *(srgb_to_linear(F.col(c) / 255.0).alias(c) for c in "rgb")))
     eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     now = saved(cells.select("image_id").distinct().select("image_id", *(F.lit(v).alias(n) for v, n in zip(eye, names, strict=True)), F.lit(9.0).alias("cx"), F.lit(9.0).alias("cy")))
     done = None
@@ -62,17 +61,32 @@ CURVES = {
     "y": [(0.821, 568.8, 46.9, 40.5), (0.286, 530.9, 16.3, 31.1)],
     "z": [(1.217, 437.0, 11.8, 36.0), (0.681, 459.0, 26.0, 13.8)],
 }
+
+
+def _matching(w: Column, observer: int) -> dict[str, Column]:
+    """The observer's curves at a wavelength: two lobes of a bell each for 2 degrees; for 10 degrees the published fit by logarithmic bells."""
+    if observer == 2:
+        lobe = lambda h, m, s1, s2: h * F.exp(-0.5 * F.pow((w - m) / F.when(w < m, s1).otherwise(s2), 2))
+        return {k: sum((lobe(*p) for p in lobes[1:]), lobe(*lobes[0])) for k, lobes in CURVES.items()}
+    if observer != 10:
+        raise ValueError("observers are 2 and 10")
+    return {
+        "x": 0.398 * F.exp(-1250 * F.pow(F.log((w + 570.1) / 1014), 2)) + 1.132 * F.exp(-234 * F.pow(F.log((1338 - w) / 743.5), 2)),
+        "y": 1.011 * F.exp(-0.5 * F.pow((w - 556.1) / 46.14, 2)),
+        "z": 2.06 * F.exp(-32 * F.pow(F.log((w - 265.8) / 180.4), 2)),
+    }
+
+
 #: Second radiation constant in nanometre kelvins.
 C2 = 1.4388e7
 
 
-def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: float = 5) -> DataFrame:
+def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: float = 5, observer: int = 2) -> DataFrame:
     """cct, X, Y, Z (Y = 100), u, v: black-body spectra from 380 to 750 nm times the observer's curves, summed by Spark."""
     wave = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(370 / nm))), lambda i: 380 + i * F.lit(float(nm))))
     rows = spark.range(low, high + 1, step).select(F.col("id").alias("cct"), wave.alias("w")).withColumn("w", F.col("w").cast("double"))
     power = F.pow("w", F.lit(-5.0)) * 1e15 / (F.exp(C2 / (F.col("w") * F.col("cct"))) - 1)
-    lobe = lambda h, m, s1, s2: h * F.exp(-0.5 * F.pow((F.col("w") - m) / F.when(F.col("w") < m, s1).otherwise(s2), 2))
-    sums = rows.groupBy("cct").agg(*(F.sum(power * sum((lobe(*p) for p in lobes[1:]), lobe(*lobes[0]))).alias(k) for k, lobes in CURVES.items()))
+    sums = rows.groupBy("cct").agg(*(F.sum(power * v).alias(k) for k, v in _matching(F.col("w"), observer).items()))
     total = F.col("x") + 15 * F.col("y") + 3 * F.col("z")
     return sums.select("cct", *((F.col(c) * 100 / F.col("y")).alias(c.upper()) for c in "xyz"), (4 * F.col("x") / total).alias("u"), (6 * F.col("y") / total).alias("v"))
 
@@ -95,19 +109,41 @@ def shift_temperature(cells: DataFrame, targets: DataFrame, lut: DataFrame, cat:
     return stats.apply_row_matrix(lin, stats.adaptation_matrix(wanted, cat=cat, target=("wx", "wy", "wz")))
 
 
-def nearest_cct(points: DataFrame, locus: DataFrame) -> DataFrame:
-    """points: image_id, u, v. cct and duv of the nearest place on the locus, between rows by projection on its segments."""
+def nearest_cct(points: DataFrame, locus: DataFrame, bucket: float = 0.01) -> DataFrame:
+    """points: image_id, u, v. cct and duv of the nearest place on the locus, between rows by projection on its segments.
+
+    Points meet the segments that begin in the grid buckets around theirs, in an equi-join. An answer is final once it is
+    nearer than what that reach covers; only the other points go on to a wider one.
+    """
     w = W.orderBy("cct")
-    # the locus has at most 24,001 rows; every point meets every segment
-    segments = locus.select("cct", "u", "v", F.lead("cct").over(w).alias("cct2"), F.lead("u").over(w).alias("u2"), F.lead("v").over(w).alias("v2")).where("cct2 is not null")
+    # the locus has at most 24,001 rows
+    segments = locus.select("cct", F.col("u").alias("lu"), F.col("v").alias("lv"), F.lead("cct").over(w).alias("cct2"), F.lead("u").over(w).alias("u2"), F.lead("v").over(w).alias("v2")).where("cct2 is not null")
+    segments = saved(segments)
+    at = lambda c: F.floor(F.col(c) / bucket)
+    todo = saved(points.select("image_id", "u", "v"))
+    size = F.sqrt(F.pow(F.col("u2") - F.col("lu"), 2) + F.pow(F.col("v2") - F.col("lv"), 2))
+    longest, lo, hi = segments.agg(F.max(size), F.min(F.least(at("lu"), at("lv"))), F.max(F.greatest(at("lu"), at("lv")))).first()
+    if longest is None:
+        raise ValueError("a locus has two rows at least")
+    low, high = todo.agg(F.min(F.least(at("u"), at("v"))), F.max(F.greatest(at("u"), at("v")))).first()
+    widest = max(int(hi - (low if low is not None else hi)), int((high if high is not None else lo) - lo), 1)
     du, dv = F.col("u2") - F.col("lu"), F.col("v2") - F.col("lv")
-    pairs = points.select("image_id", "u", "v").join(F.broadcast(segments.withColumnsRenamed({"u": "lu", "v": "lv"})))
     t = F.least(F.greatest(((F.col("u") - F.col("lu")) * du + (F.col("v") - F.col("lv")) * dv) / (du * du + dv * dv), F.lit(0.0)), F.lit(1.0))
-    step = pairs.withColumn("t", t)
     pu, pv = F.col("lu") + F.col("t") * du, F.col("lv") + F.col("t") * dv
     d2 = F.pow(F.col("u") - pu, 2) + F.pow(F.col("v") - pv, 2)
-    best = step.select("image_id", F.struct(F.round(d2, 15).alias("d2"), (F.col("cct") + F.col("t") * (F.col("cct2") - F.col("cct"))).alias("cct"), F.signum(F.col("v") - pv).alias("sign")).alias("m"))
-    return best.groupBy("image_id").agg(F.min("m").alias("m")).select("image_id", "m.cct", (F.sqrt("m.d2") * F.col("m.sign")).alias("duv"))
+    done, reach = None, 1
+    while True:
+        span = lambda c: F.explode(F.sequence(at(c) - reach, at(c) + reach))  # noqa: B023, E731
+        asks = todo.select("*", span("u").alias("bu")).select("*", span("v").alias("bv"))
+        pairs = asks.join(segments.withColumns({"bu": at("lu"), "bv": at("lv")}), ["bu", "bv"]).withColumn("t", t)
+        best = pairs.select("image_id", "u", "v", F.struct(F.round(d2, 15).alias("d2"), (F.col("cct") + F.col("t") * (F.col("cct2") - F.col("cct"))).alias("cct"), F.signum(F.col("v") - pv).alias("sign")).alias("m"))
+        found = best.groupBy("image_id", "u", "v").agg(F.min("m").alias("m"))
+        sure = saved(found if reach >= widest else found.where(F.sqrt("m.d2") + longest <= reach * bucket))
+        done = sure if done is None else done.union(sure)
+        todo = saved(todo.join(sure, ["image_id", "u", "v"], "left_anti"))
+        if reach >= widest or not todo.head(1):
+            return done.select("image_id", "m.cct", (F.sqrt("m.d2") * F.col("m.sign")).alias("duv"))
+        reach = min(widest, 2 * reach)
 
 
 def image_uv(cells: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.focal import tile_with_halo
+from ..plans.focal import tile_arrays, tile_with_halo
+from ..plans.iterate import saved
 from ..sources.cells import KEY, luma
-from .local import srgb_to_linear
+from .local import srgb_to_linear, to_hue_space
 from .stats import dense, luma_histogram
 from .zonal import zone_recolor
 
@@ -43,12 +45,12 @@ def _misfit(h: np.ndarray, fit: np.ndarray, eps: float) -> float:
 
 
 def _unimodal(h: np.ndarray, eps: float) -> float:
-    """The least misfit of rising to a peak and falling from it."""
-    peaks = range(len(h)) if len(h) < 48 else np.linspace(0, len(h) - 1, 48).astype(int)
+    """The least misfit of rising to a peak and falling from it, over all places of the peak; likely ones come first."""
     best = math.inf
-    for t in peaks:
-        worst = max(_misfit(h[: t + 1], _monotone(h[: t + 1], True), eps), _misfit(h[t:], _monotone(h[t:], False), eps))
-        best = min(best, worst)
+    for t in np.argsort(-h, kind="stable"):
+        left = _misfit(h[: t + 1], _monotone(h[: t + 1], True), eps)
+        if left < best:
+            best = min(best, max(left, _misfit(h[t:], _monotone(h[t:], False), eps)))
         if best <= 0:
             break
     return best
@@ -60,26 +62,80 @@ def segments_of(h: np.ndarray, eps: float) -> list[tuple[int, int]]:
     cuts = [0, *inner, len(h)]
     # neighbouring minima of a flat valley count once
     cuts = [c for k, c in enumerate(cuts) if k == 0 or c != cuts[k - 1] + 1 or c == len(h)]
-    merged = True
-    while merged and len(cuts) > 2:
-        merged = False
-        costs = [(_unimodal(h[cuts[k - 1] : cuts[k + 1]], eps), k) for k in range(1, len(cuts) - 1)]
-        cost, k = min(costs)
-        if cost <= 0:
-            cuts.pop(k)
-            merged = True
+    known: dict[tuple[int, int], float] = {}
+    while len(cuts) > 2:
+        for a, b in zip(cuts, cuts[2:], strict=False):
+            if (a, b) not in known:
+                known[a, b] = _unimodal(h[a:b], eps)
+        cost, k = min((known[cuts[k - 1], cuts[k + 1]], k) for k in range(1, len(cuts) - 1))
+        if cost > 0:
+            break
+        cuts.pop(k)
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def hist_segment(hist: DataFrame, eps: float = 1.0, smooth: int = 8) -> DataFrame:
-    """image_id, segment, lo, hi (inclusive) of each image's histogram. Counting has scaled out; here an image is 256 / smooth rows."""
+def circular_segments(h: np.ndarray, eps: float) -> list[tuple[int, int]]:
+    """The same on a circle, [start, stop) modulo the number of bins: cut at the least bin, and there too if the two sides are no one mode."""
+    n, turn = len(h), int(np.argmin(h))
+    parts = segments_of(np.roll(h, -turn), eps)
+    if len(parts) > 1 and _unimodal(np.concatenate([np.roll(h, -turn)[parts[-1][0] :], np.roll(h, -turn)[: parts[0][1]]]), eps) <= 0:
+        parts = [*parts[1:-1], (parts[-1][0], n + parts[0][1])]
+    return [((a + turn) % n, (a + turn) % n + b - a) for a, b in parts]
+
+
+def hist_segment(hist: DataFrame, eps: float = 1.0, keys: tuple[str, ...] = ("image_id",), bins: int = 256, circular: bool = False) -> DataFrame:
+    """keys, segment, lo, hi (inclusive; hi < lo runs over the end of a circle) of each histogram. hist: keys, bin, n; bins not there are empty.
+
+    Counting has scaled out; here a group is one row for each bin.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf.sort_values("bin")["n"].to_numpy(dtype=float)
-        parts = segments_of(h.reshape(-1, smooth).sum(1), eps)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "segment": range(len(parts)), "lo": [a * smooth for a, _ in parts], "hi": [b * smooth - 1 for _, b in parts]})
+        h = np.zeros(bins)
+        h[pdf["bin"].to_numpy(dtype=int)] = pdf["n"].to_numpy(dtype=float)
+        parts = circular_segments(h, eps) if circular else segments_of(h, eps)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(parts) for k in keys}, "segment": range(len(parts)), "lo": [a % bins for a, _ in parts], "hi": [(b - 1) % bins for _, b in parts]})
+
+    return hist.select(*keys, "bin", "n").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", segment int, lo int, hi int")
+
+
+def _split(rows: DataFrame, keys: list[str], column: str, name: str, bins: int, eps: float, circular: bool = False) -> DataFrame:
+    """rows with the segment (as `name`) of their bin in `column`, separately for each value of keys. Segments become a table of bins, so the join is by equality."""
+    hist = rows.groupBy(*keys, F.col(column).alias("bin")).agg(F.count("*").alias("n"))
+    parts = hist_segment(hist, eps, tuple(keys), bins, circular)
+    places = F.sequence("lo", F.when(F.col("hi") < F.col("lo"), F.col("hi") + bins).otherwise(F.col("hi")))
+    table = parts.select(*keys, F.col("segment").cast("long").alias(name), F.explode(places).alias("at")).withColumn(column, F.pmod("at", F.lit(bins)).cast("long")).drop("at")
+    return rows.join(table, [*keys, column])
+
 
-    return hist.select("image_id", "bin", "n").groupBy("image_id").applyInPandas(run, "image_id long, segment int, lo int, hi int")
+def hsi_labels(cells: DataFrame, eps: float = 1.0, least: float = 0.08, hues: int = 72, saturations: int = 50, levels: int = 64) -> DataFrame:
+    """image_id, y, x, r, g, b, hue, sat, level: segments of hue (a circle), of saturation in each hue, of intensity in each of those.
+
+    Cells under the least saturation are grey: their hue is -1, and only their intensity is segmented. Three grouped histograms
+    and joins by equality for the whole corpus.
+    """
+    at = lambda c, n, top: F.least(F.floor(F.col(c) / top * n), F.lit(n - 1)).cast("long")
+    hsi = to_hue_space(cells, "hsi").select(*KEY, F.col("s"), at("h", hues, 360.0).alias("hbin"), at("s", saturations, 1.0).alias("sbin"), at("l", levels, 1.0).alias("ibin"))
+    rows = saved(cells.select(*KEY, "r", "g", "b").join(hsi, KEY))
+    grey = rows.where(F.col("s") < least).withColumns({"hue": F.lit(-1).cast("long"), "sat": F.lit(0).cast("long")})
+    coloured = _split(rows.where(F.col("s") >= least), ["image_id"], "hbin", "hue", hues, eps, circular=True)
+    deeper = saved(_split(coloured, ["image_id", "hue"], "sbin", "sat", saturations, eps))
+    names = [*KEY, "r", "g", "b", "hue", "sat", "ibin"]
+    return _split(deeper.select(*names).union(grey.select(*names)), ["image_id", "hue", "sat"], "ibin", "level", levels, eps).select(*KEY, "r", "g", "b", "hue", "sat", "level")
+
+
+PALETTE_KEYS = ["image_id", "hue", "sat", "level"]
+
+
+def hsi_palette(cells: DataFrame, eps: float = 1.0, **options) -> DataFrame:
+    """image_id, hue, sat, level, n and the mean r, g, b of each class."""
+    return hsi_labels(cells, eps, **options).groupBy(*PALETTE_KEYS).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "rgb"))
+
+
+def posterize_hsi(cells: DataFrame, eps: float = 1.0, **options) -> DataFrame:
+    """Every cell shows the mean of its class of the palette."""
+    labels = saved(hsi_labels(cells, eps, **options))
+    means = labels.groupBy(*PALETTE_KEYS).agg(*(F.avg(c).alias(c) for c in "rgb"))
+    return labels.select(*KEY, "hue", "sat", "level").join(means, PALETTE_KEYS).select(*KEY, "hue", "sat", "level", "r", "g", "b")
 
 
 def posterize(cells: DataFrame, eps: float = 1.0) -> DataFrame:
@@ -92,20 +148,19 @@ def posterize(cells: DataFrame, eps: float = 1.0) -> DataFrame:
 
 def spectrum_2d(planes: DataFrame, size: int = 16) -> DataFrame:
     """image_id, ty, tx, ring, power: the power spectrum of each tile by whole-number radius, a texture and blur feature."""
+    fy, fx = np.meshgrid(np.fft.fftfreq(size) * size, np.fft.fftfreq(size) * size, indexing="ij")
+    ring = np.floor(np.hypot(fy, fx)).astype(int).ravel()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fy, fx = np.meshgrid(np.fft.fftfreq(size) * size, np.fft.fftfreq(size) * size, indexing="ij")
-        ring = np.floor(np.hypot(fy, fx)).astype(int).ravel()
-        for part in parts:
-            for image, ty, tx, cells in zip(part["image_id"], part["ty"], part["tx"], part["cells"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, ty, tx, y, x, v in tile_arrays(batch, ["v"]):
                 block = np.zeros((size, size))
-                for c in cells:
-                    block[c["y"] % size, c["x"] % size] = c["v"]
-                power = (np.abs(np.fft.fft2(block)) ** 2 / size**2).ravel()
-                total = np.bincount(ring, power)
-                yield pd.DataFrame({"image_id": image, "ty": ty, "tx": tx, "ring": range(len(total)), "power": total})
+                block[y % size, x % size] = v[:, 0]
+                total = np.bincount(ring, (np.abs(np.fft.fft2(block)) ** 2 / size**2).ravel())
+                n = len(total)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, image), np.full(n, ty), np.full(n, tx), np.arange(n, dtype=np.int32), total)], ["image_id", "ty", "tx", "ring", "power"])
 
-    return tile_with_halo(planes, size, 0, "shrink").mapInPandas(run, "image_id long, ty long, tx long, ring int, power double")
+    return tile_with_halo(planes.select(*KEY, "v"), size, 0, "shrink").mapInArrow(run, "image_id long, ty long, tx long, ring int, power double")
 
 
 def pca_illuminant(cells: DataFrame, fraction: float = 0.035, saturation: float = 0.98, black: float = 0.02, bins: int = 4096) -> DataFrame:

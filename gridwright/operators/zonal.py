@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.focal import columns_of, pushed, rows_of, shape
+from ..plans.focal import columns_of, pushed, rows_of, shape, tile_arrays, tile_with_halo
 from ..plans.iterate import components, saved, until_stable
 from ..sources.cells import KEY, luma
 from .focal import gradient, square
@@ -35,32 +39,57 @@ def perturb_seeds(seeds: DataFrame, cells: DataFrame) -> DataFrame:
     return best.join(cells.select(*KEY, "r", "g", "b"), KEY).select("image_id", "label", "y", "x", "r", "g", "b")
 
 
-def superpixels(cells: DataFrame, k: int, rounds: int = 10) -> DataFrame:
+def superpixels(cells: DataFrame, k: int, rounds: int = 10, size: int = 32) -> DataFrame:
     """image_id, y, x, label: the nearest centre in colour and place within S, then centres move to their means.
 
-    Cells meet the centres of the nine grid buckets around them in an equi-join; centres are the only
-    state that goes from round to round.
+    Cells are stored once as tiles. In a round each tile meets the centres within reach as one array, by an equi-join, and
+    sends sums for them; centres are the only state that goes from round to round.
     """
-    sized = shape(cells).select("image_id", F.sqrt(F.col("h") * F.col("w") / float(k)).alias("s"))
-    bucket = lambda v: F.floor(F.col(v) / F.col("s"))
-    placed = cells.select(*KEY, "r", "g", "b").join(sized, "image_id").withColumns({"by": bucket("y"), "bx": bucket("x")})
-    centres = saved(grid_seeds(cells, k).select("image_id", "label", *(F.col(c).cast("double").alias(f"c{c}") for c in ("y", "x", "r", "g", "b"))))
-
-    def assigned(centres: DataFrame) -> DataFrame:
-        near = centres.join(sized, "image_id").select("*", F.explode(F.sequence(bucket("cy") - 1, bucket("cy") + 1)).alias("by")).select("*", F.explode(F.sequence(bucket("cx") - 1, bucket("cx") + 1)).alias("bx")).drop("s")
-        dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
-        d = (dy * dy + dx * dx) * F.pow(COMPACTNESS / F.col("s"), 2) + sum(F.pow(F.col(c) - F.col(f"c{c}"), 2) for c in "rgb")
-        inside = (F.abs(F.col("y") - F.round("cy")) <= F.col("s")) & (F.abs(F.col("x") - F.round("cx")) <= F.col("s"))
-        pairs = placed.join(near, ["image_id", "by", "bx"]).where(inside)
-        return pairs.groupBy(*KEY).agg(F.min(F.struct(F.round(d, 6).alias("d"), "label")).alias("m"), F.first("r").alias("r"), F.first("g").alias("g"), F.first("b").alias("b")).select(*KEY, F.col("m.label").alias("label"), "r", "g", "b")
+    sized = saved(shape(cells).select("image_id", F.sqrt(F.col("h") * F.col("w") / float(k)).alias("s")))
+    tiles = saved(tile_with_halo(cells.select(*KEY, "r", "g", "b"), size, 0, "zero").join(sized, "image_id"))
+    names = ("y", "x", "r", "g", "b")
+    centres = saved(grid_seeds(cells, k).select("image_id", "label", *(F.col(c).cast("double").alias(f"c{c}") for c in names)))
+
+    def met(centres: DataFrame) -> DataFrame:
+        span = lambda c: F.explode(F.sequence(F.floor((F.round(c) - F.col("s")) / size), F.floor((F.round(c) + F.col("s")) / size)))
+        near = centres.join(sized, "image_id").select("*", span("cy").alias("ty")).select("*", span("cx").alias("tx"))
+        around = near.groupBy("image_id", "ty", "tx").agg(F.sort_array(F.collect_list(F.struct("label", *(f"c{c}" for c in names)))).alias("near"))
+        return tiles.join(around, ["image_id", "ty", "tx"], "left").select("image_id", "ty", "tx", "cells", "s", "near")
 
     for _ in range(rounds):
-        means = assigned(centres).groupBy("image_id", "label").agg(*(F.avg(c).alias(f"n{c}") for c in ("y", "x", "r", "g", "b")))
+        sums = met(centres).mapInArrow(_nearest_centres(False), "image_id long, label long, n long, " + ", ".join(f"s{c} double" for c in names))
+        means = sums.groupBy("image_id", "label").agg(*((F.sum(f"s{c}") / F.sum("n")).alias(f"n{c}") for c in names))
         # a centre that no cell chose keeps its values
-        centres = saved(centres.join(means, ["image_id", "label"], "left").select("image_id", "label", *(F.coalesce(f"n{c}", f"c{c}").alias(f"c{c}") for c in ("y", "x", "r", "g", "b"))))
-    found = assigned(centres).select(*KEY, "label")
+        centres = saved(centres.join(means, ["image_id", "label"], "left").select("image_id", "label", *(F.coalesce(f"n{c}", f"c{c}").alias(f"c{c}") for c in names)))
     # a cell out of every centre's reach joins the component of none
-    return cells.select(*KEY).join(found, KEY, "left").select(*KEY, F.coalesce("label", F.lit(-1)).alias("label"))
+    return met(centres).mapInArrow(_nearest_centres(True), "image_id long, y long, x long, label long")
+
+
+def _nearest_centres(cells_too: bool):
+    """Tiles with their centres to cells with labels, or to sums for each centre; of equals the least label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (image, _, _, y, x, v) in enumerate(tile_arrays(batch, ["r", "g", "b"])):
+                s, near = batch.column(4)[i].as_py(), batch.column(5)[i].values
+                label = near.field(0).to_numpy() if near is not None else np.zeros(0, np.int64)
+                cy, cx, cr, cg, cb = (near.field(k).to_numpy() if near is not None else np.zeros(0) for k in range(1, 6))
+                dy, dx = y[:, None] - cy, x[:, None] - cx
+                d = (dy * dy + dx * dx) * (COMPACTNESS / s) ** 2 + ((v[:, [0]] - cr) ** 2 + (v[:, [1]] - cg) ** 2 + (v[:, [2]] - cb) ** 2)
+                inside = (np.abs(y[:, None] - np.floor(cy + 0.5)) <= s) & (np.abs(x[:, None] - np.floor(cx + 0.5)) <= s)
+                d = np.where(inside, np.floor(d * 1e6 + 0.5), np.inf)
+                some = inside.any(1)
+                best = d.argmin(1) if len(label) else np.zeros(len(y), int)
+                if cells_too:
+                    found = np.where(some, label[best] if len(label) else -1, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(y), image), y, x, found)], [*KEY, "label"])
+                    continue
+                n = np.bincount(best[some], minlength=len(label))
+                sums = [np.bincount(best[some], w[some], minlength=len(label)) for w in (y, x, v[:, 0], v[:, 1], v[:, 2])]
+                parts = (np.full((n > 0).sum(), image), label[n > 0], n[n > 0], *(w[n > 0] for w in sums))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts], ["image_id", "label", "n", "sy", "sx", "sr", "sg", "sb"])
+
+    return run
 
 
 def connected_components(labels: DataFrame) -> DataFrame:
@@ -112,12 +141,20 @@ def zone_borders(labels: DataFrame) -> DataFrame:
     return step.select(*KEY, (differs("east") | differs("south")).cast("int").alias("border"))
 
 
+def _small(palette: DataFrame, most: int = 4096) -> DataFrame:
+    """A palette for a broadcast; raises where it has more than `most` entries."""
+    n = palette.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a palette has at most {most} entries")
+    return F.broadcast(palette)
+
+
 def nearest_palette(cells: DataFrame, palette: DataFrame) -> DataFrame:
     """Each cell's nearest palette entry at weights .30, .59, .11; of equals the first. Colours are matched once each."""
     colours = cells.select("r", "g", "b").distinct()
     # weights in hundredths keep the distance an integer
     d = 30 * F.pow(F.col("r") - F.col("pr"), 2) + 59 * F.pow(F.col("g") - F.col("pg"), 2) + 11 * F.pow(F.col("b") - F.col("pb"), 2)
-    best = colours.join(F.broadcast(palette)).groupBy("r", "g", "b").agg(F.min(F.struct(d.alias("d"), "idx", "pr", "pg", "pb")).alias("m"))
+    best = colours.join(_small(palette)).groupBy("r", "g", "b").agg(F.min(F.struct(d.alias("d"), "idx", "pr", "pg", "pb")).alias("m"))
     return cells.select(*KEY, "r", "g", "b").join(best, ["r", "g", "b"]).select(*KEY, "m.idx", F.col("m.pr").alias("r"), F.col("m.pg").alias("g"), F.col("m.pb").alias("b"))
 
 
@@ -128,7 +165,7 @@ def two_color_mix(cells: DataFrame, palette: DataFrame) -> DataFrame:
     colours = lab(cells.select("r", "g", "b").distinct(), "rgb", "c").select("a.*", "cl", "ca", "cb")
     entries = lab(palette, ("pr", "pg", "pb"), "p").select(F.col("a").alias("entry"), "pl", "pa", "pb").join(palette.withColumn("entry", F.struct(F.col("pr").alias("r"), F.col("pg").alias("g"), F.col("pb").alias("b"))).select("entry", "idx"), "entry")
     d = F.round(F.sqrt(F.pow(F.col("cl") - F.col("pl"), 2) + F.pow(F.col("ca") - F.col("pa"), 2) + F.pow(F.col("cb") - F.col("pb"), 2)), 6)
-    ranked = colours.join(F.broadcast(entries)).groupBy("r", "g", "b").agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("d"), "idx"))), 1, 2).alias("two"))
+    ranked = colours.join(_small(entries)).groupBy("r", "g", "b").agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("d"), "idx"))), 1, 2).alias("two"))
     one, two = F.col("two")[0], F.col("two")[1]
     share = F.when(one["d"] + two["d"] == 0, 1.0).otherwise(two["d"] / (one["d"] + two["d"]))
     mixes = ranked.select("r", "g", "b", one["idx"].alias("first"), two["idx"].alias("second"), share.alias("share"))
@@ -158,14 +195,19 @@ def stratified_seeds(tree: DataFrame, target: int, seed: int, size: int = 64) ->
     """image_id, seed_id, y, x: points of each leaf in proportion to its mass, the fraction drawn, places drawn inside."""
     leaves = tree.where("is_leaf")
     total = leaves.groupBy("image_id").agg(F.sum("mass").alias("total"))
-    name = F.xxhash64("image_id", "depth", "qy", "qx", F.lit(seed))
-    unit = lambda h: F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
+
+    def unit(salt: Column | int) -> Column:
+        """0..1 from a leaf's key and a salt, by the same congruence as `noise`, twice, so that SQL has it too."""
+        mixed = F.pmod((F.col("image_id") * 7919 + F.col("depth") * 15485863 + F.col("qy") * 104729 + F.col("qx") * 1299709 + (salt if isinstance(salt, Column) else F.lit(salt)) * 32452843 + seed) * 1103515245 + 12345, F.lit(1 << 31))
+        return F.shiftright(F.pmod(mixed * 1103515245 + 12345, F.lit(1 << 31)), 11) / float(1 << 20)
+
     want = F.col("mass") * float(target) / F.col("total")
-    n = F.floor(want) + F.when(unit(name) < want - F.floor(want), 1).otherwise(0)
+    n = F.floor(want) + F.when(unit(0) < want - F.floor(want), 1).otherwise(0)
     width = F.lit(size) / F.pow(F.lit(2), F.col("depth"))
     points = leaves.join(total, "image_id").where("total > 0").select("image_id", "depth", "qy", "qx", width.alias("s"), n.alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
-    place = lambda q, salt: F.floor((F.col(q) + unit(F.xxhash64("image_id", "depth", "qy", "qx", "i", F.lit(salt + seed)))) * F.col("s"))
-    return points.select("image_id", F.xxhash64("depth", "qy", "qx", "i").alias("seed_id"), place("qy", 101).alias("y"), place("qx", 202).alias("x"))
+    place = lambda q, odd: F.floor((F.col(q) + unit(2 * F.col("i") + odd)) * F.col("s"))
+    name = ((F.col("depth") * 4096 + F.col("qy")) * 4096 + F.col("qx")) * 1048576 + F.col("i")
+    return points.select("image_id", name.alias("seed_id"), place("qy", 0).alias("y"), place("qx", 1).alias("x"))
 
 
 def voronoi_assign(cells: DataFrame, seeds: DataFrame, bucket: int = 16) -> DataFrame:
@@ -209,7 +251,21 @@ def lloyd_relax(mass: DataFrame, seeds: DataFrame, rounds: int = 1) -> DataFrame
 
 def hashed_seeds(cells: DataFrame, every: int, seed: int) -> DataFrame:
     """image_id, seed_id, y, x: about one cell in `every`, drawn from its key."""
-    return cells.where(F.pmod(noise(seed, 0) * 256 + noise(seed, 1), F.lit(every)) == 0).select("image_id", (F.col("y") * 4096 + F.col("x")).alias("seed_id"), "y", "x")
+    return cells.where(F.pmod(noise(seed, 0) * 256 + noise(seed, 1), F.lit(every)) == 0).select("image_id", (F.col("y") * F.lit(1 << 31) + F.col("x")).alias("seed_id"), "y", "x")
+
+
+class SeedPoints:
+    """Table function: rows image_id, y, x go in, about one in `every` comes out as image_id, seed_id, y, x; the same cells as hashed_seeds draws."""
+
+    def eval(self, row, every: int, seed: int):
+        drawn = [((row["image_id"] * 7919 + row["y"] * 104729 + row["x"] * 1299709 + k * 15485863 + seed) * 1103515245 + 12345) % 2**31 // 256 % 256 for k in (0, 1)]
+        if (drawn[0] * 256 + drawn[1]) % every == 0:
+            yield row["image_id"], row["y"] * 2**31 + row["x"], row["y"], row["x"]
+
+
+def register_seeds(spark: SparkSession, name: str = "seeds") -> None:
+    """SELECT * FROM seeds(TABLE(cells) PARTITION BY image_id, every, seed)"""
+    spark.udtf.register(name, F.udtf(SeedPoints, returnType="image_id bigint, seed_id bigint, y bigint, x bigint"))
 
 
 def label_windows(labels: DataFrame) -> DataFrame:

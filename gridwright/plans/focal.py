@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,28 +90,46 @@ def untile(tiles: DataFrame, size: int) -> DataFrame:
     return flat.where(own).drop("ty", "tx")
 
 
-def tiled(cells: DataFrame, fn: Callable[[np.ndarray], np.ndarray], r: int, columns: list[str], edge: str = "clamp", size: int = 32) -> DataFrame:
-    """fn on haloed blocks: (h + 2r, w + 2r, columns) to (h, w, columns); cells beyond a zero edge are 0."""
-    names = ["y", "x", *columns]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for image, ty, tx, found in zip(part[IMAGE], part["ty"], part["tx"], part["cells"], strict=True):
-                v = np.array([[c[n] for n in names] for c in found], dtype=float)
-                y, x = v[:, 0].astype(int) - ty * size + r, v[:, 1].astype(int) - tx * size + r
-                block = np.zeros((y.max() + 1 if edge != "zero" else size + 2 * r, x.max() + 1 if edge != "zero" else size + 2 * r, len(columns)))
-                block[y, x] = v[:, 2:]
-                out = fn(block)
+def tile_arrays(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(image, ty, tx, y, x, values) of each tile of a batch of image_id, ty, tx, cells: the nested cells as flat arrays."""
+    cells = batch.column(3)
+    flat, stops = cells.flatten(), np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+    take = lambda n: flat.field(flat.type.get_field_index(n)).to_numpy(zero_copy_only=False)
+    y, x, v = take("y"), take("x"), np.stack([take(c).astype(float) for c in columns], axis=1)
+    for i, (a, b) in enumerate(zip([0, *stops[:-1]], stops, strict=True)):
+        yield (*(batch.column(k)[i].as_py() for k in range(3)), y[a:b], x[a:b], v[a:b])
+
+
+def tiled(cells: DataFrame, fn: Callable[[np.ndarray], np.ndarray], r: int, columns: list[str], edge: str = "clamp", size: int = 32, out: list[str] | None = None) -> DataFrame:
+    """fn on haloed blocks: (h + 2r, w + 2r, columns) to (h, w, out columns); cells beyond a zero edge are 0.
+
+    For edge "shrink" fn gets one channel more: 1 in the image, 0 outside.
+    """
+    names, beyond = out or columns, edge in ("zero", "shrink")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, ty, tx, gy, gx, v in tile_arrays(batch, columns):
+                y, x = gy - ty * size + r, gx - tx * size + r
+                block = np.zeros((size + 2 * r if beyond else y.max() + 1, size + 2 * r if beyond else x.max() + 1, len(columns) + (edge == "shrink")))
+                block[y, x, : len(columns)] = v
+                if edge == "shrink":
+                    block[y, x, -1] = 1
+                made = fn(block)
                 own = (y >= r) & (y < r + size) & (x >= r) & (x < r + size)
-                if edge != "zero":
+                if not beyond:
                     own &= (y < block.shape[0] - r) & (x < block.shape[1] - r)
-                frame = pd.DataFrame({IMAGE: image, "y": v[own, 0].astype(int), "x": v[own, 1].astype(int)})
-                for i, c in enumerate(columns):
-                    frame[c] = out[y[own] - r, x[own] - r, i]
-                yield frame
+                parts = [np.full(own.sum(), image), gy[own], gx[own], *(made[y[own] - r, x[own] - r, i].astype(float) for i in range(len(names)))]
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], [IMAGE, "y", "x", *names])
+
+    tiles = tile_with_halo(cells.select(IMAGE, "y", "x", *columns), size, r, "zero" if beyond else edge)
+    return tiles.mapInArrow(run, f"{IMAGE} long, y long, x long, " + ", ".join(f"{c} double" for c in names))
+
 
-    tiles = tile_with_halo(cells.select(IMAGE, "y", "x", *columns), size, r, edge)
-    return tiles.mapInPandas(run, f"{IMAGE} long, y long, x long, " + ", ".join(f"{c} double" for c in columns))
+def around(block: np.ndarray, r: int) -> np.ndarray:
+    """The (2r + 1)^2 values around each inner cell of an (h + 2r, w + 2r) array, row by row, as the last axis."""
+    view = np.lib.stride_tricks.sliding_window_view(block, (2 * r + 1, 2 * r + 1))
+    return view.reshape(*view.shape[:2], -1)
 
 
 def focal_udf(fn: Callable[[np.ndarray], np.ndarray], radius: int, edge: str = "clamp") -> Callable[[DataFrame], DataFrame]:

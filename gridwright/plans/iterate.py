@@ -3,29 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir (a fresh one only where none is set)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (a fresh one only where none is set on one machine)."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridwright-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="gridwright-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in that folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once and kept in that folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], rounds: int) -> DataFrame:
-    """Repeats step until changed(before, after) has no row, or so many rounds."""
+    """Repeats step until changed(before, after) has no row; raises if that takes more than so many rounds."""
     now = saved(start)
     for _ in range(rounds):
         after = saved(step(now))
         if not changed(now, after).head(1):
             return after
         now = after
-    return now
+    raise RuntimeError(f"not stable after {rounds} rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

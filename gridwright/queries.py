@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .functions import tables
 from .operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, stats, zonal
-from .plans.focal import tile_with_halo, untile
+from .plans.focal import around, focal_udf, tile_with_halo, untile
+from .plans.iterate import shared_path
 from .sources import cells as src
 from .sources.cells import CELLS_SQL, KEY
 from .streaming import frames
@@ -67,7 +70,12 @@ f AS (SELECT *, {', '.join(f'CASE WHEN {k} > 0.008856451679035631 THEN cbrt({k})
 register("rgb_to_lab", "cells", f"{_LAB} SELECT image_id, y, x, round(116 * fq - 16, 6) AS l, round(500 * (fp - fq), 6) AS la, round(200 * (fq - fs), 6) AS lb, a FROM f", lambda c: local.rgb_to_lab(c))
 register("lab_round_trip", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c: local.lab_to_rgb(local.rgb_to_lab(c)).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
 register("adjust_rgb", "cells", f"SELECT image_id, y, x, least(greatest(r + 30, 0), 255) AS r, least(greatest(g - 40, 0), 255) AS g, least(greatest(b + 10, 0), 255) AS b, a FROM cells", lambda c: local.adjust_rgb(c, 30, -40, 10))
-register("adjust_lab", "cells", None, lambda c: local.adjust_lab(c, 5.0, -3.0, 2.0))
+register("adjust_lab", "cells", sql.lab_back(f"{_LAB}, m AS (SELECT image_id, y, x, a, {sql.clamped('116 * fq - 16 + 5', 100)} AS l, least(greatest(500 * (fp - fq) - 3, -128), 127) AS la, least(greatest(200 * (fq - fs) + 2, -128), 127) AS lb FROM f)"), lambda c: local.adjust_lab(c, 5.0, -3.0, 2.0))
+_AS_LAB = {"l": "r * 100 / 255.0", "la": "(g - 128) * 0.5", "lb": "(b - 128) * 0.5"}
+register("lab_to_rgb", "cells", sql.lab_back(", m AS (SELECT image_id, y, x, a, " + ", ".join(f"({e.replace('255.0', '255.0::DOUBLE').replace('0.5', '0.5::DOUBLE')}) AS {n}" for n, e in _AS_LAB.items()) + " FROM cells)"),
+         lambda c: local.lab_to_rgb(c.selectExpr(*KEY, "a", *(f"double({e.replace('255.0', 'double(255)').replace('0.5', 'double(0.5)')}) AS {n}" for n, e in _AS_LAB.items()))))
+register("rgb_to_lab_10", "cells", f"{_LAB}, t AS (SELECT *, {', '.join(f'{k} * {two!r} / {ten!r} AS t{k}' for k, two, ten in zip('pqs', tables.ILLUMINANTS['d65'], tables.ILLUMINANTS_10['d65'], strict=True))} FROM xyz), u AS (SELECT *, {', '.join(f'CASE WHEN t{k} > 0.008856451679035631 THEN cbrt(t{k}) ELSE t{k} * 7.787037037037037 + 16.0 / 116 END AS f{k}' for k in 'pqs')} FROM t) SELECT image_id, y, x, round(116 * fq - 16, 6) AS l, round(500 * (fp - fq), 6) AS la, round(200 * (fq - fs), 6) AS lb, a FROM u",
+         lambda c: local.rgb_to_lab(c, observer=10))
 _HUE = """, q AS (SELECT image_id, y, x, a, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM cells),
 e AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, greatest(r, g, b) - least(r, g, b) AS d FROM q),
 h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN CASE WHEN g >= b THEN 60 * (g - b) / d ELSE 360 + 60 * (g - b) / d END WHEN hi = g THEN 120 + 60 * (b - r) / d ELSE 240 + 60 * (r - g) / d END AS h FROM e)"""
@@ -78,9 +86,16 @@ for _space, _s, _l in (
     ("hsp", "CASE WHEN hi = 0 THEN 0 ELSE d / hi END", "sqrt(0.299 * r * r + 0.587 * g * g + 0.114 * b * b)"),
 ):
     register(f"to_{_space}", "cells", f"{_HUE} SELECT image_id, y, x, round(h, 6) AS h, round({_s}, 6) AS s, round({_l}, 6) AS l, a FROM h", lambda c, s=_space: local.to_hue_space(c, s))
-for _space in ("hsl", "hsv"):
+_SL = {
+    "hsl": ("CASE WHEN d = 0 THEN 0 ELSE d / (1 - abs(hi + lo - 1)) END", "(hi + lo) / 2"), "hsv": ("CASE WHEN hi = 0 THEN 0 ELSE d / hi END", "hi"),
+    "hsi": ("CASE WHEN r + g + b = 0 THEN 0 ELSE 1 - 3 * lo / (r + g + b) END", "(r + g + b) / 3"), "hsp": ("CASE WHEN hi = 0 THEN 0 ELSE d / hi END", "sqrt(0.299 * r * r + 0.587 * g * g + 0.114 * b * b)"),
+}
+for _space, (_s, _l) in _SL.items():
     register(f"{_space}_round_trip", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c, s=_space: local.from_hue_space(local.to_hue_space(c, s), s).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
-    register(f"adjust_{_space}", "cells", None, lambda c, s=_space: local.adjust_hue(c, s, 200.0, 0.1, -0.05))
+    _moved = f"{_HUE}, m AS (SELECT image_id, y, x, a, (h + 200) % 360 AS h, {sql.clamped(f'{_s} + 0.1')} AS s, {sql.clamped(f'{_l} - 0.05')} AS l FROM h)"
+    register(f"adjust_{_space}", "cells", sql.hue_back(_space, _moved).replace("{clamp}255 * (", "least(greatest(").replace("){end}", ", 0), 1)"), lambda c, s=_space: local.adjust_hue(c, s, 200.0, 0.1, -0.05).select(*KEY, *((F.col(k) / 255).alias(k) for k in "rgb"), "a"))
+    register(f"{_space}_to_rgb", "cells", sql.hue_back(_space, ", m AS (SELECT image_id, y, x, a, r * 7 / 5.0::DOUBLE AS h, g / 255.0::DOUBLE AS s, b / 255.0::DOUBLE AS l FROM cells)").replace("{clamp}", "").replace("{end}", ""),
+             lambda c, s=_space: local.from_hue_space(c.select(*KEY, "a", (F.col("r") * 7 / 5.0).alias("h"), (F.col("g") / 255.0).alias("s"), (F.col("b") / 255.0).alias("l")), s))
 register("adjust_cmyk", "cells", f""", k AS (SELECT *, 1 - greatest(r, g, b) / 255.0::DOUBLE AS k FROM cells),
 i AS (SELECT *, {', '.join(f'CASE WHEN k = 1 THEN 0 ELSE (1 - k - {c} / 255.0::DOUBLE) / (1 - k) END AS i{c}' for c in 'rgb')} FROM k)
 SELECT image_id, y, x, {', '.join(f'round(255 * (1 - least(greatest(i{c} + {d}, 0), 1)) * (1 - least(greatest(k - 0.05, 0), 1)), 6) AS {c}' for c, d in zip('rgb', ('0.1', '-0.2', '0.0'), strict=True))}, a FROM i""",
@@ -98,9 +113,10 @@ register("substitute_color", "cells", f"SELECT image_id, y, x, {', '.join(f'CASE
 register("substitute_mask", "cells", f"SELECT image_id, y, x, {_rgb(f'CASE WHEN {_BOX} THEN 255 ELSE 0 END AS $c')}, a FROM cells", lambda c: local.substitute_color(c, (120, 100, 90), (200, 50, 10), 60, True))
 register("gamma", "cells", f"SELECT image_id, y, x, {_rgb('round(least(255 * pow($c / 255.0::DOUBLE, 0.8), 255), 6) AS $c')}, a FROM cells", lambda c: local.gamma(c, 0.8))
 register("srgb_to_linear", "cells", f"{_LAB} SELECT image_id, y, x, {_rgb('round($c, 6) AS $c')}, a FROM lin", lambda c: local.to_linear(c))
+register("linear_to_srgb_curve", "cells", f"SELECT image_id, y, x, {_rgb('round(255 * (' + sql.TO_SRGB.format(c='($c / 255.0::DOUBLE)') + '), 6) AS $c')}, a FROM cells", lambda c: local.to_srgb(c.select(*KEY, *((F.col(k) / 255.0).alias(k) for k in "rgb"), "a")))
 register("linear_to_srgb", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c: local.to_srgb(local.to_linear(c)).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
 for _kind, _f in (("bright", "cbrt(t * t)"), ("dark", "t * t"), ("sigmoid", "1 / (1 + exp(-10 * (t - 0.5)))")):
-    register(f"tone_{_kind}", "cells", f", t AS (SELECT c.*, l.v / 255.0::DOUBLE AS t FROM cells c JOIN lumas l USING (image_id, y, x)) SELECT image_id, y, x, {_rgb(f'round(least(greatest($c + 255 * ({_f} - t), 0), 255), 6) AS $c')}, a FROM t",
+    register(f"tone_{_kind}", "cells", f", t AS (SELECT *, CAST(floor((2126 * r + 7152 * g + 722 * b) / 10000.0) AS INT) / 255.0::DOUBLE AS t FROM cells) SELECT image_id, y, x, {_rgb(f'round(least(greatest($c + 255 * ({_f} - t), 0), 255), 6) AS $c')}, a FROM t",
              lambda c, k=_kind: local.tone(c, k))
 register("negate_luma", "luma", "SELECT image_id, y, x, 255 - v AS v FROM lumas", lambda p: local.negate_luma(p))
 register("residual_map", "luma", """, n AS (SELECT l.image_id, l.y, l.x, any_value(l.v) AS v, max(m.v) AS f FROM lumas l JOIN lumas m ON l.image_id = m.image_id AND l.y = m.y AND abs(l.x - m.x) <= 1 GROUP BY l.image_id, l.y, l.x)
@@ -149,7 +165,7 @@ register("otsu_binarize", "cells", f"{_OTSU} SELECT image_id, y, x, CASE WHEN v
 register("gray_world", "cells", f"SELECT image_id, y, x, {_rgb('round(least($c * 127.5 / avg($c) OVER (PARTITION BY image_id), 255), 6) AS $c')}, a FROM cells", lambda c: stats.gray_world(c))
 register("gray_pixels", "cells", f"""{_LAB}, g AS (SELECT *, greatest(r, g, b) < 0.98 AND least(r, g, b) >= 1e-4 AND pow((r - g) / sqrt(2), 2) + pow((r + g - 2 * b) / sqrt(6), 2) < pow(0.3 * greatest((r + g + b) / sqrt(3), 1e-6), 2) AS gray FROM lin)
 SELECT image_id, count(*) FILTER (gray) AS n, {_rgb('round(coalesce(sum($c) FILTER (gray), 0), 6) AS sum_$c')} FROM g GROUP BY image_id""", lambda c: stats.gray_pixel_estimate(c))
-register("adaptation_matrix", "cells", None, lambda c: stats.adaptation_matrix(stats.gray_pixel_estimate(c)))
+register("adaptation_matrix", "cells", f"{sql.LINEAR_CELLS} SELECT image_id, {', '.join(f'round(s{i}, 6) AS m{i}' for i in range(9))} FROM ({sql.adaptation(sql.GRAY_SUMS.format(source='lin'))})", lambda c: stats.adaptation_matrix(stats.gray_pixel_estimate(c)))
 register("max_normalize", "luma", "SELECT image_id, y, x, round(v / (max(v) OVER (PARTITION BY image_id))::DOUBLE, 6) AS v FROM lumas", lambda p: stats.max_normalize(p))
 register("min_block_std", "luma", "SELECT image_id, round(min(s), 6) AS noise_floor FROM (SELECT image_id, stddev_samp(v) AS s FROM lumas GROUP BY image_id, y // 8, x // 8) WHERE round(s, 9) > 0 GROUP BY 1", lambda p: stats.min_block_std(p))
 register("hist_extrema", "cells", _DENSE + """, i AS (SELECT image_id, bin, n, bin - row_number() OVER (PARTITION BY image_id, n ORDER BY bin) AS k FROM d),
@@ -167,8 +183,10 @@ register("entropy", "cells", f"{_DENSE} SELECT image_id, round(-sum(n / 4096.0 *
 # --- focal --------------------------------------------------------------------------------------
 def _near(r: int, edge: str, table: str = "lumas", extra: str = "") -> str:
     """, near AS (a row for each cell and neighbour), by pulling: the neighbour is looked up for each cell."""
-    inside = "s.y = least(greatest(t.y + dy.o, 0), 63) AND s.x = least(greatest(t.x + dx.o, 0), 63)" if edge == "clamp" else "s.y = t.y + dy.o AND s.x = t.x + dx.o"
-    return f", near AS (SELECT t.image_id, t.y, t.x, dy.o AS dy, dx.o AS dx, {'s.v, t.v AS own' if table == 'lumas' else 's.r, s.g, s.b'}{extra} FROM {table} t CROSS JOIN range({-r}, {r + 1}) dy(o) CROSS JOIN range({-r}, {r + 1}) dx(o) JOIN {table} s ON s.image_id = t.image_id AND {inside})"
+    at = "least(greatest(t.y + dy.o, 0), 63) AS sy, least(greatest(t.x + dx.o, 0), 63) AS sx" if edge == "clamp" else "t.y + dy.o AS sy, t.x + dx.o AS sx"
+    # places are written out first, so that the join is one by equality
+    moved = f", moved AS MATERIALIZED (SELECT t.*, dy.o AS dy, dx.o AS dx, {at} FROM {table} t CROSS JOIN range({-r}, {r + 1}) dy(o) CROSS JOIN range({-r}, {r + 1}) dx(o))"
+    return f"{moved}, near AS (SELECT t.image_id, t.y, t.x, dy, dx, {'s.v, t.v AS own' if table == 'lumas' else 's.r, s.g, s.b'}{extra} FROM moved t JOIN {table} s ON s.image_id = t.image_id AND s.y = sy AND s.x = sx)"
 
 
 def _kernel_sql(name: str) -> str:
@@ -184,12 +202,15 @@ register("box_mean", "luma", f"{_near(3, 'clamp')} SELECT image_id, y, x, CAST(s
 register("geometric_mean", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, round(pow(10, avg(log10(v + 1))) - 1, 6) AS v FROM near GROUP BY image_id, y, x", lambda p: focal.geometric_mean(p, 1))
 for _size in (3, 5):
     register(f"median_{_size}", "luma", f"{_near(_size // 2, 'clamp')} SELECT image_id, y, x, CAST(quantile_disc(v, 0.5) AS INT) AS v FROM near GROUP BY image_id, y, x", lambda p, s=_size: focal.median(p, s))
-register("adaptive_median", "luma", None, lambda p: focal.adaptive_median(p, 3))
+register("adaptive_median", "luma", sql.adaptive_median(8), lambda p: focal.adaptive_median(p, 8))
 register("fuzzy_smooth", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, round(sum(exp(-pow(v - own, 2) / 1800.0::DOUBLE) * v) / sum(exp(-pow(v - own, 2) / 1800.0::DOUBLE)), 6) AS v FROM near WHERE dy <> 0 OR dx <> 0 GROUP BY image_id, y, x", lambda p: focal.fuzzy_smooth(p, 3, 30.0))
 register("fuzzy_median_std", "luma", f"""{_near(1, 'clamp')}, s AS (SELECT image_id, y, x, any_value(own) AS own, round(stddev_samp(v), 9) AS s, quantile_disc(v, 0.5) AS m FROM near GROUP BY image_id, y, x),
 f AS (SELECT image_id, min(q) AS q FROM (SELECT image_id, round(stddev_samp(v), 9) AS q FROM lumas GROUP BY image_id, y // 8, x // 8) WHERE q > 0 GROUP BY 1)
 SELECT image_id, y, x, CAST(CASE WHEN s > 1.5::DOUBLE * q AND s <= 6 * q THEN m ELSE own END AS INT) AS v FROM s LEFT JOIN f USING (image_id)""", lambda p: focal.fuzzy_median_std(p))
 register("bilateral", "luma", f"{_near(2, 'shrink')}, w AS (SELECT *, exp(-(dy * dy + dx * dx) / 18.0::DOUBLE) * exp(-pow(v - own, 2) / 3200.0::DOUBLE) AS w FROM near) SELECT image_id, y, x, round(sum(w * v) / sum(w), 6) AS v FROM w GROUP BY image_id, y, x", lambda p: focal.bilateral(p, 2, 40.0))
+_STEPS = 6
+register("anisotropic_steps", "luma", ", d0 AS (SELECT image_id, y, x, v::DOUBLE AS v FROM lumas), " + ", ".join(f"d{i + 1} AS MATERIALIZED (SELECT l.image_id, l.y, l.x, least(greatest(any_value(l.v) + 0.2::DOUBLE * sum((n.v - l.v) / (1 + pow((n.v - l.v) / 20.0::DOUBLE, 2))), 0), 255) AS v FROM d{i} l JOIN d{i} n ON n.image_id = l.image_id AND abs(n.y - l.y) + abs(n.x - l.x) = 1 GROUP BY l.image_id, l.y, l.x)" for i in range(_STEPS)).replace("abs(n.y - l.y) + abs(n.x - l.x) = 1", "((n.y = l.y AND n.x IN (l.x - 1, l.x + 1)) OR (n.x = l.x AND n.y IN (l.y - 1, l.y + 1)))") + f" SELECT image_id, y, x, round(v, 6) AS v FROM d{_STEPS}",
+         lambda p: focal.anisotropic_diffusion(p, 20.0, 0.2, _STEPS))
 register("anisotropic_diffusion", "luma", """, d AS (SELECT l.image_id, l.y, l.x, any_value(l.v) AS v, sum((n.v - l.v) / (1 + pow((n.v - l.v) / 20.0::DOUBLE, 2))) AS f FROM lumas l JOIN lumas n ON n.image_id = l.image_id AND abs(n.y - l.y) + abs(n.x - l.x) = 1 GROUP BY l.image_id, l.y, l.x)
 SELECT image_id, y, x, round(least(greatest(v + 0.2::DOUBLE * f, 0), 255), 6) AS v FROM d""", lambda p: focal.anisotropic_diffusion(p, 20.0, 0.2, 1))
 for _shape, _size in (("square", 5), ("vertical", 3), ("horizontal", 7), ("cross", 5), ("frame", 5), ("ring", 5), ("disk", 7), ("diamond", 5)):
@@ -206,18 +227,19 @@ _GRAD = """, g AS MATERIALIZED (SELECT t.image_id, t.y, t.x, (e.v - w.v) / (e.x
 register("gradient", "luma", _GRAD.format(t="lumas") + " SELECT image_id, y, x, round(gx, 6) AS gx, round(gy, 6) AS gy, round(sqrt(gx * gx + gy * gy), 6) AS magnitude FROM g", lambda p: focal.gradient(p))
 register("sobel", "luma", f"{_near(1, 'shrink')}, z AS (SELECT image_id, y, x, any_value(own) AS own, count(*) AS n, sum(v * dx * (2 - abs(dy))) AS gx, sum(v * dy * (2 - abs(dx))) AS gy FROM near GROUP BY image_id, y, x) SELECT image_id, y, x, CAST(CASE WHEN n = 9 THEN abs(gx) + abs(gy) ELSE own END AS INT) AS v FROM z", lambda p: focal.sobel(p))
 register("edge_sketch", "luma", _GRAD.format(t="lumas") + " SELECT image_id, y, x, round(255 - least(2 * sqrt(gx * gx + gy * gy), 255), 6) AS v FROM g", lambda p: focal.edge_sketch(p, 2.0))
-register("charcoal", "luma", None, lambda p: focal.charcoal(p, 30.0))
+register("charcoal", "luma", _GRAD.format(t="lumas") + sql.CHARCOAL.format(norm=tables.KERNELS["gaussian_3"][1], kernel=_kernel_sql("gaussian_3")), lambda p: focal.charcoal(p, 30.0))
 register("mode_filter", "cells", """, m AS (SELECT t.image_id, t.y, t.x, u.ch, u.v, count(*) AS n FROM cells t JOIN (UNPIVOT (SELECT image_id, y, x, r, g, b FROM cells) ON r, g, b INTO NAME ch VALUE v) u
   ON u.image_id = t.image_id AND u.y BETWEEN t.y AND t.y + 2 AND u.x BETWEEN t.x AND t.x + 2 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x, ch ORDER BY n DESC, v DESC) AS i FROM m)
 SELECT image_id, y, x, max(v) FILTER (ch = 'r') AS r, max(v) FILTER (ch = 'g') AS g, max(v) FILTER (ch = 'b') AS b FROM k WHERE i = 1 GROUP BY image_id, y, x""", lambda c: focal.mode_filter(c, 3))
 _GW = f"exp(-(dy * dy + dx * dx) / 2.0::DOUBLE) / pow({'+'.join(f'exp(-{i * i} / 2.0::DOUBLE)' for i in range(-2, 3))}, 2)"
 register("gaussian_blur", "luma", f"{_near(2, 'clamp')} SELECT image_id, y, x, round(sum(v * {_GW}), 6) AS v FROM near GROUP BY image_id, y, x", lambda p: focal.gaussian_blur(p, 1.0, 2))
-register("structure_tensor", "luma", _GRAD.format(t="lumas") + f""", n AS (SELECT t.image_id, t.y, t.x, sum(s.gx * s.gx * {_GW}) AS a, sum(s.gy * s.gy * {_GW}) AS b, sum(s.gx * s.gy * {_GW}) AS c
-  FROM g t CROSS JOIN range(-2, 3) dyy(dy) CROSS JOIN range(-2, 3) dxx(dx) JOIN g s ON s.image_id = t.image_id AND s.y = least(greatest(t.y + dy, 0), 63) AND s.x = least(greatest(t.x + dx, 0), 63) GROUP BY t.image_id, t.y, t.x)
-SELECT image_id, y, x, round((a + b + sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l1, round((a + b - sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l2 FROM n""",
+_TENSOR = _GRAD.format(t="lumas") + f""", go AS MATERIALIZED (SELECT t.image_id, t.y, t.x, dy, dx, least(greatest(t.y + dy, 0), 63) AS sy, least(greatest(t.x + dx, 0), 63) AS sx FROM lumas t CROSS JOIN range(-2, 3) dyy(dy) CROSS JOIN range(-2, 3) dxx(dx)),
+n AS MATERIALIZED (SELECT t.image_id, t.y, t.x, sum(s.gx * s.gx * {_GW}) AS a, sum(s.gy * s.gy * {_GW}) AS b, sum(s.gx * s.gy * {_GW}) AS c FROM go t JOIN g s ON s.image_id = t.image_id AND s.y = sy AND s.x = sx GROUP BY t.image_id, t.y, t.x)"""
+register("structure_tensor", "luma", _TENSOR + """ SELECT image_id, y, x, round((a + b + sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l1, round((a + b - sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l2 FROM n""",
          lambda p: focal.structure_tensor(p).select(*KEY, F.round("l1", 4).alias("l1"), F.round("l2", 4).alias("l2")))
 register("pyramid_level", "luma", ", m AS (SELECT image_id, y // 2 AS py, x // 2 AS px, avg(v) AS m FROM lumas GROUP BY ALL) SELECT image_id, y, x, round(v - m, 6) AS v FROM lumas l JOIN m USING (image_id) WHERE py = y // 2 AND px = x // 2", lambda p: focal.pyramid(p, 1)[0])
+register("pyramid_level_3", "luma", ", m AS (SELECT image_id, y // 4 AS y, x // 4 AS x, avg(v) AS v FROM lumas GROUP BY ALL), n AS (SELECT image_id, y // 2 AS py, x // 2 AS px, avg(v) AS p FROM m GROUP BY ALL) SELECT m.image_id, y, x, round(v - p, 6) AS v FROM m JOIN n ON n.image_id = m.image_id AND py = y // 2 AND px = x // 2", lambda p: focal.pyramid(p, 3)[2])
 register("pyramid_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.reconstruct(focal.pyramid(p, 3)).select(*KEY, F.round("v").cast("int").alias("v")))
 register("error_diffusion", "luma", """, RECURSIVE_PLACEHOLDER""", lambda p: focal.error_diffusion(p))
 SQL["error_diffusion"] = CELLS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, f AS (
@@ -228,6 +250,9 @@ SELECT image_id, y, x, v FROM f"""
 register("dct_blocks", "luma", """, b AS (SELECT k.v AS k, i.v AS i, CASE WHEN k.v = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos(pi() * (2 * i.v + 1) * k.v / 16) AS w FROM range(8) k(v), range(8) i(v))
 SELECT image_id, y // 8 * 8 + p.k AS y, x // 8 * 8 + q.k AS x, round(sum(v * p.w * q.w), 4) AS v FROM lumas JOIN b p ON p.i = y % 8 JOIN b q ON q.i = x % 8 GROUP BY image_id, y // 8 * 8 + p.k, x // 8 * 8 + q.k""",
          lambda p: focal.dct_blocks(p, 8).select(*KEY, F.round("v", 4).alias("v")))
+register("dct_inverse", "luma", """, b AS (SELECT k.v AS k, i.v AS i, CASE WHEN k.v = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos(pi() * (2 * i.v + 1) * k.v / 16) AS w FROM range(8) k(v), range(8) i(v))
+SELECT image_id, y // 8 * 8 + p.i AS y, x // 8 * 8 + q.i AS x, round(sum(v * p.w * q.w), 4) AS v FROM lumas JOIN b p ON p.k = y % 8 JOIN b q ON q.k = x % 8 GROUP BY image_id, y // 8 * 8 + p.i, x // 8 * 8 + q.i""",
+         lambda p: focal.dct_blocks(p, 8, inverse=True).select(*KEY, F.round("v", 4).alias("v")))
 register("dct_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.dct_blocks(focal.dct_blocks(p, 8), 8, inverse=True).select(*KEY, F.round("v").cast("int").alias("v")))
 
 # --- zones --------------------------------------------------------------------------------------
@@ -242,12 +267,12 @@ def _labels(planes: DataFrame) -> DataFrame:
     return planes.select(*KEY, F.floor(F.col("v") / 64).alias("label"))
 
 
-_SEEDS = f", seeds AS MATERIALIZED (SELECT image_id, y * 4096 + x AS seed_id, y, x FROM cells WHERE ((({_NOISE.format(k=0, s=9)})) * 256 + ({_NOISE.format(k=1, s=9)})) % 97 = 0)"
+_SEEDS = f", seeds AS MATERIALIZED (SELECT image_id, y * 2147483648 + x AS seed_id, y, x FROM cells WHERE ((({_NOISE.format(k=0, s=9)})) * 256 + ({_NOISE.format(k=1, s=9)})) % 97 = 0)"
 register("grid_seeds", "cells", "SELECT image_id, (y - 8) // 16 * 4 + (x - 8) // 16 AS label, y, x, r, g, b FROM cells WHERE y % 16 = 8 AND x % 16 = 8", lambda c: zonal.grid_seeds(c, 16))
 register("perturb_seeds", "cells", _GRAD.format(t="lumas") + """, n AS (SELECT s.image_id, (s.y - 8) // 16 * 4 + (s.x - 8) // 16 AS label, g.y, g.x, row_number() OVER (PARTITION BY s.image_id, s.y, s.x ORDER BY round(sqrt(gx * gx + gy * gy), 9), g.y, g.x) AS i
   FROM cells s JOIN g ON g.image_id = s.image_id AND g.y BETWEEN s.y - 1 AND s.y + 1 AND g.x BETWEEN s.x - 1 AND s.x + 1 WHERE s.y % 16 = 8 AND s.x % 16 = 8)
 SELECT n.image_id, label, n.y, n.x, r, g, b FROM n JOIN cells c ON c.image_id = n.image_id AND c.y = n.y AND c.x = n.x WHERE i = 1""", lambda c: zonal.perturb_seeds(zonal.grid_seeds(c, 16), c))
-register("superpixels", "cells", None, lambda c: zonal.superpixels(c, 16))
+register("superpixels", "cells", sql.superpixels(10), lambda c: zonal.superpixels(c, 16))
 register("enforce_connectivity", "cells", None, lambda c: zonal.enforce_connectivity(_labels(src.with_luma(c)), 12))
 register("zone_recolor", "cells", f"{_LABELS} SELECT image_id, y, x, label, {_rgb('round(avg($c) OVER (PARTITION BY image_id, label), 6) AS $c')} FROM cells JOIN labels USING (image_id, y, x)", lambda c: zonal.zone_recolor(c, _labels(src.with_luma(c))))
 register("zone_borders", "luma", f"{_LABELS} SELECT t.image_id, t.y, t.x, CAST(bool_or(s.label <> t.label) AS INT) AS border FROM labels t JOIN labels s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x IN (t.x, t.x + 1)) OR (s.x = t.x AND s.y = t.y + 1)) GROUP BY t.image_id, t.y, t.x", lambda p: zonal.zone_borders(_labels(p)))
@@ -256,15 +281,26 @@ register("label_windows", "luma", f"{_LABELS} SELECT image_id, label, count(*) A
 _PALETTE = "(VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(tables.CGA16)) + ") p(idx, pr, pg, pb)"
 register("nearest_palette", "cells", f""", n AS (SELECT c.image_id, c.y, c.x, idx, pr, pg, pb, row_number() OVER (PARTITION BY image_id, y, x ORDER BY 30 * pow(r - pr, 2) + 59 * pow(g - pg, 2) + 11 * pow(b - pb, 2), idx) AS i FROM cells c CROSS JOIN {_PALETTE})
 SELECT image_id, y, x, idx, pr AS r, pg AS g, pb AS b FROM n WHERE i = 1""", lambda c: zonal.nearest_palette(c, tables.palette(c.sparkSession, "cga16")))
-register("two_color_mix", "cells", None, lambda c: zonal.two_color_mix(c, tables.palette(c.sparkSession, "cga16")))
-register("quadtree", "luma", """, n AS (SELECT image_id, d.v AS depth, CAST(y // (64 >> d.v) AS BIGINT) AS qy, CAST(x // (64 >> d.v) AS BIGINT) AS qx, CAST(sum(lumas.v) AS BIGINT) AS mass FROM lumas CROSS JOIN (SELECT CAST(range AS INT) AS v FROM range(5)) d GROUP BY ALL),
-t AS (SELECT n.*, NOT (mass > 4000 AND depth < 4) AS is_leaf FROM n)
-SELECT * FROM t WHERE depth = 0 OR NOT EXISTS (SELECT 1 FROM t p WHERE p.image_id = t.image_id AND p.is_leaf AND p.depth < t.depth AND p.qy = t.qy >> (t.depth - p.depth) AND p.qx = t.qx >> (t.depth - p.depth))""",
+_PALETTE_LAB = _LAB.replace("FROM cells)", "FROM (SELECT idx AS image_id, 0 AS y, 0 AS x, pr AS r, pg AS g, pb AS b, 255 AS a FROM {palette}))")
+for _old, _new in (("lin AS", "plin AS"), ("xyz AS", "pxyz AS"), (", f AS", ", pf AS"), ("f AS (SELECT", "pf AS (SELECT"), ("FROM lin)", "FROM plin)"), ("FROM xyz)", "FROM pxyz)")):
+    _PALETTE_LAB = _PALETTE_LAB.replace(_old, _new, 1) if _old != ", f AS" else _PALETTE_LAB
+register("two_color_mix", "cells", _LAB + _PALETTE_LAB.format(palette=_PALETTE) + """, d AS (SELECT f.image_id, f.y, f.x, p.image_id AS idx, round(sqrt(pow(116 * (f.fq - p.fq), 2) + pow(500 * (f.fp - f.fq - p.fp + p.fq), 2) + pow(200 * (f.fq - f.fs - p.fq + p.fs), 2)), 6) AS d FROM f CROSS JOIN pf p),
+t AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY d, idx) AS i FROM d),
+o AS (SELECT image_id, y, x, max(idx) FILTER (i = 1) AS first, max(idx) FILTER (i = 2) AS second, max(d) FILTER (i = 1) AS d1, max(d) FILTER (i = 2) AS d2 FROM t WHERE i <= 2 GROUP BY image_id, y, x)
+SELECT image_id, y, x, first, second, round(CASE WHEN d1 + d2 = 0 THEN 1 ELSE d2 / (d1 + d2) END, 6) AS share FROM o""", lambda c: zonal.two_color_mix(c, tables.palette(c.sparkSession, "cga16")))
+for _name in ("ega64", "vga256"):
+    _entries = "(VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(tables.PALETTES[_name])) + ") p(idx, pr, pg, pb)"
+    register(f"nearest_{_name}", "cells", f""", k AS (SELECT DISTINCT r, g, b FROM cells), n AS (SELECT k.*, idx, pr, pg, pb, row_number() OVER (PARTITION BY r, g, b ORDER BY 30 * pow(r - pr, 2) + 59 * pow(g - pg, 2) + 11 * pow(b - pb, 2), idx) AS i FROM k CROSS JOIN {_entries})
+SELECT image_id, y, x, idx, pr AS r, pg AS g, pb AS b FROM cells JOIN n USING (r, g, b) WHERE i = 1""", lambda c, n=_name: zonal.nearest_palette(c, tables.palette(c.sparkSession, n)))
+_TREE = """, n AS (SELECT image_id, d.v AS depth, CAST(y // (64 >> d.v) AS BIGINT) AS qy, CAST(x // (64 >> d.v) AS BIGINT) AS qx, CAST(sum(lumas.v) AS BIGINT) AS mass FROM lumas CROSS JOIN (SELECT CAST(range AS INT) AS v FROM range(5)) d GROUP BY ALL),
+t AS (SELECT n.*, NOT (mass > 4000 AND depth < 4) AS is_leaf FROM n),
+tree AS (SELECT * FROM t WHERE depth = 0 OR NOT EXISTS (SELECT 1 FROM t p WHERE p.image_id = t.image_id AND p.is_leaf AND p.depth < t.depth AND p.qy = t.qy >> (t.depth - p.depth) AND p.qx = t.qx >> (t.depth - p.depth)))"""
+register("quadtree", "luma", f"{_TREE} SELECT * FROM tree",
          lambda p: zonal.quadtree(p.withColumnRenamed("v", "m"), 4000))
-register("stratified_seeds", "luma", None, lambda p: zonal.stratified_seeds(zonal.quadtree(p.withColumnRenamed("v", "m"), 4000), 200, 3))
-register("voronoi_assign", "cells", f"{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, seed_id, pow(c.y - s.y, 2) + pow(c.x - s.x, 2) AS d2 FROM cells c JOIN seeds s ON s.image_id = c.image_id) SELECT image_id, y, x, arg_min(seed_id, d2 * 1e9 + seed_id) AS seed_id, CAST(min(d2) AS BIGINT) AS d2 FROM n GROUP BY image_id, y, x",
+register("stratified_seeds", "luma", _TREE + sql.STRATIFIED.format(draw0=sql.drawn("0", 3), draw1=sql.drawn("2 * i", 3), draw2=sql.drawn("2 * i + 1", 3)), lambda p: zonal.stratified_seeds(zonal.quadtree(p.withColumnRenamed("v", "m"), 4000), 200, 3))
+register("voronoi_assign", "cells", f"{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, seed_id, pow(c.y - s.y, 2) + pow(c.x - s.x, 2) AS d2 FROM cells c JOIN seeds s ON s.image_id = c.image_id) SELECT image_id, y, x, min(struct_pack(d2 := d2, seed_id := seed_id)).seed_id AS seed_id, CAST(min(d2) AS BIGINT) AS d2 FROM n GROUP BY image_id, y, x",
          lambda c: zonal.voronoi_assign(c, _every(c)))
-register("lloyd_relax", "luma", f"""{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, any_value(c.v) AS m, arg_min(seed_id, (pow(c.y - s.y, 2) + pow(c.x - s.x, 2)) * 1e9 + seed_id) AS seed_id FROM lumas c JOIN seeds s ON s.image_id = c.image_id GROUP BY c.image_id, c.y, c.x),
+register("lloyd_relax", "luma", f"""{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, any_value(c.v) AS m, min(struct_pack(d2 := pow(c.y - s.y, 2) + pow(c.x - s.x, 2), seed_id := seed_id)).seed_id AS seed_id FROM lumas c JOIN seeds s ON s.image_id = c.image_id GROUP BY c.image_id, c.y, c.x),
 w AS (SELECT image_id, seed_id, sum(m) AS m, sum(y * m) AS sy, sum(x * m) AS sx FROM n GROUP BY ALL)
 SELECT s.image_id, s.seed_id, CAST(CASE WHEN m > 0 THEN sy // m ELSE y END AS BIGINT) AS y, CAST(CASE WHEN m > 0 THEN sx // m ELSE x END AS BIGINT) AS x FROM seeds s LEFT JOIN w USING (image_id, seed_id)""",
          lambda p: zonal.lloyd_relax(p.withColumnRenamed("v", "m"), _every(p)))
@@ -274,46 +310,111 @@ reach AS (SELECT image_id, y, x, label, y * 2147483648 + x AS part FROM labels
   UNION SELECT s.image_id, s.y, s.x, s.label, least(r.part, s.y * 2147483648 + s.x) FROM reach r JOIN labels s ON s.image_id = r.image_id AND s.label = r.label AND abs(s.y - r.y) + abs(s.x - r.x) = 1 WHERE r.part < s.y * 2147483648 + s.x)
 SELECT image_id, y, x, label, min(part) AS part FROM reach GROUP BY ALL"""
 
+SQL["enforce_connectivity"] = SQL["connected_components"].replace("SELECT image_id, y, x, label, min(part) AS part FROM reach GROUP BY ALL", "").rstrip() + """,
+parts AS MATERIALIZED (SELECT image_id, y, x, min(part) AS part FROM reach GROUP BY ALL),
+sizes AS (SELECT image_id, part, count(*) AS n, min(y * 2147483648 + x) AS at FROM parts GROUP BY ALL),
+goes AS MATERIALIZED (SELECT s.image_id, s.part, CASE WHEN n <= 12 THEN coalesce(w.part, u.part, s.part) ELSE s.part END AS goal FROM sizes s
+  LEFT JOIN parts w ON w.image_id = s.image_id AND w.y = s.at // 2147483648 AND w.x = s.at % 2147483648 - 1 LEFT JOIN parts u ON u.image_id = s.image_id AND u.y = s.at // 2147483648 - 1 AND u.x = s.at % 2147483648),
+chain AS (SELECT * FROM goes UNION SELECT c.image_id, c.part, g.goal FROM chain c JOIN goes g ON g.image_id = c.image_id AND g.part = c.goal)
+SELECT p.image_id, p.y, p.x, c.goal AS label FROM parts p JOIN chain c USING (image_id, part) JOIN goes g ON g.image_id = c.image_id AND g.part = c.goal AND g.goal = c.goal"""
+
+
+def _seeds_of(cells: DataFrame) -> DataFrame:
+    zonal.register_seeds(cells.sparkSession)
+    cells.select(*KEY).createOrReplaceTempView("seed_cells")
+    return cells.sparkSession.sql("SELECT * FROM seeds(TABLE(seed_cells) PARTITION BY (image_id), 97, 9)")
+
+
+register("seeds_udtf", "cells", f"{_SEEDS} SELECT * FROM seeds", _seeds_of)
+
 # --- graphs and patches -------------------------------------------------------------------------
-_EDGES = ", edges AS MATERIALIZED (SELECT t.image_id, t.y * 4096 + t.x AS src, s.y * 4096 + s.x AS dst FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x = t.x + 1) OR (s.x = t.x AND s.y = t.y + 1)) WHERE abs(s.v - t.v) <= 40), both_ways AS MATERIALIZED (SELECT image_id, src, dst FROM edges UNION ALL SELECT image_id, dst, src FROM edges)"
+_EDGES = ", edges AS MATERIALIZED (SELECT t.image_id, t.y * 2147483648 + t.x AS src, s.y * 2147483648 + s.x AS dst FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND ((s.y = t.y AND s.x = t.x + 1) OR (s.x = t.x AND s.y = t.y + 1)) WHERE abs(s.v - t.v) <= 40), both_ways AS MATERIALIZED (SELECT image_id, src, dst FROM edges UNION ALL SELECT image_id, dst, src FROM edges)"
 
 
 def _nodes(planes: DataFrame) -> DataFrame:
-    return planes.select("image_id", (F.col("y") * 4096 + F.col("x")).alias("node"), "v")
+    return planes.select("image_id", (F.col("y") * F.lit(1 << 31) + F.col("x")).alias("node"), "v")
 
 
 register("grid_edges", "luma", f"{_EDGES} SELECT * FROM edges", lambda p: graph.grid_edges(p, 40))
 for _what, _fn, _pick in (("erode", "min", "least"), ("dilate", "max", "greatest")):
-    register(f"graph_{_what}", "luma", f"{_EDGES}, v AS (SELECT image_id, y * 4096 + x AS node, v FROM lumas) SELECT v.image_id, v.node, {_pick}(any_value(v.v), coalesce({_fn}(w.v), any_value(v.v))) AS v FROM v LEFT JOIN both_ways e ON e.image_id = v.image_id AND e.src = v.node LEFT JOIN v w ON w.image_id = e.image_id AND w.node = e.dst GROUP BY v.image_id, v.node",
+    register(f"graph_{_what}", "luma", f"{_EDGES}, v AS (SELECT image_id, y * 2147483648 + x AS node, v FROM lumas) SELECT v.image_id, v.node, {_pick}(any_value(v.v), coalesce({_fn}(w.v), any_value(v.v))) AS v FROM v LEFT JOIN both_ways e ON e.image_id = v.image_id AND e.src = v.node LEFT JOIN v w ON w.image_id = e.image_id AND w.node = e.dst GROUP BY v.image_id, v.node",
              lambda p, f=f"graph_{_what}": getattr(graph, f)(_nodes(p), graph.grid_edges(p, 40)))
-register("graph_asf", "luma", None, lambda p: graph.graph_asf(_nodes(p), graph.grid_edges(p, 40), 1))
-register("cocircular_edges", "luma", None, lambda p: graph.cocircular_edges(focal.structure_tensor(p), 2, 30.0, 30.0))
+register("graph_asf", "luma", _EDGES + sql.asf(1), lambda p: graph.graph_asf(_nodes(p), graph.grid_edges(p, 40), 1))
+register("cocircular_edges", "luma", _TENSOR + sql.cocircular(2, 30.0, 30.0), lambda p: graph.cocircular_edges(focal.structure_tensor(p), 2, 30.0, 30.0))
 register("extract_patches", "luma", f""", n AS (SELECT t.image_id, t.y AS py, t.x AS px, s.v, s.y, s.x FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y % 4 = 0 AND t.x % 4 = 0)
 SELECT image_id, py, px, string_agg(v, ',' ORDER BY y, x) AS vec FROM n GROUP BY ALL HAVING count(*) = 16""".replace("GROUP BY ALL HAVING", "GROUP BY image_id, py, px HAVING"), lambda p: graph.extract_patches(p, 4, 4).select("image_id", "py", "px", F.array_join("vec", ",").alias("vec")))
-register("block_match", "luma", """, p AS MATERIALIZED (SELECT t.image_id, t.y AS py, t.x AS px, s.y - t.y AS dy, s.x - t.x AS dx, s.v FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y <= 60 AND t.x <= 60),
-d AS (SELECT a.image_id, a.py, a.px, b.py AS my, b.px AS mx, CAST(sum((a.v - b.v) * (a.v - b.v)) AS DOUBLE) AS d FROM p a JOIN p b ON b.image_id = a.image_id AND b.dy = a.dy AND b.dx = a.dx AND abs(b.py - a.py) <= 2 AND abs(b.px - a.px) <= 2 WHERE a.py % 16 = 0 AND a.px % 16 = 0 GROUP BY ALL),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, py, px ORDER BY (my <> py OR mx <> px), d, my, mx) AS INT) AS rank FROM d),
-t AS (SELECT *, max(d) FILTER (rank <= 8) OVER (PARTITION BY image_id, py, px) AS top FROM r WHERE rank <= 12)
-SELECT image_id, py, px, my, mx, d, rank FROM t WHERE d <= top""", lambda p: graph.block_match(graph.extract_patches(p, 4), 2, 12, rank=8, step=16))
-#: every patch, all 17 x 17 places up to the 32nd distance; block_match keeps what its SQL has
-register("block_match_full", "luma", None, lambda p: graph.block_match(graph.extract_patches(p, 4), 8, 512))
+register("block_match", "cells", sql.block_match(), lambda c: graph.block_match(c, columns=("r", "g", "b")))
+#: the same on one plane, tested by brute force
+register("block_match_full", "luma", None, lambda p: graph.block_match(p))
+register("mixed_patches", "luma", """, p AS (SELECT t.image_id, t.y AS py, t.x AS px, s.y, s.x, s.v + (t.y * 7 + t.x * 3) % 11 AS v FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y % 2 = 0 AND t.x % 2 = 0 AND t.y <= 60 AND t.x <= 60)
+SELECT image_id, y, x, round(avg(v), 6) AS v FROM p GROUP BY image_id, y, x""", lambda p: graph.aggregate_patches(graph.extract_patches(p, 4, 2).withColumn("vec", F.transform("vec", lambda v: v + (F.col("py") * 7 + F.col("px") * 3) % 11)), 4))
 register("aggregate_patches", "luma", "SELECT image_id, y, x, CAST(v AS DOUBLE) AS v FROM lumas", lambda p: graph.aggregate_patches(graph.extract_patches(p, 4, 2), 4))
 
 # --- nearest ------------------------------------------------------------------------------------
-register("interp_lut", "luma", """, k AS (SELECT image_id, x, v FROM lumas WHERE y = 0 AND x % 7 = 3), q AS (SELECT image_id, x FROM lumas WHERE y = 0),
+register("interp_lut", "luma", """, k AS (SELECT image_id, x, max(v) AS v FROM lumas WHERE x % 7 = 3 GROUP BY ALL), q AS (SELECT DISTINCT image_id, x FROM lumas),
 b AS (SELECT q.*, (SELECT max(x) FROM k WHERE k.image_id = q.image_id AND k.x <= q.x) AS l, (SELECT min(x) FROM k WHERE k.image_id = q.image_id AND k.x >= q.x) AS r FROM q),
 c AS (SELECT image_id, x, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b)
 SELECT c.image_id, c.x, round(CASE WHEN l = r THEN m.v ELSE m.v + (n.v - m.v) * (c.x - l) / (r - l)::DOUBLE END, 6) AS v FROM c JOIN k m ON m.image_id = c.image_id AND m.x = l JOIN k n ON n.image_id = c.image_id AND n.x = r""",
-         lambda p: nearest.interp_lut(p.where("y = 0").select("image_id", "x"), p.where("y = 0 and x % 7 = 3").select("image_id", "x", "v"), ["image_id"]))
+         lambda p: nearest.interp_lut(p.select("image_id", "x").distinct(), p.where("x % 7 = 3").groupBy("image_id", "x").agg(F.max("v").alias("v")), ["image_id"]))
 register("interp_lut_rows", "luma", """, k AS (SELECT image_id, y, x, v FROM lumas WHERE x % 7 = 3),
 b AS (SELECT q.image_id, q.y, q.x, (SELECT max(x) FROM k WHERE k.image_id = q.image_id AND k.y = q.y AND k.x <= q.x) AS l, (SELECT min(x) FROM k WHERE k.image_id = q.image_id AND k.y = q.y AND k.x >= q.x) AS r FROM lumas q),
 c AS (SELECT image_id, y, x, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b)
 SELECT c.image_id, c.y, c.x, round(CASE WHEN l = r THEN m.v ELSE m.v + (n.v - m.v) * (c.x - l) / (r - l)::DOUBLE END, 6) AS v FROM c JOIN k m ON m.image_id = c.image_id AND m.y = c.y AND m.x = l JOIN k n ON n.image_id = c.image_id AND n.y = c.y AND n.x = r""",
          lambda p: nearest.interp_lut(p.select("image_id", "y", "x"), p.where("x % 7 = 3").select("image_id", "y", "x", "v"), ["image_id", "y"]))
-register("nearest_cct", "cells", None, lambda c: nearest.nearest_cct(nearest.image_uv(c), nearest.cct_lut(c.sparkSession, nm=0.5)))
-register("planckian_uv", "cells", None, lambda c: nearest.planckian_uv(c.select("image_id").distinct().select("image_id", (4000 + F.pmod("image_id", F.lit(40)) * 100).alias("cct"), F.lit(0.003).alias("duv")), nearest.cct_lut(c.sparkSession, nm=0.5)))
-register("shift_temperature", "cells", None, lambda c: nearest.shift_temperature(c, c.select("image_id").distinct().select("image_id", F.lit(5000).cast("long").alias("cct")), nearest.cct_lut(c.sparkSession, nm=0.5)))
-register("white_balance", "cells", None, lambda c: nearest.white_balance(c))
+register("nearest_cct", "cells", sql.NEAREST_CCT, lambda c: nearest.nearest_cct(nearest.image_uv(c), nearest.cct_lut(c.sparkSession, nm=0.5)))
+register("planckian_uv", "cells", sql.PLANCKIAN, lambda c: nearest.planckian_uv(c.select("image_id").distinct().select("image_id", (4000 + F.pmod("image_id", F.lit(40)) * 100).alias("cct"), F.lit(0.003).alias("duv")), nearest.cct_lut(c.sparkSession, nm=0.5)))
+register("shift_temperature", "cells", sql.SHIFT, lambda c: nearest.shift_temperature(c, c.select("image_id").distinct().select("image_id", F.lit(5000).cast("long").alias("cct")), nearest.cct_lut(c.sparkSession, nm=0.5)))
+register("white_balance", "cells", sql.white_balance(16), lambda c: nearest.white_balance(c))
+
+# --- what a caller adds, and files -----------------------------------------------------------------
+
+
+def _own_tables(cells: DataFrame) -> DataFrame:
+    tables.register_kernel("own_lines", [[0, 0, 0], [1, 2, 1], [0, 0, 0]], 4)
+    tables.register_se("own_corner", ["110", "100", "000"])
+    tables.register_palette("own_two", [(0, 0, 0), (255, 128, 64)])
+    lines = focal.convolve(cells, "own_lines").select(*KEY, *(F.col(c).alias(f"k{c}") for c in "rgb"))
+    corner = focal.erode(src.with_luma(cells), "own_corner", 3).select(*KEY, F.col("v").alias("low"))
+    return lines.join(corner, KEY).join(zonal.nearest_palette(cells, tables.palette(cells.sparkSession, "own_two")).select(*KEY, "idx"), KEY)
+
+
+register("own_tables", "cells", f"""{_near(1, 'clamp')}, e AS (SELECT image_id, y, x, min(v) AS low FROM near WHERE (dy, dx) IN ((-1, -1), (-1, 0), (0, -1)) GROUP BY image_id, y, x),
+k AS (SELECT t.image_id, t.y, t.x, {_rgb('CAST(sum(s.$c * (2 - abs(s.x - t.x))) // 4 AS INT) AS k$c')}, any_value(t.r) AS r, any_value(t.g) AS g, any_value(t.b) AS b FROM cells t JOIN cells s ON s.image_id = t.image_id AND s.y = t.y AND s.x BETWEEN t.x - 1 AND t.x + 1 GROUP BY t.image_id, t.y, t.x)
+SELECT image_id, y, x, kr, kg, kb, low, CAST(30 * pow(r - 255, 2) + 59 * pow(g - 128, 2) + 11 * pow(b - 64, 2) < 30 * r * r + 59 * g * g + 11 * b * b AS INT) AS idx FROM k JOIN e USING (image_id, y, x)""", _own_tables)
+register("focal_udf", "cells", f"{_near(1, 'clamp', 'cells')} SELECT image_id, y, x, {_rgb('max($c) - min($c)::DOUBLE AS $c')} FROM near GROUP BY image_id, y, x",
+         focal_udf(lambda b: np.stack([around(b[..., i], 1).max(-1) - around(b[..., i], 1).min(-1) for i in range(3)], axis=-1), 1))
+
+
+def _bitmaps(cells: DataFrame) -> DataFrame:
+    path = shared_path(cells.sparkSession, "bitmaps")
+    src.write_bmp_frames(cells, path)
+    good, _ = src.batch_convert(src.read_bmp_frames(cells.sparkSession, path + "/image_id=*"))
+    return good.select(F.regexp_extract("path", r"image_id=(-?\d+)", 1).cast("long").alias("image_id"), "y", "x", "r", "g", "b")
+
+
+def _stored(cells: DataFrame) -> DataFrame:
+    path = shared_path(cells.sparkSession, "frames")
+    src.write_frames(cells, path)
+    return cells.sparkSession.read.parquet(path).select(*KEY, "r", "g", "b", "a")
+
+
+register("bmp_frames", "cells", "SELECT image_id, y, x, r, g, b FROM cells", _bitmaps)
+register("write_frames", "cells", "SELECT * FROM cells", _stored)
+_LIMITS = f""", grid AS (SELECT i.v AS iy, h.v AS ih, c.v AS c, (i.v + 0.5) / 100::DOUBLE AS cy, radians(h.v) AS th FROM range(100) i(v), range(360) h(v), range(1, 201) c(v)),
+g1 AS (SELECT *, CASE WHEN cy > 0.008856451679035631 THEN cbrt(cy) ELSE cy * 7.787037037037037 + 16 / 116.0::DOUBLE END AS fy FROM grid),
+g2 AS (SELECT iy, ih, c, cy, fy + c * cos(th) / 500 AS fx, fy - c * sin(th) / 200 AS fz FROM g1),
+g3 AS (SELECT iy, ih, c, cy, {', '.join(f'CASE WHEN f{k} > 6 / 29.0::DOUBLE THEN pow(f{k}, 3) ELSE (f{k} - 16 / 116.0::DOUBLE) / 7.787037037037037 END * {w / 100!r} AS c{k}' for k, w in zip('xz', (95.047, 108.883), strict=True))} FROM g2),
+limits AS MATERIALIZED (SELECT iy, ih, coalesce(max(c) FILTER ({' AND '.join(f'{e} BETWEEN -0.001 AND 1.001' for e in sql.linear(tables.XYZ_TO_SRGB, ['cx', 'cy', 'cz']))}), 0) AS lim FROM g3 GROUP BY ALL),
+around AS MATERIALIZED (SELECT a.iy, a.ih, min(b.lim) AS lim FROM limits a JOIN limits b ON b.iy IN (a.iy, a.iy + 1) AND (b.ih = a.ih OR b.ih = (a.ih + 1) % 360) WHERE a.iy <= 98 GROUP BY ALL)"""
+register("limited_hue_boost", "cells", sql.lab_back(f"""{_LAB}{_LIMITS}, cc AS (SELECT image_id, y, x, a, 116 * fq - 16 AS l, 500 * (fp - fq) AS la, 200 * (fq - fs) AS lb FROM f),
+mx AS (SELECT *, sqrt(la * la + lb * lb) / nullif(max(sqrt(la * la + lb * lb)) OVER (PARTITION BY image_id), 0) AS sh FROM cc),
+gn AS (SELECT *, 1 + 3 * least(greatest((coalesce(sh, 0) - 0.2::DOUBLE) / 0.6::DOUBLE, 0), 1) * exp(-10 * pow(degrees(atan2(lb, la)) / 180, 2)) AS k FROM mx),
+bo AS (SELECT image_id, y, x, a, 100 * pow(greatest(l, 0) / 100, 1 / 1.2::DOUBLE) AS l, k * la AS la, k * lb AS lb FROM gn),
+bf AS (SELECT *, (l + 16) / 116.0::DOUBLE + la / 500.0::DOUBLE AS fx, (l + 16) / 116.0::DOUBLE AS fy, (l + 16) / 116.0::DOUBLE - lb / 200.0::DOUBLE AS fz FROM bo),
+bx AS (SELECT image_id, y, x, a, l, la, lb, {sql.LAB_BACK} FROM bf),
+bs AS (SELECT *, {' AND '.join(f'({e}) BETWEEN -0.001 AND 1.001' for e in sql.linear(tables.XYZ_TO_SRGB, ['cx', 'cy', 'cz']))} AS inside, least(CAST(floor(100 * cy) AS BIGINT), 98) AS iy, CAST(floor((degrees(atan2(lb, la)) + 360) % 360) AS BIGINT) AS ih FROM bx),
+bz AS (SELECT bs.*, CASE WHEN inside OR lim IS NULL THEN 1 ELSE least(1, lim / greatest(sqrt(la * la + lb * lb), 1e-9)) END AS cut FROM bs LEFT JOIN around USING (iy, ih)),
+m AS (SELECT image_id, y, x, a, l, cut * la AS la, cut * lb AS lb FROM bz)"""), lambda c: local.limited_hue_boost(c))
 
 # --- frames in time -----------------------------------------------------------------------------
 _FRAMES = "WITH f AS (SELECT ts, user_id % 8 AS stream_id, event_type AS channel, CAST(least(floor(value / 2), 255) AS INT) AS value FROM events)\n"
@@ -331,18 +432,28 @@ _register_frames("frames_stats", "SELECT date_trunc('hour', ts) AS start, stream
 _register_frames("frames_sessions", """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY stream_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS stop, stream_id, count(*) AS n FROM s GROUP BY stream_id, k""", lambda f: frames.stream_sessions(f))
-_register_frames("frames_deflicker", None, lambda f: frames.deflicker_batch(frames.stream_frame_stats(f)))
+_register_frames("frames_deflicker", """, h AS (SELECT date_trunc('hour', ts) AS start, stream_id, round(avg(value), 6) AS mean FROM f GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start) AS i FROM h),
+s AS (SELECT stream_id, start, mean, i, mean::DOUBLE AS smooth FROM o WHERE i = 1 UNION ALL SELECT o.stream_id, o.start, o.mean, o.i, 0.25::DOUBLE * o.mean + 0.75::DOUBLE * s.smooth FROM s JOIN o ON o.stream_id = s.stream_id AND o.i = s.i + 1)
+SELECT stream_id, start, mean, round(smooth, 6) AS smooth, round(CASE WHEN mean = 0 THEN 1 ELSE smooth / mean END, 6) AS gain FROM s""",
+                 lambda f: frames.deflicker_batch(frames.stream_frame_stats(f)).select("stream_id", "start", "mean", *(F.round(c, 6).alias(c) for c in ("smooth", "gain"))))
+SQL["frames_deflicker"] = SQL["frames_deflicker"].replace("WITH f", "WITH RECURSIVE f", 1)
 
 # --- models on patches and small tables ---------------------------------------------------------
 register("noise_profile", "luma", None, lambda p: denoise.noise_profile(p))
 register("noise_covariance", "luma", None, lambda p: denoise.noise_covariance(denoise.noise_profile(p)))
-register("nl_bayes_denoise", "luma", None, lambda p: denoise.nl_bayes_denoise(p, step=2, radius=8, k=512))
-register("hist_segment", "cells", None, lambda c: segment.hist_segment(stats.dense(stats.luma_histogram(c))))
+register("noise_levels", "luma", None, lambda p: denoise.noise_levels(denoise.noise_profile(p)))
+register("nl_bayes_denoise", "cells", None, lambda c: denoise.denoise_rgb(c, step=2, radius=8, k=512))
+register("hist_segment", "cells", None, lambda c: segment.hist_segment(stats.luma_histogram(c)))
+register("hsi_palette", "cells", None, lambda c: segment.hsi_palette(c))
+register("posterize_hsi", "cells", None, lambda c: segment.posterize_hsi(c))
 register("posterize", "cells", None, lambda c: segment.posterize(c))
-register("spectrum_2d", "luma", None, lambda p: segment.spectrum_2d(p))
+register("spectrum_2d", "luma", sql.SPECTRUM, lambda p: segment.spectrum_2d(p).withColumn("power", F.round("power", 0)))
 register("pca_illuminant", "cells", None, lambda c: segment.pca_illuminant(c))
 for _space, _pastel in (("hsluv", False), ("hpluv", True)):
-    register(f"to_{_space}", "cells", None, lambda c, p=_pastel: perceptual.to_hsluv(c, p))
+    register(f"to_{_space}", "cells", f"{sql.hsluv_of(_pastel)} SELECT image_id, y, x, round(h, 6) AS h, round(s, 6) AS s, round(l, 6) AS l, a FROM hs", lambda c, p=_pastel: perceptual.to_hsluv(c, p))
+    register(f"{_space}_to_rgb", "cells", sql.hsluv_back(_pastel, ", m AS (SELECT image_id, y, x, a, r * 7 / 5.0::DOUBLE AS h, g * 100 / 255.0::DOUBLE AS s, b * 100 / 255.0::DOUBLE AS l FROM cells)"),
+             lambda c, p=_pastel: perceptual.from_hsluv(c.select(*KEY, "a", (F.col("r") * 7 / 5.0).alias("h"), (F.col("g") * 100 / 255.0).alias("s"), (F.col("b") * 100 / 255.0).alias("l")), p))
     register(f"{_space}_round_trip", "cells", "SELECT image_id, y, x, r, g, b, a FROM cells", lambda c, p=_pastel: perceptual.from_hsluv(perceptual.to_hsluv(c, p), p).select(*KEY, *(F.round(k).cast("int").alias(k) for k in "rgb"), "a"))
-    register(f"adjust_{_space}", "cells", None, lambda c, p=_pastel: perceptual.adjust_hsluv(c, 30.0, -10.0, 5.0, p))
+    register(f"adjust_{_space}", "cells", sql.hsluv_back(_pastel, f"{sql.hsluv_of(_pastel)}, m AS (SELECT image_id, y, x, a, (h + 30) % 360 AS h, {sql.clamped('s - 10', 100)} AS s, {sql.clamped('l + 5', 100)} AS l FROM hs)"), lambda c, p=_pastel: perceptual.adjust_hsluv(c, 30.0, -10.0, 5.0, p))
 register("channel_summary", "cells", "SELECT image_id, count(r) AS n, CAST(sum(r) AS BIGINT) AS total, min(r) AS low, max(r) AS high, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std FROM cells GROUP BY image_id", lambda c: c.groupBy("image_id").agg(perceptual.channel_summary("r").alias("s")).select("image_id", "s.*"))

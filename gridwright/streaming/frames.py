@@ -6,6 +6,7 @@ alike but for deflicker, whose state is the last smoothed mean of each stream.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,10 +71,26 @@ def deflicker(frames: DataFrame, alpha: float = 0.25) -> DataFrame:
     return frames.groupBy("stream_id").applyInPandasWithState(smoothing(alpha), SMOOTHED, "last double", "append", "NoTimeout")
 
 
-def deflicker_batch(frames: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """The same on a finished table, as a fold over each stream's frames in time."""
-    ordered = frames.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("start", "mean"))).alias("f"))
-    first = F.array(F.struct(F.col("f")[0]["start"].alias("start"), F.col("f")[0]["mean"].alias("mean"), F.col("f")[0]["mean"].alias("smooth")))
-    step = lambda acc, f: F.concat(acc, F.array(F.struct(f["start"].alias("start"), f["mean"].alias("mean"), (alpha * f["mean"] + (1 - alpha) * F.element_at(acc, -1)["smooth"]).alias("smooth"))))
-    rows = ordered.select("stream_id", F.explode(F.aggregate(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(1))), first, step)).alias("s"))
-    return rows.select("stream_id", "s.start", "s.mean", "s.smooth", F.when(F.col("s.mean") == 0, 1.0).otherwise(F.col("s.smooth") / F.col("s.mean")).alias("gain"))
+#: Frames that a smoothed value looks back on at most: what is older weighs less than a double can tell at alpha 0.25.
+LOOK_BACK = 128
+
+
+def deflicker_batch(frames: DataFrame, alpha: float = 0.25, block: str = "day") -> DataFrame:
+    """The same on a finished table. Each time block of a stream is smoothed for itself, from zero; then one row a block
+    carries the state on, so that a long or hot stream is spread over its blocks.
+    """
+    from pyspark.sql import Window as W
+
+    rest = math.log(1 - alpha)
+    own = W.partitionBy("stream_id", "block").orderBy("start")
+    rows = frames.select("stream_id", "start", "mean", F.date_trunc(block, "start").alias("block"))
+    fold = lambda means: F.aggregate(means, F.lit(0.0), lambda acc, m: acc * (1 - alpha) + alpha * m)
+    inner = rows.select("*", F.row_number().over(own).alias("nth"), fold(F.collect_list("mean").over(own.rowsBetween(-LOOK_BACK, 0))).alias("inner"))
+    ends = inner.groupBy("stream_id", "block").agg(F.max("nth").alias("n"), F.max_by("inner", "nth").alias("last"), F.min_by("mean", "nth").alias("first"))
+    before = W.partitionBy("stream_id").orderBy("block")
+    # before the first frame the state is that frame
+    start = F.first("first").over(before.rowsBetween(W.unboundedPreceding, 0))
+    carried = F.aggregate(F.collect_list(F.struct("n", "last")).over(before.rowsBetween(-LOOK_BACK, -1)), start, lambda acc, b: acc * F.exp(b["n"] * rest) + b["last"])
+    joined = inner.join(ends.select("stream_id", "block", carried.alias("carried")), ["stream_id", "block"])
+    smooth = F.col("inner") + F.exp(F.col("nth") * rest) * F.col("carried")
+    return joined.select("stream_id", "start", "mean", smooth.alias("smooth")).withColumn("gain", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("smooth") / F.col("mean")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridwright import queries
 from gridwright.functions import tables
 from gridwright.operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, stats, zonal
+from gridwright.plans import iterate
 from gridwright.plans.focal import focal_udf, pushed, tiled
 from gridwright.sources import cells as src
 from gridwright.sources.cells import KEY
@@ -231,9 +232,79 @@ def test_denoising_reduces_noise(spark):
     assert np.abs(out - clean).mean() < 0.75 * np.abs(noisy - clean).mean()
 
 
+def test_colour_images_are_denoised_too(spark):
+    rng = np.random.default_rng(8)
+    clean = np.stack([np.add.outer(np.arange(24) * a, np.arange(24) * b) + 30 for a, b in ((3, 2), (1, 4), (2, 1))])
+    noisy = np.clip(np.round(clean + rng.normal(0, 8, clean.shape)), 0, 255).astype(int)
+    rows = [(0, y, x, *map(int, noisy[:, y, x]), 255) for y in range(24) for x in range(24)]
+    out = denoise.denoise_rgb(spark.createDataFrame(rows, "image_id long, y long, x long, r int, g int, b int, a int"), radius=5, scales=2, share=0.3)
+    for i, c in enumerate("rgb"):
+        assert np.abs(grid(out, c) - clean[i]).mean() < 0.8 * np.abs(noisy[i] - clean[i]).mean()
+    tiny = plane(spark, np.arange(6).reshape(2, 3))
+    assert (grid(denoise.nl_bayes_denoise(tiny, scales=1)) == np.arange(6).reshape(2, 3)).all()
+
+
+def test_second_step_uses_its_pilot():
+    rng = np.random.default_rng(2)
+    shape = rng.normal(0, 20, (1, 1, 40, 3)) @ rng.normal(0, 1, (3, 16))
+    noisy, noise = shape + rng.normal(0, 5, shape.shape), np.broadcast_to(25 * np.eye(16), (1, 1, 16, 16))
+    there = np.arange(40)[None] < 36
+    first = denoise.shrunk(noisy, None, there, noise)
+    second = denoise.shrunk(noisy, first, there, noise)
+    off = lambda v: np.abs(v - shape)[:, :, :36].mean()
+    assert off(second) < 0.8 * off(noisy) and off(first) < 0.8 * off(noisy) and not np.allclose(first, second)
+    alone = denoise.shrunk(noisy[:, :, :36], None, there[:, :36], noise)
+    assert np.allclose(first[:, :, :36], alone)
+
+
+def test_segments_on_a_circle():
+    h = np.zeros(72)
+    h[[70, 71, 0, 1]] = (30, 60, 60, 30)
+    h[30:36] = (10, 40, 80, 80, 40, 10)
+    parts = segment.circular_segments(h, 1.0)
+    assert sum(b - a for a, b in parts) == 72 and any(a <= 70 and b >= 74 for a, b in parts)
+    line = segment.segments_of(np.array([0, 5, 9, 5, 0, 0, 6, 9, 6, 0], dtype=float) * 20, 1.0)
+    assert len(line) == 2
+
+
+def test_palette_of_hues(spark):
+    rng = np.random.default_rng(3)
+    red, blue, grey = ((200, 30, 30), (30, 30, 200), (120, 120, 120))
+    rows = [(0, i // 30, i % 30, *(int(np.clip(v + n, 0, 255)) for v, n in zip((red, blue, grey)[i % 3], rng.integers(-4, 5, 3) if i % 3 < 2 else [int(rng.integers(-4, 5))] * 3)), 255) for i in range(900)]
+    cells = spark.createDataFrame(rows, "image_id long, y long, x long, r int, g int, b int, a int")
+    palette = segment.hsi_palette(cells).collect()
+    assert sum(p.n for p in palette) == 900 and {p.hue for p in palette} >= {-1} and len({p.hue for p in palette}) == 3
+    shown = segment.posterize_hsi(cells).collect()
+    assert len(shown) == 900 and all(abs(r.r - dict(((y, x), v) for _, y, x, v, *_ in rows)[r.y, r.x]) < 25 for r in shown[:60])
+
+
+def test_loops_that_do_not_settle_raise(spark):
+    start = spark.createDataFrame([(1,)], "n long")
+    with pytest.raises(RuntimeError):
+        iterate.until_stable(start, lambda d: d.select((F.col("n") + 1).alias("n")), lambda a, b: a.join(b, "n", "left_anti"), 3)
+
+
+def test_deflicker_of_sparse_streams(spark):
+    rng = np.random.default_rng(5)
+    hours = sorted(rng.choice(24 * 400, 700, replace=False).tolist())
+    rows = [(s, f"2024-01-01 00:00:00", int(h), float(rng.integers(1, 200))) for s in (0, 1) for h in (hours if s else hours[::50])]
+    table = spark.createDataFrame(rows, "stream_id long, base string, h long, mean double").select("stream_id", (F.col("base").cast("timestamp") + F.make_interval(hours="h")).alias("start"), "h", "mean")
+    got = {(r.stream_id, r.start): r.smooth for r in frames.deflicker_batch(table.select("stream_id", "start", "mean")).collect()}
+    last = {}
+    for r in table.orderBy("stream_id", "start").collect():
+        last[r.stream_id] = r["mean"] if r.stream_id not in last else 0.25 * r["mean"] + 0.75 * last[r.stream_id]
+        assert abs(got[r.stream_id, r.start] - last[r.stream_id]) < 1e-9
+
+
+def test_iterated_adaptive_median(spark):
+    p = plane(spark, NOISE)
+    once = focal.adaptive_median(p, 3)
+    assert (grid(focal.adaptive_median(p, 3, iters=2)) == grid(focal.adaptive_median(once, 3))).all()
+
+
 def test_models_on_small_tables(spark):
     two = np.concatenate([np.random.default_rng(1).normal(60, 8, 400), np.random.default_rng(2).normal(190, 8, 400)]).clip(0, 255).astype(int).reshape(20, 40)
-    parts = segment.hist_segment(stats.dense(stats.luma_histogram(color(spark, two)))).orderBy("segment").collect()
+    parts = segment.hist_segment(stats.luma_histogram(color(spark, two))).orderBy("segment").collect()
     assert parts[0].lo == 0 and parts[-1].hi == 255 and any(80 < p.hi < 170 for p in parts[:-1]) and len(parts) <= 4
     assert grid(segment.posterize(color(spark, two)), "r").shape == two.shape
     waves = np.tile((128 + 100 * np.cos(2 * np.pi * 4 * np.arange(16) / 16)).round(), (16, 1))
@@ -282,7 +353,7 @@ def test_block_match_full_equals_brute_force(spark, monkeypatch):
 
 def test_queries_ask_for_the_whole_job(spark, monkeypatch):
     asked = {}
-    for module, name in ((queries.zonal, "superpixels"), (queries.nearest, "white_balance"), (queries.denoise, "nl_bayes_denoise")):
+    for module, name in ((queries.zonal, "superpixels"), (queries.nearest, "white_balance"), (queries.denoise, "denoise_rgb"), (queries.graph, "block_match"), (queries.focal, "adaptive_median")):
         real = inspect.signature(getattr(module, name))
 
         def note(*args, real=real, name=name, **named):
@@ -293,9 +364,10 @@ def test_queries_ask_for_the_whole_job(spark, monkeypatch):
 
         monkeypatch.setattr(module, name, note)
         monkeypatch.setattr(queries.src, "from_lineitem", lambda *_: color(spark, NOISE))
-        queries.QUERIES[name](spark, "")
-    assert asked["superpixels"]["rounds"] == 10 and asked["white_balance"]["rounds"] == 16
-    assert [asked["nl_bayes_denoise"][k] for k in ("step", "radius", "k")] == [2, 8, 512]
+        queries.QUERIES["nl_bayes_denoise" if name == "denoise_rgb" else name](spark, "")
+    assert asked["superpixels"]["rounds"] == 10 and asked["white_balance"]["rounds"] == 16 and asked["adaptive_median"]["rmax"] == 8
+    assert asked["denoise_rgb"]["options"] == {"step": 2, "radius": 8, "k": 512}
+    assert [asked["block_match"][k] for k in ("radius", "k", "rank", "step", "columns")] == [8, 512, 32, 1, ("r", "g", "b")]
 
 
 def test_queries_look_up_the_full_locus(spark, monkeypatch):
