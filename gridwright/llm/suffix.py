@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import spread
 from .storage import stored
 from .text import U64, mix, prefix_hash, range_hash, slices, utf8
 
@@ -142,8 +143,8 @@ CONTEXT = "hash long, c long, id long, body long, first long, anchor int, size i
 def contexts(docs: DataFrame) -> DataFrame:
     """CONTEXT rows of all repeated anchors; the bytes are there at least once for each name (hash, c): 128 bits together."""
     rows = anchors(docs)
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    places = rows.join(again, "hash").groupBy(*KEY).agg(F.collect_set(F.struct("hash", "place")).alias("places"))
+    again = stored(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    places = spread(rows, again, ["hash"], [*KEY, "place"]).groupBy(*KEY).agg(F.collect_set(F.struct("hash", "place")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -360,11 +361,11 @@ def repeated_spans(found: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     twice = windows.groupBy("hash", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     starts = windows.join(twice, ["hash", "w"]).groupBy(*name).agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b"))).alias("spans"))
     places = found.select(*name, *KEY, "first")
-    whole = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("size").cast("long").alias("size")).where("n > 1").select(*name, "size")
+    whole = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("size").cast("long").alias("size"))
     parts = light.unionByName(starts).groupBy(*name).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
-    cover = parts.join(whole, name, "full").select(*name, F.when(F.col("size").isNotNull(), every).otherwise(F.col("spans")).alias("spans"))
-    moved = places.join(cover, name).select(*KEY, F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
+    cover = whole.join(parts, name, "left").where("n > 1 OR spans IS NOT NULL").select(*name, "n", F.when(F.col("n") > 1, every).otherwise(F.col("spans")).alias("spans"))
+    moved = spread(places, stored(cover, "cover"), name, [*KEY, "first"]).select(*KEY, F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
     return moved.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
