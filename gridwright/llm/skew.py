@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,18 @@ SALTS = 64
 def spread(many: DataFrame, groups: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """many joined with groups (one row for each key, n: its rows) by keys; the rows of a hot key go to SALTS tasks.
 
-    groups should be a stored table. The keys of hot groups are broadcast: at most HOT_SHARE of them, whatever the input.
+    groups should be a stored table. The keys of hot groups are broadcast: at most HOT_SHARE of them, whatever the input. Both
+    sides meet by one 64-bit hash of keys and salt, which sorts faster than the keys do; the keys are compared then.
     columns: what names a row of many, by which the rows of a hot group are dealt.
     """
     limit = max(HOT, (groups.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot = F.broadcast(groups.where(F.col("n") > limit).select(*keys, F.lit(True).alias("hot")))
+    hot = groups.where(F.col("n") > limit).select(*keys, F.lit(True).alias("hot"))
+    if not hot.head(1):
+        return many.join(groups.drop("n"), keys)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(0)
-    left = many.join(hot, keys, "left").withColumn("salt", salt).drop("hot")
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("meet", F.xxhash64(*keys, salt)).drop("hot")
     last = F.when(F.col("n") > limit, SALTS - 1).otherwise(0)
-    right = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("n")
-    return left.join(right, [*keys, "salt"]).drop("salt")
+    right = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).withColumn("meet", F.xxhash64(*keys, "salt"))
+    right = right.drop("n", "salt").withColumnsRenamed({k: f"own_{k}" for k in keys})
+    same = functools.reduce(lambda x, y: x & y, (F.col(k) == F.col(f"own_{k}") for k in keys))
+    return left.join(right, "meet").where(F.when(same, True).otherwise(False)).drop("meet", *(f"own_{k}" for k in keys))
