@@ -121,29 +121,34 @@ def _written(files: DataFrame, path: str, end: bytes) -> None:
 
 
 def write_arc(pages: DataFrame, path: str, version: Column | None = None, date: Column | None = None, size: int = FILE_BYTES) -> None:
-    """ARC files of pages (page_id, url, html). Every task has an open file of each version; a record's HTTP head carries the page's id.
+    """Compressed ARC files of pages (page_id, url, html), a gzip member a record. Every task has an open file of each version; a record's HTTP head carries the page's id.
 
     version: "1" (the default) or "2" for each row; date: fourteen digits, by default the first second of 2020.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_files: dict[str, bytearray] = {}
-        done = lambda data: pa.RecordBatch.from_arrays([pa.array([bytes(data[:-1])], pa.binary())], ["file"])
+        plain: dict[str, int] = {}
+        done = lambda data: pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], ["file"])
         for batch in batches:
             for key, url, html, v, when in zip(*batch.columns, strict=True):
                 named = b"" if key.as_py() is None else f"X-Page-Id: {key.as_py()}\r\n".encode()
                 url = re.sub(r"[\r\n]", "", url.as_py() or "unknown:")
                 body = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n" + named + b"\r\n" + (html.as_py() or b"")
-                data = open_files.setdefault(v.as_py(), bytearray(arc_head(v.as_py())))
-                data += arc_record((url, "0.0.0.0", when.as_py(), "text/html", body), len(data), v.as_py())
-                if len(data) >= size:
-                    yield done(open_files.pop(v.as_py()))
+                v = v.as_py()
+                if v not in open_files:
+                    head = arc_head(v)
+                    open_files[v], plain[v] = bytearray(gzip.compress(head, 4, mtime=0)), len(head)
+                record = arc_record((url, "0.0.0.0", when.as_py(), "text/html", body), plain[v], v)
+                open_files[v] += gzip.compress(record, 4, mtime=0)
+                plain[v] += len(record)
+                if len(open_files[v]) >= size:
+                    yield done(open_files.pop(v))
         for data in open_files.values():
             yield done(data)
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"), (F.lit("1") if version is None else version), (F.lit("20200101000000") if date is None else date))
-    # a record ends with a line break, which the writer puts behind the last one
-    _written(rows.mapInArrow(run, "file binary"), path, b"\n")
+    _written(rows.mapInArrow(run, "file binary"), path, NO_BYTES)
 
 
 RECORD = "record_id string, page_id long, warc_date string, uri string, http binary, payload binary, payload_bytes long, payload_digest string, error string"
@@ -173,9 +178,10 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(data: bytes) -> Iterator[dict]:
+    """parse_arc() of a file, plain or compressed; what is wrong with the whole file is a row too."""
     try:
-        yield from parse_arc(data)
-    except ValueError as e:
+        yield from parse_arc(b"".join(members(data)) if data.startswith(b"\x1f\x8b") else data)
+    except (ValueError, zlib.error) as e:
         yield {"at": 0, "url": None, "body": None, "error": f"{e}, {len(data)} bytes unread"}
 
 
@@ -279,8 +285,10 @@ def _described(record: bytes) -> tuple | None:
 
 def convert(spark: SparkSession, arcs: str, warcs: str, size: int = FILE_BYTES) -> DataFrame:
     """All ARC files below the folder arcs become WARC files in the folder warcs; what is there is read back, with a row for each error."""
-    records = stored(read_arc(spark, arcs), "records")
-    write_warc(records, revisits(records), warcs, size)
+    # the archives are read twice, which is cheaper than a copy of all payloads
+    everything = read_arc(spark, arcs)
+    records = stored(everything.drop("http", "payload"), "records")
+    write_warc(everything, revisits(records), warcs, size)
     none = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in READ.split(", ")}
     errors = records.where("error IS NOT NULL").select(*(F.col(c) if c in ("page_id", "record_id", "error") else v.alias(c) for c, v in none.items()))
     return read_warc(spark, warcs).unionByName(errors)

@@ -49,7 +49,7 @@ def test_warc_round_trip_of_edges(spark, tmp_path):
     big = "ä\r\n\r\nWARC/1.0\r\n" * 30
     rows = [(3, "u", big), (1, None, big), (1, None, big), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (None, "u", "none"), (8, "u\n2", ""), (None, "u", big)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, http int").repartition(2)
-    warc.write_arc(pages, str(tmp_path / "a"), F.when(F.col("page_id") > 4, "2").otherwise("1"), size=3000)
+    warc.write_arc(pages, str(tmp_path / "a"), F.when(F.col("page_id") > 4, "2").otherwise("1"), size=300)
     out = warc.convert(spark, str(tmp_path / "a"), str(tmp_path / "w"), size=300).collect()
     names = {r.record_id: r for r in out}
     assert len(names) == len(rows) and all(names[r.refers_to_record].page_id == r.refers_to for r in out if r.record_type == "revisit")
