@@ -18,8 +18,8 @@ can matter, and where equal ones meet:
    Before that, contexts go that share with no other of their anchor the SIDE bytes on the left of it or those on
    the right: a repeated window has one of them.
 
-An anchor whose distinct contexts exceed HEAVY bytes (a passage in very many documents) does not meet
-in one task: its windows are hashed and counted as rows instead, with map-side aggregation.
+An anchor whose distinct contexts exceed HEAVY bytes (a passage in very many documents) does not meet in one
+task: module cover orders the suffixes of such contexts by the same steps as Spark jobs.
 
 Cases: null counts as empty; texts under LENGTH bytes stay whole; repeated rows are documents of their
 own, so they remove each other; a null doc_id stays null; an empty table gives an empty table; other
@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cover
 from .skew import spread
 from .storage import stored
 from .text import U64, mix, prefix_hash, range_hash, slices, utf8
@@ -338,17 +339,6 @@ def _order_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of a context: its hash and place."""
-    for batch in batches:
-        for h, name, body, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = np.frombuffer(body, dtype=np.uint8)
-            at = np.arange(len(raw) - LENGTH + 1)
-            w = range_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64)
-            full = lambda v: pa.array(np.full(len(at), v, dtype=np.int64))  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([full(h), full(name), pa.array(w), pa.array(at)], ["hash", "c", "w", "at"])
-
-
 def repeated_spans(found: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     """id, body, spans: what is repeated, for every occurrence of a context. found: CONTEXT rows."""
     name = ["hash", "c"]
@@ -357,15 +347,15 @@ def repeated_spans(found: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     heavy = stored(found.where("context is not null").groupBy("hash").agg(F.sum("size").alias("n")).where(F.col("n") > heavy_size).select("hash"), "heavy")
     light = distinct.join(heavy, "hash", "left_anti").repartition("hash").sortWithinPartitions(*name).mapInArrow(_order_suffixes, SPANS)
     some = distinct.join(heavy, "hash", "left_semi").dropDuplicates(name)
-    windows = some.mapInArrow(_gathered(_window_rows), "hash long, c long, w long, at long")
-    twice = windows.groupBy("hash", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = windows.join(twice, ["hash", "w"]).groupBy(*name).agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b"))).alias("spans"))
+    if heavy.head(1):
+        each = F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b")))
+        light = light.unionByName(cover.repeated(some, LENGTH).groupBy(*name).agg(each.alias("spans")))
     places = found.select(*name, *KEY, "first")
     whole = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("size").cast("long").alias("size"))
-    parts = light.unionByName(starts).groupBy(*name).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    parts = light.groupBy(*name).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
-    cover = whole.join(parts, name, "left").where("n > 1 OR spans IS NOT NULL").select(*name, "n", F.when(F.col("n") > 1, every).otherwise(F.col("spans")).alias("spans"))
-    moved = spread(places, stored(cover, "cover"), name, [*KEY, "first"]).select(*KEY, F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
+    spans = whole.join(parts, name, "left").where("n > 1 OR spans IS NOT NULL").select(*name, "n", F.when(F.col("n") > 1, every).otherwise(F.col("spans")).alias("spans"))
+    moved = spread(places, stored(spans, "cover"), name, [*KEY, "first"]).select(*KEY, F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
     return moved.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridwright.llm import suffix
+from gridwright.llm import cover, suffix
 
 
 @settings(max_examples=150, deadline=None)
@@ -25,6 +25,32 @@ def test_ranks_order_suffixes(data, need):
         assert rank[b] > least
 
 
+@pytest.mark.parametrize("need", [3, 7, 30])
+def test_distributed_ranks_order_suffixes(spark, need):
+    r = random.Random(need)
+    texts = [bytes(r.choices(b"ab", k=r.randint(4, 60))) for _ in range(40)] + [b"a" * 50] * 3 + [b"ab" * 20] * 2
+    frame = spark.createDataFrame([(i, [c + 1 for c in t]) for i, t in enumerate(texts)], "t long, s array<long>")
+    rank = {x.t: x.r for x in cover.ranks(frame, need).collect()}
+    groups = {}
+    for t, text in enumerate(texts):
+        assert len(rank[t]) == len(text)
+        for i in range(len(text)):
+            groups.setdefault(text[i : i + need], []).append(rank[t][i])
+    order = sorted(groups)
+    assert all(max(groups[a]) < min(groups[b]) for a, b in zip(order, order[1:], strict=False))
+
+
+def test_distributed_repeats_match_brute_force(spark):
+    r = random.Random(9)
+    base = bytes(r.choices(range(256), k=60))
+    texts = [bytes(r.choices(range(256), k=r.randint(0, 20))) + base[r.randint(0, 20) : r.randint(40, 60)] + bytes(r.choices(b"xy", k=r.randint(0, 30))) for _ in range(40)]
+    texts = list({t for t in texts if len(t) >= 12})
+    seen = Counter(t[i : i + 12] for t in texts for i in range(len(t) - 11))
+    want = sorted((k, i) for k, t in enumerate(texts) for i in range(len(t) - 11) if seen[t[i : i + 12]] > 1)
+    frame = spark.createDataFrame([(7, k, bytearray(t)) for k, t in enumerate(texts)], "hash long, c long, context binary")
+    assert want and sorted((x.c, x.at) for x in cover.repeated(frame, 12).collect()) == want
+
+
 def brute(rows):
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
