@@ -19,7 +19,8 @@ can matter, and where equal ones meet:
    the right: a repeated window has one of them.
 
 An anchor whose distinct contexts exceed HEAVY bytes (a passage in very many documents) does not meet in one
-task: module cover orders the suffixes of such contexts by the same steps as Spark jobs.
+task: module cover orders the suffixes of such contexts by the same steps as Spark jobs, once they are cut down
+to what they share with others.
 
 Cases: null counts as empty; texts under LENGTH bytes stay whole; repeated rows are documents of their
 own, so they remove each other; a null doc_id stays null; an empty table gives an empty table; other
@@ -339,6 +340,45 @@ def _order_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush()
 
 
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each context and side of its anchor a row for each number of bytes beside the anchor: a hash of those bytes."""
+    for batch in batches:
+        for h, name, body, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = np.frombuffer(body, dtype=np.uint8)
+            for side, beside in enumerate((raw[:at][::-1], raw[at + GRAM :])):
+                n = len(beside)
+                ends = np.arange(1, n + 1)
+                w = range_hash(prefix_hash(beside), np.zeros(n, dtype=np.int64), ends).view(np.int64)
+                full = lambda v, t: pa.array(np.full(n, v, dtype=t))  # noqa: E731,B023
+                yield pa.RecordBatch.from_arrays([full(h, np.int64), full(name, np.int64), full(side, np.int32), pa.array(ends.astype(np.int32)), pa.array(w)], ["hash", "c", "side", "extent", "w"])
+
+
+def _heavy_spans(some: DataFrame) -> DataFrame:
+    """SPANS of contexts whose anchors have too many for one task. some: hash, c, context, anchor.
+
+    A repeated window has no byte farther from its anchor than what some other context of that anchor shares on
+    that side, so contexts are cut down to that first. Those round one passage then mostly are the same
+    strings, and the number of different ones no longer grows with the documents that hold the passage.
+    """
+    name = ["hash", "c"]
+    rows = some.select(*name, "context", "anchor").mapInArrow(_gathered(_extents), "hash long, c long, side int, extent int, w long")
+    keys = ["hash", "side", "extent", "w"]
+    again = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "extents")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("extent")))
+    shared = spread(rows, again, keys, ["c"]).groupBy(*name).agg(F.coalesce(side(0), F.lit(0)).alias("l"), F.coalesce(side(1), F.lit(0)).alias("r"))
+    cut = some.join(shared, name).where(F.col("l") + F.col("r") + GRAM >= LENGTH)
+    cut = cut.select(*name, (F.col("anchor") - F.col("l")).cast("long").alias("start"), F.expr(f"substring(context, anchor - l + 1, l + r + {GRAM})").alias("part"))
+    cut = stored(cut.withColumn("p", F.xxhash64("part")), "cut")
+    parts = stored(cut.groupBy("hash", "p").agg(F.first("part").alias("context"), F.count("*").alias("n")), "parts")
+    found = cover.repeated(parts.select("hash", F.col("p").alias("c"), "context"), LENGTH)
+    each = F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b")))
+    spans = found.groupBy("hash", F.col("c").alias("p")).agg(each.alias("spans"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("context").cast("long").alias("b")))
+    known = parts.join(spans, ["hash", "p"], "left").where("n > 1 OR spans IS NOT NULL").select("hash", "p", "n", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
+    return spread(cut.select(*name, "start", "p"), stored(known, "known"), ["hash", "p"], ["c"]).select(*name, moved.alias("spans"))
+
+
 def repeated_spans(found: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     """id, body, spans: what is repeated, for every occurrence of a context. found: CONTEXT rows."""
     name = ["hash", "c"]
@@ -348,8 +388,7 @@ def repeated_spans(found: DataFrame, heavy_size: int = HEAVY) -> DataFrame:
     light = distinct.join(heavy, "hash", "left_anti").repartition("hash").sortWithinPartitions(*name).mapInArrow(_order_suffixes, SPANS)
     some = distinct.join(heavy, "hash", "left_semi").dropDuplicates(name)
     if heavy.head(1):
-        each = F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), (x + LENGTH).alias("b")))
-        light = light.unionByName(cover.repeated(some, LENGTH).groupBy(*name).agg(each.alias("spans")))
+        light = light.unionByName(_heavy_spans(some))
     places = found.select(*name, *KEY, "first")
     whole = found.groupBy(*name).agg(F.count("*").alias("n"), F.max("size").cast("long").alias("size"))
     parts = light.groupBy(*name).agg(F.flatten(F.collect_list("spans")).alias("spans"))
