@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lines, media, mixing, near, packing, quality, secrets, suffix, warc
+from . import align, ann, lines, media, mixing, near, packing, quality, secrets, suffix, urls, warc, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media.op1_media_columns,
@@ -21,5 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup_floor": lines.op8_line_dedup_floor,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
+    "op11_url_filter": urls.op11_url_filter,
+    "op12_whitening": whiten.op12_whitening,
+    "op13_token_alignment": align.op13_token_alignment,
 }
-SQL: dict[str, str] = {"op7_warc": warc.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_all": lines.OP8_ALL_SQL, "op8_line_dedup_floor": lines.OP8_FLOOR_SQL, "op10_poisson_mixing": mixing.OP10_SQL}
+SQL: dict[str, str] = {"op7_warc": warc.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_all": lines.OP8_ALL_SQL, "op8_line_dedup_floor": lines.OP8_FLOOR_SQL, "op10_poisson_mixing": mixing.OP10_SQL, "op11_url_filter": urls.OP11_SQL}
