@@ -71,11 +71,11 @@ def unpacked(column: pa.Array, d: int) -> np.ndarray:
 
 
 def centred(x: np.ndarray, n: int, sums: list[int]) -> tuple[np.ndarray, bool]:
-    """(n x - S, whether exact): whole numbers where they fit in 62 bits, else doubles of x - S / n times n."""
+    """(n x - S, whether it fits): 64-bit numbers where all are below 62 bits, else Python's."""
     most = n * int(max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))) + max(map(abs, sums), default=0)
     if most < 1 << 62:
         return n * x - np.array(sums, dtype=np.int64), True
-    return (n * x.astype(object) - np.array(sums, dtype=object)), False
+    return n * x.astype(object) - np.array(sums, dtype=object), False
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -214,6 +214,8 @@ def fitted(good: DataFrame, d: int, k: int) -> tuple[Fit, DataFrame]:
 def identity_error(fit: DataFrame, found: Fit) -> float:
     """The largest entry of the whitened fit list's covariance minus the identity."""
     d, k = len(found.sums), len(found.values)
+    if not k:
+        return 0.0
     names = [f"w{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

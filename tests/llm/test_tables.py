@@ -180,10 +180,15 @@ def test_mixing_meets_target_weights(spark):
 
 
 def test_column_names_of_any_kind(spark):
-    wide = spark.createDataFrame([(1, "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\"", "s", 1, 2)], "doc_id long, text string, source string, `a.b` int, `c``.d` int")
+    text = "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\""
+    wide = spark.createDataFrame([(1, text, "s", 1, 2)], "doc_id long, text string, source string, `a.b` int, `c``.d` int")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    for out in (quality.kept_only(wide, labels, 0.0), near.deduped(wide), mixing.mixed(wide), secrets.redacted(wide, secrets.Forest([], secrets.Pairs({})))):
+    for out in (quality.kept_only(wide, labels, 0.0), near.deduped(wide), secrets.redacted(wide, secrets.Forest([], secrets.Pairs({})))):
         assert out.columns == wide.columns and out.count() == 1 and out.first()[3:] == (1, 2)
+    # how often a row is drawn at a rate of 1 is a matter of its hash: 200 rows give about 200 copies
+    many = spark.createDataFrame([(i, text, "s", 1, 2) for i in range(200)], wide.schema)
+    mixed = mixing.mixed(many)
+    assert mixed.columns == wide.columns and abs(mixed.count() - 200) < 60 and {tuple(r)[3:] for r in mixed.collect()} == {(1, 2)}
     kept = media.index_media(media.mux_texts(wide).withColumnRenamed("n_bytes", "n.bytes"))
     assert kept.columns == ["doc_id", "n.bytes", "media_index"] and kept.first()[2]["keyframes"]
 
