@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +116,10 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.astype(np.int32)))
 
 
-def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """key, a_ids, b_ids, a_cuts, b_cuts of each row: token ids, and at each shared cut the number of tokens before it."""
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
+def _aligning(first: str, second: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(first, second)
         for batch in batches:
@@ -141,8 +142,18 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str
                     )
                     start, rows, held = i + 1, [], 0
 
+    return run
+
+
+def _parts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     part = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return part.mapInArrow(run, ALIGNED.format(kind=dict(part.dtypes)["key"])).withColumnRenamed("key", key)
+    return part, dict(part.dtypes)["key"]
+
+
+def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
+    """key, a_ids, b_ids, a_cuts, b_cuts of each row: token ids, and at each shared cut the number of tokens before it."""
+    part, kind = _parts(docs, key, text)
+    return part.mapInArrow(_aligning(first, second), ALIGNED.format(kind=kind)).withColumnRenamed("key", key)
 
 
 def _digits(n: int) -> np.ndarray:
@@ -170,9 +181,7 @@ def _group_texts(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndar
 DIGESTED = "key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
 
-def digested(found: DataFrame, key: str = "doc_id", size_b: int = 32_000) -> DataFrame:
-    """key, n_a, n_b, n_groups, n_links, groups_sha256 and the row's different links (a id * size_b + b id) with how often it has them. found: aligned()."""
-
+def _digesting(size_b: int) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digits = None
         for batch in batches:
@@ -193,8 +202,15 @@ def digested(found: DataFrame, key: str = "doc_id", size_b: int = 32_000) -> Dat
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), long(n_a), long(n_b), long(n), long(n), pa.array(sha, pa.string()), _lists(links & 0xFFFFFFFF, kinds), _lists(times, kinds)], [x.split()[0] for x in DIGESTED.split(", ")])
 
-    kind = dict(found.dtypes)[key]
-    return found.withColumnRenamed(key, "key").mapInArrow(run, DIGESTED.format(kind=kind)).withColumnRenamed("key", key)
+    return run
+
+
+def digested(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND, size_b: int = 32_000) -> DataFrame:
+    """aligned() with its arrays boiled down, slice by slice in one worker: key, n_a, n_b, n_groups, n_links, groups_sha256 and
+    the row's different links (a id * size_b + b id) with how often it has them."""
+    part, kind = _parts(docs, key, text)
+    align, digest = _aligning(first, second), _digesting(size_b)
+    return part.mapInArrow(lambda batches: digest(align(batches)), DIGESTED.format(kind=kind)).withColumnRenamed("key", key)
 
 
 def counted(digests: DataFrame, size_b: int = 32_000) -> DataFrame:
@@ -229,5 +245,5 @@ def scored(digests: DataFrame, counts: DataFrame) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's alignment, and how common its links are in the corpus."""
-    digests = stored(digested(aligned(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "links")
+    digests = stored(digested(spark.read.parquet(f"{sf_dir}/documents.parquet")), "links")
     return scored(digests, counted(digests)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -48,7 +48,7 @@ def plain(tools, rows):
 
 
 def result(spark, docs):
-    digests = align.digested(align.aligned(docs))
+    digests = align.digested(docs)
     return sorted((tuple(r) for r in align.scored(digests, align.counted(digests)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=str)
 
 
@@ -84,6 +84,15 @@ def test_cuts_of_random_ends(seed):
     assert (a[at] == both).all() and (b[b_at] == both).all() and len(at) == len(both)
 
 
+def test_arrays_of_the_operator(spark, tools):
+    docs = spark.createDataFrame([(1, "Hello,  world!"), (2, None), (3, "日本語")], "doc_id long, text string")
+    a_tok, a_bytes, e = tools
+    for r in align.aligned(docs).collect():
+        cut = [([a_bytes[i] for i in r.a_ids[x:y]], [e.bytes_b[i] for i in r.b_ids[z:w]]) for (x, y), (z, w) in zip(zip([0, *r.a_cuts], r.a_cuts), zip([0, *r.b_cuts], r.b_cuts))]
+        assert all(b"".join(a) == b"".join(b) != b"" for a, b in cut) and (r.doc_id == 2) == (cut == [])
+        assert not cut or (r.a_cuts[-1], r.b_cuts[-1]) == (len(r.a_ids), len(r.b_ids))
+
+
 def test_links_are_bounded_by_the_vocabularies(tools):
     _, _, e = tools
     ids = [{t: i for i, t in enumerate(x)} for x in (e.bytes_a, e.bytes_b)]
