@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .functions import tables
-from .operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, stats, zonal
+from .operators import denoise, focal, geometry, graph, local, nearest, perceptual, segment, spectral, stats, zonal
 from .plans.focal import around, focal_udf, tile_with_halo, untile
 from .plans.iterate import shared_path
 from .sources import cells as src
@@ -255,6 +255,14 @@ SELECT image_id, y // 8 * 8 + p.i AS y, x // 8 * 8 + q.i AS x, round(sum(v * p.w
          lambda p: focal.dct_blocks(p, 8, inverse=True).select(*KEY, F.round("v", 4).alias("v")))
 register("dct_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.dct_blocks(focal.dct_blocks(p, 8), 8, inverse=True).select(*KEY, F.round("v").cast("int").alias("v")))
 
+#: Four digits; 0.0 is added so that there is no minus zero.
+_FOUR = lambda *names: [(F.round(n, 4) + 0.0).alias(n) for n in names]
+register("fft2", "luma", f"{sql.FFT2.format(source='lumas', v='v')} SELECT image_id, y, x, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM spectrum", lambda p: spectral.fft2(p).select(*KEY, *_FOUR("re", "im")))
+register("fft2_round_trip", "luma", "SELECT image_id, y, x, round(v, 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM lumas", lambda p: spectral.ifft2(spectral.fft2(p)).select(*KEY, *((F.round(c, 6) + 0.0).alias(c) for c in ("re", "im"))))
+register("fft2_low_pass", "luma", sql.FFT2.format(source="lumas", v="v") + sql.LOW_PASS.format(sigma=3), lambda p: spectral.low_pass(p, 3.0).select(*KEY, *_FOUR("v")))
+register("fft2_rings", "luma", sql.FFT2.format(source="lumas", v="v") + """, f AS (SELECT image_id, re * re + im * im AS p, CASE WHEN y < 32 THEN y ELSE y - 64 END AS fy, CASE WHEN x < 32 THEN x ELSE x - 64 END AS fx FROM spectrum)
+SELECT image_id, CAST(floor(sqrt(fy * fy + fx * fx)) AS INT) AS ring, round(avg(p / 4096), 4) AS power, count(*) AS n FROM f GROUP BY image_id, floor(sqrt(fy * fy + fx * fx))""", lambda p: spectral.spectrum_rings(p).select("image_id", "ring", *_FOUR("power"), "n"))
+
 # --- zones --------------------------------------------------------------------------------------
 def _every(cells: DataFrame, n: int = 97, seed: int = 9) -> DataFrame:
     return zonal.hashed_seeds(cells, n, seed)

@@ -234,3 +234,13 @@ v AS (SELECT image_id, dy, dx, y, x, sum(e) OVER w AS d, sum(n) OVER w AS n FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY dy <> 0 OR dx <> 0, d, dy, dx) AS rank FROM v WHERE n = 16),
 z AS (SELECT *, max(d) FILTER (rank <= {rank}) OVER (PARTITION BY image_id, y, x) AS top FROM r)
 SELECT image_id, y AS py, x AS px, y + dy AS my, x + dx AS mx, d, CAST(rank AS INT) AS rank FROM z WHERE d <= top AND rank <= {k}"""
+
+
+#: The transform of 64 x 64 planes by its two sums: along x, then along y.
+FFT2 = """, turn AS MATERIALIZED (SELECT k.v AS k, n.v AS n, cos(2 * pi() * ((k.v * n.v) % 64) / 64) AS c, -sin(2 * pi() * ((k.v * n.v) % 64) / 64) AS s FROM range(64) k(v), range(64) n(v)),
+along_x AS MATERIALIZED (SELECT image_id, y, k AS x, sum({v} * c) AS re, sum({v} * s) AS im FROM {source} JOIN turn ON n = x GROUP BY image_id, y, k),
+spectrum AS MATERIALIZED (SELECT image_id, k AS y, x, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM along_x JOIN turn ON n = y GROUP BY image_id, k, x)"""
+#: Every frequency times a Gaussian, and the sums backwards.
+LOW_PASS = """, damped AS (SELECT image_id, y, x, re * g AS re, im * g AS im FROM (SELECT *, exp(-2 * pi() * pi() * {sigma} * {sigma} * (pow((CASE WHEN y < 32 THEN y ELSE y - 64 END) / 64.0::DOUBLE, 2) + pow((CASE WHEN x < 32 THEN x ELSE x - 64 END) / 64.0::DOUBLE, 2))) AS g FROM spectrum)),
+back_x AS MATERIALIZED (SELECT image_id, y, k AS x, sum(re * c + im * s) / 64 AS re, sum(im * c - re * s) / 64 AS im FROM damped JOIN turn ON n = x GROUP BY image_id, y, k)
+SELECT image_id, k AS y, x, round(sum(re * c + im * s) / 64, 4) + 0.0 AS v FROM back_x JOIN turn ON n = y GROUP BY image_id, k, x"""
