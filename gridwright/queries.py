@@ -15,6 +15,8 @@ from .plans.focal import around, focal_udf, tile_with_halo, untile
 from .plans.iterate import shared_path
 from .sources import cells as src
 from .sources.cells import CELLS_SQL, KEY
+from .sources.files import write_files
+from .sources.frames import read_frame_files, write_frame_files
 from .streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,11 +395,23 @@ register("focal_udf", "cells", f"{_near(1, 'clamp', 'cells')} SELECT image_id, y
          focal_udf(lambda b: np.stack([around(b[..., i], 1).max(-1) - around(b[..., i], 1).min(-1) for i in range(3)], axis=-1), 1))
 
 
-def _bitmaps(cells: DataFrame) -> DataFrame:
-    path = shared_path(cells.sparkSession, "bitmaps")
-    src.write_bmp_frames(cells, path)
-    good, _ = src.batch_convert(src.read_bmp_frames(cells.sparkSession, path + "/image_id=*"))
-    return good.select(F.regexp_extract("path", r"image_id=(-?\d+)", 1).cast("long").alias("image_id"), "y", "x", "r", "g", "b")
+def _as_files(cells: DataFrame, fmt: str) -> DataFrame:
+    """cells written as a file an image and read back, image_id taken from the name."""
+    path = shared_path(cells.sparkSession, "frames")
+    write_frame_files(cells, path, fmt)
+    good, _ = src.batch_convert(read_frame_files(cells.sparkSession, path, fmt, height=src.SIDE, width=src.SIDE, split=4096))
+    return good.select(F.regexp_extract("path", r"(-?\d+)\.\w+$", 1).cast("long").alias("image_id"), "y", "x", *(F.col(c).cast("int").alias(c) for c in "rgb"))
+
+
+def _broken_files(cells: DataFrame) -> DataFrame:
+    """Bitmaps of which every third is cut off and every third after it has no magic: cells and errors of each file."""
+    spark, good, bad = cells.sparkSession, shared_path(cells.sparkSession, "frames"), shared_path(cells.sparkSession, "broken")
+    write_frame_files(cells, good)
+    body, kind = F.col("content"), F.pmod(F.col("image_id"), F.lit(3))
+    files = spark.read.format("binaryFile").load(good).withColumn("image_id", F.regexp_extract("path", r"(-?\d+)\.bmp$", 1).cast("long"))
+    write_files(files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.when(kind == 0, body).when(kind == 1, F.substring(body, 1, 1000)).otherwise(F.concat(F.encode(F.lit("XX"), "UTF-8"), F.substring(body, 3, 1 << 30))).alias("body")), bad)
+    rows = read_frame_files(spark, bad).select(F.regexp_extract("path", r"(-?\d+)\.bmp$", 1).cast("long").alias("image_id"), "r", "error")
+    return rows.groupBy("image_id", "error").agg(F.count("r").alias("n"), F.coalesce(F.sum("r").cast("long"), F.lit(0)).alias("total"))
 
 
 def _stored(cells: DataFrame) -> DataFrame:
@@ -406,7 +420,11 @@ def _stored(cells: DataFrame) -> DataFrame:
     return cells.sparkSession.read.parquet(path).select(*KEY, "r", "g", "b", "a")
 
 
-register("bmp_frames", "cells", "SELECT image_id, y, x, r, g, b FROM cells", _bitmaps)
+register("bmp_frames", "cells", "SELECT image_id, y, x, r, g, b FROM cells", lambda c: _as_files(c, "bmp"))
+for _fmt, _white in (("8u", 255), ("16u", 32767), ("32f", 255), ("10u", 1023)):
+    register(f"raw_frames_{_fmt}", "cells", f"SELECT image_id, y, x, {_rgb(f'CAST($c * {_white} // 255 AS INT) AS $c')} FROM cells", lambda c, f=_fmt, w=_white: _as_files(c.select(*KEY, *(F.expr(f"{k} * {w} div 255").alias(k) for k in "rgb")), f))
+register("frames_with_errors", "cells", """SELECT image_id, CASE image_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'truncated or not 24 bits' ELSE 'not a bitmap' END AS error,
+  CASE WHEN image_id % 3 = 0 THEN count(*) ELSE 0 END AS n, CAST(CASE WHEN image_id % 3 = 0 THEN sum(r) ELSE 0 END AS BIGINT) AS total FROM cells GROUP BY image_id""", _broken_files)
 register("write_frames", "cells", "SELECT * FROM cells", _stored)
 _LIMITS = f""", grid AS (SELECT i.v AS iy, h.v AS ih, c.v AS c, (i.v + 0.5) / 100::DOUBLE AS cy, radians(h.v) AS th FROM range(100) i(v), range(360) h(v), range(1, 201) c(v)),
 g1 AS (SELECT *, CASE WHEN cy > 0.008856451679035631 THEN cbrt(cy) ELSE cy * 7.787037037037037 + 16 / 116.0::DOUBLE END AS fy FROM grid),

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,28 +147,6 @@ def read_bmp_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, y long, x long, r int, g int, b int, error string")
 
 
-def write_bmp_frames(cells: DataFrame, path: str) -> None:
-    """A 24-bit bitmap for each image, in a folder image_id=... of its own. Tasks make the bytes, Spark's text writer moves them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for row in batch.column(1):
-                y, x, r, g, b = (row.values.field(k).to_numpy() for k in range(5))
-                h, w = int(y.max()) + 1, int(x.max()) + 1
-                stride = (w * 3 + 3) // 4 * 4
-                rows = np.zeros((h, stride), dtype=np.uint8)
-                for k, c in enumerate((b, g, r)):
-                    rows[h - 1 - y, 3 * x + k] = c
-                made.append(b"BM" + struct.pack("<IHHI", 54 + stride * h, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, stride * h, 2835, 2835, 0, 0) + rows.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "file"])
-
-    images = cells.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "r", "g", "b")).alias("all"))
-    files = images.mapInArrow(run, "image_id long, file binary").select("image_id", F.col("file").cast("string").alias("value"))
-    # the writer ends a value with its separator: a zero behind the pixels, which readers of bitmaps skip
-    files.write.partitionBy("image_id").option("encoding", "ISO-8859-1").option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
-
-
 def batch_convert(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells of the files that could be read, path and error of the others)."""
     return frames.where("error is null").drop("error"), frames.where("error is not null").select("path", "error")
