@@ -47,7 +47,8 @@ class Staged(DataSourceArrowWriter):
         def create(name: str):
             at = f"{folder}/{name}"
             system.create_dir(at.rpartition("/")[0], recursive=True)
-            return system.open_output_stream(at)
+            # by default Arrow would compress what a name like x.gz says is compressed
+            return system.open_output_stream(at, compression=None)
 
         return Written(folder, list(self.files(iterator, create)))
 
@@ -67,7 +68,7 @@ class Staged(DataSourceArrowWriter):
                     made.add(parent)
                 system.move(f"{message.folder}/{name}", at)
         self._cleared(system, top)
-        system.open_output_stream(f"{top}/_SUCCESS").close()
+        system.open_output_stream(f"{top}/_SUCCESS", compression=None).close()
 
     def abort(self, messages: list[Written | None]) -> None:
         self._cleared(*opened(self.path))
