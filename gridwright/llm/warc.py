@@ -4,7 +4,7 @@ An ARC file is a version block and then records: a header line whose fields depe
 (1: five fields, 2: ten), the declared number of bytes, a newline. ``parse_arc`` reads those lines and
 lengths, ``warc_record`` gives a record the identifier, timestamp, type and digest that WARC asks for.
 Both kinds of archives are files in the shared folder of many records and at most FILE_BYTES or one record;
-tasks make their bytes, Spark's writer and reader move them. Every WARC record is a gzip member of its own, so
+tasks make their bytes, the data source of ``sources/files.py`` writes them, Spark's reader reads them. Every WARC record is a gzip member of its own, so
 that readers can seek to it. Payloads are bytes throughout: no encoding is assumed.
 
 Which records are revisits is settled on (digest, identifiers) alone; payloads are dealt by record, never by
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import write_files
 from .skew import spread
 from .storage import new_path, stored
 
@@ -40,8 +41,6 @@ VERSIONS = {
     "2": ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"),
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: A gzip member of no bytes: what may stand between and behind members.
-NO_BYTES = gzip.compress(b"", mtime=0)
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
@@ -114,10 +113,9 @@ def _batch(rows: list[tuple], ddl: str, kinds: list[pa.DataType]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ddl.split(", ")])
 
 
-def _written(files: DataFrame, path: str, end: bytes) -> None:
-    """Each value of the binary column `file` as a file of its own; the writer puts `end` behind it."""
-    lines = files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1"))
-    lines.option("maxRecordsPerFile", 1).text(path)
+def _named(data: bytes, end: str) -> pa.RecordBatch:
+    """A finished file as a row for write_files()."""
+    return pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.{end}"]), pa.array([bytes(data)], pa.binary())], ["name", "body"])
 
 
 def write_arc(pages: DataFrame, path: str, version: Column | None = None, date: Column | None = None, size: int = FILE_BYTES) -> None:
@@ -129,7 +127,6 @@ def write_arc(pages: DataFrame, path: str, version: Column | None = None, date:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_files: dict[str, bytearray] = {}
         plain: dict[str, int] = {}
-        done = lambda data: pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], ["file"])
         for batch in batches:
             for key, url, html, v, when in zip(*batch.columns, strict=True):
                 named = b"" if key.as_py() is None else f"X-Page-Id: {key.as_py()}\r\n".encode()
@@ -143,12 +140,12 @@ def write_arc(pages: DataFrame, path: str, version: Column | None = None, date:
                 open_files[v] += gzip.compress(record, 4, mtime=0)
                 plain[v] += len(record)
                 if len(open_files[v]) >= size:
-                    yield done(open_files.pop(v))
+                    yield _named(open_files.pop(v), "arc.gz")
         for data in open_files.values():
-            yield done(data)
+            yield _named(data, "arc.gz")
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"), (F.lit("1") if version is None else version), (F.lit("20200101000000") if date is None else date))
-    _written(rows.mapInArrow(run, "file binary"), path, NO_BYTES)
+    write_files(rows.mapInArrow(run, "name string, body binary"), path)
 
 
 RECORD = "record_id string, page_id long, warc_date string, uri string, http binary, payload binary, payload_bytes long, payload_digest string, error string"
@@ -222,13 +219,13 @@ def write_warc(records: DataFrame, found: DataFrame, path: str, size: int = FILE
                 data = data or bytearray(_info(name))
                 data += warc_record("revisit" if first else "response", name, date, http + payload, fields, "application/http;msgtype=response")
                 if len(data) >= size:
-                    yield pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], ["file"])
+                    yield _named(data, "warc.gz")
                     data = bytearray()
         if data:
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(data)], pa.binary())], ["file"])
+            yield _named(data, "warc.gz")
 
     good = records.where("error IS NULL").select("record_id", "page_id", "warc_date", "uri", "http", "payload", "payload_digest")
-    _written(good.join(found, "record_id", "left").mapInArrow(run, "file binary"), path, NO_BYTES)
+    write_files(good.join(found, "record_id", "left").mapInArrow(run, "name string, body binary"), path)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, error string"

@@ -79,8 +79,8 @@ def test_files_appear_together_or_not_at_all(spark, tmp_path):
     from pyspark.sql import functions as F
 
     at = f"file://{tmp_path}/out"
-    write_files(spark.range(5).select(F.concat(F.lit("d/"), "id").alias("name"), F.encode(F.repeat(F.lit("x"), F.col("id").cast("int")), "UTF-8").alias("body")), at)
-    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "out/d").iterdir()) == [(str(i), b"x" * i) for i in range(5)]
+    write_files(spark.range(5).select(F.concat(F.lit("d/"), "id", F.lit(".gz")).alias("name"), F.encode(F.repeat(F.lit("x"), F.col("id").cast("int")), "UTF-8").alias("body")), at)
+    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "out/d").iterdir()) == [(f"{i}.gz", b"x" * i) for i in range(5)]
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "d"]
     broken = spark.range(4).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise("a").cast("binary").alias("body"))
     with pytest.raises(Exception, match="no"):
