@@ -112,7 +112,59 @@ def _vga256() -> list[tuple[int, int, int]]:
     return [*out, *[(0, 0, 0)] * 8]
 
 
-PALETTES: dict[str, list[tuple[int, int, int]]] = {"cga16": CGA16, "ega64": EGA64, "vga256": _vga256()}
+#: Palettes of old screens and games: fixed values, red, green, blue.
+CGA: dict[str, list[tuple[int, int, int]]] = {
+    "cga0": [(0, 0, 0), (0, 170, 170), (170, 0, 170), (255, 255, 255)],
+    "cga0_bright": [(0, 0, 0), (85, 255, 255), (255, 85, 255), (255, 255, 255)],
+    "cga1": [(0, 0, 0), (0, 170, 0), (170, 0, 0), (170, 85, 0)],
+    "cga1_bright": [(0, 0, 0), (85, 255, 85), (255, 85, 85), (255, 255, 85)],
+}
+EGA: dict[str, list[tuple[int, int, int]]] = {
+    "ega_kq3": [
+        (0, 0, 0), (0, 0, 128), (0, 80, 0), (0, 80, 80), (128, 0, 0), (128, 0, 128), (128, 64, 0), (170, 170, 170),
+        (85, 85, 85), (85, 85, 255), (85, 200, 85), (85, 200, 200), (200, 85, 85), (200, 85, 200), (255, 255, 85), (255, 255, 255),
+    ],
+    "ega_kyrandia": [
+        (0, 0, 0), (0, 0, 140), (0, 100, 0), (0, 100, 100), (140, 0, 0), (140, 0, 140), (140, 70, 0), (160, 160, 160),
+        (88, 80, 80), (80, 80, 150), (80, 200, 80), (80, 200, 200), (255, 50, 50), (255, 50, 255), (255, 255, 80), (255, 255, 255),
+    ],
+    "ega_thexder": [
+        (0, 0, 0), (85, 0, 85), (50, 85, 50), (0, 170, 170), (170, 0, 0), (170, 0, 170), (170, 85, 0), (170, 170, 170),
+        (85, 85, 85), (85, 85, 255), (85, 255, 85), (85, 255, 255), (255, 85, 85), (255, 85, 255), (255, 255, 80), (255, 255, 255),
+    ],
+    "ega_dune": [
+        (0, 0, 0), (0, 0, 80), (40, 80, 80), (0, 80, 80), (120, 40, 40), (120, 40, 120), (140, 100, 60), (100, 100, 100),
+        (80, 80, 80), (80, 80, 160), (80, 120, 80), (80, 120, 120), (200, 80, 60), (160, 80, 160), (200, 160, 80), (220, 200, 160),
+    ],
+    "ega_doom": [
+        (0, 0, 0), (40, 40, 40), (80, 70, 60), (40, 80, 40), (120, 0, 0), (80, 0, 80), (100, 60, 40), (100, 100, 100),
+        (60, 80, 80), (40, 40, 60), (0, 200, 0), (0, 120, 120), (255, 40, 40), (160, 0, 160), (255, 255, 0), (255, 255, 255),
+    ],
+    "ega_metal_mutant": [
+        (0, 0, 0), (0, 80, 0), (0, 120, 0), (0, 100, 80), (80, 80, 80), (120, 120, 120), (160, 160, 160), (0, 0, 100),
+        (50, 50, 120), (80, 200, 80), (80, 200, 200), (160, 80, 40), (200, 0, 0), (255, 0, 0), (200, 160, 0), (255, 255, 255),
+    ],
+    "ega_wolfenstein": [
+        (0, 0, 0), (50, 50, 50), (80, 70, 60), (100, 70, 40), (120, 0, 0), (100, 50, 40), (150, 60, 40), (180, 120, 80),
+        (100, 100, 100), (160, 160, 160), (80, 100, 80), (70, 80, 100), (255, 0, 0), (200, 160, 80), (255, 255, 80), (255, 255, 255),
+    ],
+}
+#: The whites of the one-colour screen, from pure to bluish: fixed values.
+HERCULES_WHITES = [(255, 255, 255), (250, 250, 255), (245, 245, 255)]
+
+
+def _desktop256() -> list[tuple[int, int, int]]:
+    """The 256 colours of an old desktop: ten fixed ones first and last, between them a lattice of levels that begins and ends within its row of red 42."""
+    first = [(0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0), (0, 0, 128), (128, 0, 128), (0, 128, 128), (192, 192, 192), (192, 220, 192), (166, 202, 240)]
+    last = [(255, 251, 240), (160, 160, 164), (128, 128, 128), (255, 0, 0), (0, 255, 0), (255, 255, 0), (0, 0, 255), (255, 0, 255), (0, 255, 255), (255, 255, 255)]
+    extra = [(204, 204, 255), (255, 204, 255), (51, 255, 255), (102, 255, 255), (153, 255, 255), (204, 255, 255)]
+    levels = [(r, g, b) for r in (0, 42, 85, 127, 170, 212, 255) for g in (0, 31, 63, 95, 127, 159, 191, 223, 255) for b in (0, 85, 170, 255)]
+    lattice = [c for c in levels if c not in {*first, *last}]
+    cut = lattice.index((42, 63, 170))
+    return [*first, *lattice[cut:], *extra, *(c for c in lattice[:cut] if c[0] or c[1] >= 127), *last]
+
+
+PALETTES: dict[str, list[tuple[int, int, int]]] = {"cga16": CGA16, "ega64": EGA64, "vga256": _vga256(), **CGA, "ega_standard": CGA16, **EGA, "vga16": CGA16, "desktop256": _desktop256()}
 
 
 def white_point(illuminant: str, observer: int = 2) -> tuple[float, float, float]:

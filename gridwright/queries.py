@@ -17,7 +17,7 @@ from .sources import cells as src
 from .sources.cells import CELLS_SQL, KEY
 from .sources.files import write_files
 from .sources.frames import read_frame_files, write_frame_files
-from .streaming import frames
+from .streaming import frames, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -302,6 +302,8 @@ for _name in ("ega64", "vga256"):
     _entries = "(VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(tables.PALETTES[_name])) + ") p(idx, pr, pg, pb)"
     register(f"nearest_{_name}", "cells", f""", k AS (SELECT DISTINCT r, g, b FROM cells), n AS (SELECT k.*, idx, pr, pg, pb, row_number() OVER (PARTITION BY r, g, b ORDER BY 30 * pow(r - pr, 2) + 59 * pow(g - pg, 2) + 11 * pow(b - pb, 2), idx) AS i FROM k CROSS JOIN {_entries})
 SELECT image_id, y, x, idx, pr AS r, pg AS g, pb AS b FROM cells JOIN n USING (r, g, b) WHERE i = 1""", lambda c, n=_name: zonal.nearest_palette(c, tables.palette(c.sparkSession, n)))
+for _name, _entries in (("cga1", sql.CGA1), ("cga0_bright", sql.CGA0_BRIGHT), ("ega_kq3", sql.EGA_KQ3), ("desktop256", sql.DESKTOP256)):
+    register(f"nearest_{_name}", "cells", sql.nearest(_entries), lambda c, n=_name: zonal.nearest_palette(c, tables.palette(c.sparkSession, n)))
 _TREE = """, n AS (SELECT image_id, d.v AS depth, CAST(y // (64 >> d.v) AS BIGINT) AS qy, CAST(x // (64 >> d.v) AS BIGINT) AS qx, CAST(sum(lumas.v) AS BIGINT) AS mass FROM lumas CROSS JOIN (SELECT CAST(range AS INT) AS v FROM range(5)) d GROUP BY ALL),
 t AS (SELECT n.*, NOT (mass > 4000 AND depth < 4) AS is_leaf FROM n),
 tree AS (SELECT * FROM t WHERE depth = 0 OR NOT EXISTS (SELECT 1 FROM t p WHERE p.image_id = t.image_id AND p.is_leaf AND p.depth < t.depth AND p.qy = t.qy >> (t.depth - p.depth) AND p.qx = t.qx >> (t.depth - p.depth)))"""
@@ -465,6 +467,28 @@ SELECT stream_id, start, mean, round(smooth, 6) AS smooth, round(CASE WHEN mean
                  lambda f: frames.deflicker_batch(frames.stream_frame_stats(f)).select("stream_id", "start", "mean", *(F.round(c, 6).alias(c) for c in ("smooth", "gain"))))
 SQL["frames_deflicker"] = SQL["frames_deflicker"].replace("WITH f", "WITH RECURSIVE f", 1)
 
+# --- frames that arrive: each query writes the events to a folder arrival by arrival and runs a stream over it
+
+
+def _register_live(name: str, sql_: str, fn: Callable[[DataFrame], DataFrame], recursive: str = "") -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+        rows = live.with_arrival(events).select("event_id", "ts", (F.col("user_id") % 8).alias("stream_id"), F.col("event_type").alias("channel"), F.least(F.floor(F.col("value") / 2), F.lit(255)).cast("int").alias("value"), "arrival")
+        return live.in_arrivals(rows, fn, name)
+
+    QUERIES[name] = query
+    SQL[name] = sql.ARRIVALS.format(recursive=recursive) + sql_
+
+
+_register_live("live_local", "SELECT ts, stream_id, channel, CASE WHEN value > 90 THEN 255 ELSE 0 END AS value FROM came", lambda r: frames.stream_local(r))
+_register_live("live_histogram", f"SELECT date_trunc('hour', ts) AS start, channel, value AS bin, count(*) AS n FROM f WHERE {sql.CLOSED} GROUP BY ALL", lambda r: frames.stream_histogram(r))
+_register_live("live_stats", f"SELECT date_trunc('hour', ts) AS start, stream_id, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM f WHERE {sql.CLOSED} GROUP BY ALL", lambda r: frames.stream_frame_stats(r))
+_register_live("live_deflicker", f""", h AS (SELECT date_trunc('hour', ts) AS start, stream_id, round(avg(value), 6) AS mean FROM f WHERE {sql.CLOSED} GROUP BY ALL),
+o AS (SELECT *, row_number() OVER w AS i, coalesce(start - lag(start) OVER w > INTERVAL 12 HOUR, true) AS fresh FROM h WINDOW w AS (PARTITION BY stream_id ORDER BY start)),
+s AS (SELECT stream_id, start, mean, i, mean::DOUBLE AS smooth FROM o WHERE i = 1 UNION ALL SELECT o.stream_id, o.start, o.mean, o.i, CASE WHEN fresh THEN o.mean::DOUBLE ELSE 0.25::DOUBLE * o.mean + 0.75::DOUBLE * s.smooth END FROM s JOIN o ON o.stream_id = s.stream_id AND o.i = s.i + 1)
+SELECT stream_id, start, mean, round(smooth, 6) AS smooth, round(CASE WHEN mean = 0 THEN 1 ELSE smooth / mean END, 6) AS gain FROM s""",
+               lambda r: live.deflicker_live(live.frame_means(r)).select("stream_id", "start", "mean", *(F.round(c, 6).alias(c) for c in ("smooth", "gain"))), "RECURSIVE ")
+
 # --- models on patches and small tables ---------------------------------------------------------
 register("noise_profile", "luma", None, lambda p: denoise.noise_profile(p))
 register("noise_covariance", "luma", None, lambda p: denoise.noise_covariance(denoise.noise_profile(p)))

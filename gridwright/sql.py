@@ -190,7 +190,7 @@ SELECT image_id, round(m.cct, 6) AS cct, round(sqrt(m.d2) * m.side, 6) AS duv FR
 PLANCKIAN = f"""{locus()}, tan AS (SELECT cct, u, v, coalesce(lead(u) OVER w, u) - coalesce(lag(u) OVER w, u) AS du, coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v) AS dv FROM lut WINDOW w AS (ORDER BY cct)),
 ask AS (SELECT DISTINCT image_id, 4000 + image_id % 40 * 100 AS cct FROM cells)
 SELECT image_id, cct, 0.003::DOUBLE AS duv, round(u - CASE WHEN du <= 0 THEN -1 ELSE 1 END * 0.003::DOUBLE * dv / sqrt(du * du + dv * dv), 6) AS u, round(v + CASE WHEN du <= 0 THEN -1 ELSE 1 END * 0.003::DOUBLE * du / sqrt(du * du + dv * dv), 6) AS v FROM ask JOIN tan USING (cct)"""
-SHIFT = f"""{locus(5000, 5000)}{LINEAR_CELLS}, mats AS (SELECT image_id, {', '.join(f's{i}' for i in range(9))} FROM ({adaptation('SELECT image_id, count(*) AS n, sum(r) AS sum_r, sum(g) AS sum_g, sum(b) AS sum_b, any_value(wx) AS wx, any_value(wz) AS wz FROM lin CROSS JOIN lut GROUP BY image_id', 'bradford', ['wx', '100.0', 'wz'])}))
+SHIFT = f"""{locus(5000, 5000)}{LINEAR_CELLS}, mats AS MATERIALIZED (SELECT image_id, {', '.join(f's{i}' for i in range(9))} FROM ({adaptation('SELECT image_id, count(*) AS n, sum(r) AS sum_r, sum(g) AS sum_g, sum(b) AS sum_b, any_value(wx) AS wx, any_value(wz) AS wz FROM lin CROSS JOIN lut GROUP BY image_id', 'bradford', ['wx', '100.0', 'wz'])}))
 SELECT image_id, y, x, {', '.join(f'round(greatest(s{3 * i} * r + s{3 * i + 1} * g + s{3 * i + 2} * b, 0), 6) AS {c}' for i, c in enumerate('rgb'))} FROM lin JOIN mats USING (image_id)"""
 
 # --- cells and their neighbours -----------------------------------------------------------------
@@ -244,3 +244,36 @@ spectrum AS MATERIALIZED (SELECT image_id, k AS y, x, sum(re * c - im * s) AS re
 LOW_PASS = """, damped AS (SELECT image_id, y, x, re * g AS re, im * g AS im FROM (SELECT *, exp(-2 * pi() * pi() * {sigma} * {sigma} * (pow((CASE WHEN y < 32 THEN y ELSE y - 64 END) / 64.0::DOUBLE, 2) + pow((CASE WHEN x < 32 THEN x ELSE x - 64 END) / 64.0::DOUBLE, 2))) AS g FROM spectrum)),
 back_x AS MATERIALIZED (SELECT image_id, y, k AS x, sum(re * c + im * s) / 64 AS re, sum(im * c - re * s) / 64 AS im FROM damped JOIN turn ON n = x GROUP BY image_id, y, k)
 SELECT image_id, k AS y, x, round(sum(re * c + im * s) / 64, 4) + 0.0 AS v FROM back_x JOIN turn ON n = y GROUP BY image_id, k, x"""
+
+
+# --- palettes, with values of their own ------------------------------------------------------------
+CGA1 = "(VALUES (0, 0, 0, 0), (1, 0, 170, 0), (2, 170, 0, 0), (3, 170, 85, 0)) p(idx, pr, pg, pb)"
+CGA0_BRIGHT = "(VALUES (0, 0, 0, 0), (1, 85, 255, 255), (2, 255, 85, 255), (3, 255, 255, 255)) p(idx, pr, pg, pb)"
+EGA_KQ3 = """(VALUES (0, 0, 0, 0), (1, 0, 0, 128), (2, 0, 80, 0), (3, 0, 80, 80), (4, 128, 0, 0), (5, 128, 0, 128), (6, 128, 64, 0), (7, 170, 170, 170),
+  (8, 85, 85, 85), (9, 85, 85, 255), (10, 85, 200, 85), (11, 85, 200, 200), (12, 200, 85, 85), (13, 200, 85, 200), (14, 255, 255, 85), (15, 255, 255, 255)) p(idx, pr, pg, pb)"""
+#: Red rises 42 or 43 a step, green 32 but for the first, blue 85; the lattice starts at (42, 63, 170), its beginning comes behind six extra colours.
+DESKTOP256 = """(WITH a AS (SELECT * FROM (VALUES (0, 0, 0, 0), (1, 128, 0, 0), (2, 0, 128, 0), (3, 128, 128, 0), (4, 0, 0, 128), (5, 128, 0, 128), (6, 0, 128, 128), (7, 192, 192, 192), (8, 192, 220, 192), (9, 166, 202, 240)) t(i, r, g, b)),
+z AS (SELECT * FROM (VALUES (0, 255, 251, 240), (1, 160, 160, 164), (2, 128, 128, 128), (3, 255, 0, 0), (4, 0, 255, 0), (5, 255, 255, 0), (6, 0, 0, 255), (7, 255, 0, 255), (8, 0, 255, 255), (9, 255, 255, 255)) t(i, r, g, b)),
+l AS (SELECT CAST(floor(i.v * 42.5) AS INT) AS r, CASE WHEN j.v = 0 THEN 0 ELSE CAST(j.v * 32 - 1 AS INT) END AS g, CAST(k.v * 85 AS INT) AS b, (i.v * 9 + j.v) * 4 + k.v AS n FROM range(7) i(v), range(9) j(v), range(4) k(v)),
+m AS (SELECT r, g, b, CASE WHEN n >= 46 THEN 1000 + n ELSE 3000 + n END AS n FROM l WHERE (r > 0 OR g >= 127)),
+x AS (SELECT r, g, b, 2000 + i AS n FROM (VALUES (0, 204, 204, 255), (1, 255, 204, 255), (2, 51, 255, 255), (3, 102, 255, 255), (4, 153, 255, 255), (5, 204, 255, 255)) t(i, r, g, b)),
+u AS (SELECT r, g, b, i AS n FROM a UNION ALL SELECT r, g, b, n FROM m WHERE (r, g, b) NOT IN (SELECT (r, g, b) FROM a UNION ALL SELECT (r, g, b) FROM z) UNION ALL SELECT r, g, b, n FROM x UNION ALL SELECT r, g, b, 9000 + i FROM z)
+SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INT) AS idx, r AS pr, g AS pg, b AS pb FROM u) p"""
+
+
+def nearest(entries: str) -> str:
+    return f""", k AS (SELECT DISTINCT r, g, b FROM cells), n AS (SELECT k.*, idx, pr, pg, pb, row_number() OVER (PARTITION BY r, g, b ORDER BY 30 * pow(r - pr, 2) + 59 * pow(g - pg, 2) + 11 * pow(b - pb, 2), idx) AS i FROM k CROSS JOIN {entries})
+SELECT image_id, y, x, idx, pr AS r, pg AS g, pb AS b FROM cells JOIN n USING (r, g, b) WHERE i = 1"""
+
+
+# --- streams ---------------------------------------------------------------------------------------
+#: events with the arrival they come in, and what a stream keeps of them: a row is late if its hour had passed the watermark before.
+ARRIVALS = """WITH {recursive}raw AS (SELECT event_id, ts, user_id % 8 AS stream_id, event_type AS channel, CAST(least(floor(value / 2), 255) AS INT) AS value FROM events),
+span AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS whole FROM raw),
+own AS (SELECT raw.*, (epoch_us(ts) - first) * 5 // whole AS own FROM raw CROSS JOIN span),
+came AS MATERIALIZED (SELECT *, own + CASE WHEN event_id % 20 = 0 AND own + 2 < 5 THEN 2 ELSE 0 END AS arrival FROM own),
+mark AS (SELECT k.v AS arrival, (SELECT max(ts) - INTERVAL 2 HOUR FROM came WHERE came.arrival < k.v) AS before FROM range(5) k(v)),
+f AS MATERIALIZED (SELECT came.* FROM came JOIN mark USING (arrival) WHERE before IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > before),
+done AS (SELECT max(ts) - INTERVAL 2 HOUR AS until FROM came)
+"""
+CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT until FROM done)"

@@ -6,11 +6,11 @@ alike but for deflicker, whose state is the last smoothed mean of each stream.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WATERMARK = "2 hours"
@@ -71,26 +71,40 @@ def deflicker(frames: DataFrame, alpha: float = 0.25) -> DataFrame:
     return frames.groupBy("stream_id").applyInPandasWithState(smoothing(alpha), SMOOTHED, "last double", "append", "NoTimeout")
 
 
-#: Frames that a smoothed value looks back on at most: what is older weighs less than a double can tell at alpha 0.25.
-LOOK_BACK = 128
+#: Frames of a block that one row folds.
+BLOCK = 64
+
+
+def _scanned(rows: DataFrame, most: int, rest: float) -> DataFrame:
+    """stream_id, k, n, v: what is smoothed up to each row of stream_id, k (0, 1, ... in each stream), n (frames that it stands for), v (their fold from zero).
+
+    Rows are folded in blocks; the blocks' ends are rows of the same kind, fewer by BLOCK, and are scanned alike. So a stream of
+    any length is spread over its blocks, and nothing that a value looks back on is cut off.
+    """
+    own = W.partitionBy("stream_id", "block").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    fold = F.aggregate(F.collect_list(F.struct("n", "v")).over(own), F.lit(0.0), lambda acc, b: acc * F.pow(F.lit(rest), b["n"]) + b["v"])
+    inner = rows.withColumn("block", F.floor(F.col("k") / BLOCK)).select("stream_id", "block", "k", F.sum("n").over(own).alias("n"), fold.alias("v"))
+    if most <= BLOCK:
+        return inner.drop("block")
+    ends = inner.groupBy("stream_id", F.col("block").alias("k")).agg(F.max_by("n", "k").alias("n"), F.max_by("v", "k").alias("v"))
+    before = _scanned(ends, -(-most // BLOCK), rest).select("stream_id", (F.col("k") + 1).alias("block"), F.col("n").alias("bn"), F.col("v").alias("bv"))
+    carried = F.coalesce("bv", F.lit(0.0)) * F.pow(F.lit(rest), F.col("n"))
+    return inner.join(before, ["stream_id", "block"], "left").select("stream_id", "k", (F.col("n") + F.coalesce("bn", F.lit(0))).alias("n"), (F.col("v") + carried).alias("v"))
 
 
 def deflicker_batch(frames: DataFrame, alpha: float = 0.25, block: str = "day") -> DataFrame:
-    """The same on a finished table. Each time block of a stream is smoothed for itself, from zero; then one row a block
-    carries the state on, so that a long or hot stream is spread over its blocks.
+    """The same on a finished table, exact for every alpha from 0 to 1. Frames are numbered in time blocks of their stream, of which one row a block
+    carries the number on; then they are scanned in blocks of blocks.
     """
-    from pyspark.sql import Window as W
-
-    rest = math.log(1 - alpha)
-    own = W.partitionBy("stream_id", "block").orderBy("start")
-    rows = frames.select("stream_id", "start", "mean", F.date_trunc(block, "start").alias("block"))
-    fold = lambda means: F.aggregate(means, F.lit(0.0), lambda acc, m: acc * (1 - alpha) + alpha * m)
-    inner = rows.select("*", F.row_number().over(own).alias("nth"), fold(F.collect_list("mean").over(own.rowsBetween(-LOOK_BACK, 0))).alias("inner"))
-    ends = inner.groupBy("stream_id", "block").agg(F.max("nth").alias("n"), F.max_by("inner", "nth").alias("last"), F.min_by("mean", "nth").alias("first"))
-    before = W.partitionBy("stream_id").orderBy("block")
+    day = W.partitionBy("stream_id", "day").orderBy("start")
+    rows = frames.select("stream_id", "start", "mean", F.date_trunc(block, "start").alias("day")).withColumn("nth", F.row_number().over(day))
+    sizes = rows.groupBy("stream_id", "day").agg(F.max("nth").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("stream_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one number: how many blocks of blocks there are
+    most = sizes.groupBy("stream_id").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
+    placed = rows.join(sizes.select("stream_id", "day", before.alias("before")), ["stream_id", "day"]).select("stream_id", (F.col("before") + F.col("nth") - 1).alias("k"), "start", "mean")
     # before the first frame the state is that frame
-    start = F.first("first").over(before.rowsBetween(W.unboundedPreceding, 0))
-    carried = F.aggregate(F.collect_list(F.struct("n", "last")).over(before.rowsBetween(-LOOK_BACK, -1)), start, lambda acc, b: acc * F.exp(b["n"] * rest) + b["last"])
-    joined = inner.join(ends.select("stream_id", "block", carried.alias("carried")), ["stream_id", "block"])
-    smooth = F.col("inner") + F.exp(F.col("nth") * rest) * F.col("carried")
-    return joined.select("stream_id", "start", "mean", smooth.alias("smooth")).withColumn("gain", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("smooth") / F.col("mean")))
+    share = F.col("mean") * F.when(F.col("k") == 0, 1.0).otherwise(alpha)
+    smooth = _scanned(placed.select("stream_id", "k", F.lit(1).cast("long").alias("n"), share.alias("v")), most, 1 - alpha)
+    joined = placed.join(smooth.select("stream_id", "k", F.col("v").alias("smooth")), ["stream_id", "k"])
+    return joined.select("stream_id", "start", "mean", "smooth").withColumn("gain", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("smooth") / F.col("mean")))
