@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,16 +118,48 @@ def _basis() -> np.ndarray:
     return np.array([[d[k // 4, i // 4] * d[k % 4, i % 4] for i in range(16)] for k in range(16)])
 
 
-def shrunk(noisy: np.ndarray, basic: np.ndarray | None, there: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """Groups of patches moved to their means by (C - N) C^-1; with a first estimate, by its covariance B (B + N)^-1.
+#: What is added to the diagonal of a covariance, and the least pivot of a matrix that counts as positive.
+RIDGE, PIVOT = 1e-3, 1e-4
+
+
+def factor_solve(a: np.ndarray, b: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(x with a x = b, whether a is positive) for symmetric matrices a (matrices, n, n), by Cholesky factors of all at once.
 
-    noisy, basic: group, channel, member, 16; there: which members a group has; noise: group, channel, 16, 16.
+    The matrices are the last axis inside, so that each of the n steps is one operation on a block of them.
     """
+    n, x, good = a.shape[-1], np.empty(b.shape), np.ones(len(a), dtype=bool)
+    for lo in range(0, len(a), block):
+        f, y = (np.ascontiguousarray(np.moveaxis(m[lo : lo + block], 0, -1)) for m in (a, b))
+        ok = good[lo : lo + block]
+        for j in range(n):
+            f[j:, j] -= np.einsum("kib,ib->kb", f[j:, :j], f[j, :j])
+            ok &= f[j, j] > PIVOT
+            f[j, j] = np.sqrt(np.where(f[j, j] > PIVOT, f[j, j], 1.0))
+            f[j + 1 :, j] /= f[j, j]
+        for i in range(n):
+            y[i] = (y[i] - np.einsum("kb,kmb->mb", f[i, :i], y[:i])) / f[i, i]
+        for i in reversed(range(n)):
+            y[i] = (y[i] - np.einsum("kb,kmb->mb", f[i + 1 :, i], y[i + 1 :])) / f[i, i]
+        x[lo : lo + block] = np.moveaxis(y, -1, 0)
+    return x, good
+
+
+def _centred(noisy: np.ndarray, basic: np.ndarray | None, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, noisy less mean, covariance of the first estimate or else of the noisy ones about that mean) of each group."""
     mask, n = there[:, None, :, None], there.sum(1)[:, None, None, None]
     mean = (noisy * mask).sum(2, keepdims=True) / n
     rest = (noisy - mean) * mask
     of = rest if basic is None else (basic - mean) * mask
-    signal = of.swapaxes(2, 3) @ of / (n - 1)
+    return mean, rest, of.swapaxes(2, 3) @ of / (n - 1)
+
+
+def shrunk(noisy: np.ndarray, basic: np.ndarray | None, there: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Groups of patches moved to their means by S (S + N)^-1, S being C - N without its negative part; with a first estimate, by its covariance B (B + N)^-1.
+
+    noisy, basic: group, channel, member, 16; there: which members a group has; noise: group, channel, 16, 16. This takes eigenvalues
+    of every group, and does not add to the noise where a group is small.
+    """
+    mean, rest, signal = _centred(noisy, basic, there)
     if basic is None:
         w, v = np.linalg.eigh(signal - noise)
         # negative energy is no signal
@@ -136,44 +168,81 @@ def shrunk(noisy: np.ndarray, basic: np.ndarray | None, there: np.ndarray, noise
     return mean + rest @ gain
 
 
-def bayes_shrink(planes: DataFrame, columns: tuple[str, ...], table: DataFrame, mult: float = 1.0, step: int = 2, radius: int = 8, k: int = 512, pilot: tuple[str, ...] = (), size: int = 16) -> DataFrame:
+def shrunk_by_difference(noisy: np.ndarray, basic: np.ndarray | None, there: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The same by (C - N) C^-1 as it stands, and B (B + N)^-1, through Cholesky factors.
+
+    A negative variance is no signal: the
+    diagonal of C - N is cut off at 0, and a group whose C - N has no trace becomes its mean. A group whose matrix is not positive stays as it is.
+    """
+    mean, rest, c = _centred(noisy, basic, there)
+    k = noise.shape[-1]
+    diagonal = np.arange(k)
+    if basic is None:
+        signal, total = c - noise, c.copy()
+        empty = np.trace(signal, axis1=2, axis2=3) <= 0
+        signal[..., diagonal, diagonal] = np.maximum(signal[..., diagonal, diagonal], 0)
+        signal[empty] = 0
+    else:
+        signal, total = c, c + noise
+    total[..., diagonal, diagonal] += RIDGE
+    # S = signal total^-1, and rows are patches: rest S^T = rest (total^-1 signal)
+    gain, good = factor_solve(total.reshape(-1, k, k), signal.reshape(-1, k, k))
+    gain, good = gain.reshape(c.shape), good.reshape(c.shape[:2])
+    made = mean + rest @ gain
+    kept = good if basic is not None else good | empty
+    return made if kept.all() else np.where(kept[..., None, None], made, noisy if basic is None else basic)
+
+
+def tile_estimates(block: np.ndarray, gy: np.ndarray, gx: np.ndarray, n: int, known: list[np.ndarray], mult: float, k: int, radius: int, pilot: bool, rule: Callable = shrunk_by_difference) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the estimates of n channels, their number) of a block's cells, from the groups of the patches at gy, gx.
+
+    block: n noisy channels, n of a first estimate if there is one, and 1 inside the image. known: levels, then stds, of each channel.
+    """
+    halo, wide, basis = radius + 3, 2 * radius + 1, _basis()
+    d = patch_distances(block[..., [*range(n, 2 * n), 2 * n]] if pilot else block, gy, gx, radius, 4)
+    row, place, nth = ranked_matches(d, k, ALIKE[pilot] * mult, 32)
+    many = np.bincount(row, minlength=len(gy))
+    enough = many >= LEAST_GROUP
+    total, weight = np.zeros((*block.shape[:2], n)), np.zeros(block.shape[:2])
+    if not enough.any():
+        return total, weight
+    there = np.arange(many.max()) < many[enough][:, None]
+    py, px = gy[enough][:, None] + halo, gx[enough][:, None] + halo
+    own = enough[row]
+    picks = np.full(there.shape, wide * wide // 2)
+    picks[(np.cumsum(enough) - 1)[row[own]], nth[own]] = place[own]
+    my, mx = py + picks // wide - radius, px + picks % wide - radius
+    patches = np.lib.stride_tricks.sliding_window_view(block[..., :-1], (4, 4), axis=(0, 1))
+    rows = np.moveaxis(patches[my, mx].reshape(*my.shape, -1, 16), 2, 1)
+    level = (rows[:, :n] * there[:, None, :, None]).sum((2, 3)) / (16 * there.sum(1)[:, None])
+    std = np.stack([np.stack([np.interp(level[:, c], known[c], known[n + c][:, f]) for f in range(16)], axis=1) for c in range(n)], axis=1)
+    noise = basis.T @ ((std**2 * mult)[..., None] * basis)
+    made = rule(rows[:, :n], rows[:, n:] if pilot else None, there, noise)
+    # all estimates of a cell, by its place in the block
+    cell = ((my[..., None] + np.arange(16) // 4) * block.shape[1] + mx[..., None] + np.arange(16) % 4)[there].ravel()
+    weight = np.bincount(cell, minlength=weight.size).reshape(weight.shape).astype(float)
+    for c in range(n):
+        total[..., c] = np.bincount(cell, made[:, c][there].ravel(), minlength=weight.size).reshape(weight.shape)
+    return total, weight
+
+
+def bayes_shrink(planes: DataFrame, columns: tuple[str, ...], table: DataFrame, mult: float = 1.0, step: int = 2, radius: int = 8, k: int = 512, pilot: tuple[str, ...] = (), size: int = 32, rule: Callable = shrunk_by_difference) -> DataFrame:
     """One pass over groups of similar 4 x 4 patches: image_id, y, x and the mean of all estimates of a cell for each column.
 
     pilot: columns of a first estimate, in which patches are matched and whose covariance then shrinks the noisy ones (the second
     step). table: image_id and for each column levels and stds. A tile matches and shrinks its own patches, and sends sums and
-    counts for all cells that they touch; cells in no group keep their value.
+    counts for all cells that they touch; cells in no group keep their value. rule: shrunk_by_difference or shrunk.
     """
-    halo, wide, n = radius + 3, 2 * radius + 1, len(columns)
-    basis, tau = _basis(), ALIKE[bool(pilot)] * mult
+    halo, n = radius + 3, len(columns)
     names = ["image_id", "y", "x", *(f"s_{c}" for c in columns), "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tables = [[np.array(batch.column(4 + i)[row].as_py(), dtype=float) for i in range(2 * n)] for row in range(len(batch))]
             for known, (image, ty, tx, y, x, v) in zip(tables, tile_arrays(batch, [*columns, *pilot]), strict=True):
+                gy, gx = np.nonzero(((np.arange(size) + ty * size) % step == 0)[:, None] & ((np.arange(size) + tx * size) % step == 0))
                 block = patch_block(ty, tx, y, x, v, size, halo)
-                d = patch_distances(block[..., [*range(n, 2 * n), 2 * n]] if pilot else block, size, radius, 4)
-                gy, gx = np.meshgrid(np.arange(size), np.arange(size), indexing="ij")
-                refs = np.isfinite(d[..., wide * wide // 2]) & ((gy + ty * size) % step == 0) & ((gx + tx * size) % step == 0)
-                order, many = ranked_matches(d[refs], k, tau, 32)
-                patches = np.lib.stride_tricks.sliding_window_view(block[..., :-1], (4, 4), axis=(0, 1))
-                total, weight = np.zeros((*block.shape[:2], n)), np.zeros(block.shape[:2])
-                enough = many >= LEAST_GROUP
-                py, px, picks = gy[refs][enough] + halo, gx[refs][enough] + halo, order[enough][:, : many.max(initial=0)]
-                if enough.any():
-                    there = np.arange(picks.shape[1]) < many[enough][:, None]
-                    my, mx = py[:, None] + picks // wide - radius, px[:, None] + picks % wide - radius
-                    my, mx = np.where(there, my, py[:, None]), np.where(there, mx, px[:, None])
-                    rows = np.moveaxis(patches[my, mx].reshape(*my.shape, -1, 16), 2, 1)
-                    level = (rows[:, :n] * there[:, None, :, None]).sum((2, 3)) / (16 * there.sum(1)[:, None])
-                    std = np.stack([np.stack([np.interp(level[:, c], known[c], known[n + c][:, f]) for f in range(16)], axis=1) for c in range(n)], axis=1)
-                    noise = basis.T @ ((std**2 * mult)[..., None] * basis)
-                    made = shrunk(rows[:, :n], rows[:, n:] if pilot else None, there, noise)
-                    # all estimates of a cell, by its place in the block
-                    place = ((my[..., None] + np.arange(16) // 4) * block.shape[1] + mx[..., None] + np.arange(16) % 4)[there].ravel()
-                    weight = np.bincount(place, minlength=weight.size).reshape(weight.shape).astype(float)
-                    for c in range(n):
-                        total[..., c] = np.bincount(place, made[:, c][there].ravel(), minlength=weight.size).reshape(weight.shape)
+                total, weight = tile_estimates(block, gy, gx, n, known, mult, k, radius, bool(pilot), rule)
                 at = np.nonzero(weight)
                 parts = [np.full(len(at[0]), image), at[0] + ty * size - halo, at[1] + tx * size - halo, *(total[at][:, c] for c in range(n)), weight[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names)
@@ -201,7 +270,7 @@ def _halved(planes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return planes.groupBy("image_id", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(*(F.avg(c).alias(c) for c in columns))
 
 
-def nl_bayes_denoise(planes: DataFrame, columns: tuple[str, ...] = ("v",), step: int = 2, radius: int = 8, k: int = 512, strength: float = 1.0, scales: int = 3, share: float = 0.005) -> DataFrame:
+def nl_bayes_denoise(planes: DataFrame, columns: tuple[str, ...] = ("v",), step: int = 2, radius: int = 8, k: int = 512, strength: float = 1.0, scales: int = 3, share: float = 0.005, rule: Callable = shrunk_by_difference) -> DataFrame:
     """image_id, y, x and columns, denoised from coarse to fine.
 
     The image is halved scales - 1 times. From the smallest on, each scale is denoised in two passes (a first estimate, then the
@@ -221,10 +290,10 @@ def nl_bayes_denoise(planes: DataFrame, columns: tuple[str, ...] = ("v",), step:
             place = ["image_id", "py", "px"]
             now = now.withColumns({"py": F.floor(F.col("y") / 2), "px": F.floor(F.col("x") / 2)}).join(parents[0].join(parents[1], place), place).select(*KEY, *((F.col(c) - F.col(f"old_{c}") + F.col(f"new_{c}")).alias(c) for c in columns))
             now = saved(now)
-        first = bayes_shrink(now, columns, table, 0.25**scale, step, radius, k)
+        first = bayes_shrink(now, columns, table, 0.25**scale, step, radius, k, rule=rule)
         pilot = tuple(f"p_{c}" for c in columns)
         both = now.join(first.select(*KEY, *(F.col(c).alias(p) for c, p in zip(columns, pilot, strict=True))), KEY)
-        done = saved(bayes_shrink(saved(both), columns, table, 0.25**scale, step, radius, k, pilot))
+        done = saved(bayes_shrink(saved(both), columns, table, 0.25**scale, step, radius, k, pilot, rule=rule))
     return done
 
 

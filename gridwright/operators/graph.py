@@ -86,38 +86,44 @@ def extract_patches(planes: DataFrame, p: int = 4, stride: int = 1) -> DataFrame
     return whole.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), F.transform("all", lambda s: s["v"]).alias("vec"))
 
 
-def patch_distances(block: np.ndarray, size: int, radius: int, p: int) -> np.ndarray:
-    """(size, size, (2 radius + 1)^2) squared distances of each patch of a tile to those around it, infinite where one leaves the image.
+def patch_distances(block: np.ndarray, y: np.ndarray, x: np.ndarray, radius: int, p: int) -> np.ndarray:
+    """(patches, (2 radius + 1)^2) squared distances of the tile's patches at y, x to those around them, infinite where one leaves the image.
 
-    block: size + 2 * (radius + p - 1) cells a side, the last channel 1 inside the image.
+    block: radius + p - 1 cells more on each side than the tile, the last channel 1 inside the image. The distances are |a|^2 + |b|^2 - 2 ab: one matrix
+    product of the patches asked for with all patches of the block. Whole numbers stay exact.
     """
-    halo, wide = radius + p - 1, size + p - 1
-
-    def boxes(a: np.ndarray) -> np.ndarray:
-        rows = sum(a[i : i + size] for i in range(p))
-        return sum(rows[:, i : i + size] for i in range(p))
-
-    own, out = block[halo : halo + wide, halo : halo + wide], np.empty((size, size, (2 * radius + 1) ** 2))
-    inside = boxes(own[..., -1]) == p * p
-    for i in range((2 * radius + 1) ** 2):
-        y, x = halo + i // (2 * radius + 1) - radius, halo + i % (2 * radius + 1) - radius
-        other = block[y : y + wide, x : x + wide]
-        both = inside & (boxes(other[..., -1]) == p * p)
-        out[..., i] = np.where(both, boxes(((own[..., :-1] - other[..., :-1]) ** 2).sum(-1)), np.inf)
+    halo, wide = radius + p - 1, 2 * radius + 1
+    views = np.lib.stride_tricks.sliding_window_view(block, (p, p), axis=(0, 1))
+    side = views.shape[1]
+    inside = views[:, :, -1].reshape(-1, p * p).all(axis=1)
+    every = np.ascontiguousarray(views[:, :, :-1]).reshape(len(inside), -1)
+    size = np.einsum("ij,ij->i", every, every)
+    own = (y + halo) * side + x + halo
+    around = own[:, None] + ((np.arange(wide) - radius)[:, None] * side + np.arange(wide) - radius).ravel()
+    out = np.empty((len(own), wide * wide))
+    for lo in range(0, len(own), 256):
+        at, near = own[lo : lo + 256], around[lo : lo + 256]
+        product = every[at] @ every.T
+        found = size[at][:, None] + size[near] - 2 * np.take_along_axis(product, near, axis=1)
+        out[lo : lo + 256] = np.where(inside[near] & inside[at][:, None], np.maximum(found, 0), np.inf)
+    middle = wide * wide // 2
+    out[:, middle] = np.where(np.isfinite(out[:, middle]), 0, np.inf)
     return out
 
 
-def ranked_matches(d: np.ndarray, k: int, tau: float, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, n) for rows of distances: the patch itself first, up to max(tau, the rank-th distance), at most k."""
-    own = d.shape[1] // 2
-    key = d.copy()
-    key[:, own] = np.where(np.isfinite(d[:, own]), -1, np.inf)
-    order = np.argsort(key, axis=1, kind="stable")
-    s = np.take_along_axis(d, order, axis=1)
-    there = np.isfinite(s)
-    limit = np.where(there[:, :rank], s[:, :rank], 0).max(1)
-    keep = there & (s <= np.maximum(limit, tau)[:, None])
-    return order, np.minimum(keep.sum(1), k)
+def ranked_matches(d: np.ndarray, k: int, tau: float, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, nth) for rows of distances: the patch itself first, up to max(tau, the rank-th distance), at most k; ties by place.
+
+    The rank-th distance comes from a partial selection, and only what it keeps is sorted.
+    """
+    least = np.partition(d, min(rank, d.shape[1]) - 1, axis=1)[:, :rank]
+    limit = np.where(np.isfinite(least), least, 0).max(1)
+    row, place = np.nonzero(np.isfinite(d) & (d <= np.maximum(limit, tau)[:, None]))
+    order = np.lexsort((np.where(place == d.shape[1] // 2, -1, d[row, place]), row))
+    row, place = row[order], place[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = nth < k
+    return row[kept], place[kept], nth[kept]
 
 
 def patch_tiles(planes: DataFrame, columns: tuple[str, ...], radius: int, p: int, size: int) -> DataFrame:
@@ -142,15 +148,11 @@ def block_match(planes: DataFrame, radius: int = 8, k: int = 512, tau: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image, ty, tx, y, x, v in tile_arrays(batch, list(columns)):
-                d = patch_distances(patch_block(ty, tx, y, x, v, size, halo), size, radius, p)
-                gy, gx = np.meshgrid(np.arange(size) + ty * size, np.arange(size) + tx * size, indexing="ij")
-                refs = np.isfinite(d[..., wide * wide // 2]) & (gy % step == 0) & (gx % step == 0)
-                order, n = ranked_matches(d[refs], k, tau, rank)
-                at = np.repeat(np.arange(len(n)), n)
-                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pick = order[at, nth]
-                py, px = gy[refs][at], gx[refs][at]
-                parts = [np.full(len(at), image), py, px, py + pick // wide - radius, px + pick % wide - radius, d[refs][at, pick], (nth + 1).astype(np.int32)]
+                gy, gx = np.nonzero(((np.arange(size) + ty * size) % step == 0)[:, None] & ((np.arange(size) + tx * size) % step == 0))
+                d = patch_distances(patch_block(ty, tx, y, x, v, size, halo), gy, gx, radius, p)
+                at, pick, nth = ranked_matches(d, k, tau, rank)
+                py, px = gy[at] + ty * size, gx[at] + tx * size
+                parts = [np.full(len(at), image), py, px, py + pick // wide - radius, px + pick % wide - radius, d[at, pick], (nth + 1).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts], names)
 
     return patch_tiles(planes, columns, radius, p, size).mapInArrow(run, "image_id long, py long, px long, my long, mx long, d double, rank int")
