@@ -7,8 +7,8 @@ Both kinds of archives are files in the shared folder of many records and at mos
 tasks make their bytes, the data source of ``sources/files.py`` writes them, Spark's reader reads them. Every WARC record is a gzip member of its own, so
 that readers can seek to it. Payloads are bytes throughout: no encoding is assumed.
 
-Which records are revisits is settled on (digest, identifiers) alone; payloads are dealt by record, never by
-digest, so copies of one page do not meet in one task.
+Which records are revisits is settled on (digest, identifiers) alone. Payloads are not shuffled: the task that parses an
+ARC file writes its WARC records, and looks its revisits up in a small file of their own.
 
 Cases: null html counts as empty, a null url becomes ``unknown:``; a page_id of null stays null; of
 equal payloads all rows with the smallest page_id are responses (a repeated row is no revisit of
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import write_files
+from ..sources.files import opened, write_files
 from .skew import spread
 from .storage import new_path, stored
 
@@ -148,8 +149,17 @@ def write_arc(pages: DataFrame, path: str, version: Column | None = None, date:
     write_files(rows.mapInArrow(run, "name string, body binary"), path)
 
 
-RECORD = "record_id string, page_id long, warc_date string, uri string, http binary, payload binary, payload_bytes long, payload_digest string, error string"
-_RECORD = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+RECORD = "record_id string, page_id long, warc_date string, uri string, http binary, payload binary, payload_bytes long, payload_digest string, error string, file string"
+_RECORD = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+
+def _arc_rows(file: str, data: bytes) -> Iterator[tuple]:
+    """RECORD of each record of a file."""
+    for r in _parsed(data):
+        head, payload = split_http(r["body"] or b"")
+        key = re.search(rb"(?im)^x-page-id: (-?\d+)\r$", head)
+        identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{file}#{r['at']}")
+        yield (f"<urn:uuid:{identity}>", int(key[1]) if key else None, _iso(r.get("date", "")), r["url"], head, payload, len(payload), hashlib.sha256(payload).hexdigest(), r["error"], file)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -159,13 +169,9 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, data in zip(*batch.columns, strict=True):
                 rows, size = [], 0
-                name = file.as_py()
-                for r in _parsed(data.as_py() or b""):
-                    head, payload = split_http(r["body"] or b"")
-                    key = re.search(rb"(?im)^x-page-id: (-?\d+)\r$", head)
-                    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r['at']}")
-                    rows.append((f"<urn:uuid:{identity}>", int(key[1]) if key else None, _iso(r.get("date", "")), r["url"], head, payload, len(payload), hashlib.sha256(payload).hexdigest(), r["error"]))
-                    size += len(payload)
+                for row in _arc_rows(file.as_py(), data.as_py() or b""):
+                    rows.append(row)
+                    size += row[6]
                     if size > 1 << 22:
                         yield _batch(rows, RECORD, _RECORD)
                         rows, size = [], 0
@@ -183,12 +189,12 @@ def _parsed(data: bytes) -> Iterator[dict]:
 
 
 def revisits(records: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
-    """record_id, first: of equal payloads of `smallest` bytes or more, those after the first page_id, and what they repeat."""
-    good = records.where(F.col("error").isNull() & (F.col("payload_bytes") >= smallest)).select("payload_digest", "page_id", "record_id", "uri", "warc_date")
+    """record_id, first, file: of equal payloads of `smallest` bytes or more, those after the first page_id, and what they repeat."""
+    good = records.where(F.col("error").isNull() & (F.col("payload_bytes") >= smallest)).select("payload_digest", "page_id", "record_id", "uri", "warc_date", "file")
     least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "warc_date")).alias("first")
     groups = stored(good.groupBy("payload_digest").agg(least, F.count("*").alias("n")).where("n > 1"), "digests")
-    met = spread(good.select("payload_digest", "page_id", "record_id"), groups, ["payload_digest"], ["record_id"])
-    return met.where(F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("record_id", "first")
+    met = spread(good.select("payload_digest", "page_id", "record_id", "file"), groups, ["payload_digest"], ["record_id"])
+    return met.where(F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("record_id", "first", "file")
 
 
 def warc_record(kind: str, record_id: str, date: str, body: bytes, fields: list[tuple[str, str]], content: str) -> bytes:
@@ -203,29 +209,62 @@ def _info(first_id: str) -> bytes:
     return warc_record("warcinfo", name, "2020-01-01T00:00:00Z", b"software: gridwright\r\nformat: WARC File Format 1.0\r\n", [], "application/warc-fields")
 
 
+def _warc_files(records: Iterator[tuple], size: int) -> Iterator[pa.RecordBatch]:
+    """WARC files as rows for write_files(), of (record_id, page_id, date, uri, http, payload, digest, first)."""
+    data = bytearray()
+    for name, page, date, uri, http, payload, digest, first in records:
+        fields = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}")]
+        if first:
+            fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", first["warc_date"]), ("X-Refers-To-Page", str(first["page_id"]))]
+        if page is not None:
+            fields.append(("X-Page-Id", str(page)))
+        data = data or bytearray(_info(name))
+        data += warc_record("revisit" if first else "response", name, date, http + payload, fields, "application/http;msgtype=response")
+        if len(data) >= size:
+            yield _named(data, "warc.gz")
+            data = bytearray()
+    if data:
+        yield _named(data, "warc.gz")
+
+
 def write_warc(records: DataFrame, found: DataFrame, path: str, size: int = FILE_BYTES) -> None:
     """WARC files of the records without errors; found: revisits(). A revisit keeps its payload, so that nothing is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = bytearray()
-        for batch in batches:
-            for i in range(len(batch)):
-                name, page, date, uri, http, payload, digest, first = (c[i].as_py() for c in batch.columns)
-                fields = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}")]
-                if first:
-                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", first["record_id"]), ("WARC-Refers-To-Target-URI", first["uri"]), ("WARC-Refers-To-Date", first["warc_date"]), ("X-Refers-To-Page", str(first["page_id"]))]
-                if page is not None:
-                    fields.append(("X-Page-Id", str(page)))
-                data = data or bytearray(_info(name))
-                data += warc_record("revisit" if first else "response", name, date, http + payload, fields, "application/http;msgtype=response")
-                if len(data) >= size:
-                    yield _named(data, "warc.gz")
-                    data = bytearray()
-        if data:
-            yield _named(data, "warc.gz")
+        return _warc_files((tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(len(b))), size)
 
     good = records.where("error IS NULL").select("record_id", "page_id", "warc_date", "uri", "http", "payload", "payload_digest")
-    write_files(good.join(found, "record_id", "left").mapInArrow(run, "name string, body binary"), path)
+    write_files(good.join(found.drop("file"), "record_id", "left").mapInArrow(run, "name string, body binary"), path)
+
+
+def _side_name(file: str) -> str:
+    return f"{hashlib.sha256(file.encode()).hexdigest()}.json"
+
+
+def write_converted(spark: SparkSession, arcs: str, found: DataFrame, path: str, size: int = FILE_BYTES) -> None:
+    """The same straight from the ARC files: no payload is shuffled or leaves its task but as a WARC record.
+
+    What is to be said of the revisits of an ARC file lies beside it, a small file in the shared folder that the task opens which parses the archive.
+    """
+    side = new_path(spark, "revisits")
+    lists = found.groupBy("file").agg(F.to_json(F.collect_list(F.struct("record_id", "first"))).alias("list"))
+    write_files(lists.select(F.concat(F.sha2("file", 256), F.lit(".json")).alias("name"), F.encode("list", "UTF-8").alias("body")), side)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        system, top = opened(side)
+        for batch in batches:
+            for file, data in zip(*batch.columns, strict=True):
+                try:
+                    with system.open_input_stream(f"{top}/{_side_name(file.as_py())}", compression=None) as f:
+                        firsts = {x["record_id"]: x["first"] for x in json.loads(f.read())}
+                except FileNotFoundError:
+                    firsts = {}
+                for name, page, date, uri, http, payload, _, digest, error, _ in _arc_rows(file.as_py(), data.as_py() or b""):
+                    if error is None:
+                        yield name, page, date, uri, http, payload, digest, firsts.get(name)
+
+    archives = spark.read.format("binaryFile").load(arcs).select("path", "content")
+    write_files(archives.mapInArrow(lambda batches: _warc_files(records(batches), size), "name string, body binary"), path)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, error string"
@@ -283,9 +322,8 @@ def _described(record: bytes) -> tuple | None:
 def convert(spark: SparkSession, arcs: str, warcs: str, size: int = FILE_BYTES) -> DataFrame:
     """All ARC files below the folder arcs become WARC files in the folder warcs; what is there is read back, with a row for each error."""
     # the archives are read twice, which is cheaper than a copy of all payloads
-    everything = read_arc(spark, arcs)
-    records = stored(everything.drop("http", "payload"), "records")
-    write_warc(everything, revisits(records), warcs, size)
+    records = stored(read_arc(spark, arcs).drop("http", "payload"), "records")
+    write_converted(spark, arcs, revisits(records), warcs, size)
     none = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in READ.split(", ")}
     errors = records.where("error IS NOT NULL").select(*(F.col(c) if c in ("page_id", "record_id", "error") else v.alias(c) for c, v in none.items()))
     return read_warc(spark, warcs).unionByName(errors)
