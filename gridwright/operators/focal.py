@@ -56,10 +56,45 @@ def geometric_mean(planes: DataFrame, r: int) -> DataFrame:
     return box_sum(logs, r).select(*KEY, (F.pow(F.lit(10.0), F.col("s") / float((2 * r + 1) ** 2)) - 1).alias("v"))
 
 
+def sliding_median(block: np.ndarray, r: int) -> np.ndarray:
+    """The middle of the (2r + 1)^2 values around each inner cell of an (h + 2r, w + 2r) array, by sliding histograms.
+
+    Every column keeps a histogram of its 2r + 1 cells; a row down takes one cell out of each and puts one in. Running sums of these over
+    the columns give each window's histogram as one difference, whatever its width. The bins are the block's different values, whole or not.
+    """
+    values, rank = np.unique(block, return_inverse=True)
+    rank, size = rank.reshape(block.shape), 2 * r + 1
+    h, w, n = block.shape[0] - 2 * r, block.shape[1], len(values)
+    columns, out = np.zeros((w, n), np.int32), np.empty((h, w - 2 * r), dtype=block.dtype)
+    at = np.arange(w)
+    for row in rank[: size - 1]:
+        columns[at, row] += 1
+    sums = np.zeros((w + 1, n), np.int32)
+    for y in range(h):
+        columns[at, rank[y + size - 1]] += 1
+        np.cumsum(columns, axis=0, out=sums[1:])
+        counts = np.cumsum(sums[size:] - sums[:-size], axis=1, dtype=np.int32)
+        out[y] = values[(counts <= size * size // 2).sum(axis=1)]
+        columns[at, rank[y]] -= 1
+    return out
+
+
+def _middle(block: np.ndarray, r: int) -> np.ndarray:
+    """sliding_median() where a window has more cells than the block has values, which is when histograms are the shorter way; else by selection."""
+    size = 2 * r + 1
+    if len(np.unique(block)) <= size * size:
+        return sliding_median(block, r)
+    # a few rows at a time: the windows of a whole block would be size^2 copies of it
+    step = max(1, (1 << 21) // (block.shape[1] * size * size))
+    parts = [np.partition(around(block[y : y + step + 2 * r], r), size * size // 2, axis=-1)[..., size * size // 2] for y in range(0, block.shape[0] - 2 * r, step)]
+    return np.concatenate([p[: block.shape[0] - 2 * r - y] for p, y in zip(parts, range(0, block.shape[0] - 2 * r, step), strict=True)])
+
+
 def median(planes: DataFrame, size: int) -> DataFrame:
-    """The middle of size x size values, border cells repeated; on tiles."""
-    middle = size * size // 2
-    found = tiled(planes, lambda b: np.partition(around(b[..., 0], size // 2), middle, axis=-1)[..., [middle]], size // 2, ["v"])
+    """The middle of size x size values, border cells repeated, for any odd size; on tiles that grow with the size, so that
+    halos stay a bounded share of the cells that are shuffled."""
+    r = size // 2
+    found = tiled(planes, lambda b: _middle(b[..., 0], r)[..., None], r, ["v"], size=max(32, 4 * r))
     return found.select(*KEY, F.col("v").cast(planes.schema["v"].dataType).alias("v"))
 
 

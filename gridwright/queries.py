@@ -204,6 +204,7 @@ register("box_mean", "luma", f"{_near(3, 'clamp')} SELECT image_id, y, x, CAST(s
 register("geometric_mean", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, round(pow(10, avg(log10(v + 1))) - 1, 6) AS v FROM near GROUP BY image_id, y, x", lambda p: focal.geometric_mean(p, 1))
 for _size in (3, 5):
     register(f"median_{_size}", "luma", f"{_near(_size // 2, 'clamp')} SELECT image_id, y, x, CAST(quantile_disc(v, 0.5) AS INT) AS v FROM near GROUP BY image_id, y, x", lambda p, s=_size: focal.median(p, s))
+register("median_31", "luma", sql.counted_median(15), lambda p: focal.median(p, 31))
 register("adaptive_median", "luma", sql.adaptive_median(8), lambda p: focal.adaptive_median(p, 8))
 register("fuzzy_smooth", "luma", f"{_near(1, 'clamp')} SELECT image_id, y, x, round(sum(exp(-pow(v - own, 2) / 1800.0::DOUBLE) * v) / sum(exp(-pow(v - own, 2) / 1800.0::DOUBLE)), 6) AS v FROM near WHERE dy <> 0 OR dx <> 0 GROUP BY image_id, y, x", lambda p: focal.fuzzy_smooth(p, 3, 30.0))
 register("fuzzy_median_std", "luma", f"""{_near(1, 'clamp')}, s AS (SELECT image_id, y, x, any_value(own) AS own, round(stddev_samp(v), 9) AS s, quantile_disc(v, 0.5) AS m FROM near GROUP BY image_id, y, x),

@@ -277,3 +277,17 @@ f AS MATERIALIZED (SELECT came.* FROM came JOIN mark USING (arrival) WHERE befor
 done AS (SELECT max(ts) - INTERVAL 2 HOUR AS until FROM came)
 """
 CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT until FROM done)"
+
+
+def counted_median(r: int) -> str:
+    """The middle of (2r + 1)^2 values with border cells repeated, by counts of values: first of a column's cells, then of 2r + 1 columns."""
+    size = 2 * r + 1
+    return f""", moved AS MATERIALIZED (SELECT image_id, x, l.v, o.ty AS y FROM lumas l CROSS JOIN range(64) o(ty) WHERE abs(o.ty - y) <= {r}
+  UNION ALL SELECT image_id, x, l.v, o.ty FROM lumas l CROSS JOIN range(64) o(ty) CROSS JOIN range(1, {r + 1}) k(k) WHERE y = 0 AND o.ty - {r} <= -k.k
+  UNION ALL SELECT image_id, x, l.v, o.ty FROM lumas l CROSS JOIN range(64) o(ty) CROSS JOIN range(1, {r + 1}) k(k) WHERE y = 63 AND o.ty + {r} >= 63 + k.k),
+tall AS MATERIALIZED (SELECT image_id, y, x, v, count(*) AS n FROM moved GROUP BY ALL),
+wide AS MATERIALIZED (SELECT image_id, y, x, v, sum(n) AS n FROM (
+  SELECT image_id, y, o.ty AS x, tall.v, n * (1 + CASE WHEN tall.x = 0 THEN greatest({r} - o.ty, 0) ELSE 0 END + CASE WHEN tall.x = 63 THEN greatest(o.ty + {r} - 63, 0) ELSE 0 END) AS n
+  FROM tall CROSS JOIN range(64) o(ty) WHERE abs(o.ty - tall.x) <= {r}) GROUP BY image_id, y, x, v),
+run AS (SELECT image_id, y, x, v, sum(n) OVER (PARTITION BY image_id, y, x ORDER BY v) AS c FROM wide)
+SELECT image_id, y, x, min(v) AS v FROM run WHERE c > {size * size // 2} GROUP BY image_id, y, x"""
