@@ -52,6 +52,48 @@ def _spread(values: DataFrame, edges: DataFrame, least: bool, rounds: int) -> Da
     return now
 
 
+def luma_weights(planes: DataFrame, tol: int = 255) -> DataFrame:
+    """image_id, src, dst, w: grid_edges() with a weight from 0 to 1 that falls with the difference of their values."""
+    values = planes.select("image_id", (F.col("y") * F.lit(1 << 31) + F.col("x")).alias("node"), "v")
+    ends = grid_edges(planes, tol)
+    for end, name in (("src", "a"), ("dst", "b")):
+        ends = ends.join(values.select("image_id", F.col("node").alias(end), F.col("v").alias(name)), ["image_id", end])
+    return ends.select("image_id", "src", "dst", (1 - F.abs(F.col("a") - F.col("b")) / 256.0).alias("w"))
+
+
+def _max_plus(values: DataFrame, edges: DataFrame, norm: float, rounds: int | None, sign: int) -> DataFrame:
+    """Rounds in max-plus algebra (sign 1) or min-plus (-1): along an edge of weight w a value changes by sign * norm * log(w), and a node keeps
+    the largest (least) of its own and what comes to it. All nodes change at once.
+
+    Without rounds it goes on until nothing changes, which needs weights of at most 1; weights that are null or not positive lead nowhere.
+    """
+    both = edges.where("w > 0").select("image_id", "src", "dst", (F.log("w") * (sign * norm)).alias("step"))
+    both = saved(both.union(both.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "step")))
+    if rounds is None and both.where(F.col("step") * sign > 0).head(1):
+        raise ValueError("with weights over 1 values never settle: say how many rounds")
+    agg, pick = (F.max, F.greatest) if sign > 0 else (F.min, F.least)
+    now, done = saved(values.select("image_id", "node", F.col("v").cast("double").alias("v"))), 0
+    moved = now  # only what changed in the last round can change its neighbours in the next
+    while rounds is None or done < rounds:
+        came = both.join(moved.select("image_id", F.col("node").alias("src"), "v"), ["image_id", "src"]).groupBy("image_id", F.col("dst").alias("node")).agg(agg(F.col("v") + F.col("step")).alias("nv"))
+        after = saved(now.join(came, ["image_id", "node"], "left").select("image_id", "node", pick("v", F.coalesce("nv", "v")).alias("v"), F.col("v").alias("old")))
+        moved = after.where("v <> old").select("image_id", "node", "v")
+        now, done = after.select("image_id", "node", "v"), done + 1
+        if not moved.head(1):
+            break
+    return now
+
+
+def weighted_erode(values: DataFrame, edges: DataFrame, norm: float, rounds: int | None = 1) -> DataFrame:
+    """Each node's least of its value and its neighbours' values less norm * log(w). edges: image_id, src, dst, w. rounds None: to the fixed point."""
+    return _max_plus(values, edges, norm, rounds, -1)
+
+
+def weighted_dilate(values: DataFrame, edges: DataFrame, norm: float, rounds: int | None = 1) -> DataFrame:
+    """Each node's largest of its value and its neighbours' values plus norm * log(w)."""
+    return _max_plus(values, edges, norm, rounds, 1)
+
+
 def graph_erode(values: DataFrame, edges: DataFrame, rounds: int = 1) -> DataFrame:
     return _spread(values, edges, True, rounds)
 

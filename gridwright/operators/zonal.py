@@ -172,29 +172,38 @@ def two_color_mix(cells: DataFrame, palette: DataFrame) -> DataFrame:
     return cells.select(*KEY, "r", "g", "b").join(mixes, ["r", "g", "b"]).select(*KEY, "first", "second", "share")
 
 
-def quadtree(mass: DataFrame, limit: int, side: int = 4, size: int = 64) -> DataFrame:
-    """image_id, depth, qy, qx, mass, is_leaf of a square image's tree: a node over the limit and the least side splits.
+def node_of(at: Column, length: Column, depth: Column) -> Column:
+    """Which of the 2^depth parts of a side a cell lies in; part q begins at cell floor(length q / 2^depth)."""
+    # whole numbers of under 53 bits: their quotient's floor is exact
+    return F.floor(((at + 1) * F.pow(F.lit(2.0), depth) - 1) / length)
 
-    mass: image_id, y, x, m. All depths are summed at once; a node is there if its parent splits.
+
+def quadtree(mass: DataFrame, limit: int, side: int = 4) -> DataFrame:
+    """image_id, depth, qy, qx, mass, is_leaf of an image's tree: a node over the limit, with both sides over the least one, splits in four halves.
+
+    mass: image_id, y, x, m. Images may have any width and height; how deep a tree may be comes from its image. Cells are summed once, at the deepest
+    depth. Every other node is a sum over these by shifted keys, as the borders of a depth are borders of all below. A node is there if its parent splits.
     """
-    depths, edge = 0, size
-    while edge > side:
-        depths, edge = depths + 1, edge // 2
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depths)))
-    width = F.lit(size) / F.pow(F.lit(2), F.col("depth"))
-    rows = mass.select("image_id", "y", "x", "m", levels.alias("depth"))
-    nodes = rows.groupBy("image_id", "depth", F.floor(F.col("y") / width).alias("qy"), F.floor(F.col("x") / width).alias("qx")).agg(F.sum("m").alias("mass"))
-    nodes = nodes.withColumn("splits", (F.col("mass") > limit) & (width > side))
+    sizes = shape(mass).withColumn("deepest", F.greatest(F.lit(0), F.ceil(F.log2(F.least("h", "w") / float(side)))).cast("int"))
+    deep = mass.select("image_id", "y", "x", "m").join(sizes, "image_id")
+    bottom = deep.groupBy("image_id", "h", "w", "deepest", node_of(F.col("y"), F.col("h"), F.col("deepest")).alias("ky"), node_of(F.col("x"), F.col("w"), F.col("deepest")).alias("kx")).agg(F.sum("m").alias("m"))
+    up = lambda key: F.floor(F.col(key) / F.pow(F.lit(2.0), F.col("deepest") - F.col("depth")))
+    rows = bottom.select("*", F.explode(F.sequence(F.lit(0), F.col("deepest"))).alias("depth"))
+    nodes = rows.groupBy("image_id", "h", "w", "depth", up("ky").alias("qy"), up("kx").alias("qx")).agg(F.sum("m").alias("mass"))
+    nodes = nodes.withColumn("splits", (F.col("mass") > limit) & (F.least("h", "w") / F.pow(F.lit(2.0), F.col("depth")) > side))
     # masses only grow towards the root, so a parent that splits has no ancestor that does not
     parents = nodes.where("splits").select("image_id", (F.col("depth") + 1).alias("depth"), F.col("qy").alias("py"), F.col("qx").alias("px"))
-    there = nodes.withColumns({"py": F.floor(F.col("qy") / 2), "px": F.floor(F.col("qx") / 2)}).join(parents, ["image_id", "depth", "py", "px"], "left_semi")
-    return nodes.where("depth = 0").select("image_id", "depth", "qy", "qx", "mass", "splits").union(there.select("image_id", "depth", "qy", "qx", "mass", "splits")).select("image_id", "depth", "qy", "qx", "mass", (~F.col("splits")).alias("is_leaf"))
+    there = nodes.withColumns({"py": F.shiftright("qy", 1), "px": F.shiftright("qx", 1)}).join(parents, ["image_id", "depth", "py", "px"], "left_semi")
+    kept = ["image_id", "depth", "qy", "qx", "mass", "splits"]
+    return nodes.where("depth = 0").select(*kept).union(there.select(*kept)).select(*kept[:-1], (~F.col("splits")).alias("is_leaf"))
 
 
-def stratified_seeds(tree: DataFrame, target: int, seed: int, size: int = 64) -> DataFrame:
-    """image_id, seed_id, y, x: points of each leaf in proportion to its mass, the fraction drawn, places drawn inside."""
+def stratified_seeds(tree: DataFrame, target: int, seed: int, sizes: DataFrame | None = None) -> DataFrame:
+    """image_id, seed_id, y, x: points of each leaf in proportion to its mass, the fraction drawn, places drawn inside. sizes: image_id, h, w; 64 x 64 where not given."""
     leaves = tree.where("is_leaf")
     total = leaves.groupBy("image_id").agg(F.sum("mass").alias("total"))
+    if sizes is None:
+        sizes = total.select("image_id", F.lit(64).alias("h"), F.lit(64).alias("w"))
 
     def unit(salt: Column | int) -> Column:
         """0..1 from a leaf's key and a salt, by the same congruence as `noise`, twice, so that SQL has it too."""
@@ -203,11 +212,10 @@ def stratified_seeds(tree: DataFrame, target: int, seed: int, size: int = 64) ->
 
     want = F.col("mass") * float(target) / F.col("total")
     n = F.floor(want) + F.when(unit(0) < want - F.floor(want), 1).otherwise(0)
-    width = F.lit(size) / F.pow(F.lit(2), F.col("depth"))
-    points = leaves.join(total, "image_id").where("total > 0").select("image_id", "depth", "qy", "qx", width.alias("s"), n.alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
-    place = lambda q, odd: F.floor((F.col(q) + unit(2 * F.col("i") + odd)) * F.col("s"))
+    points = leaves.join(total, "image_id").where("total > 0").join(sizes, "image_id").select("image_id", "depth", "qy", "qx", "h", "w", n.alias("n")).where("n > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    place = lambda q, n, odd: F.floor((F.col(q) + unit(2 * F.col("i") + odd)) * (F.col(n) / F.pow(F.lit(2.0), F.col("depth"))))
     name = ((F.col("depth") * 4096 + F.col("qy")) * 4096 + F.col("qx")) * 1048576 + F.col("i")
-    return points.select("image_id", name.alias("seed_id"), place("qy", 0).alias("y"), place("qx", 1).alias("x"))
+    return points.select("image_id", name.alias("seed_id"), place("qy", "h", 0).alias("y"), place("qx", "w", 1).alias("x"))
 
 
 def voronoi_assign(cells: DataFrame, seeds: DataFrame, bucket: int = 16) -> DataFrame:
@@ -238,6 +246,104 @@ def voronoi_assign(cells: DataFrame, seeds: DataFrame, bucket: int = 16) -> Data
         reach = min(widest, 2 * reach)
 
 
+JUMPED = "image_id long, ty long, tx long, sid array<long>, sy array<long>, sx array<long>"
+NOWHERE = -1
+
+
+def _nearest_of(y: np.ndarray, x: np.ndarray, sid: np.ndarray, sy: np.ndarray, sx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the choices along the first axis the seed nearest to each cell; of equals the least id. An sy of NOWHERE is no seed."""
+    d2 = np.where(sy == NOWHERE, np.iinfo(np.int64).max, (y - sy) ** 2 + (x - sx) ** 2)
+    name = np.where(d2 == d2.min(0), sid, np.iinfo(np.int64).max)
+    best = np.argmin(name, axis=0)[None]
+    return tuple(np.take_along_axis(a, best, axis=0)[0] for a in (sid, sy, sx))
+
+
+def voronoi_jump(cells: DataFrame, seeds: DataFrame, tile: int = 32) -> DataFrame:
+    """image_id, y, x, seed_id, d2 by jump flooding: each cell takes the nearest of the seeds known at the nine cells a step away, for steps halving from half
+    the image's longer side (a power of two) to 1.
+
+    It looks at 9 log2(n) places a cell, however few the seeds, and misses the nearest seed for a small share of cells (voronoi_assign() is exact).
+    Cells travel as tiles: a step of a tile or more moves whole tiles by equi-joins on their places, all smaller steps together need
+    the eight tiles around and are one pass. Seeds beyond the image are left out; of seeds in one cell the least id stays.
+    """
+    sizes = saved(shape(cells))
+    longest = sizes.agg(F.max(F.greatest("h", "w"))).first()[0] or 1
+    top = 1
+    while top < longest:
+        top *= 2
+    at = lambda c: F.floor(F.col(c) / tile)
+    grid = sizes.select("image_id", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("h") - 1) / tile))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("w") - 1) / tile))).alias("tx"))
+    inside = seeds.select("image_id", "seed_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).join(sizes, "image_id").where("y >= 0 AND x >= 0 AND y < h AND x < w")
+    spots = inside.groupBy("image_id", at("y").alias("ty"), at("x").alias("tx")).agg(F.collect_list(F.struct("y", "x", "seed_id")).alias("spots"))
+
+    def splat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spots in batch.column(3).to_pylist():
+                sid, sy, sx = (np.full((tile, tile), v, dtype=np.int64) for v in (0, NOWHERE, NOWHERE))
+                for s in sorted(spots or [], key=lambda s: -s["seed_id"]):
+                    place = (s["y"] % tile, s["x"] % tile)
+                    sid[place], sy[place], sx[place] = s["seed_id"], s["y"], s["x"]
+                out.append((sid, sy, sx))
+            yield _tiles(batch, out)
+
+    now = saved(grid.join(spots, ["image_id", "ty", "tx"], "left").select("image_id", "ty", "tx", "spots").mapInArrow(splat, JUMPED))
+    step = top // 2
+    while step >= tile:
+        now = saved(_jumped(now, grid, tile, step // tile, [step]))
+        step //= 2
+    # an image needs only the steps below its own size; a longer one's steps find nothing more in it
+    small = [s for s in (step >> i for i in range(step.bit_length())) if s]
+    now = _jumped(now, grid, tile, 1, small) if small else now
+    flat = now.select("image_id", "ty", "tx", F.posexplode(F.arrays_zip("sid", "sy", "sx")).alias("i", "s"))
+    y, x = F.col("ty") * tile + F.floor(F.col("i") / tile), F.col("tx") * tile + F.col("i") % tile
+    found = flat.where(F.col("s.sy") != NOWHERE).select("image_id", y.alias("y"), x.alias("x"), F.col("s.sid").alias("seed_id"), (F.pow(y - F.col("s.sy"), 2) + F.pow(x - F.col("s.sx"), 2)).cast("long").alias("d2"))
+    return cells.select(*KEY).join(found, KEY)
+
+
+def _tiles(batch: pa.RecordBatch, made: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    lists = [pa.array([m[i].ravel() for m in made], pa.list_(pa.int64())) for i in range(3)]
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["image_id", "ty", "tx", "sid", "sy", "sx"])
+
+
+def _jumped(now: DataFrame, grid: DataFrame, tile: int, reach: int, steps: list[int]) -> DataFrame:
+    """The tiles after these steps, from each tile and the eight that lie `reach` tiles away."""
+    away = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    sent = now.withColumn("o", away).select("image_id", (F.col("ty") - F.col("o.dy") * reach).alias("ty"), (F.col("tx") - F.col("o.dx") * reach).alias("tx"), F.struct("o.dy", "o.dx", "sid", "sy", "sx").alias("part"))
+    met = sent.join(grid.select("image_id", "ty", "tx", "h", "w"), ["image_id", "ty", "tx"]).groupBy("image_id", "ty", "tx").agg(F.collect_list("part").alias("parts"), F.first("h").alias("h"), F.first("w").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ty, tx, parts, h, w in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                state = [np.full((3 * tile, 3 * tile), v, dtype=np.int64) for v in (0, NOWHERE, NOWHERE)]
+                for p in parts:
+                    where = (slice((p["dy"] + 1) * tile, (p["dy"] + 2) * tile), slice((p["dx"] + 1) * tile, (p["dx"] + 2) * tile))
+                    for s, c in zip(state, ("sid", "sy", "sx"), strict=True):
+                        s[where] = np.array(p[c]).reshape(tile, tile)
+                if len(steps) == 1 and steps[0] >= tile:
+                    # only the middle tile changes, from the cells of the same place in the others
+                    choices = [np.stack([s[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile] for i in range(3) for j in range(3)]) for s in state]
+                    y, x = np.meshgrid(np.arange(tile) + ty * tile, np.arange(tile) + tx * tile, indexing="ij")
+                    sid, sy, sx = _nearest_of(y, x, *choices)
+                    real = (y < h) & (x < w)
+                    out.append((sid, np.where(real, sy, NOWHERE), np.where(real, sx, NOWHERE)))
+                    continue
+                y, x = np.meshgrid(np.arange(3 * tile) + (ty - 1) * tile, np.arange(3 * tile) + (tx - 1) * tile, indexing="ij")
+                real = (y >= 0) & (x >= 0) & (y < h) & (x < w)
+                for step in steps:
+                    wide = [np.pad(s, step, constant_values=v) for s, v in zip(state, (0, NOWHERE, NOWHERE), strict=True)]
+                    n = 3 * tile
+                    choices = [np.stack([s[i : i + n, j : j + n] for i in (0, step, 2 * step) for j in (0, step, 2 * step)]) for s in wide]
+                    sid, sy, sx = _nearest_of(y, x, *choices)
+                    # there is nothing beyond the image, not even on the way
+                    state = [sid, np.where(real, sy, NOWHERE), np.where(real, sx, NOWHERE)]
+                out.append(tuple(s[tile : 2 * tile, tile : 2 * tile] for s in state))
+            yield _tiles(batch, out)
+
+    return met.select("image_id", "ty", "tx", "parts", "h", "w").mapInArrow(run, JUMPED)
+
+
 def lloyd_relax(mass: DataFrame, seeds: DataFrame, rounds: int = 1) -> DataFrame:
     """Seeds move to the weighted mean of their cells (rounded down); those without weight stay. mass: image_id, y, x, m."""
     now = seeds.select("image_id", "seed_id", "y", "x")

@@ -313,6 +313,11 @@ register("quadtree", "luma", f"{_TREE} SELECT * FROM tree",
 register("stratified_seeds", "luma", _TREE + sql.STRATIFIED.format(draw0=sql.drawn("0", 3), draw1=sql.drawn("2 * i", 3), draw2=sql.drawn("2 * i + 1", 3)), lambda p: zonal.stratified_seeds(zonal.quadtree(p.withColumnRenamed("v", "m"), 4000), 200, 3))
 register("voronoi_assign", "cells", f"{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, seed_id, pow(c.y - s.y, 2) + pow(c.x - s.x, 2) AS d2 FROM cells c JOIN seeds s ON s.image_id = c.image_id) SELECT image_id, y, x, min(struct_pack(d2 := d2, seed_id := seed_id)).seed_id AS seed_id, CAST(min(d2) AS BIGINT) AS d2 FROM n GROUP BY image_id, y, x",
          lambda c: zonal.voronoi_assign(c, _every(c)))
+register("quadtree_any_size", "luma", sql.quadtree(61, 37, 3000), lambda p: zonal.quadtree(p.where("y < 61 AND x < 37").withColumnRenamed("v", "m"), 3000))
+register("voronoi_jump", "cells", f"{_SEEDS}{sql.jumped()} SELECT * FROM jump", lambda c: zonal.voronoi_jump(c, _every(c), tile=16))
+register("voronoi_jump_error", "cells", f"""{_SEEDS}{sql.jumped()}, best AS (SELECT c.image_id, c.y, c.x, min(pow(c.y - s.y, 2) + pow(c.x - s.x, 2)) AS d2 FROM cells c JOIN seeds s ON s.image_id = c.image_id GROUP BY c.image_id, c.y, c.x)
+SELECT image_id, round(avg(CAST(jump.d2 > best.d2 AS INT)), 6) AS share FROM jump JOIN best USING (image_id, y, x) GROUP BY image_id""",
+         lambda c: zonal.voronoi_jump(c, _every(c)).join(zonal.voronoi_assign(c, _every(c)).select(*KEY, F.col("d2").alias("best")), KEY).groupBy("image_id").agg(F.avg((F.col("d2") > F.col("best")).cast("int")).alias("share")))
 register("lloyd_relax", "luma", f"""{_SEEDS}, n AS (SELECT c.image_id, c.y, c.x, any_value(c.v) AS m, min(struct_pack(d2 := pow(c.y - s.y, 2) + pow(c.x - s.x, 2), seed_id := seed_id)).seed_id AS seed_id FROM lumas c JOIN seeds s ON s.image_id = c.image_id GROUP BY c.image_id, c.y, c.x),
 w AS (SELECT image_id, seed_id, sum(m) AS m, sum(y * m) AS sy, sum(x * m) AS sx FROM n GROUP BY ALL)
 SELECT s.image_id, s.seed_id, CAST(CASE WHEN m > 0 THEN sy // m ELSE y END AS BIGINT) AS y, CAST(CASE WHEN m > 0 THEN sx // m ELSE x END AS BIGINT) AS x FROM seeds s LEFT JOIN w USING (image_id, seed_id)""",
@@ -352,6 +357,9 @@ register("grid_edges", "luma", f"{_EDGES} SELECT * FROM edges", lambda p: graph.
 for _what, _fn, _pick in (("erode", "min", "least"), ("dilate", "max", "greatest")):
     register(f"graph_{_what}", "luma", f"{_EDGES}, v AS (SELECT image_id, y * 2147483648 + x AS node, v FROM lumas) SELECT v.image_id, v.node, {_pick}(any_value(v.v), coalesce({_fn}(w.v), any_value(v.v))) AS v FROM v LEFT JOIN both_ways e ON e.image_id = v.image_id AND e.src = v.node LEFT JOIN v w ON w.image_id = e.image_id AND w.node = e.dst GROUP BY v.image_id, v.node",
              lambda p, f=f"graph_{_what}": getattr(graph, f)(_nodes(p), graph.grid_edges(p, 40)))
+_ALL_EDGES = _EDGES.replace("abs(s.v - t.v) <= 40", "abs(s.v - t.v) <= 255")
+for _what in ("erode", "dilate"):
+    register(f"weighted_{_what}", "luma", _ALL_EDGES + sql.weighted(_what, 2, 20.0), lambda p, f=f"weighted_{_what}": getattr(graph, f)(_nodes(p), graph.luma_weights(p), 20.0, 2))
 register("graph_asf", "luma", _EDGES + sql.asf(1), lambda p: graph.graph_asf(_nodes(p), graph.grid_edges(p, 40), 1))
 register("cocircular_edges", "luma", _TENSOR + sql.cocircular(2, 30.0, 30.0), lambda p: graph.cocircular_edges(focal.structure_tensor(p), 2, 30.0, 30.0))
 register("extract_patches", "luma", f""", n AS (SELECT t.image_id, t.y AS py, t.x AS px, s.v, s.y, s.x FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y % 4 = 0 AND t.x % 4 = 0)

@@ -291,3 +291,33 @@ wide AS MATERIALIZED (SELECT image_id, y, x, v, sum(n) AS n FROM (
   FROM tall CROSS JOIN range(64) o(ty) WHERE abs(o.ty - tall.x) <= {r}) GROUP BY image_id, y, x, v),
 run AS (SELECT image_id, y, x, v, sum(n) OVER (PARTITION BY image_id, y, x ORDER BY v) AS c FROM wide)
 SELECT image_id, y, x, min(v) AS v FROM run WHERE c > {size * size // 2} GROUP BY image_id, y, x"""
+
+
+def weighted(what: str, rounds: int, norm: float) -> str:
+    """After both_ways of all neighbours: values that move along an edge change by norm * log(w), w from the luma difference."""
+    fn, pick, sign = ("min", "least", "-") if what == "erode" else ("max", "greatest", "+")
+    steps = "".join(f""", v{i + 1} AS MATERIALIZED (SELECT a.image_id, a.node, {pick}(any_value(a.v), {fn}(b.v {sign} e.step)) AS v FROM v{i} a JOIN stepped e ON e.image_id = a.image_id AND e.dst = a.node JOIN v{i} b ON b.image_id = e.image_id AND b.node = e.src GROUP BY a.image_id, a.node)""" for i in range(rounds))
+    return f""", v0 AS MATERIALIZED (SELECT image_id, y * 2147483648 + x AS node, v::DOUBLE AS v FROM lumas),
+stepped AS MATERIALIZED (SELECT e.image_id, src, dst, {norm!r}::DOUBLE * ln(1 - abs(p.v - q.v) / 256) AS step FROM both_ways e JOIN v0 p ON p.image_id = e.image_id AND p.node = src JOIN v0 q ON q.image_id = e.image_id AND q.node = dst){steps}
+SELECT image_id, node, round(v, 6) AS v FROM v{rounds}"""
+
+
+def quadtree(h: int, w: int, limit: int, side: int = 4) -> str:
+    """The tree of h x w images, every depth from cells; part q of a side begins at cell floor(length q / 2^depth)."""
+    deepest = 0
+    while min(h, w) / 2**deepest > side:
+        deepest += 1
+    return f""", n AS (SELECT image_id, d.k AS depth, CAST(((y + 1) * (1 << d.k) - 1) // {h} AS BIGINT) AS qy, CAST(((x + 1) * (1 << d.k) - 1) // {w} AS BIGINT) AS qx, CAST(sum(v) AS BIGINT) AS mass FROM lumas CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range({deepest + 1})) d WHERE y < {h} AND x < {w} GROUP BY ALL),
+t AS (SELECT n.*, NOT (mass > {limit} AND {min(h, w)} / pow(2, depth) > {side}) AS is_leaf FROM n)
+SELECT * FROM t WHERE depth = 0 OR NOT EXISTS (SELECT 1 FROM t p WHERE p.image_id = t.image_id AND p.is_leaf AND p.depth < t.depth AND p.qy = t.qy >> (t.depth - p.depth) AND p.qx = t.qx >> (t.depth - p.depth))"""
+
+
+def jumped(side: int = 64) -> str:
+    """After seeds: the passes of jump flooding, steps from half the side to 1."""
+    out, i, step = ", j0 AS MATERIALIZED (SELECT image_id, y, x, min(seed_id) AS sid, y AS sy, x AS sx FROM seeds GROUP BY image_id, y, x)", 0, side // 2
+    while step:
+        out += f""", j{i + 1} AS MATERIALIZED (SELECT image_id, y, x, m.sid AS sid, m.sy AS sy, m.sx AS sx FROM (
+  SELECT image_id, y - a.d AS y, x - b.d AS x, min(struct_pack(d2 := pow(y - a.d - sy, 2) + pow(x - b.d - sx, 2), sid := sid, sy := sy, sx := sx)) AS m
+  FROM j{i} CROSS JOIN (VALUES (-{step}), (0), ({step})) a(d) CROSS JOIN (VALUES (-{step}), (0), ({step})) b(d) WHERE y - a.d BETWEEN 0 AND {side - 1} AND x - b.d BETWEEN 0 AND {side - 1} GROUP BY image_id, y - a.d, x - b.d))"""
+        i, step = i + 1, step // 2
+    return out + f", jump AS (SELECT image_id, y, x, sid AS seed_id, CAST(pow(y - sy, 2) + pow(x - sx, 2) AS BIGINT) AS d2 FROM j{i})"
