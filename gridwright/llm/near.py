@@ -13,8 +13,9 @@ components. Only where a bucket still has members of several components, more ha
 bucket of up to SMALL members its other pairs across components are tested too, but for those that the
 triangle inequality of Jaccard distances rules out. Larger ones (a wide group whose members are alike
 to various degrees) are merged into groups by their common members; there all texts outside the
-group's largest component are compared with all of its texts, BLOCK by BLOCK, in matrix products of which
-only the links that join components leave the task. So no pair that shares a bucket is lost, and copies
+group's largest component are compared with all of its texts of like length, BLOCK by BLOCK, in matrix products of which
+only the links that join components leave the task. (Texts are put in bands by their number of elements, each 1 / 0.8 times
+the one below: what is alike lies in the same band or the next.) So no pair that shares a bucket is lost, and copies
 never are expanded into all pairs.
 
 Texts are named by 64-bit hashes; n different texts expect n^2 / 2^65 pairs to share one.
@@ -33,7 +34,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .components import components
 from .skew import spread
@@ -194,7 +194,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(need: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     """uid, text: the row of each text with its least id (and rows that repeat that)."""
     texts = docs.select(order_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(need.join(names, "uid"), ["id", "uid"]).select("uid", "text")
+    return texts.join(need.join(names.select("uid", "id"), "uid"), ["id", "uid"]).select("uid", "text")
 
 
 def _tested(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -203,17 +203,19 @@ def _tested(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     need = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     elements = stored(_elements(_texts(need, docs, names)).groupBy("uid").agg(F.first("elements").alias("elements")), "elements")
     left = pairs.join(elements.withColumnRenamed("uid", "a").withColumnRenamed("elements", "x"), "a")
-    both = left.join(elements.withColumnRenamed("uid", "b").withColumnRenamed("elements", "y"), "b")
+    # one lead may have a third of all texts, each of which needs its elements
+    asked = stored(pairs.groupBy("b").agg(F.count("*").alias("n")).join(elements.withColumnRenamed("uid", "b").withColumnRenamed("elements", "y"), "b"), "asked")
+    both = spread(left, asked, ["b"], ["a"])
     return stored(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, j double"), "tested")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(sketches: id, uid, keys for each row; uid, class_id, first_uid for each text): the class's least id and its text."""
+    """(sketches: id, uid, keys for each row; uid, copies, class_id, first_uid for each text): how many rows have it, the class's least id and its text."""
     rows = stored(sketches(docs), "sketches")
-    names = rows.groupBy("uid").agg(F.min("id").alias("id"))
+    names = rows.groupBy("uid").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     buckets = rows.select("uid", "keys").dropDuplicates(["uid"]).select("uid", F.explode("keys").alias("key"))
-    leads = buckets.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("last")).where("lead < last").drop("last")
-    members = stored(buckets.join(leads, "key"), "members")
+    leads = stored(buckets.groupBy("key").agg(F.min("uid").alias("lead"), F.max("uid").alias("last"), F.count("*").alias("n")).where("lead < last").drop("last"), "leads")
+    members = stored(spread(buckets, leads, ["key"], ["uid"]), "members")
     tested = _tested(members.where("uid <> lead").select(F.col("uid").alias("a"), F.col("lead").alias("b")).distinct(), docs, names)
     links = tested.where(F.col("j") >= similarity).select("a", "b")
     labels = stored(components(links), "labels")
@@ -224,9 +226,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         wide = named.join(open_keys.where(F.col("n") > SMALL), "key", "left_semi")
         blocks = _in_blocks(wide, docs, names, similarity) if wide.head(1) else links.limit(0)
         labels = stored(components(links.union(again).union(blocks)), "labels")
-    named = stored(names.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "id", F.coalesce("label", "uid").alias("label")), "labelled")
+    named = stored(names.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "id", "copies", F.coalesce("label", "uid").alias("label")), "labelled")
     firsts = stored(named.groupBy("label").agg(F.min(F.struct("id", "uid")).alias("least"), F.count("*").alias("n")), "firsts")
-    return rows, stored(spread(named, firsts, ["label"], ["uid"]).select("uid", F.col("least.id").alias("class_id"), F.col("least.uid").alias("first_uid")), "classes")
+    return rows, stored(spread(named, firsts, ["label"], ["uid"]).select("uid", "copies", F.col("least.id").alias("class_id"), F.col("least.uid").alias("first_uid")), "classes")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,16 +253,21 @@ def _in_blocks(wide: DataFrame, docs: DataFrame, names: DataFrame, similarity: f
     """Links that join components of the groups that wide buckets form. wide: key, uid, lead, label."""
     groups = stored(components(wide.where("uid <> lead").select(F.col("uid").alias("a"), F.col("lead").alias("b")).distinct()), "groups")
     texts = groups.withColumnRenamed("node", "uid").withColumnRenamed("label", "g").join(wide.select("uid", "label").distinct(), "uid")
-    parts = texts.groupBy("g", "label").agg(F.count("*").alias("n"))
-    shape = parts.groupBy("g").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"))
-    shape = shape.select("g", F.col("top.label").alias("major"), F.ceil(F.col("m") / BLOCK).alias("nd"), F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.n")) / BLOCK)).cast("long").alias("nq"))
-    rows = texts.join(_elements(_texts(texts.select("uid"), docs, names)), "uid").dropDuplicates(["uid"]).join(shape, "g")
-    rows = stored(rows, "wide")
+    parts = texts.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "label")).alias("top"))
+    size = F.log(F.octet_length("elements") / 8.0) / -np.log(similarity)
+    rows = texts.join(_elements(_texts(texts.select("uid"), docs, names)), "uid").dropDuplicates(["uid"]).where(F.octet_length("elements") > 0)
+    rows = stored(rows.join(parts.select("g", F.col("top.label").alias("major")), "g").withColumn("band", F.floor(F.round(size, 9))), "wide")
+    # texts whose numbers of elements differ by more than the similarity allows are at least two bands apart
+    outside = rows.where("label <> major").select("g", "band", "uid", "label", "elements")
+    # aliases, so that the two sides' columns are not taken for the same
+    within = rows.select(F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), *(F.col(c).alias(c) for c in ("g", "uid", "label", "elements")))
+    many = lambda df, n: df.groupBy("g", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(n))
+    shape = stored(many(outside, "nq").join(many(within, "nd"), ["g", "band"]), "bands")
     mine = lambda n: F.pmod(F.xxhash64("uid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asking = rows.where("label <> major").select("g", mine("nq").alias("q"), every("nd").alias("d"), "uid", "label", "elements")
-    asked = rows.select("g", every("nq").alias("q"), mine("nd").alias("d"), "uid", "label", "elements")
-    found = asking.groupBy("g", "q", "d").cogroup(asked.groupBy("g", "q", "d")).applyInArrow(_block(similarity), "a long, b long")
+    asking = outside.join(shape, ["g", "band"]).select("g", "band", mine("nq").alias("q"), every("nd").alias("d"), "uid", "label", "elements")
+    asked = within.join(shape, ["g", "band"]).select("g", "band", every("nq").alias("q"), mine("nd").alias("d"), "uid", "label", "elements")
+    found = asking.groupBy("g", "band", "q", "d").cogroup(asked.groupBy("g", "band", "q", "d")).applyInArrow(_block(similarity), "a long, b long")
     return stored(found, "blocks")
 
 
@@ -313,17 +320,16 @@ def _block(similarity: float):
 def deduped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs' own columns, of each class the document with the least doc_id alone."""
     _, found = classes(docs, similarity)
-    firsts = found.where("uid = first_uid").select("uid", F.col("class_id").alias("id"))
+    firsts = stored(found.where("uid = first_uid").select("uid", F.col("class_id").alias("id"), F.col("copies").alias("n")), "kept")
     rows = docs.select(as_struct(docs).alias("row"), order_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("uid"))
-    kept = rows.join(firsts, ["uid", "id"])
     # rows that agree in doc_id and text are one document
-    one = F.row_number().over(W.partitionBy("uid", "id").orderBy("id"))
-    return kept.withColumn("nth", one).where("nth = 1").select("row.*")
+    return spread(rows, firsts, ["uid", "id"], ["row"]).groupBy("uid", "id").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), kept (it is that one) for every document."""
     rows, found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     none = F.lit((1 << 63) - 1)
-    out = rows.select("id", "uid").join(found, "uid")
+    # copies of one text may be a third of all rows
+    out = spread(rows.select("id", "uid"), found.select("uid", "class_id", F.col("copies").alias("n")), ["uid"], ["id"])
     return out.select(F.nullif("id", none).alias("doc_id"), F.nullif("class_id", none).alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))
