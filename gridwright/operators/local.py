@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..sources.cells import KEY, clamp, luma
+from ..sources.cells import KEY, clamp, luma, normalize_format, select_channels
 
 RGB = ("r", "g", "b")
 
@@ -31,6 +31,27 @@ def yuv_to_rgb(cells: DataFrame, std: str = "bt709") -> DataFrame:
     return cells.select(*KEY, *(c.alias(n) for c, n in zip(_linear(tables.YUV_TO_RGB[std], _c("yy", "u", "v")), RGB, strict=True)), "a")
 
 
+def normalized_yuv(cells: DataFrame, fmt: str | Column, std: str | Column = "bt709") -> DataFrame:
+    """image_id, y, x, yy, u, v, a as doubles, yy and a in 0..1 and u, v around 0, whatever the pixel format; format and standard may be columns."""
+    rgb = normalize_format(cells, fmt)
+    if isinstance(std, str):
+        return rgb_to_yuv(rgb, std)
+    # a column of an image's own standard: its nine factors as an array
+    own = cells.select(*KEY, std.alias("std"))
+    table = F.create_map(*(x for name, m in tables.RGB_TO_YUV.items() for x in (F.lit(name), F.array(*map(F.lit, m)))))
+    m = F.element_at(table, F.col("std"))
+    row = lambda i: sum(m[3 * i + j] * F.col(c) for j, c in enumerate(RGB))
+    return rgb.join(own, KEY).select(*KEY, row(0).alias("yy"), row(1).alias("u"), row(2).alias("v"), "a")
+
+
+def select_channels_yuv(cells: DataFrame, r: bool, g: bool, b: bool, std: str = "bt709", centre: float = 128.0, white: float = 255.0) -> DataFrame:
+    """yy, u, v (around centre) whose red, green or blue is taken away: to RGB, without those channels, and back; clamped to 0..white."""
+    moved = cells.select(*KEY, F.col("yy").cast("double").alias("yy"), (F.col("u") - centre).alias("u"), (F.col("v") - centre).alias("v"), "a")
+    kept = select_channels(yuv_to_rgb(moved, std), r, g, b)
+    out = rgb_to_yuv(kept, std)
+    return out.select(*KEY, clamp(F.col("yy"), white).alias("yy"), *(clamp(F.col(c) + centre, white).alias(c) for c in "uv"), "a")
+
+
 def srgb_to_linear(v: Column) -> Column:
     """v in 0..1"""
     return F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, 2.4)).otherwise(v / 12.92)

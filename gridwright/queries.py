@@ -46,6 +46,22 @@ register("crop", "cells", "SELECT * FROM cells WHERE y BETWEEN 8 AND 39 AND x BE
 register("select_channels", "cells", "SELECT image_id, y, x, r, 0 AS g, b, a FROM cells", lambda c: src.select_channels(c, True, False, True))
 register("normalize_format", "cells", f"SELECT image_id, y, x, {_rgb('round($c / (CASE WHEN image_id % 2 = 0 THEN 255.0::DOUBLE ELSE 1023 END), 6) AS $c')}, round(a / (CASE WHEN image_id % 2 = 0 THEN 255.0::DOUBLE ELSE 1023 END), 6) AS a FROM cells",
          lambda c: src.normalize_format(c, F.when(F.col("image_id") % 2 == 0, "8u").otherwise("10u")))
+def _yuv_sql(matrix: list[float], source: str, scale: str = "") -> str:
+    row = lambda i: " + ".join(f"{v!r}::DOUBLE * {c}" for v, c in zip(matrix[3 * i : 3 * i + 3], "rgb", strict=True))
+    return f"SELECT image_id, y, x, round({row(0)}, 6) + 0.0 AS yy, round({row(1)}, 6) + 0.0 AS u, round({row(2)}, 6) + 0.0 AS v, a FROM {source}"
+
+
+_SIX = lambda df: df.select(*KEY, *((F.round(k, 6) + 0.0).alias(k) for k in ("yy", "u", "v")), "a")
+for _std in ("bt601", "bt2020", "smpte240"):
+    register(f"rgb_to_yuv_{_std}", "cells", _yuv_sql(tables.RGB_TO_YUV[_std], "cells"), lambda c, s=_std: _SIX(local.rgb_to_yuv(c, s)))
+_UNITS = ", ".join(f"{c} / (CASE WHEN image_id % 2 = 0 THEN 255.0::DOUBLE ELSE 1023 END) AS {c}" for c in "rgba")
+register("normalize_yuv", "cells", f", units AS (SELECT image_id, y, x, {_UNITS} FROM cells) SELECT image_id, y, x, yy, u, v, round(a, 6) AS a FROM (" + _yuv_sql(tables.RGB_TO_YUV["bt709"], "units WHERE image_id % 3 <> 0") + " UNION ALL " + _yuv_sql(tables.RGB_TO_YUV["bt2020"], "units WHERE image_id % 3 = 0") + ")",
+         lambda c: _SIX(local.normalized_yuv(c, F.when(F.col("image_id") % 2 == 0, "8u").otherwise("10u"), F.when(F.col("image_id") % 3 == 0, "bt2020").otherwise("bt709"))))
+register("select_channels_yuv", "cells", """, q AS (SELECT image_id, y, x, a, r::DOUBLE + 1.5748021 * (b - 128) AS cr, r::DOUBLE + 1.85559927 * (g - 128) AS cb FROM cells)
+SELECT image_id, y, x, round(least(greatest(0.2126 * cr + 0.0722 * cb, 0), 255), 6) + 0.0 AS yy, round(least(greatest(-0.11457 * cr + 0.5 * cb + 128, 0), 255), 6) + 0.0 AS u, round(least(greatest(0.5 * cr - 0.04585 * cb + 128, 0), 255), 6) + 0.0 AS v, a FROM q""",
+         lambda c: _SIX(local.select_channels_yuv(c.select(*KEY, F.col("r").alias("yy"), F.col("g").alias("u"), F.col("b").alias("v"), "a"), True, False, True)))
+register("cct_reference", "cells", "SELECT 1000 + 25 * (y * 64 + x) AS cct, r, g, b FROM cells WHERE (1000 + 25 * (y * 64 + x)) % 100 = 0 AND 1000 + 25 * (y * 64 + x) < 100000 AND x % 3 <> 0",
+         lambda c: src.build_cct_reference(c.select(F.format_string("%s%d K  %d %d  %d", F.when(F.col("x") % 3 == 0, "x").otherwise(" "), 1000 + 25 * (F.col("y") * 64 + F.col("x")), "r", "g", "b").alias("value"))))
 register("unpack_10u", "cells", "SELECT image_id, y, x, r * 4194304 + g * 4096 + b * 4 AS p, r, g, b FROM cells",
          lambda c: src.unpack_10u(c.select(*KEY, (F.col("r") * 4194304 + F.col("g") * 4096 + F.col("b") * 4).alias("p"))))
 register("stored_format", "cells", f"SELECT image_id, y, x, {_rgb('CAST(floor(least(greatest(($c - 20) / 220.0::DOUBLE, 0), 1) * 32767 + 0.5) AS INT) AS $c')}, 32767 AS a FROM cells",
@@ -211,6 +227,10 @@ register("fuzzy_median_std", "luma", f"""{_near(1, 'clamp')}, s AS (SELECT image
 f AS (SELECT image_id, min(q) AS q FROM (SELECT image_id, round(stddev_samp(v), 9) AS q FROM lumas GROUP BY image_id, y // 8, x // 8) WHERE q > 0 GROUP BY 1)
 SELECT image_id, y, x, CAST(CASE WHEN s > 1.5::DOUBLE * q AND s <= 6 * q THEN m ELSE own END AS INT) AS v FROM s LEFT JOIN f USING (image_id)""", lambda p: focal.fuzzy_median_std(p))
 register("bilateral", "luma", f"{_near(2, 'shrink')}, w AS (SELECT *, exp(-(dy * dy + dx * dx) / 18.0::DOUBLE) * exp(-pow(v - own, 2) / 3200.0::DOUBLE) AS w FROM near) SELECT image_id, y, x, round(sum(w * v) / sum(w), 6) AS v FROM w GROUP BY image_id, y, x", lambda p: focal.bilateral(p, 2, 40.0))
+_LAB_TABLE = f"{_LAB}, lab AS MATERIALIZED (SELECT image_id, y, x, 116 * fq - 16 AS l, 500 * (fp - fq) AS la, 200 * (fq - fs) AS lb FROM f), moved AS MATERIALIZED (SELECT t.*, t.y + dy.o AS sy, t.x + dx.o AS sx, dy.o AS dy, dx.o AS dx FROM lab t CROSS JOIN range(-2, 3) dy(o) CROSS JOIN range(-2, 3) dx(o))"
+register("bilateral_lab", "cells", _LAB_TABLE + """, w AS (SELECT t.image_id, t.y, t.x, s.l, s.la, s.lb, exp(-(dy * dy + dx * dx) / 18.0::DOUBLE) * exp(-(pow(s.l - t.l, 2) + pow(s.la - t.la, 2) + pow(s.lb - t.lb, 2)) / 800.0::DOUBLE) AS w FROM moved t JOIN lab s ON s.image_id = t.image_id AND s.y = sy AND s.x = sx)
+SELECT image_id, y, x, round(sum(w * l) / sum(w), 5) + 0.0 AS l, round(sum(w * la) / sum(w), 5) + 0.0 AS la, round(sum(w * lb) / sum(w), 5) + 0.0 AS lb FROM w GROUP BY image_id, y, x""",
+         lambda c: focal.bilateral(local.rgb_to_lab(c), 2, 20.0, ("l", "la", "lb")).select(*KEY, *((F.round(k, 5) + 0.0).alias(k) for k in ("l", "la", "lb"))))
 _STEPS = 6
 register("anisotropic_steps", "luma", ", d0 AS (SELECT image_id, y, x, v::DOUBLE AS v FROM lumas), " + ", ".join(f"d{i + 1} AS MATERIALIZED (SELECT l.image_id, l.y, l.x, least(greatest(any_value(l.v) + 0.2::DOUBLE * sum((n.v - l.v) / (1 + pow((n.v - l.v) / 20.0::DOUBLE, 2))), 0), 255) AS v FROM d{i} l JOIN d{i} n ON n.image_id = l.image_id AND abs(n.y - l.y) + abs(n.x - l.x) = 1 GROUP BY l.image_id, l.y, l.x)" for i in range(_STEPS)).replace("abs(n.y - l.y) + abs(n.x - l.x) = 1", "((n.y = l.y AND n.x IN (l.x - 1, l.x + 1)) OR (n.x = l.x AND n.y IN (l.y - 1, l.y + 1)))") + f" SELECT image_id, y, x, round(v, 6) AS v FROM d{_STEPS}",
          lambda p: focal.anisotropic_diffusion(p, 20.0, 0.2, _STEPS))
@@ -241,6 +261,9 @@ _TENSOR = _GRAD.format(t="lumas") + f""", go AS MATERIALIZED (SELECT t.image_id,
 n AS MATERIALIZED (SELECT t.image_id, t.y, t.x, sum(s.gx * s.gx * {_GW}) AS a, sum(s.gy * s.gy * {_GW}) AS b, sum(s.gx * s.gy * {_GW}) AS c FROM go t JOIN g s ON s.image_id = t.image_id AND s.y = sy AND s.x = sx GROUP BY t.image_id, t.y, t.x)"""
 register("structure_tensor", "luma", _TENSOR + """ SELECT image_id, y, x, round((a + b + sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l1, round((a + b - sqrt(pow(a - b, 2) + 4 * c * c)) / 2, 4) AS l2 FROM n""",
          lambda p: focal.structure_tensor(p).select(*KEY, F.round("l1", 4).alias("l1"), F.round("l2", 4).alias("l2")))
+register("structure_directions", "luma", _TENSOR + """, q AS (SELECT image_id, y, x, 2 * c AS ex, b - a - sqrt(pow(a - b, 2) + 4 * c * c) AS ey FROM n)
+SELECT image_id, y, x, round(CASE WHEN sqrt(ex * ex + ey * ey) < 1e-9 THEN 0 ELSE ex / sqrt(ex * ex + ey * ey) END, 4) + 0.0 AS ex, round(CASE WHEN sqrt(ex * ex + ey * ey) < 1e-9 THEN 0 ELSE ey / sqrt(ex * ex + ey * ey) END, 4) + 0.0 AS ey FROM q""",
+         lambda p: focal.structure_tensor(p).select(*KEY, *((F.round(k, 4) + 0.0).alias(k) for k in ("ex", "ey"))))
 register("pyramid_level", "luma", ", m AS (SELECT image_id, y // 2 AS py, x // 2 AS px, avg(v) AS m FROM lumas GROUP BY ALL) SELECT image_id, y, x, round(v - m, 6) AS v FROM lumas l JOIN m USING (image_id) WHERE py = y // 2 AND px = x // 2", lambda p: focal.pyramid(p, 1)[0])
 register("pyramid_level_3", "luma", ", m AS (SELECT image_id, y // 4 AS y, x // 4 AS x, avg(v) AS v FROM lumas GROUP BY ALL), n AS (SELECT image_id, y // 2 AS py, x // 2 AS px, avg(v) AS p FROM m GROUP BY ALL) SELECT m.image_id, y, x, round(v - p, 6) AS v FROM m JOIN n ON n.image_id = m.image_id AND py = y // 2 AND px = x // 2", lambda p: focal.pyramid(p, 3)[2])
 register("pyramid_round_trip", "luma", "SELECT image_id, y, x, v FROM lumas", lambda p: focal.reconstruct(focal.pyramid(p, 3)).select(*KEY, F.round("v").cast("int").alias("v")))
@@ -365,8 +388,7 @@ register("cocircular_edges", "luma", _TENSOR + sql.cocircular(2, 30.0, 30.0), la
 register("extract_patches", "luma", f""", n AS (SELECT t.image_id, t.y AS py, t.x AS px, s.v, s.y, s.x FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y % 4 = 0 AND t.x % 4 = 0)
 SELECT image_id, py, px, string_agg(v, ',' ORDER BY y, x) AS vec FROM n GROUP BY ALL HAVING count(*) = 16""".replace("GROUP BY ALL HAVING", "GROUP BY image_id, py, px HAVING"), lambda p: graph.extract_patches(p, 4, 4).select("image_id", "py", "px", F.array_join("vec", ",").alias("vec")))
 register("block_match", "cells", sql.block_match(), lambda c: graph.block_match(c, columns=("r", "g", "b")))
-#: the same on one plane, tested by brute force
-register("block_match_full", "luma", None, lambda p: graph.block_match(p))
+register("block_match_full", "luma", sql.block_match().replace("pow(o.r - s.r, 2) + pow(o.g - s.g, 2) + pow(o.b - s.b, 2)", "pow(o.v - s.v, 2)").replace("FROM cells t", "FROM lumas t").replace("JOIN cells s", "JOIN lumas s"), lambda p: graph.block_match(p))
 register("mixed_patches", "luma", """, p AS (SELECT t.image_id, t.y AS py, t.x AS px, s.y, s.x, s.v + (t.y * 7 + t.x * 3) % 11 AS v FROM lumas t JOIN lumas s ON s.image_id = t.image_id AND s.y BETWEEN t.y AND t.y + 3 AND s.x BETWEEN t.x AND t.x + 3 WHERE t.y % 2 = 0 AND t.x % 2 = 0 AND t.y <= 60 AND t.x <= 60)
 SELECT image_id, y, x, round(avg(v), 6) AS v FROM p GROUP BY image_id, y, x""", lambda p: graph.aggregate_patches(graph.extract_patches(p, 4, 2).withColumn("vec", F.transform("vec", lambda v: v + (F.col("py") * 7 + F.col("px") * 3) % 11)), 4))
 register("aggregate_patches", "luma", "SELECT image_id, y, x, CAST(v AS DOUBLE) AS v FROM lumas", lambda p: graph.aggregate_patches(graph.extract_patches(p, 4, 2), 4))
@@ -508,7 +530,8 @@ register("hsi_palette", "cells", None, lambda c: segment.hsi_palette(c))
 register("posterize_hsi", "cells", None, lambda c: segment.posterize_hsi(c))
 register("posterize", "cells", None, lambda c: segment.posterize(c))
 register("spectrum_2d", "luma", sql.SPECTRUM, lambda p: segment.spectrum_2d(p).withColumn("power", F.round("power", 0)))
-register("pca_illuminant", "cells", None, lambda c: segment.pca_illuminant(c))
+register("pca_illuminant", "cells", sql.PCA, lambda c: segment.pca_illuminant(c))
+SQL["pca_illuminant"] = SQL["pca_illuminant"].replace("WITH ", "WITH RECURSIVE ", 1)
 for _space, _pastel in (("hsluv", False), ("hpluv", True)):
     register(f"to_{_space}", "cells", f"{sql.hsluv_of(_pastel)} SELECT image_id, y, x, round(h, 6) AS h, round(s, 6) AS s, round(l, 6) AS l, a FROM hs", lambda c, p=_pastel: perceptual.to_hsluv(c, p))
     register(f"{_space}_to_rgb", "cells", sql.hsluv_back(_pastel, ", m AS (SELECT image_id, y, x, a, r * 7 / 5.0::DOUBLE AS h, g * 100 / 255.0::DOUBLE AS s, b * 100 / 255.0::DOUBLE AS l FROM cells)"),

@@ -321,3 +321,19 @@ def jumped(side: int = 64) -> str:
   FROM j{i} CROSS JOIN (VALUES (-{step}), (0), ({step})) a(d) CROSS JOIN (VALUES (-{step}), (0), ({step})) b(d) WHERE y - a.d BETWEEN 0 AND {side - 1} AND x - b.d BETWEEN 0 AND {side - 1} GROUP BY image_id, y - a.d, x - b.d))"""
         i, step = i + 1, step // 2
     return out + f", jump AS (SELECT image_id, y, x, sid AS seed_id, CAST(pow(y - sy, 2) + pow(x - sx, 2) AS BIGINT) AS d2 FROM j{i})"
+
+
+# --- the principal illuminant: two running counts, moments, and an eigenvector by repeated products ----------
+PCA = LINEAR_CELLS + """, good AS (SELECT * FROM lin WHERE greatest(r, g, b) < 0.98 AND 0.2126 * r + 0.7152 * g + 0.0722 * b >= 0.02),
+means AS (SELECT image_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, count(*) AS n FROM good GROUP BY 1 HAVING count(*) >= 16),
+placed AS MATERIALIZED (SELECT image_id, r, g, b, n, least(CAST(floor((r * mr + g * mg + b * mb) / sqrt(mr * mr + mg * mg + mb * mb) / 1.74::DOUBLE * 4096) AS BIGINT), 4095) AS bin FROM good JOIN means USING (image_id)),
+hist AS (SELECT image_id, bin, count(*) AS c, any_value(n) AS n FROM placed GROUP BY 1, 2),
+sums AS (SELECT *, sum(c) OVER (PARTITION BY image_id ORDER BY bin) - c AS below, sum(c) OVER (PARTITION BY image_id ORDER BY bin DESC) - c AS above, least(greatest(floor(n * 0.035::DOUBLE + 0.5), 1), floor(n / 2)) AS k FROM hist),
+kept AS (SELECT p.* FROM placed p JOIN sums USING (image_id, bin) WHERE below < k OR above < k),
+m AS MATERIALIZED (SELECT image_id, avg(r * r) AS rr, avg(r * g) AS rg, avg(r * b) AS rb, avg(g * g) AS gg, avg(g * b) AS gb, avg(b * b) AS bb FROM kept GROUP BY 1),
+turn(image_id, i, x, y, z) AS (SELECT image_id, 0, sqrt(1 / 3.0::DOUBLE), sqrt(1 / 3.0::DOUBLE), sqrt(1 / 3.0::DOUBLE) FROM m
+  UNION ALL SELECT image_id, i + 1, px / sqrt(px * px + py * py + pz * pz), py / sqrt(px * px + py * py + pz * pz), pz / sqrt(px * px + py * py + pz * pz)
+  FROM (SELECT t.image_id, i, rr * x + rg * y + rb * z AS px, rg * x + gg * y + gb * z AS py, rb * x + gb * y + bb * z AS pz FROM turn t JOIN m USING (image_id) WHERE i < 300)),
+top AS (SELECT image_id, x, y, z, x >= 0 AND y >= 0 AND z >= 0 AS ok FROM turn WHERE i = 300)
+SELECT i.image_id, round(CASE WHEN ok THEN x ELSE sqrt(1 / 3.0::DOUBLE) END, 6) AS er, round(CASE WHEN ok THEN y ELSE sqrt(1 / 3.0::DOUBLE) END, 6) AS eg, round(CASE WHEN ok THEN z ELSE sqrt(1 / 3.0::DOUBLE) END, 6) AS eb, coalesce(ok, false) AS ok
+FROM (SELECT DISTINCT image_id FROM cells) i LEFT JOIN top USING (image_id)"""
