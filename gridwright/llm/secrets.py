@@ -1,9 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are values assigned to credential names, well-known token shapes, and runs of 16 or more
+Candidates are values assigned to credential names (by = or :), well-known token shapes, and runs of 16 or more
 key characters with digits or mixed case. Features: length, shares of character classes, transitions between
 classes, likelihood of the character pairs under the corpus's own pair counts (all documents), coverage by
-dictionary words, the path, and the words beside it. Trees are trained in parallel, each on a bootstrap
+dictionary words (those in most documents, and a plain list of words of code), the path, and the words beside it. Trees are trained in parallel, each on a bootstrap
 sample and random features, from labelled findings: rows of (value, left, right, path, label). The default
 findings are made by rule from a seed: keys of many shapes in code, configuration and prose, against
 digests, identifiers, numbers, names, paths and placeholders. Other findings can be passed in.
@@ -24,14 +24,15 @@ import string
 import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import as_struct, quoted
-from .text import slices, utf8
+from .storage import as_struct, quoted, stored
+from .text import mix, prefix_hash, range_hash, slices, utf8
 
 THRESHOLD = 0.5
 TREES, DEPTH, FINDINGS, CUTS = 48, 9, 6000, 16
@@ -40,7 +41,7 @@ CREDENTIAL = r"(?:api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|client[_-
 ASSIGNED = re.compile(rf"(?i){CREDENTIAL}[\w-]*[\"']?\s*(?:=|:=|:|=>)\s*[\"']?(?P<v>[^\s\"',;]{{6,}})")
 SHAPED = re.compile(r"(?P<v>\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}\b|\bxox[abprs]-[A-Za-z0-9-]{20,}|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,})")
 RUN = re.compile(r"(?P<v>[A-Za-z0-9+/_=-]{16,})")
-#: Words that keys do not contain (fixed, plain list).
+#: Words of code and configuration, which keys do not contain (fixed, plain list); the corpus's own words are added to them.
 DICTIONARY = """
 about access account add admin after all and api app args array async auth base block body bool build byte cache call case change channel char check class
 client close code column commit config connect console content context count create current data database date debug default delete demo dev dict digest
@@ -52,14 +53,21 @@ request reset response result return root row run sample save schema script sear
 status string style sub table tag target temp test text that the this time title token total true type update url use user util value version view
 void web with word world write your
 """.split()
-#: The longest word of four letters or more at each place, whatever lies before it.
-_WORDS = re.compile("(?=(" + "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)) + "))")
+#: Words of the corpus: so many of those that stand in most documents, in LEAST_DOCUMENTS at least, of so many letters.
+WORDS, LEAST_DOCUMENTS, LETTERS = 4000, 3, (4, 20)
+#: Words that a task holds before it sends their counts on.
+HELD = 200_000
 _KIND = np.full(256, 3, dtype=np.int64)
 for _span, _k in ((string.digits, 0), (string.ascii_lowercase, 1), (string.ascii_uppercase, 2)):
     _KIND[[ord(c) for c in _span]] = _k
 _KEYS = np.zeros(256, dtype=bool)
 _KEYS[[ord(c) for c in string.ascii_letters + string.digits + "+/_=-"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _NAMES = re.compile(rf"(?i){CREDENTIAL}")
+#: A credential name holds one of these, a token of a known shape one of those.
+_ROOTS = ("api", "access", "auth", "bearer", "client", "credential", "passw", "private", "pwd", "secret", "token")
+_HEADS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ")
 _DIGESTS = re.compile(r"(?i)\b(?:sha\d*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|id|number|card|version|build)\b")
 _FAKE = re.compile(r"(?i)example|sample|dummy|fake|your|placeholder|change_?me|test|xxx|redacted|<|\$\{")
 _TESTS = re.compile(r"(?i)test|example|mock|sample|doc|fixture|lock")
@@ -68,7 +76,13 @@ _CODE = re.compile(r"(?i)\.(?:env|ya?ml|json|toml|ini|cfg|conf|properties|py|js|
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) without overlaps."""
-    found = [(m.start("v"), m.end("v"), "assigned") for m in ASSIGNED.finditer(text)] + [(m.start("v"), m.end("v"), "shaped") for m in SHAPED.finditer(text)]
+    found = []
+    # letters that match others when case is ignored are folded; a pattern runs only where one of its parts is there
+    folded = text.casefold() if text.isascii() else text.casefold().replace("\u0131", "i").replace("\u0307", "")
+    if ("=" in text or ":" in text) and any(x in folded for x in _ROOTS):
+        found += [(m.start("v"), m.end("v"), "assigned") for m in ASSIGNED.finditer(text)]
+    if any(x in text for x in _HEADS):
+        found += [(m.start("v"), m.end("v"), "shaped") for m in SHAPED.finditer(text)]
     for m in RUN.finditer(text):
         v = m["v"]
         if any(c.isdigit() for c in v) or (any(c.isupper() for c in v[1:]) and any(c.islower() for c in v)):
@@ -86,39 +100,100 @@ def beside(text: str, start: int, stop: int) -> tuple[str, str]:
 
 
 class Pairs:
-    """Likelihood of character pairs from counts over all texts."""
+    """What the corpus says of a value: likelihood of its character pairs, and the share of it that words cover."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
+    def __init__(self, counts: dict[int, int], words: list[str] | None = None) -> None:
         table = np.full(256 * 256, 0.1)
         for k, n in counts.items():
             table[k] += n
         table = table.reshape(256, 256)
         self.log = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+        self.words = sorted({w for w in [*DICTIONARY, *(words or [])] if len(w) >= LETTERS[0]})
+        self._finder = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_finder": None}
 
     def mean(self, value: bytes) -> float:
         a = np.frombuffer(value, dtype=np.uint8)
         return float(self.log[a[:-1], a[1:]].mean()) if len(a) > 1 else 0.0
 
+    def covered(self, value: str) -> float:
+        """The share of characters that lie in a word of the dictionary; all words are looked for at once."""
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            for w in self.words:
+                self._finder.add_word(w, len(w))
+            self._finder.make_automaton()
+        low, inside = value.lower(), np.zeros(len(value.lower()), dtype=bool)
+        for end, n in self._finder.iter(low):
+            inside[end - n + 1 : end + 1] = True
+        return float(inside.mean()) if len(low) else 0.0
 
-def pair_counts(docs: DataFrame) -> dict[int, int]:
-    """Counts of byte pairs inside all whole texts; at most 65,536 rows come to the driver."""
+
+def _letter_runs(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, row) of the runs of ASCII letters of LETTERS letters, between other bytes or the bounds of texts."""
+    low = _LOWER[part]
+    other = np.flatnonzero((low < 97) | (low > 122))
+    starts, stops = np.sort(np.concatenate([other + 1, own[:-1]]), kind="stable"), np.sort(np.concatenate([other, own[1:]]), kind="stable")
+    fits = (stops - starts >= LETTERS[0]) & (stops - starts <= LETTERS[1])
+    starts, stops = starts[fits], stops[fits]
+    return starts, stops, np.searchsorted(own, starts, side="right") - 1
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """pair, word, n: counts of byte pairs inside all whole texts (word is null), and in how many documents each word stands (pair is null).
+
+    Words are runs of ASCII letters, case ignored. One pass and one aggregation with map-side partials.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65536, dtype=np.int64)
+        total, words = np.zeros(65536, dtype=np.int64), {}
+        sent = lambda w: pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(list(w), pa.string()), pa.array(list(w.values()), pa.int64())], ["pair", "word", "n"])
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets):
-                part = raw[offsets[lo] : offsets[hi]].astype(np.int64)
-                pairs = part[:-1] * 256 + part[1:]
+                own = offsets[lo : hi + 1] - offsets[lo]
+                part = raw[offsets[lo] : offsets[hi]]
+                wide = part.astype(np.int64)
+                pairs = wide[:-1] * 256 + wide[1:]
                 inside = np.ones(len(pairs), dtype=bool)
-                border = offsets[lo + 1 : hi] - offsets[lo]
+                border = own[1:-1]
                 inside[border[(border > 0) & (border < len(part))] - 1] = False
                 total += np.bincount(pairs[inside], minlength=65536)
+                start, stop, row = _letter_runs(part, own)
+                if len(start):
+                    low = _LOWER[part]
+                    name = range_hash(prefix_hash(low), start, stop)
+                    # once for each document that has it
+                    _, first = np.unique(name ^ mix(row.astype(np.uint64)), return_index=True)
+                    _, at, n = np.unique(name[first], return_index=True, return_counts=True)
+                    text = low.tobytes()
+                    for i, k in zip(first[at].tolist(), n.tolist(), strict=True):
+                        w = text[start[i] : stop[i]].decode()
+                        words[w] = words.get(w, 0) + k
+                    if len(words) > HELD:
+                        yield sent(words)
+                        words = {}
+        if words:
+            yield sent(words)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(len(at), pa.string()), pa.array(total[at], pa.int64())], ["pair", "word", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, word string, n long").groupBy("pair", "word").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(docs: DataFrame) -> dict[int, int]:
+    """Counts of byte pairs inside all whole texts; at most 65,536 rows come to the driver."""
+    return {r["pair"]: r["n"] for r in corpus_counts(docs).where("pair IS NOT NULL").collect()}
+
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return {r["pair"]: r["n"] for r in rows.collect()}
+def learned(docs: DataFrame) -> Pairs:
+    """Pairs and words of the corpus; at most 65,536 + WORDS rows come to the driver."""
+    counts = stored(corpus_counts(docs), "counts")
+    pairs = {r["pair"]: r["n"] for r in counts.where("pair IS NOT NULL").select("pair", "n").collect()}
+    words = counts.where((F.col("word").isNotNull()) & (F.col("n") >= LEAST_DOCUMENTS)).orderBy(F.desc("n"), "word").limit(WORDS)
+    return Pairs(pairs, [r["word"] for r in words.select("word").collect()])
 
 
 def features(value: str, left: str, right: str, path: str, pairs: Pairs) -> list[float]:
@@ -126,17 +201,15 @@ def features(value: str, left: str, right: str, path: str, pairs: Pairs) -> list
     kind = _KIND[np.frombuffer(raw, dtype=np.uint8)]
     n = len(kind)
     share = np.bincount(kind, minlength=4) / n
-    _, counts = np.unique(np.frombuffer(raw, dtype=np.uint8), return_counts=True)
-    covered = np.zeros(n, dtype=bool)
-    for m in _WORDS.finditer(value.lower()):
-        covered[m.start() : m.end(1)] = True
+    counts = np.bincount(np.frombuffer(raw, dtype=np.uint8))
+    counts = counts[counts > 0]
     same = max(len(m.group()) for m in re.finditer(r"(.)\1*", value, re.S))
     letters = max((len(m) for m in re.findall(r"[A-Za-z]+", value)), default=0)
     p = counts / n
     before, after = left[-1:], right[:1]
     return [
         float(n), *share.tolist(), float((kind[1:] != kind[:-1]).mean()) if n > 1 else 0.0, float(-(p * np.log2(p)).sum()), len(counts) / n, same / n, letters / n,
-        pairs.mean(raw), float(covered.mean()), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(value.isdigit()), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
+        pairs.mean(raw), pairs.covered(value), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(value.isdigit()), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
         float(before in "=:\"'" and before != ""), float(before in "\"'" and after in "\"'" and before != ""), float(bool(_NAMES.search(left))), float(bool(_DIGESTS.search(left))), float(bool(_FAKE.search(value))), float(bool(_FAKE.search(left + right))),
         float(bool(_TESTS.search(path))), float(bool(_CODE.search(path))), float(path.count("/")), float(bool(SHAPED.fullmatch(value))),
     ]
@@ -242,7 +315,7 @@ class Forest:
 
 def fit(docs: DataFrame, labelled: list[tuple[str, str, str, str, int]] | None = None, trees: int = TREES) -> Forest:
     """A forest on labelled findings, by default made_findings(); trees grow in parallel."""
-    spark, pairs = docs.sparkSession, Pairs(pair_counts(docs))
+    spark, pairs = docs.sparkSession, learned(docs)
     rows = made_findings() if labelled is None else labelled
     x, y = np.array([features(*r[:4], pairs) for r in rows]), np.array([r[4] for r in rows], dtype=float)
 
