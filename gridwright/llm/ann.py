@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .skew import spread
 from .storage import stored
 
 TOP = 20
@@ -228,19 +229,21 @@ def _search(good: DataFrame, is_query, top: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, v in enumerate(_matrix(b.column(1)) if len(b) else []):
+            lists = []
+            for v in _matrix(b.column(1)) if len(b) else []:
                 out, held = [], 0
                 for leaf in tree.walk(v):
                     if len(out) >= visits and held > top:
                         break
                     out.append(leaf)
                     held += counts.get(leaf, 0)
-                one = b.slice(i, 1)
-                again = pa.array(np.zeros(len(out), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), one.column(0).take(again), one.column(1).take(again)], ["leaf", "cid", "v"])
+                lists.append(out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], ["cid", "v", "leaves"])
 
-    visited = stored(queries.select("cid", "v").mapInArrow(run, "leaf long, cid long, v array<double>"), "visited")
-    asks = visited.groupBy("leaf").agg(F.count("*").alias("asks"))
+    # a vector is stored once with the list of its leaves
+    visits_of = stored(queries.select("cid", "v").mapInArrow(run, "cid long, v array<double>, leaves array<long>"), "visited")
+    asks = visits_of.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("asks"))
+    visited = visits_of.select(F.explode("leaves").alias("leaf"), "cid", "v")
     # two tables of at most MAX_LEAVES rows
     shape = F.broadcast(sizes.join(asks, "leaf").select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("qparts")))
     blocks = leaves.join(shape, "leaf").select("leaf", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qparts").cast("long") - 1)).alias("qpart"), "cid", "v", "first")
@@ -253,10 +256,14 @@ def _search(good: DataFrame, is_query, top: int) -> DataFrame:
 
     keys = ["leaf", "part", "qpart"]
     found = blocks.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(block, FOUND)
-    best = _merged(found, top + 1).select("qcid", F.explode("best").alias("b")).select("qcid", F.col("b.minus").alias("minus"), F.col("b.cid").alias("cid"))
-    named = best.join(classes.select("cid", "ids"), "cid").select("qcid", F.explode(F.transform("ids", lambda i: F.struct(F.col("minus"), i.alias("id")))).alias("hit"))
+    best = stored(_merged(found, top + 1).select("qcid", F.explode("best").alias("b")).select("qcid", F.col("b.minus").alias("minus"), F.col("b.cid").alias("cid")), "best")
+    # a long vector is among the best of most queries, and many queries may be one vector
+    often = stored(best.groupBy("cid").agg(F.count("*").alias("n")).join(classes.select("cid", "ids"), "cid"), "often")
+    named = spread(best, often, ["cid"], ["qcid"]).select("qcid", F.explode(F.transform("ids", lambda i: F.struct(F.col("minus"), i.alias("id")))).alias("hit"))
     lists = named.groupBy("qcid").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, top + 1).alias("hits"))
-    own = asked.select("id", F.col("cid").alias("qcid")).distinct().join(lists, "qcid")
+    own = asked.select("id", F.col("cid").alias("qcid")).distinct()
+    groups = stored(own.groupBy("qcid").agg(F.count("*").alias("n")).join(lists, "qcid"), "lists")
+    own = spread(own, groups, ["qcid"], ["id"])
     hits = own.select("id", F.posexplode(F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, top)).alias("pos", "hit"))
     return hits.select(F.col("id").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 

@@ -75,3 +75,19 @@ def test_walk_lists_every_leaf_once_nearest_first():
     order = list(tree.walk(x[0]))
     assert sorted(order) == list(range(tree.leaves))
     assert set(tree.assign(x)) <= set(order)
+
+
+def test_hot_vectors_are_joined_apart(spark, monkeypatch):
+    """One long vector is in every list and many queries are one vector: the same result when both are dealt to many tasks."""
+    from gridwright.llm import skew
+
+    monkeypatch.setattr(ann, "LEAF", 20)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(240, 5))
+    x[7] = 40
+    x[100:200] = x[100]
+    frame = spark.createDataFrame([(i, np.abs(v).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cold = by_query(ann.search(frame, lambda i: i % 20 == 0).collect())
+    monkeypatch.setattr(skew, "HOT", 1)
+    monkeypatch.setattr(skew, "HOT_SHARE", 1000)
+    assert by_query(ann.search(frame, lambda i: i % 20 == 0).collect()) == cold and all(v[0][0] == 7 for v in cold.values())
