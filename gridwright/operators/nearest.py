@@ -77,16 +77,35 @@ def _matching(w: Column, observer: int) -> dict[str, Column]:
     }
 
 
-#: Second radiation constant in nanometre kelvins.
-C2 = 1.4388e7
+def read_curves(lines: DataFrame, column: str = "value") -> DataFrame:
+    """w, x, y, z from lines of a published table of an observer ("380.0, 0.001368, 0.000039, 0.006450"; blanks or tabs may part the numbers); other lines are left out."""
+    number = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
+    part = lambda i: F.regexp_extract(column, rf"^\s*{number}[\s,;]+{number}[\s,;]+{number}[\s,;]+{number}\s*$", i)
+    return lines.where(part(1) != "").select(*(part(i).cast("double").alias(n) for i, n in enumerate("wxyz", 1)))
 
 
-def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: float = 5, observer: int = 2) -> DataFrame:
-    """cct, X, Y, Z (Y = 100), u, v: black-body spectra from 380 to 750 nm times the observer's curves, summed by Spark."""
+#: Second radiation constant in nanometre kelvins; wavelengths of a tabulated observer.
+C2, MOST_WAVES = 1.4388e7, 10_000
+
+
+def cct_lut(spark: SparkSession, low: int = 1000, high: int = 25000, step: int = 1, nm: float = 5, observer: int = 2, curves: DataFrame | None = None) -> DataFrame:
+    """cct, X, Y, Z (Y = 100), u, v: black-body spectra from 380 to 750 nm times the observer's curves, summed by Spark.
+
+    curves: w, x, y, z of a tabulated observer (read_curves()), whose own wavelengths are summed over then; by default the published fits every nm nanometres.
+    """
     wave = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(370 / nm))), lambda i: 380 + i * F.lit(float(nm))))
     rows = spark.range(low, high + 1, step).select(F.col("id").alias("cct"), wave.alias("w")).withColumn("w", F.col("w").cast("double"))
     power = F.pow("w", F.lit(-5.0)) * 1e15 / (F.exp(C2 / (F.col("w") * F.col("cct"))) - 1)
-    sums = rows.groupBy("cct").agg(*(F.sum(power * v).alias(k) for k, v in _matching(F.col("w"), observer).items()))
+    if curves is None:
+        matching = _matching(F.col("w"), observer)
+    else:
+        # a table of an observer has some hundred wavelengths: more than MOST_WAVES is refused before it is broadcast
+        if curves.count() > MOST_WAVES:
+            raise ValueError(f"a table of an observer has at most {MOST_WAVES} wavelengths")
+        known = curves.where("w BETWEEN 380 AND 750").select("w", *(F.col(c).alias(f"c{c}") for c in "xyz"))
+        rows = spark.range(low, high + 1, step).select(F.col("id").alias("cct")).crossJoin(F.broadcast(known))
+        matching = {c: F.col(f"c{c}") for c in "xyz"}
+    sums = rows.groupBy("cct").agg(*(F.sum(power * v).alias(k) for k, v in matching.items()))
     total = F.col("x") + 15 * F.col("y") + 3 * F.col("z")
     return sums.select("cct", *((F.col(c) * 100 / F.col("y")).alias(c.upper()) for c in "xyz"), (4 * F.col("x") / total).alias("u"), (6 * F.col("y") / total).alias("v"))
 

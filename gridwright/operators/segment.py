@@ -32,16 +32,26 @@ def _monotone(h: np.ndarray, up: bool) -> np.ndarray:
     return out if up else out[::-1]
 
 
+#: Pairs of bins that are looked at together.
+PAIRS = 1 << 20
+
+
 def _misfit(h: np.ndarray, fit: np.ndarray, eps: float) -> float:
     """How far the worst sub-interval's mass is from the fit, over what chance allows; positive rejects."""
     n, length = h.sum(), len(h)
     if n == 0 or length < 2:
         return -1.0
     a, b = np.concatenate([[0], np.cumsum(h)]), np.concatenate([[0], np.cumsum(fit)])
-    i, j = np.triu_indices(length + 1, 1)
-    r, p = (a[j] - a[i]) / n, np.clip((b[j] - b[i]) / n, 1e-12, 1 - 1e-12)
-    e = np.where(r > 0, r * np.log(np.maximum(r, 1e-300) / p), 0) + np.where(r < 1, (1 - r) * np.log(np.maximum(1 - r, 1e-300) / (1 - p)), 0)
-    return float((n * e).max() - math.log(length * (length + 1) / 2 / eps))
+    worst = -math.inf
+    # all sub-intervals, those that begin in a block of bins at a time, so that memory grows with the bins and not with their square
+    step = max(1, PAIRS // (length + 1))
+    for lo in range(0, length, step):
+        i, j = np.triu_indices(min(step, length - lo), 1, length + 1 - lo)
+        i, j = i + lo, j + lo
+        r, p = (a[j] - a[i]) / n, np.clip((b[j] - b[i]) / n, 1e-12, 1 - 1e-12)
+        e = np.where(r > 0, r * np.log(np.maximum(r, 1e-300) / p), 0) + np.where(r < 1, (1 - r) * np.log(np.maximum(1 - r, 1e-300) / (1 - p)), 0)
+        worst = max(worst, float((n * e).max()))
+    return worst - math.log(length * (length + 1) / 2 / eps)
 
 
 def _unimodal(h: np.ndarray, eps: float) -> float:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridwright.operators import graph, zonal
+from gridwright.operators import graph, nearest, segment, zonal
 from gridwright.sources.cells import KEY
 
 
@@ -116,3 +116,29 @@ def test_weighted_morphology(spark):
     with pytest.raises(ValueError):
         graph.weighted_dilate(two, ends.withColumn("w", F.lit(2.0)), 3.0, None)
     assert KEY[0] == "image_id"
+
+
+def test_tabulated_observers(spark):
+    """A table of the fitted curves, as text, gives the fits' own chromaticities."""
+    waves = spark.range(75).select((F.col("id") * 5 + 380).cast("double").alias("w"))
+    fits = waves.select("w", *(c.alias(k) for k, c in nearest._matching(F.col("w"), 10).items()))
+    lines = fits.select(F.format_string("%.1f, %.17e  %.17e;\t%.17e", "w", "x", "y", "z").alias("value")).union(spark.createDataFrame([("nm x y z",), ("",), ("380 1 2",)], "value string"))
+    got = nearest.cct_lut(spark, 2000, 9000, 500, curves=nearest.read_curves(lines)).orderBy("cct").collect()
+    want = nearest.cct_lut(spark, 2000, 9000, 500, observer=10).orderBy("cct").collect()
+    assert len(got) == 15 and all(abs(a.u - b.u) < 1e-12 and abs(a.v - b.v) < 1e-12 and abs(a.X - b.X) < 1e-9 for a, b in zip(got, want, strict=True))
+    with pytest.raises(ValueError):
+        nearest.cct_lut(spark, curves=spark.range(20_000).selectExpr("double(id) AS w", "1.0 AS x", "1.0 AS y", "1.0 AS z"))
+
+
+def test_misfit_in_blocks(monkeypatch):
+    """The worst sub-interval of a long histogram, against all pairs at once."""
+    monkeypatch.setattr(segment, "PAIRS", 5000)
+    rng = np.random.default_rng(6)
+    for length in (2, 3, 50, 1500):
+        h = rng.integers(0, 40, length).astype(float)
+        fit = segment._monotone(h, True)
+        a, b, n = np.append(0, np.cumsum(h)), np.append(0, np.cumsum(fit)), h.sum()
+        i, j = np.triu_indices(length + 1, 1)
+        r, p = (a[j] - a[i]) / n, np.clip((b[j] - b[i]) / n, 1e-12, 1 - 1e-12)
+        e = np.where(r > 0, r * np.log(np.maximum(r, 1e-300) / p), 0) + np.where(r < 1, (1 - r) * np.log(np.maximum(1 - r, 1e-300) / (1 - p)), 0)
+        assert abs(segment._misfit(h, fit, 1.0) - ((n * e).max() - math.log(length * (length + 1) / 2))) < 1e-9
