@@ -24,10 +24,12 @@ PLACE = ["image_id", "py", "px"]
 
 
 def sparse_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differences weighted by the larger coefficient, the four largest differences left out; over the last axis."""
-    d = np.abs(a - b)
-    least = np.argpartition(d, 11, axis=-1)[..., :12]
-    return np.take_along_axis(d * np.maximum(np.abs(a), np.abs(b)), least, axis=-1).sum(-1)
+    """Differences weighted by the larger coefficient, the four largest differences left out (of equal ones those of larger weight); over the last axis."""
+    # complex numbers are ordered by difference, then weight; digits beyond the ninth are rounding
+    z = np.empty(np.broadcast(a, b).shape, dtype=complex)
+    z.real, z.imag = np.round(np.abs(a - b), 9), np.round(np.maximum(np.abs(a), np.abs(b)), 9)
+    least = np.partition(z, 11, axis=-1)[..., :12]
+    return (least.real * least.imag).sum(-1)
 
 
 def self_similar(planes: DataFrame, near: int = 4, far: int = 13, size: int = 32) -> DataFrame:
@@ -74,7 +76,11 @@ def self_similar(planes: DataFrame, near: int = 4, far: int = 13, size: int = 32
 
 
 def noise_profile(planes: DataFrame, share: float = 0.005, near: int = 4, far: int = 13) -> DataFrame:
-    """image_id, bin, level, k, std: noise of 16 frequencies at each intensity, from the most self-similar blocks."""
+    """image_id, bin, level, k, std: noise of 16 frequencies at each intensity, from the most self-similar blocks.
+
+    A bin has CELLS_A_BIN cells, and an image at most MOST_BINS of them; of a bin the best share counts, one block at least and 4000 at most. These
+    bounds belong to the estimator, which is calibrated for them.
+    """
     blocks = self_similar(planes, near, far)
     size = planes.groupBy("image_id").agg(F.least(F.greatest(F.floor(F.count("*") / CELLS_A_BIN), F.lit(1)), F.lit(MOST_BINS)).alias("bins"))
     blocks = saved(blocks)

@@ -521,9 +521,10 @@ SELECT stream_id, start, mean, round(smooth, 6) AS smooth, round(CASE WHEN mean
                lambda r: live.deflicker_live(live.frame_means(r)).select("stream_id", "start", "mean", *(F.round(c, 6).alias(c) for c in ("smooth", "gain"))), "RECURSIVE ")
 
 # --- models on patches and small tables ---------------------------------------------------------
-register("noise_profile", "luma", None, lambda p: denoise.noise_profile(p))
-register("noise_covariance", "luma", None, lambda p: denoise.noise_covariance(denoise.noise_profile(p)))
-register("noise_levels", "luma", None, lambda p: denoise.noise_levels(denoise.noise_profile(p)))
+register("noise_profile", "luma", sql.NOISE + " SELECT image_id, bin, round(level, 6) AS level, k, round(std, 6) AS std FROM noise", lambda p: denoise.noise_profile(p))
+register("noise_covariance", "luma", sql.COVARIANCE, lambda p: denoise.noise_covariance(denoise.noise_profile(p)).withColumn("cov", F.round("cov", 4) + 0.0))
+# an image of 4,096 cells has one bin, whose noise is that of every level
+register("noise_levels", "luma", sql.NOISE + " SELECT image_id, k, CAST(l.v AS INT) AS level, round(std, 6) AS std FROM noise CROSS JOIN range(256) l(v)", lambda p: denoise.noise_levels(denoise.noise_profile(p)))
 register("nl_bayes_denoise", "cells", None, lambda c: denoise.denoise_rgb(c, step=2, radius=8, k=512))
 register("hist_segment", "cells", None, lambda c: segment.hist_segment(stats.luma_histogram(c)))
 register("hsi_palette", "cells", None, lambda c: segment.hsi_palette(c))

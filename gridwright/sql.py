@@ -337,3 +337,26 @@ turn(image_id, i, x, y, z) AS (SELECT image_id, 0, sqrt(1 / 3.0::DOUBLE), sqrt(1
 top AS (SELECT image_id, x, y, z, x >= 0 AND y >= 0 AND z >= 0 AS ok FROM turn WHERE i = 300)
 SELECT i.image_id, round(CASE WHEN ok THEN x ELSE sqrt(1 / 3.0::DOUBLE) END, 6) AS er, round(CASE WHEN ok THEN y ELSE sqrt(1 / 3.0::DOUBLE) END, 6) AS eg, round(CASE WHEN ok THEN z ELSE sqrt(1 / 3.0::DOUBLE) END, 6) AS eb, coalesce(ok, false) AS ok
 FROM (SELECT DISTINCT image_id FROM cells) i LEFT JOIN top USING (image_id)"""
+
+
+# --- noise from self-similar blocks ----------------------------------------------------------------
+#: Frequencies of all 4 x 4 blocks, the least distance to a block 4 to 13 away on both axes, the best half percent, and deviations from medians.
+NOISE = """, wave AS MATERIALIZED (SELECT k.v AS k, i.v AS i, CASE WHEN k.v = 0 THEN sqrt(1 / 4.0::DOUBLE) ELSE sqrt(2 / 4.0::DOUBLE) END * cos(pi() * (2 * i.v + 1) * k.v / 8) AS w FROM range(4) k(v), range(4) i(v)),
+rows_of AS MATERIALIZED (SELECT image_id, l.y AS y, l.x - i.v AS x, i.v AS i, l.v FROM lumas l CROSS JOIN range(4) i(v) WHERE l.x - i.v BETWEEN 0 AND 60),
+along AS MATERIALIZED (SELECT image_id, y, x, k, sum(v * w) AS f FROM rows_of JOIN wave USING (i) GROUP BY image_id, y, x, k),
+squares AS (SELECT image_id, a.y - i AS y, x, wave.k * 4 + a.k AS k, sum(f * w) AS f FROM along a CROSS JOIN wave WHERE a.y - i BETWEEN 0 AND 60 GROUP BY image_id, a.y - i, x, wave.k * 4 + a.k),
+blocks AS MATERIALIZED (SELECT b.*, p.v AS v0, q.v AS v1, r.v AS v4, s.v AS v5 FROM (SELECT image_id, y, x, list(f ORDER BY k) AS f FROM squares GROUP BY image_id, y, x) b
+  JOIN lumas p ON p.image_id = b.image_id AND p.y = b.y AND p.x = b.x JOIN lumas q ON q.image_id = b.image_id AND q.y = b.y AND q.x = b.x + 1
+  JOIN lumas r ON r.image_id = b.image_id AND r.y = b.y + 1 AND r.x = b.x JOIN lumas s ON s.image_id = b.image_id AND s.y = b.y + 1 AND s.x = b.x + 1),
+good AS MATERIALIZED (SELECT image_id, y, x, f FROM blocks WHERE NOT (v0 = v1 AND v1 = v4 AND v4 = v5)),
+asks AS MATERIALIZED (SELECT g.*, y + dy.o AS sy, x + dx.o AS sx FROM good g CROSS JOIN range(4, 14) dy(o) CROSS JOIN range(4, 14) dx(o)),
+pairs AS (SELECT a.image_id, a.y, a.x, list_sum(list_transform(list_slice(list_sort(list_transform(range(1, 17), lambda k: struct_pack(d := round(abs(a.f[k] - b.f[k]), 9), m := round(greatest(abs(a.f[k]), abs(b.f[k])), 9)))), 1, 12), lambda z: z.d * z.m)) AS d
+  FROM asks a JOIN good b ON b.image_id = a.image_id AND b.y = sy AND b.x = sx),
+near AS (SELECT image_id, y, x, round(min(d), 6) AS d FROM pairs GROUP BY image_id, y, x),
+known AS (SELECT n.*, f, f[1] / 4 AS mean, row_number() OVER (PARTITION BY image_id ORDER BY d, y, x) AS nth, count(*) OVER (PARTITION BY image_id) AS n FROM near n JOIN good USING (image_id, y, x)),
+best AS MATERIALIZED (SELECT * FROM known WHERE nth <= least(greatest(floor(n * 0.005::DOUBLE), 1), 4000)),
+flat_rows AS MATERIALIZED (SELECT image_id, mean, k.v AS k, f[k.v + 1] AS v FROM best CROSS JOIN range(16) k(v)),
+middle AS (SELECT image_id, k, median(v) AS m, avg(mean) AS level FROM flat_rows GROUP BY 1, 2),
+noise AS MATERIALIZED (SELECT image_id, CAST(0 AS BIGINT) AS bin, any_value(level) AS level, CAST(k AS INT) AS k, median(abs(v - m)) * 1.791106 AS std FROM flat_rows JOIN middle USING (image_id, k) GROUP BY image_id, k)"""
+COVARIANCE = NOISE + """, cell AS (SELECT p.k * 4 + q.k AS k, p.i * 4 + q.i AS i, p.w * q.w AS d FROM wave p CROSS JOIN wave q)
+SELECT image_id, bin, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(std * std * a.d * b.d), 4) + 0.0 AS cov FROM noise JOIN cell a ON a.k = noise.k JOIN cell b ON b.k = noise.k GROUP BY image_id, bin, a.i, b.i"""
