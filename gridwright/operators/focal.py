@@ -158,7 +158,13 @@ def fuzzy_smooth(planes: DataFrame, size: int, sigma: float) -> DataFrame:
 
 def fuzzy_median_std(planes: DataFrame) -> DataFrame:
     """Cells whose local deviation is over 1.5 times the image's noise floor move to the median, over 6 times they stay (an edge)."""
-    near = pushed(planes.select(*KEY, "v"), square(1), "clamp").groupBy(*KEY).agg(F.round(F.stddev_samp("v"), 9).alias("s"), F.sort_array(F.collect_list("v"))[4].alias("m"))
+    kind = planes.schema["v"].dataType
+
+    def run(block: np.ndarray) -> np.ndarray:
+        nine = around(block[..., 0], 1)
+        return np.stack([np.round(nine.std(axis=-1, ddof=1), 9), np.partition(nine, 4, axis=-1)[..., 4]], axis=-1)
+
+    near = tiled(planes, run, 1, ["v"], out=["s", "m"]).withColumn("m", F.col("m").cast(kind))
     joined = planes.select(*KEY, "v").join(near, KEY).join(min_block_std(planes), "image_id", "left")
     band = (F.col("s") > 1.5 * F.col("noise_floor")) & (F.col("s") <= 6.0 * F.col("noise_floor"))
     return joined.select(*KEY, F.when(band, F.col("m")).otherwise(F.col("v")).alias("v"))
