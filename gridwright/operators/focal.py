@@ -333,8 +333,8 @@ def reconstruct(levels: list[DataFrame]) -> DataFrame:
     return now
 
 
-def error_diffusion(planes: DataFrame, threshold: int = 128) -> DataFrame:
-    """Halftone of each row on its own: 7/16 of a cell's error goes to the right. Rows in parallel, a column of many rows at a time."""
+def error_diffusion(planes: DataFrame, threshold: int = 128, columns: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Halftone of each row and column on its own: 7/16 of a cell's error goes to the right. Rows in parallel, a column of many rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,18 +342,19 @@ def error_diffusion(planes: DataFrame, threshold: int = 128) -> DataFrame:
             if not len(cells):
                 continue
             row, nth = np.repeat(np.arange(len(size)), size), np.arange(len(cells)) - np.repeat(np.cumsum(size) - size, size)
-            v = np.zeros((len(size), size.max()))
-            v[row, nth] = cells.field(1).to_numpy(zero_copy_only=False)
-            error, got = np.zeros(len(size)), np.zeros(v.shape, dtype=np.int32)
+            v = np.zeros((len(size), size.max(), len(columns)))
+            for k in range(len(columns)):
+                v[row, nth, k] = cells.field(k + 1).to_numpy(zero_copy_only=False)
+            error, got = np.zeros((len(size), len(columns))), np.zeros(v.shape, dtype=np.int32)
             for i in range(v.shape[1]):
                 want = v[:, i] + error
                 got[:, i] = np.where(want >= threshold, 255, 0)
                 error = (want - got[:, i]) * 7 / 16
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), cells.field(0), pa.array(got[row, nth])], [*KEY, "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), cells.field(0), *(pa.array(got[row, nth, k]) for k in range(len(columns)))], [*KEY, *columns])
 
-    rows = planes.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("row"))
-    return rows.mapInArrow(run, "image_id long, y long, x long, v int")
+    rows = planes.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *columns))).alias("row"))
+    return rows.mapInArrow(run, "image_id long, y long, x long, " + ", ".join(f"{c} int" for c in columns))
 
 
 def dct_basis(n: int) -> list[list[float]]:

@@ -273,6 +273,12 @@ SQL["error_diffusion"] = CELLS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
   UNION ALL
   SELECT l.image_id, l.y, l.x, CASE WHEN l.v + e >= 128 THEN 255 ELSE 0 END, (l.v + e - CASE WHEN l.v + e >= 128 THEN 255 ELSE 0 END) * 7 / 16.0::DOUBLE FROM f JOIN lumas l ON l.image_id = f.image_id AND l.y = f.y AND l.x = f.x + 1)
 SELECT image_id, y, x, v FROM f"""
+register("error_diffusion_rgb", "cells", """, placeholder""", lambda c: focal.error_diffusion(c, columns=("r", "g", "b")))
+SQL["error_diffusion_rgb"] = CELLS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, one AS MATERIALIZED (SELECT * FROM (UNPIVOT (SELECT image_id, y, x, r, g, b FROM cells) ON r, g, b INTO NAME ch VALUE v)), f AS (
+  SELECT image_id, y, x, ch, CASE WHEN v >= 128 THEN 255 ELSE 0 END AS v, (v - CASE WHEN v >= 128 THEN 255 ELSE 0 END) * 7 / 16.0::DOUBLE AS e FROM one WHERE x = 0
+  UNION ALL
+  SELECT l.image_id, l.y, l.x, l.ch, CASE WHEN l.v + e >= 128 THEN 255 ELSE 0 END, (l.v + e - CASE WHEN l.v + e >= 128 THEN 255 ELSE 0 END) * 7 / 16.0::DOUBLE FROM f JOIN one l ON l.image_id = f.image_id AND l.y = f.y AND l.ch = f.ch AND l.x = f.x + 1)
+SELECT image_id, y, x, CAST(max(v) FILTER (ch = 'r') AS INT) AS r, CAST(max(v) FILTER (ch = 'g') AS INT) AS g, CAST(max(v) FILTER (ch = 'b') AS INT) AS b FROM f GROUP BY image_id, y, x"""
 register("dct_blocks", "luma", """, b AS (SELECT k.v AS k, i.v AS i, CASE WHEN k.v = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos(pi() * (2 * i.v + 1) * k.v / 16) AS w FROM range(8) k(v), range(8) i(v))
 SELECT image_id, y // 8 * 8 + p.k AS y, x // 8 * 8 + q.k AS x, round(sum(v * p.w * q.w), 4) AS v FROM lumas JOIN b p ON p.i = y % 8 JOIN b q ON q.i = x % 8 GROUP BY image_id, y // 8 * 8 + p.k, x // 8 * 8 + q.k""",
          lambda p: focal.dct_blocks(p, 8).select(*KEY, F.round("v", 4).alias("v")))
