@@ -72,7 +72,7 @@ def self_similar(planes: DataFrame, near: int = 4, far: int = 13, size: int = 32
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * 16, pa.int32()), pa.array(own[i, j].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), image)), pa.array(ys[oy][i]), pa.array(xs[ox][j]), lists, pa.array(own[i, j, 0] / 4), pa.array(best[i, j].round(6))], ["image_id", "py", "px", "f", "mean", "d"])
 
-    return tile_with_halo(planes.select(*KEY, "v"), size, far + 3, "shrink").mapInArrow(run, "image_id long, py long, px long, f array<double>, mean double, d double")
+    return tile_with_halo(planes.select(*KEY, "v"), size, far + 3, "shrink", ordered=False).mapInArrow(run, "image_id long, py long, px long, f array<double>, mean double, d double")
 
 
 def noise_profile(planes: DataFrame, share: float = 0.005, near: int = 4, far: int = 13) -> DataFrame:

@@ -170,7 +170,7 @@ def ranked_matches(d: np.ndarray, k: int, tau: float, rank: int) -> tuple[np.nda
 
 def patch_tiles(planes: DataFrame, columns: tuple[str, ...], radius: int, p: int, size: int) -> DataFrame:
     """Tiles with all that their patches are compared with."""
-    return tile_with_halo(planes.select(*KEY, *columns), size, radius + p - 1, "zero")
+    return tile_with_halo(planes.select(*KEY, *columns), size, radius + p - 1, "zero", ordered=False)
 
 
 def patch_block(ty: int, tx: int, y: np.ndarray, x: np.ndarray, v: np.ndarray, size: int, halo: int) -> np.ndarray:

@@ -170,7 +170,7 @@ def spectrum_2d(planes: DataFrame, size: int = 16) -> DataFrame:
                 n = len(total)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, image), np.full(n, ty), np.full(n, tx), np.arange(n, dtype=np.int32), total)], ["image_id", "ty", "tx", "ring", "power"])
 
-    return tile_with_halo(planes.select(*KEY, "v"), size, 0, "shrink").mapInArrow(run, "image_id long, ty long, tx long, ring int, power double")
+    return tile_with_halo(planes.select(*KEY, "v"), size, 0, "shrink", ordered=False).mapInArrow(run, "image_id long, ty long, tx long, ring int, power double")
 
 
 def pca_illuminant(cells: DataFrame, fraction: float = 0.035, saturation: float = 0.98, black: float = 0.02, bins: int = 4096) -> DataFrame:

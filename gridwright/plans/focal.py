@@ -72,15 +72,16 @@ def pushed(cells: DataFrame, offsets: list[tuple], edge: str, extra: tuple[str,
     return moved.where(inside).drop("h", "w")
 
 
-def tile_with_halo(cells: DataFrame, size: int, r: int, edge: str = "clamp") -> DataFrame:
-    """image_id, ty, tx, cells: blocks of size x size with a border of r, as an array of (y, x, values)."""
+def tile_with_halo(cells: DataFrame, size: int, r: int, edge: str = "clamp", ordered: bool = True) -> DataFrame:
+    """image_id, ty, tx, cells: blocks of size x size with a border of r, as an array of (y, x, values), sorted unless that does not matter."""
     wide = widened(cells, r, edge) if edge != "zero" else cells.join(shape(cells), IMAGE)
     # the tiles whose widened extent holds a coordinate
     span = lambda v, n: F.sequence(F.greatest(F.floor((v - r) / size), F.lit(0)), F.least(F.floor((v + r) / size), F.floor((n - 1) / size)))
     values = F.struct(*[c for c in wide.columns if c not in (IMAGE, "h", "w")])
     placed = wide.select(IMAGE, F.explode(span(F.col("y"), F.col("h"))).alias("ty"), "x", "w", values.alias("cell"))
     placed = placed.select(IMAGE, "ty", F.explode(span(F.col("x"), F.col("w"))).alias("tx"), "cell")
-    return placed.groupBy(IMAGE, "ty", "tx").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    found = F.collect_list("cell")
+    return placed.groupBy(IMAGE, "ty", "tx").agg((F.sort_array(found) if ordered else found).alias("cells"))
 
 
 def untile(tiles: DataFrame, size: int) -> DataFrame:
@@ -122,7 +123,7 @@ def tiled(cells: DataFrame, fn: Callable[[np.ndarray], np.ndarray], r: int, colu
                 parts = [np.full(own.sum(), image), gy[own], gx[own], *(made[y[own] - r, x[own] - r, i].astype(float) for i in range(len(names)))]
                 yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], [IMAGE, "y", "x", *names])
 
-    tiles = tile_with_halo(cells.select(IMAGE, "y", "x", *columns), size, r, "zero" if beyond else edge)
+    tiles = tile_with_halo(cells.select(IMAGE, "y", "x", *columns), size, r, "zero" if beyond else edge, ordered=False)
     return tiles.mapInArrow(run, f"{IMAGE} long, y long, x long, " + ", ".join(f"{c} double" for c in names))
 
 
