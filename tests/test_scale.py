@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gridwright.operators import geometry
+from gridwright.operators import geometry, zonal
 from gridwright.sources import cells as src
 
 
@@ -29,3 +29,12 @@ def test_cells_do_not_look_small_enough_to_broadcast(spark, few_rows):
     assert moved.count() == 40 * 64 * 64
     plan = moved._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "sy#" in line]
+
+
+def test_seed_function_takes_batches(spark):
+    cells = spark.range(1 << 15).selectExpr("id div 4096 * 1007 AS image_id", "id % 4096 div 64 AS y", "id % 64 AS x")
+    zonal.register_seeds(spark)
+    cells.createOrReplaceTempView("some_cells")
+    found = spark.sql("SELECT * FROM seeds(TABLE(some_cells) PARTITION BY (image_id), 97, 9)")
+    assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(zonal.hashed_seeds(cells, 97, 9).select(*found.columns).collect())
