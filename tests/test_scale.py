@@ -5,6 +5,7 @@ import pytest
 
 from gridwright.operators import geometry, zonal
 from gridwright.sources import cells as src
+from gridwright.sources import frames as fr
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,16 @@ def test_cells_do_not_look_small_enough_to_broadcast(spark, few_rows):
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "sy#" in line]
 
 
+def test_many_small_frames_share_tasks(tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.32f").write_bytes(bytes(12 * 12 * 12))
+    reader = fr.FrameReader({"path": str(tmp_path), "format": "32f", "height": "12", "width": "12", "split": "144"})
+    parts = reader.partitions()
+    assert len(parts) <= 2 * fr.MOST_TASKS + 1
+    seen = [(r["path"], r["y"], r["x"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(seen) == len(set(seen)) == 400 * 144
+
+
 def test_seed_function_takes_batches(spark):
     cells = spark.range(1 << 15).selectExpr("id div 4096 * 1007 AS image_id", "id % 4096 div 64 AS y", "id % 64 AS x")
     zonal.register_seeds(spark)
