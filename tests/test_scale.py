@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gridwright.operators import geometry, zonal
+from gridwright.operators import geometry, segment, zonal
 from gridwright.sources import cells as src
 from gridwright.sources import frames as fr
 
@@ -49,3 +49,10 @@ def test_seed_function_takes_batches(spark):
     found = spark.sql("SELECT * FROM seeds(TABLE(some_cells) PARTITION BY (image_id), 97, 9)")
     assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(found.collect()) == sorted(zonal.hashed_seeds(cells, 97, 9).select(*found.columns).collect())
+
+
+def test_histograms_are_dealt_to_many_tasks(spark):
+    hist = spark.range(64 * 4).selectExpr("id div 4 AS image_id", "id % 4 AS bin", "id % 3 + 1 AS n").repartition("image_id")
+    found = segment.hist_segment(hist, bins=4)
+    assert found.select("image_id").distinct().count() == 64
+    assert found.rdd.getNumPartitions() > 1
