@@ -1,9 +1,12 @@
 """What keeps plans whole on larger tables: sizes that Spark can tell, and work that is dealt to many tasks."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from gridwright.operators import geometry, segment, zonal
+from pyspark.sql.functions import col as spark_col
+
+from gridwright.operators import denoise, focal, geometry, graph, segment, zonal
 from gridwright.sources import cells as src
 from gridwright.sources import frames as fr
 
@@ -56,3 +59,23 @@ def test_histograms_are_dealt_to_many_tasks(spark):
     found = segment.hist_segment(hist, bins=4)
     assert found.select("image_id").distinct().count() == 64
     assert found.rdd.getNumPartitions() > 1
+
+
+def _square(spark, side, seed=3):
+    v = np.random.default_rng(seed).integers(0, 256, (side, side, 4))
+    return spark.createDataFrame([(0, y, x, *(int(n) for n in v[y, x])) for y in range(side) for x in range(side)], "image_id long, y long, x long, r int, g int, b int, a int")
+
+
+def test_modes_do_not_multiply_rows(spark):
+    cells = _square(spark, 9).withColumn("r", (spark_col("r") % 3))
+    found = focal.mode_filter(cells, 3)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    r = {(c["y"], c["x"]): c["r"] for c in cells.collect()}
+    for c in found.collect():
+        near = [r[y, x] for y in range(c["y"], min(c["y"] + 3, 9)) for x in range(c["x"], min(c["x"] + 3, 9))]
+        assert c["r"] == max(near, key=lambda v: (near.count(v), v))
+
+
+def test_a_null_counts_as_the_least_mode(spark):
+    cells = spark.sql("SELECT 0L AS image_id, 0L AS y, id AS x, CAST(IF(id = 1, 4, NULL) AS INT) AS r, 1 AS g, 2 AS b FROM range(3)")
+    assert [c["r"] for c in focal.mode_filter(cells, 2).orderBy("x").collect()] == [4, 4, None]
