@@ -79,3 +79,34 @@ def test_modes_do_not_multiply_rows(spark):
 def test_a_null_counts_as_the_least_mode(spark):
     cells = spark.sql("SELECT 0L AS image_id, 0L AS y, id AS x, CAST(IF(id = 1, 4, NULL) AS INT) AS r, 1 AS g, 2 AS b FROM range(3)")
     assert [c["r"] for c in focal.mode_filter(cells, 2).orderBy("x").collect()] == [4, 4, None]
+
+
+def test_noise_levels_are_dealt_to_many_tasks(spark):
+    profile = spark.range(8 * 16).selectExpr("id div 16 AS image_id", "0L AS bin", "CAST(id AS DOUBLE) AS level", "CAST(id % 16 AS INT) AS k", "CAST(id AS DOUBLE) AS std").coalesce(1)
+    found = denoise.noise_levels(profile)
+    assert found.count() == 8 * 16 * 256
+    assert found.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("cells_a_bin", [500, 42_000])
+def test_tiles_send_only_blocks_that_can_be_best(spark, monkeypatch, cells_a_bin):
+    monkeypatch.setattr(denoise, "CELLS_A_BIN", cells_a_bin)
+    v = np.random.default_rng(5).integers(0, 256, (50, 41)) // 4 + np.arange(50)[:, None] * 2
+    planes = spark.createDataFrame([(7, y, x, int(v[y, x])) for y in range(50) for x in range(41)], "image_id long, y long, x long, v int")
+    seen, plain = [], denoise.saved
+    monkeypatch.setattr(denoise, "saved", lambda df: seen.append(plain(df)) or seen[-1])
+    got = {(r["bin"], r["k"]): (r["level"], r["std"]) for r in denoise.noise_profile(planes, share=0.02).collect()}
+    blocks = denoise.self_similar(planes).toPandas()
+    # the best alone are stored
+    assert max(df.count() for df in seen) <= 0.02 * len(blocks) + 64
+    bins = max(1, 50 * 41 // cells_a_bin)
+    blocks["bin"] = np.minimum(np.floor((blocks["mean"] - blocks["mean"].min()) / (blocks["mean"].max() - blocks["mean"].min()) * bins), bins - 1)
+    raw, level = np.zeros((bins, 16)), np.zeros(bins)
+    for i, part in blocks.groupby("bin"):
+        best = part.sort_values(["d", "py", "px"]).head(max(1, int(len(part) * 0.02)))
+        f = np.stack(best["f"])
+        raw[int(i)], level[int(i)] = np.median(np.abs(f - np.median(f, axis=0)), axis=0) * denoise.MAD_TO_STD, best["mean"].mean()
+    assert len(got) == bins * 16
+    for i in range(bins):
+        want = raw[max(i - 1, 0) : i + 2].mean(0)
+        assert np.allclose([got[i, k] for k in range(16)], np.stack([np.full(16, level[i]), want], axis=1))
