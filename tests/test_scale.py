@@ -110,3 +110,23 @@ def test_tiles_send_only_blocks_that_can_be_best(spark, monkeypatch, cells_a_bin
     for i in range(bins):
         want = raw[max(i - 1, 0) : i + 2].mean(0)
         assert np.allclose([got[i, k] for k in range(16)], np.stack([np.full(16, level[i]), want], axis=1))
+
+
+def test_a_filter_of_many_steps_stores_its_edges_once(spark, monkeypatch):
+    values = spark.sql("SELECT 0L AS image_id, id AS node, CAST(id * 7 % 10 AS INT) AS v FROM range(12)")
+    # node 99 is none: an edge to it changes nothing
+    edges = spark.sql("SELECT 0L AS image_id, id AS src, IF(id = 11, 99L, id + 1) AS dst FROM range(12)")
+    seen, plain = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: seen.append(df.columns) or plain(df))
+    got = [r["v"] for r in graph.graph_asf(values, edges, 2).orderBy("node").collect()]
+    assert sum("dst" in c for c in seen) == 1
+    now = [i * 7 % 10 for i in range(12)]
+    for fn, k in ((max, 1), (min, 1), (min, 1), (max, 1), (max, 2), (min, 2), (min, 2), (max, 2)):
+        for _ in range(k):
+            now = [fn(now[max(i - 1, 0) : i + 2]) for i in range(12)]
+    assert got == now
+
+
+def test_edges_need_no_size_of_the_image(spark):
+    plan = graph.grid_edges(_square(spark, 6).withColumnRenamed("r", "v"), 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(y" not in plan
