@@ -130,3 +130,19 @@ def test_a_filter_of_many_steps_stores_its_edges_once(spark, monkeypatch):
 def test_edges_need_no_size_of_the_image(spark):
     plan = graph.grid_edges(_square(spark, 6).withColumnRenamed("r", "v"), 40)._jdf.queryExecution().optimizedPlan().toString()
     assert "max(y" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kernels_do_not_multiply_rows(spark):
+    cells = _square(spark, 11)
+    found = focal.convolve(cells, "sharp_5")
+    assert "explode(array(struct" not in _plan(found) and "Generate explode([[" not in _plan(found) and "MapInArrow" in _plan(found)
+    weights, norm = focal.tables.kernel("sharp_5")
+    g = {(c["y"], c["x"]): c["g"] for c in cells.collect()}
+    for c in found.collect():
+        total = sum(k * g.get((c["y"] - dy, c["x"] - dx), 0) for dy, dx, k in weights)
+        assert c["g"] == min(max(total, 0) // norm, 255)
+    assert found.select("a").exceptAll(cells.select("a")).count() == 0
