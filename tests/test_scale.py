@@ -146,3 +146,23 @@ def test_kernels_do_not_multiply_rows(spark):
         total = sum(k * g.get((c["y"] - dy, c["x"] - dx), 0) for dy, dx, k in weights)
         assert c["g"] == min(max(total, 0) // norm, 255)
     assert found.select("a").exceptAll(cells.select("a")).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["disk", "frame"])
+def test_elements_do_not_multiply_rows(spark, shape):
+    planes = _square(spark, 37).select(*src.KEY, spark_col("r").alias("v"))
+    size = 7 if shape == "disk" else 5
+    low, high = focal.erode(planes, shape, size), focal.dilate(planes, shape, size)
+    assert "MapInArrow" in _plan(low) and "MapInArrow" in _plan(high)
+    v = {(c["y"], c["x"]): c["v"] for c in planes.collect()}
+    clip = lambda n: min(max(n, 0), 36)
+    for df, fn in ((low, min), (high, max)):
+        for c in df.collect():
+            assert c["v"] == fn(v[clip(c["y"] + dy), clip(c["x"] + dx)] for dy, dx in focal.tables.mask(shape, size))
+
+
+def test_elements_in_an_image_with_holes(spark):
+    planes = spark.sql("SELECT 0L AS image_id, id div 9 AS y, id % 9 AS x, CAST(IF(id = 40, NULL, id + 3) AS INT) AS v FROM range(81) WHERE id NOT IN (41, 80, 79, 71)")
+    assert planes.count() == focal.erode(planes, "disk", 7).count()
+    got = {(c["y"], c["x"]): c["v"] for c in focal.erode(planes, "frame", 5).collect()}
+    assert min(got.values()) == 3 and got[2, 2] == 3 and got[4, 4] == 2 * 9 + 2 + 3
