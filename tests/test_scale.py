@@ -166,3 +166,9 @@ def test_elements_in_an_image_with_holes(spark):
     assert planes.count() == focal.erode(planes, "disk", 7).count()
     got = {(c["y"], c["x"]): c["v"] for c in focal.erode(planes, "frame", 5).collect()}
     assert min(got.values()) == 3 and got[2, 2] == 3 and got[4, 4] == 2 * 9 + 2 + 3
+
+
+def test_charcoal_neither_multiplies_rows_nor_broadcasts_cells(spark, few_rows):
+    found = focal.charcoal(src.with_luma(src.from_lineitem(spark, few_rows)), 30.0)
+    assert "MapInArrow" in _plan(found)
+    assert found.count() == 40 * 64 * 64
