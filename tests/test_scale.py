@@ -91,7 +91,7 @@ def test_noise_levels_are_dealt_to_many_tasks(spark):
 @pytest.mark.parametrize("cells_a_bin", [500, 42_000])
 def test_tiles_send_only_blocks_that_can_be_best(spark, monkeypatch, cells_a_bin):
     monkeypatch.setattr(denoise, "CELLS_A_BIN", cells_a_bin)
-    v = np.random.default_rng(5).integers(0, 256, (50, 41)) // 4 + np.arange(50)[:, None] * 2
+    v = np.random.default_rng(5).integers(0, 256, (50, 41)) // 4 + np.arange(50)[:, None] * 2 - 90
     planes = spark.createDataFrame([(7, y, x, int(v[y, x])) for y in range(50) for x in range(41)], "image_id long, y long, x long, v int")
     seen, plain = [], denoise.saved
     monkeypatch.setattr(denoise, "saved", lambda df: seen.append(plain(df)) or seen[-1])
