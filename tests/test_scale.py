@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql.functions import col as spark_col
 
+from gridwright import queries
 from gridwright.operators import denoise, focal, geometry, graph, segment, zonal
 from gridwright.sources import cells as src
 from gridwright.sources import frames as fr
@@ -172,3 +173,40 @@ def test_charcoal_neither_multiplies_rows_nor_broadcasts_cells(spark, few_rows):
     found = focal.charcoal(src.with_luma(src.from_lineitem(spark, few_rows)), 30.0)
     assert "MapInArrow" in _plan(found)
     assert found.count() == 40 * 64 * 64
+
+
+def _most_rows_broadcast(spark, run):
+    """Of all jobs of run(), those of loops and checkpoints too."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    before, most = {e.executionId() for e in each(store.executionsList())}, 0
+    run()
+    bus.waitUntilEmpty()
+    for done in (e.executionId() for e in each(store.executionsList()) if e.executionId() not in before):
+        values = store.executionMetrics(done)
+        for node in each(store.planGraph(done).allNodes()):
+            for m in each(node.metrics()):
+                if node.name() == "BroadcastExchange" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.fixture(scope="module")
+def many_rows(tmp_path_factory):
+    """Forty images of 4,096 rows each, no cell black; keys that do not compress, as Spark takes a table for as large as its file."""
+    at = tmp_path_factory.mktemp("many")
+    duckdb.sql(f"COPY (SELECT range % 40 * 12 AS l_suppkey, range // 40 % 64 + hash(range) % 1000000000 // 64 * 64 AS l_orderkey, range // 2560 AS l_partkey, 9.0 + range % 31 AS l_quantity, 0.02 + range % 7 / 100 AS l_discount, 0.04 AS l_tax FROM range(163840)) TO '{at}/lineitem.parquet' (FORMAT parquet)")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["pca_illuminant"])
+def test_no_broadcast_grows_with_the_cells(spark, many_rows, name):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # 163,840 cells are more than that, 64 lines or 40 images are less
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        most = _most_rows_broadcast(spark, lambda: queries.QUERIES[name](spark, many_rows).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 0 < most < 100 * 1024 // 8
