@@ -200,7 +200,7 @@ def many_rows(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["pca_illuminant"])
+@pytest.mark.parametrize("name", ["pca_illuminant", "perturb_seeds"])
 def test_no_broadcast_grows_with_the_cells(spark, many_rows, name):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     # 163,840 cells are more than that, 64 lines or 40 images are less
