@@ -200,7 +200,7 @@ def many_rows(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["pca_illuminant", "perturb_seeds"])
+@pytest.mark.parametrize("name", ["pca_illuminant", "perturb_seeds", "voronoi_jump", "voronoi_jump_error"])
 def test_no_broadcast_grows_with_the_cells(spark, many_rows, name):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     # 163,840 cells are more than that, 64 lines or 40 images are less
@@ -210,3 +210,12 @@ def test_no_broadcast_grows_with_the_cells(spark, many_rows, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert 0 < most < 100 * 1024 // 8
+
+
+def test_jumps_are_dealt_to_many_tasks(spark):
+    cells = spark.range(1 << 14).selectExpr("id div 4096 AS image_id", "id % 4096 div 64 AS y", "id % 64 AS x")
+    grid = spark.range(64).selectExpr("id div 16 AS image_id", "id % 16 div 4 AS ty", "id % 4 AS tx", "64L AS h", "64L AS w")
+    known = grid.selectExpr("image_id", "ty", "tx", "array_repeat(ty * 4 + tx, 256) AS sid", "array_repeat(ty * 16, 256) AS sy", "array_repeat(tx * 16, 256) AS sx")
+    moved = zonal._jumped(known, grid, 16, 1, [16])
+    assert moved.count() == 64 and moved.rdd.getNumPartitions() == 4
+    assert {r["seed_id"] for r in zonal.voronoi_jump(cells, spark.range(4).selectExpr("id AS image_id", "id + 5 AS seed_id", "9 AS y", "9 AS x"), 16).collect()} == {5, 6, 7, 8}
