@@ -219,3 +219,16 @@ def test_jumps_are_dealt_to_many_tasks(spark):
     moved = zonal._jumped(known, grid, 16, 1, [16])
     assert moved.count() == 64 and moved.rdd.getNumPartitions() == 4
     assert {r["seed_id"] for r in zonal.voronoi_jump(cells, spark.range(4).selectExpr("id AS image_id", "id + 5 AS seed_id", "9 AS y", "9 AS x"), 16).collect()} == {5, 6, 7, 8}
+
+
+def test_nearest_seeds_are_met_without_a_broadcast(spark):
+    rng = np.random.default_rng(4)
+    # image 0 has far seeds (outside too) and a place with two, image 1 many, image 2 none, image 3 no cells; one cell is there twice and one has no place
+    seeds = [(0, 9, -40, 70), (0, 5, 60, 3), (0, 4, 60, 3), *((1, i, int(y), int(x)) for i, (y, x) in enumerate(rng.integers(0, 64, (60, 2)))), (3, 1, 2, 2)]
+    cells = [(i, y, x) for i in range(3) for y in range(64) for x in range(64) if (y, x) != (7, 7)]
+    plane = spark.createDataFrame([*cells, cells[3], (1, None, 2)], "image_id long, y int, x int")
+    spots = spark.createDataFrame(seeds, "image_id long, seed_id long, y int, x int")
+    got = []
+    assert _most_rows_broadcast(spark, lambda: got.extend(zonal.voronoi_assign(plane, spots, 4).collect())) == 0
+    best = lambda i, y, x: min(((y - sy) ** 2 + (x - sx) ** 2, s) for j, s, sy, sx in seeds if i == j)
+    assert sorted(map(tuple, got)) == sorted((*c, *best(*c)[::-1]) for c in cells if c[0] < 2)
