@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import cover
 from .skew import spread
 from .storage import stored
-from .text import U64, mix, prefix_hash, range_hash, slices, utf8
+from .text import U64, gram_hash, mix, prefix_hash, range_hash, slices, utf8
 
 LENGTH = 200
 GRAM = 64
@@ -63,15 +63,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _windows_least(h: np.ndarray) -> np.ndarray:
     """For each window of SPAN grams the place of the least one, leftmost of equals."""
-    n = len(h)
-    key = (h >> U64(24) << U64(24)) | np.arange(n, dtype=U64)
-    wide = np.full(-(-n // SPAN) * SPAN, np.iinfo(U64).max, dtype=U64)
-    wide[:n] = key
-    wide = wide.reshape(-1, SPAN)
-    ahead = np.minimum.accumulate(wide, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(behind[: n - SPAN + 1], ahead[SPAN - 1 : n])
-    return (least & U64((1 << 24) - 1)).astype(np.int64)
+    key = h >> U64(24)
+    key <<= U64(24)
+    key |= np.arange(len(h), dtype=U64)
+    # the least of twice as many from two halves, at last from two that overlap
+    wide = 1
+    while wide < SPAN:
+        step = min(wide, SPAN - wide)
+        key = np.minimum(key[:-step], key[step:])
+        wide += step
+    key &= U64((1 << 24) - 1)
+    return key.view(np.int64)
 
 
 def anchor_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,25 +82,26 @@ def anchor_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         return (np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
     if len(raw) >= 1 << 24:
         raise ValueError("slice too long")
-    prefix = prefix_hash(raw)
-    at = np.arange(len(raw) - GRAM + 1)
-    h = range_hash(prefix, at, at + GRAM)
+    h = gram_hash(raw, GRAM)
     least = _windows_least(h)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    p = np.flatnonzero(np.arange(len(least)) + LENGTH <= offsets[row + 1])
-    anchor, row = least[p], row[p]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+    new = np.ones(len(least), dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[offsets[offsets < len(least)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p))[: len(first)] - 1
-    base = offsets[row[first]]
-    return row[first], h[anchor[first]], p[first] - base, p[last] - base, anchor[first] - base
+    row = np.searchsorted(offsets, first, side="right") - 1
+    # windows that reach into the next text are none
+    last = np.minimum(np.append(first[1:], len(least)) - 1, offsets[row + 1] - LENGTH)
+    own = last >= first
+    row, first, last = row[own], first[own], last[own]
+    base, anchor = offsets[row], least[first]
+    return row, h[anchor], first - base, last - base, anchor - base
 
 
 def _long_slices(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes skipped, bytes, offsets): very long texts come in overlapping parts."""
     part = 1 << 22
-    for lo, hi in slices(offsets):
+    # so many bytes that the arrays made of them stay in a core's cache
+    for lo, hi in slices(offsets, 1 << 18):
         start, size = offsets[lo], offsets[hi] - offsets[lo]
         if size <= 2 * part:
             yield lo, hi, 0, raw[start : offsets[hi]], offsets[lo : hi + 1] - start

@@ -69,6 +69,23 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix((prefix[stop] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
 
 
+def gram_hash(raw: np.ndarray, size: int) -> np.ndarray:
+    """range_hash() of [i, i + size) for every i at which so many bytes begin, with few arrays of that length at a time."""
+    prefix = prefix_hash(raw)
+    x = prefix[size:] - prefix[:-size]
+    x *= powers(_INVERSE, len(prefix))[: len(x)]
+    # mix() in place
+    high = x >> U64(30)
+    x ^= high
+    x *= U64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, U64(27), out=high)
+    x ^= high
+    x *= U64(0x94D049BB133111EB)
+    np.right_shift(x, U64(31), out=high)
+    x ^= high
+    return x
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop, row) of each word: a run of bytes above the space character inside one text."""
     body = raw > 32

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -102,3 +103,29 @@ def test_long_texts_are_read_in_parts(monkeypatch):
     assert len(parts) == 3
     covered = sum(len(p[3]) - suffix.LENGTH + 1 for p in parts)
     assert covered == len(raw) - suffix.LENGTH + 1
+
+
+def test_anchors_are_the_leftmost_least_grams_at_few_bytes_a_byte():
+    r = np.random.default_rng(3)
+    sizes = [0, 300, 199, 200, 0, 1, 900, 201, 63, 0]
+    offsets, raw = np.cumsum([0, *sizes]), r.integers(97, 99, sum(sizes)).astype(np.uint8)
+    prefix = suffix.prefix_hash(raw)
+    expected = []
+    for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for p in range(lo, hi - suffix.LENGTH + 1):
+            grams = np.arange(p, p + suffix.SPAN)
+            h = suffix.range_hash(prefix, grams, grams + suffix.GRAM)
+            i = int(np.argmin(h >> np.uint64(24)))
+            if expected and expected[-1][0] == row and expected[-1][4] == p + i - lo:
+                expected[-1][3] = p - lo
+            else:
+                expected.append([row, int(h[i]), p - lo, p - lo, p + i - lo])
+    assert [list(map(int, x)) for x in zip(*suffix.anchor_rows(raw, offsets), strict=True)] == expected
+    # texts are hashed a piece at a time that stays in a core's cache
+    raw, offsets = r.integers(0, 256, 1 << 22).astype(np.uint8), np.arange(0, (1 << 22) + 1, 1 << 12)
+    suffix.anchor_rows(raw[: 1 << 20], offsets[:257])
+    tracemalloc.start()
+    found = sum(len(suffix.anchor_rows(part, own)[0]) for *_, part, own in suffix._long_slices(raw, offsets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 1 << 15 and peak < 32_000_000
