@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,46 @@ def test_painting_shows_each_segment_s_mean(spark):
         lo, hi = next(p for p in parts if p[0] <= luma[r.y, r.x] <= p[1])
         own = [g[k] for k, v in luma.items() if lo <= v <= hi]
         assert abs(r.v - np.mean(own)) < 1e-9
+
+
+def test_a_histogram_of_two_modes_looks_at_few_pairs(monkeypatch):
+    """Cuts of noisy histograms: pairs of bins grow far more slowly than places of a peak times all pairs."""
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(70, 18, 3000), rng.normal(190, 20, 3000)]).round().clip(0, 255).astype(int)
+    looked, plain = [], segment._entropy
+    monkeypatch.setattr(segment, "_entropy", lambda r, p: looked.append(r.size) or plain(r, p))
+    parts = segment.segments_of(np.bincount(v, minlength=256).astype(float), 1.0)
+    assert len(parts) == 2 and 110 < parts[0][1] < 150
+    assert sum(looked) < 3_000_000
+
+
+@pytest.mark.parametrize("few", [2, 40])
+def test_long_fits_equal_all_pairs(monkeypatch, few):
+    """The worst interval among few candidates is the worst of all."""
+    monkeypatch.setattr(segment, "FEW", few)
+    rng = np.random.default_rng(21)
+    for length in (2, 3, 9, 41, 90):
+        for _ in range(8):
+            h = rng.poisson(rng.uniform(0.2, 30), length) * (rng.random(length) < rng.uniform(0.3, 1))
+            for up in (True, False):
+                fit = segment._monotone(h.astype(float), up)
+                assert abs(segment._misfit(h.astype(float), fit, 1.0) - misfit(h.tolist(), fit.tolist(), 1.0)) < 1e-6
+
+
+def test_screened_places_have_a_positive_misfit():
+    rng = np.random.default_rng(8)
+    seen = 0
+    for h in (rng.poisson(rng.uniform(0.2, 9, 60)).astype(float) for _ in range(12)):
+        pooled = segment._pooled(h)
+        skipped = segment._hopeless(h, pooled, 1.0)
+        seen += skipped.sum()
+        for t in np.flatnonzero(skipped):
+            assert segment._misfit(h[: t + 1], segment._monotone(h[: t + 1], True), 1.0) > 0
+    assert seen
+
+
+def test_groups_go_over_batches():
+    table = pa.table({"k": pa.array([1, 1, 2, 2, 2, None, None, 4]), "n": pa.array(range(8))})
+    for size in (1, 2, 3, 8):
+        got = [(k, g.column("n").to_pylist()) for k, g in segment._groups(iter(table.to_batches(max_chunksize=size)), ["k"])]
+        assert got == [([1], [0, 1]), ([2], [2, 3, 4]), ([None], [5, 6]), ([4], [7])]
