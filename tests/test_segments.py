@@ -125,3 +125,18 @@ def test_groups_go_over_batches():
     for size in (1, 2, 3, 8):
         got = [(k, g.column("n").to_pylist()) for k, g in segment._groups(iter(table.to_batches(max_chunksize=size)), ["k"])]
         assert got == [([1], [0, 1]), ([2], [2, 3, 4]), ([None], [5, 6]), ([4], [7])]
+
+
+def _cells(spark, seed=5, images=3, side=16):
+    v = np.random.default_rng(seed).integers(0, 4, (images, side, side, 3)) * 60 + np.random.default_rng(seed + 1).integers(0, 9, (images, side, side, 3))
+    rows = [(i, y, x, *(int(n) for n in v[i, y, x]), 255) for i in range(images) for y in range(side) for x in range(side)]
+    return spark.createDataFrame(rows, "image_id long, y long, x long, r int, g int, b int, a int")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_posterize_does_not_join_cells_with_cells(spark):
+    plan = _plan(segment.posterize(_cells(spark)))
+    assert plan.count("Join ") == 1 and "MapInArrow" in plan
