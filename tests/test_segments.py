@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridwright.operators import segment
+from gridwright.operators import local, segment
 from gridwright.sources.cells import KEY
 
 
@@ -140,3 +140,43 @@ def _plan(df):
 def test_posterize_does_not_join_cells_with_cells(spark):
     plan = _plan(segment.posterize(_cells(spark)))
     assert plan.count("Join ") == 1 and "MapInArrow" in plan
+
+
+def test_palette_counts_cells_once(spark):
+    cells = _cells(spark)
+    plan = _plan(segment.hsi_palette(cells))
+    assert "Join " not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_hues_saturations_and_levels_equal_the_twin(spark):
+    """Classes and their means against loops over counts of one group after the other."""
+    cells = _cells(spark)
+    got = {(r.image_id, r.y, r.x): (r.hue, r.sat, r.level, r.r, r.g, r.b) for r in segment.posterize_hsi(cells, hues=18, saturations=10, levels=16).collect()}
+    hsi = {(r.image_id, r.y, r.x): (r.h, r.s, r.l) for r in local.to_hue_space(cells, "hsi").collect()}
+    rgb = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in cells.collect()}
+
+    def labelled(keys, at, bins, circular=False):
+        h = np.bincount([at[k] for k in keys], minlength=bins).astype(float)
+        parts = segment.circular_segments(h, 1.0) if circular else twin(h.tolist(), 1.0)
+        return {k: next(n for n, (a, b) in enumerate(parts) if at[k] in {p % bins for p in range(a, b)}) for k in keys}
+
+    bin_of = lambda n, top, i: {k: min(int(v[i] / top * n), n - 1) for k, v in hsi.items()}
+    hbin, sbin, ibin = bin_of(18, 360.0, 0), bin_of(10, 1.0, 1), bin_of(16, 1.0, 2)
+    want = {}
+    for image in range(3):
+        own = [k for k in hsi if k[0] == image]
+        hue = labelled([k for k in own if hsi[k][1] >= 0.08], hbin, 18, True) | {k: -1 for k in own if hsi[k][1] < 0.08}
+        sat = {k: 0 for k in own}
+        for v in set(hue.values()) - {-1}:
+            sat |= labelled([k for k in own if hue[k] == v], sbin, 10)
+        for pair in {(hue[k], sat[k]) for k in own}:
+            level = labelled([k for k in own if (hue[k], sat[k]) == pair], ibin, 16)
+            for k, v in level.items():
+                same = [rgb[q] for q in level if level[q] == v]
+                want[k] = (*pair, v, *np.mean(same, axis=0))
+    assert set(got) == set(want) and len({w[:3] for w in want.values()}) > 3
+    for k, w in want.items():
+        assert got[k][:3] == w[:3] and np.allclose(got[k][3:], w[3:])
+    palette = {(r.image_id, r.hue, r.sat, r.level): (r.n, r.r, r.g, r.b) for r in segment.hsi_palette(cells, hues=18, saturations=10, levels=16).collect()}
+    assert {(k[0], *w[:3]) for k, w in want.items()} == set(palette) and sum(v[0] for v in palette.values()) == len(want)
+    assert all(np.allclose(palette[k[0], *w[:3]][1:], w[3:]) for k, w in want.items())
