@@ -232,3 +232,31 @@ def test_nearest_seeds_are_met_without_a_broadcast(spark):
     assert _most_rows_broadcast(spark, lambda: got.extend(zonal.voronoi_assign(plane, spots, 4).collect())) == 0
     best = lambda i, y, x: min(((y - sy) ** 2 + (x - sx) ** 2, s) for j, s, sy, sx in seeds if i == j)
     assert sorted(map(tuple, got)) == sorted((*c, *best(*c)[::-1]) for c in cells if c[0] < 2)
+
+
+def test_blocks_are_transformed_where_their_cells_meet(spark):
+    """A cell travels once and unmultiplied; batches may end anywhere in a block."""
+    rng = np.random.default_rng(2)
+    rows = [(i, y, x, None if i == 2 and y < 4 and x < 4 else float(rng.integers(0, 256))) for i in (0, 2, None) for y in range(-4, 9) for x in range(7) if rng.random() < 0.9]
+    rows += [(0, 1, 1, 40.0), (0, None, 3, 5.0), (0, 3, None, 5.0), (2, 5, 5, None)]
+    planes = spark.createDataFrame(rows, "image_id long, y long, x long, v double")
+    basis = np.array(focal.dct_basis(4))
+    for size, inverse in ((3, False), (1000, True)):
+        blocks, some = {}, set()
+        for i, y, x, v in rows:
+            if y is not None and x is not None:
+                block = blocks.setdefault((i, y // 4, x // 4), np.zeros((4, 4)))
+                if v is not None:
+                    block[y % 4, x % 4] += v
+                    some.add((i, y // 4, x // 4))
+        d = basis.T if inverse else basis
+        want = {(i, by * 4 + y, bx * 4 + x): (d @ b @ d.T)[y, x] if (i, by, bx) in some else None for (i, by, bx), b in blocks.items() for y in range(4) for x in range(4)}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r.image_id, r.y, r.x): r.v for r in focal.dct_blocks(planes, 4, inverse).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert set(got) == set(want) and len(some) < len(blocks)
+        assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+    plan = focal.dct_blocks(planes, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange ") == 1
