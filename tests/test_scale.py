@@ -260,3 +260,24 @@ def test_blocks_are_transformed_where_their_cells_meet(spark):
         assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
     plan = focal.dct_blocks(planes, 4)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange ") == 1
+
+
+def test_block_distances_order_pairs_only_where_differences_are_equal(monkeypatch):
+    rng = np.random.default_rng(14)
+    kinds, plain = [], np.partition
+    monkeypatch.setattr(denoise.np, "partition", lambda a, *args, **more: kinds.append((a.dtype.kind, len(a))) or plain(a, *args, **more))
+
+    def twin(a, b):
+        pairs = sorted((round(abs(p - q), 9), round(max(abs(p), abs(q)), 9)) for p, q in zip(a, b))
+        return sum(d * w for d, w in pairs[:12])
+
+    a, b = rng.normal(0, 30, (2, 40, 16))
+    assert np.allclose(denoise.sparse_distance(a, b), [twin(p, q) for p, q in zip(a, b)], rtol=0, atol=1e-8)
+    assert kinds == [("f", 40)]
+    # some rows with equal differences at the border
+    a[:9], b[:9] = rng.integers(-3, 4, (2, 9, 16))
+    weights = denoise._weights(a), denoise._weights(b)
+    for got in (denoise.sparse_distance(a, b), denoise.sparse_distance(a, b, *weights)):
+        assert np.allclose(got, [twin(p, q) for p, q in zip(a, b)], rtol=0, atol=1e-8)
+    assert ("c", 9) in kinds or any(k == "c" and n < 9 for k, n in kinds)
+    assert np.allclose(denoise.sparse_distance(a[0], b), [twin(a[0], q) for q in b], rtol=0, atol=1e-8)
